@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import byte_bpe, decontaminate, secret_scan, simhash_dedup, url_filter
+from dossier.llm import byte_bpe, decontaminate, language_id, lz_fingerprint, secret_scan, simhash_dedup, url_filter
 from dossier.llm.common import read_table
 
 
@@ -32,16 +32,26 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.tokenize(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages", ["page_id", "url"])).drop("url")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_lz_fingerprint": op7_lz_fingerprint,
     "op8_url_filter": op8_url_filter,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
