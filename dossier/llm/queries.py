@@ -9,14 +9,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import byte_bpe, decontaminate, language_id, lz_fingerprint, secret_scan, simhash_dedup, url_filter
+from dossier.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    language_id,
+    license_scan,
+    lz_fingerprint,
+    secret_scan,
+    simhash_dedup,
+    url_filter,
+    warc,
+)
 from dossier.llm.common import read_table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"])).drop("text")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.preferences(chat_format.pair_up(read_table(spark, sf_dir, "conversations")))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -40,17 +59,24 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages", ["page_id", "url"])).drop("url")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
+    "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_lz_fingerprint": op7_lz_fingerprint,
     "op8_url_filter": op8_url_filter,
+    "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }
 
