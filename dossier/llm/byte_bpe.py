@@ -18,7 +18,9 @@ holds them back until the next piece.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
+import gc
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from dossier.llm.common import ship
 
 #: Bounds on what a worker keeps; a full table is dropped and filled again.
-MAX_STATES = 400_000
-MAX_WORDS = 600_000
+MAX_STATES = 300_000
+MAX_WORDS = 400_000
 #: Ids decoded at a time.
 PIECE = 1 << 16
 
@@ -50,17 +52,18 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
         #: What a token can begin with and yet go on.
         self.openings = {token[:k] for token in ranks for k in range(1, len(token))}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self._restart()
 
     def _restart(self) -> None:
-        # A state: (certain last token or -1, bytes after it, for each of their ends its last token).
-        self.nodes: list[tuple[int, bytes, tuple[int, ...]]] = [(-1, b"", ())]
+        # A state: the certain last token or -1, the bytes after it, for each of their ends its last
+        # token, and the places from which what was read since begins a token.
+        self.nodes: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = [(-1, b"", (), ())]
         self.number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: By state * 256 + byte: the next state and the tokens emitted.
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: list[tuple[int, ...] | None] = [()]
 
     def merge(self, data: bytes) -> list[int]:
@@ -80,7 +83,7 @@ class Transducer:
 
     def stands(self, left: int, right: int) -> bool:
         """Whether the merges leave this pair of tokens as it is."""
-        pair = (left, right)
+        pair = left << 32 | right
         known = self.fits.get(pair)
         if known is None:
             if len(self.fits) >= MAX_STATES:
@@ -89,110 +92,112 @@ class Transducer:
             self.fits[pair] = known
         return known
 
-    def _last(self, certain: int, data: bytes, lasts: tuple[int, ...]) -> int:
-        """The last token of everything read, ``lasts`` holding it for all shorter prefixes."""
-        n = len(data)
-        for length in range(min(n, self.longest), 0, -1):
-            token = self.ranks.get(data[n - length :])
-            if token is None:
-                continue
-            start = n - length
-            if start:
-                before = lasts[start - 1]
-            elif certain < 0:
-                if self.merge(data) == [token]:
-                    return token
-                continue
-            else:
-                before = certain
-            # A token alone must itself come out of its bytes.
-            if self.stands(before, token):
-                return token
-        raise ValueError("the rank table lacks a single byte")
+    def _alone(self, token: int) -> bool:
+        """Whether the merges make this token of its bytes."""
+        known = self.fits.get(token | 1 << 62)
+        if known is None:
+            known = self.fits[token | 1 << 62] = self.merge(self.tokens[token]) == [token]
+        return known
 
     def _path(self, lasts: tuple[int, ...], end: int) -> list[int]:
-        """The ends of the tokens on the way to ``end``, in order."""
+        """The tokens on the way to ``end``, in order."""
         out = []
         while end > 0:
-            out.append(end)
-            end -= len(self.tokens[lasts[end - 1]])
+            token = lasts[end - 1]
+            out.append(token)
+            end -= len(self.tokens[token])
         return out[::-1]
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        certain, data, lasts = self.nodes[state]
+        certain, data, lasts, alive = self.nodes[state]
         data += bytes((byte,))
-        lasts += (self._last(certain, data, lasts),)
         n = len(data)
-        emitted: list[int] = []
-        if data not in self.openings:
-            # Ends that a later token can start from; what all their paths share is certain.
-            shared = self._path(lasts, n)
-            for end in range(1, n):
-                if not shared:
-                    break
-                if data[end:] in self.openings:
-                    path = self._path(lasts, end)
-                    k, most = 0, min(len(path), len(shared))
-                    while k < most and path[k] == shared[k]:
-                        k += 1
-                    shared = shared[:k]
-            if shared:
-                emitted = [lasts[end - 1] for end in shared]
-                start = shared[-1]
-                certain, data, lasts = emitted[-1], data[start:], lasts[start:]
+        last, going = -1, []
+        # A token ending here starts where the bytes read so far could begin one; longest first.
+        for start in (*alive, n - 1):
+            piece = data[start:]
+            if last < 0:
+                token = self.ranks.get(piece, -1)
+                if token >= 0:
+                    before = lasts[start - 1] if start else certain
+                    if self.stands(before, token) if before >= 0 else self._alone(token):
+                        last = token
+            if piece in self.openings:
+                going.append(start)
+        if last < 0:
+            raise ValueError("the rank table lacks a single byte")
+        lasts += (last,)
+        emitted: tuple[int, ...] = ()
+        if not going or going[0] > 0:
+            # What the paths of all ends share, from which a later token can still start, is certain.
+            ends = [*going, n]
+            while len(ends) > 1:
+                end = ends.pop()
+                end -= len(self.tokens[lasts[end - 1]])
+                if end not in ends:
+                    bisect.insort(ends, end)
+            start = ends[0]
+            if start:
+                path = self._path(lasts, start)
+                emitted, certain = tuple(path), path[-1]
+                data, lasts, going = data[start:], lasts[start:], [p - start for p in going]
         key = (certain, data)
         number = self.number.get(key)
         if number is None:
-            number = len(self.nodes)
-            self.number[key] = number
-            self.nodes.append((certain, data, lasts))
-            self.steps.append({})
-            self.ends.append(None)
-        out = (number, tuple(emitted))
-        self.steps[state][byte] = out
+            number = self._adopt((certain, data, lasts, tuple(going)))
+        out = (number, emitted)
+        self.moves[state << 8 | byte] = out
         return out
 
+    def _adopt(self, node: tuple[int, bytes, tuple[int, ...], tuple[int, ...]]) -> int:
+        number = len(self.nodes)
+        self.number[node[:2]] = number
+        self.nodes.append(node)
+        self.ends.append(None)
+        return number
+
     def encode(self, data: bytes) -> list[int]:
         if len(self.nodes) > MAX_STATES:
             self._restart()
         out: list[int] = []
-        state, steps = 0, self.steps
+        state, move = 0, self.moves.get
         for byte in data:
-            step = steps[state].get(byte) or self._step(state, byte)
+            step = move(state << 8 | byte) or self._step(state, byte)
             state = step[0]
             if step[1]:
                 out.extend(step[1])
                 if len(self.nodes) > 4 * MAX_STATES:  # one very long word alone: keep its place only
                     node = self.nodes[state]
                     self._restart()
-                    steps, state = self.steps, self._adopt(node)
+                    move, state = self.moves.get, self._adopt(node)
         tail = self.ends[state]
         if tail is None:
             lasts = self.nodes[state][2]
-            tail = self.ends[state] = tuple(lasts[end - 1] for end in self._path(lasts, len(lasts)))
+            tail = self.ends[state] = tuple(self._path(lasts, len(lasts)))
         out.extend(tail)
         return out
 
-    def _adopt(self, node: tuple[int, bytes, tuple[int, ...]]) -> int:
-        self.number[node[:2]] = len(self.nodes)
-        self.nodes.append(node)
-        self.steps.append({})
-        self.ends.append(None)
-        return len(self.nodes) - 1
-
 
 class _Words(dict):
-    """Encoded pre-tokens as little-endian unsigned 32-bit ids, made when first asked for."""
+    """Encoded pre-tokens as little-endian unsigned 32-bit ids, made when first asked for.
+
+    When MAX_WORDS have come in, they become the older generation and the one before is
+    dropped; a word met again moves up, so frequent words stay.
+    """
 
     def __init__(self, machine: Transducer):
         super().__init__()
         self.machine = machine
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.machine.encode(word.encode())
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.get(word)
+        if out is None:
+            ids = self.machine.encode(word.encode())
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:  # longer ones hardly come again, and the bound is a count
             if len(self) >= MAX_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
@@ -325,6 +330,13 @@ def tokenize(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
+        gc.disable()  # the tables hold millions of small objects and no cycles
+        try:
+            yield from encoded(tool, batches)
+        finally:
+            gc.enable()
+
+    def encoded(tool: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, ids_sha, text_sha, all_ids = [], [], [], []
             for value in batch.column(1):
