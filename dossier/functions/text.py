@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CJK = r"[\u4e00-\u9fff]"
 #: Java's white space even with (?U) lacks the separators U+001C to U+001F.
@@ -70,7 +71,7 @@ def normalized_name(value: Column | str) -> Column:
     return F.regexp_replace(F.lower(norm_evidence(value)), r"[^a-z0-9\u4e00-\u9fff]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.text import first_year, is_publication, normalize_doi, normalized_title, split_entries
-from dossier.operators.graph import components, cut
+from dossier.operators.graph import components, cut, ship
 
 # Which source's record stands for a work, and how alike titles must be.
 PRIORITY = {"official": 4, "openalex": 3, "zbmath": 2, "arxiv": 1}
@@ -59,6 +59,7 @@ def fuzzy_works(records: DataFrame) -> DataFrame:
     Candidate groups are components over shared DOI, arXiv id, source id, title key or
     author, outside which no two records can be the same work; the ordered fold runs in each.
     """
+    ship(records.sparkSession)
     own = records.withColumns(
         {
             "title_key": normalized_title(F.col("title")),

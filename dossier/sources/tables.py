@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from dossier.operators.graph import ship
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels")
 
@@ -103,6 +104,8 @@ class _Page(HTMLParser):
 def parse_html(html: Column) -> Column:
     """``struct<text, links array<struct<href, text>>>`` of a page; broken markup is read as far as it goes."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("text string, links array<struct<href string, text string>>")
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in pages:
