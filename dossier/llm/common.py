@@ -1,58 +1,15 @@
-"""Helpers shared by the training-data operators: storage, Python shipping, graph components."""
+"""Helpers shared by the training-data operators; storage and graph steps are the library's own."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO_ROOT = str(Path(__file__).resolve().parents[2])
+from dossier.operators.graph import components, cut, scratch_path, shared_dir, ship
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the session names none (tests, a laptop) a temporary folder becomes the
-    checkpoint folder of this application.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="dossier-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: its lineage ends there.
-
-    A written table survives the loss of any executor, and unlike a block-manager
-    copy it can be read by all of them.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the repository when the driver does."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if REPO_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([p for p in (REPO_ROOT, *paths) if p])
+__all__ = ["components", "cut", "normal_words", "read_table", "scratch_path", "shared_dir", "ship"]
 
 
 def normal_words(text: Column) -> Column:
@@ -61,53 +18,6 @@ def normal_words(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the smallest of its neighbourhood."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
-        edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    )
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the smallest of them (edges hold a > b)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-
-
-def _digest(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], int(row["h"] or 0)
-
-
-def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """Connected components of an undirected graph: ``(node, root)``, root the smallest node.
-
-    Alternating large-star and small-star steps (Kiveris et al. 2014), which need a
-    number of rounds in the logarithm of the graph's size.  Every step is a map-side
-    combined minimum and an equi-join that adaptive execution can split, so a hub with
-    a third of all edges does not meet in one task.  Each round ends in a table in the
-    shared folder.  Roots appear as nodes; loops and repeated edges are ignored; an
-    edge with a null end is dropped; an empty input gives an empty result.
-    """
-    a, b = F.col(left), F.col(right)
-    now = cut(
-        edges.filter(a.isNotNull() & b.isNotNull() & (a != b))
-        .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .distinct()
-    )
-    before = None
-    seen = _digest(now)
-    while seen != before:
-        before = seen
-        now = cut(_small_star(_large_star(now)))
-        seen = _digest(now)
-    rooted = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return rooted.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
