@@ -35,8 +35,13 @@ def _query(query: Column, dropped: Sequence[str]) -> Column:
         return F.struct(text(key).alias("k"), text(value).alias("v"))
 
     pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
-    for prefix in dropped:
-        pairs = F.filter(pairs, lambda p, prefix=prefix: ~F.startswith(F.lower(p["k"]), F.lit(prefix)))
+    def kept(pair_: Column) -> Column:
+        out = F.lit(True)
+        for prefix in dropped:
+            out = out & ~F.startswith(F.lower(pair_["k"]), F.lit(prefix))
+        return out
+
+    pairs = F.filter(pairs, kept)
     quoted = F.transform(F.array_sort(pairs), lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"])))
     return F.array_join(quoted, "&")
 

@@ -26,12 +26,12 @@ def keep(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFra
 
 def duplicated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows of the groups that have more than one, repeated keys counted before the join."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    same = [df[k].eqNullSafe(counts[k]) for k in keys]
-    on = same[0]
-    for more in same[1:]:
-        on = on & more
-    return df.join(counts, on).select(*[df[c] for c in df.columns], "group_size")
+    named = {k: f"__{k}" for k in keys}
+    counts = df.groupBy(*[F.col(k).alias(n) for k, n in named.items()]).agg(F.count(F.lit(1)).alias("group_size"))
+    on = F.lit(True)
+    for k, n in named.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return df.join(counts.filter("group_size > 1"), on).drop(*named.values())
 
 
 def greedy_groups(rows: DataFrame, order_col: str, keys_col: str) -> DataFrame:

@@ -146,17 +146,16 @@ def score(text: Column, profile: Profile, max_terms: int = 4) -> Column:
     n = len(profile.alias_groups)
     if n:
 
+        def pick(found: Column, g: int) -> Column:
+            own = F.filter(found, lambda x: x["ord"] == g)
+            keyed = F.transform(
+                own, lambda x: F.struct(x["neg"].alias("neg"), x["len"].alias("len"), x["place"].alias("place"), x.alias("x"))
+            )
+            return F.array_min(keyed)["x"]
+
         def picks(found: Column) -> Column:
-            best = [
-                F.array_min(
-                    F.transform(
-                        F.filter(found, lambda x, g=g: x["ord"] == g),
-                        lambda x: F.struct(x["neg"].alias("neg"), x["len"].alias("len"), x["place"].alias("place"), x.alias("x")),
-                    )
-                )["x"]
-                for g in range(n)
-            ]
-            return F.concat(F.array_compact(F.array(*best)), F.filter(found, lambda x: x["ord"] >= n))
+            best = F.array_compact(F.array(*[pick(found, g) for g in range(n)]))
+            return F.concat(best, F.filter(found, lambda x: x["ord"] >= n))
 
         entries = F.get(F.transform(F.array(entries), picks), F.lit(0))
 
