@@ -18,12 +18,11 @@ holds them back until the next piece.
 from __future__ import annotations
 
 import base64
-import bisect
 import functools
 import gc
 import hashlib
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,8 @@ from dossier.llm.common import ship
 #: Bounds on what a worker keeps; a full table is dropped and filled again.
 MAX_STATES = 300_000
 MAX_WORDS = 400_000
+#: Rest of a word that is read without making states for it.
+SHORT = 64
 #: Ids decoded at a time.
 PIECE = 1 << 16
 
@@ -52,8 +53,12 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        #: What a token can begin with and yet go on.
-        self.openings = {token[:k] for token in ranks for k in range(1, len(token))}
+        #: Every token and every beginning of one: its rank or -1, and whether a token goes on from it.
+        self.known: dict[bytes, tuple[int, bool]] = {token: (rank, False) for token, rank in ranks.items()}
+        for token in ranks:
+            for k in range(1, len(token)):
+                self.known[token[:k]] = (ranks.get(token[:k], -1), True)
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
         self.fits: dict[int, bool] = {}
         self._restart()
 
@@ -99,54 +104,70 @@ class Transducer:
             known = self.fits[token | 1 << 62] = self.merge(self.tokens[token]) == [token]
         return known
 
-    def _path(self, lasts: tuple[int, ...], end: int) -> list[int]:
+    def _path(self, lasts: Sequence[int], end: int) -> list[int]:
         """The tokens on the way to ``end``, in order."""
         out = []
         while end > 0:
             token = lasts[end - 1]
             out.append(token)
-            end -= len(self.tokens[token])
+            end -= self.lengths[token]
         return out[::-1]
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        certain, data, lasts, alive = self.nodes[state]
-        data += bytes((byte,))
-        n = len(data)
-        last, going = -1, []
+    def _read(self, data: bytes, n: int, certain: int, lasts: Sequence[int], alive: Sequence[int]) -> tuple[int, list[int]]:
+        """The last token of the first ``n`` bytes, and the places from which they begin a token that goes on."""
+        last, going, known = -1, [], self.known
         # A token ending here starts where the bytes read so far could begin one; longest first.
         for start in (*alive, n - 1):
-            piece = data[start:]
-            if last < 0:
-                token = self.ranks.get(piece, -1)
-                if token >= 0:
-                    before = lasts[start - 1] if start else certain
-                    if self.stands(before, token) if before >= 0 else self._alone(token):
-                        last = token
-            if piece in self.openings:
+            found = known.get(data[start:n])
+            if found is None:
+                continue
+            token, more = found
+            if last < 0 <= token:
+                before = lasts[start - 1] if start else certain
+                fit = self.fits.get(before << 32 | token) if before >= 0 else self._alone(token)
+                if fit or (fit is None and self.stands(before, token)):
+                    last = token
+            if more:
                 going.append(start)
         if last < 0:
             raise ValueError("the rank table lacks a single byte")
+        return last, going
+
+    def _finish(self, state: int, rest: bytes) -> list[int]:
+        """The tokens of a state's bytes and a short rest, without making further states."""
+        certain, data, lasts, alive = self.nodes[state]
+        whole, lasts = data + rest, list(lasts)
+        for n in range(len(data) + 1, len(whole) + 1):
+            last, alive = self._read(whole, n, certain, lasts, alive)
+            lasts.append(last)
+        return self._path(lasts, len(lasts))
+
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        certain, data, lasts, alive = self.nodes[state]
+        data += bytes((byte,))
+        n = len(data)
+        last, going = self._read(data, n, certain, lasts, alive)
         lasts += (last,)
         emitted: tuple[int, ...] = ()
-        if not going or going[0] > 0:
+        if not going:  # nothing read so far can begin a token: all of it is certain
+            emitted = tuple(self._path(lasts, n))
+            certain, data, lasts = last, b"", ()
+        elif going[0]:
             # What the paths of all ends share, from which a later token can still start, is certain.
-            ends = [*going, n]
+            ends, lengths = {*going, n}, self.lengths
             while len(ends) > 1:
-                end = ends.pop()
-                end -= len(self.tokens[lasts[end - 1]])
-                if end not in ends:
-                    bisect.insort(ends, end)
-            start = ends[0]
+                end = max(ends)
+                ends.remove(end)
+                ends.add(end - lengths[lasts[end - 1]])
+            start = ends.pop()
             if start:
-                path = self._path(lasts, start)
-                emitted, certain = tuple(path), path[-1]
-                data, lasts, going = data[start:], lasts[start:], [p - start for p in going]
+                emitted = tuple(self._path(lasts, start))
+                certain, data, lasts, going = emitted[-1], data[start:], lasts[start:], [p - start for p in going]
         key = (certain, data)
         number = self.number.get(key)
         if number is None:
             number = self._adopt((certain, data, lasts, tuple(going)))
-        out = (number, emitted)
-        self.moves[state << 8 | byte] = out
+        out = self.moves[state << 8 | byte] = (number, emitted)
         return out
 
     def _adopt(self, node: tuple[int, bytes, tuple[int, ...], tuple[int, ...]]) -> int:
@@ -161,15 +182,23 @@ class Transducer:
             self._restart()
         out: list[int] = []
         state, move = 0, self.moves.get
-        for byte in data:
-            step = move(state << 8 | byte) or self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out.extend(step[1])
+        for at, byte in enumerate(data):
+            step = move(state << 8 | byte)
+            if step is None:
+                state, emitted = self._step(state, byte)
+                out.extend(emitted)
+                if len(data) - at <= SHORT:
+                    # A word adds one transition; those that come often are determinised in full.
+                    out.extend(self._finish(state, data[at + 1 :]))
+                    return out
                 if len(self.nodes) > 4 * MAX_STATES:  # one very long word alone: keep its place only
                     node = self.nodes[state]
                     self._restart()
                     move, state = self.moves.get, self._adopt(node)
+            else:
+                state = step[0]
+                if step[1]:
+                    out.extend(step[1])
         tail = self.ends[state]
         if tail is None:
             lasts = self.nodes[state][2]
