@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import ship
 
-#: Bounds on what a worker keeps; a full table is dropped and filled again.
+#: Bounds on what a worker keeps, about 500 MB in all; a full table is dropped and filled again.
+#: Smaller ones cost time: with a third of each, half as much memory and a third more time.
 MAX_STATES = 300_000
 MAX_WORDS = 400_000
 #: Rest of a word that is read without making states for it.
@@ -50,8 +51,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes byte strings with the merges that a rank table defines."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks = ranks
+        self.max_states = max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
         #: Every token and every beginning of one: its rank or -1, and whether a token goes on from it.
         self.known: dict[bytes, tuple[int, bool]] = {token: (rank, False) for token, rank in ranks.items()}
@@ -91,7 +93,7 @@ class Transducer:
         pair = left << 32 | right
         known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) >= MAX_STATES:
+            if len(self.fits) >= self.max_states:
                 self.fits.clear()
             known = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
             self.fits[pair] = known
@@ -178,7 +180,7 @@ class Transducer:
         return number
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.nodes) > MAX_STATES:
+        if len(self.nodes) > self.max_states:
             self._restart()
         out: list[int] = []
         state, move = 0, self.moves.get
@@ -191,7 +193,7 @@ class Transducer:
                     # A word adds one transition; those that come often are determinised in full.
                     out.extend(self._finish(state, data[at + 1 :]))
                     return out
-                if len(self.nodes) > 4 * MAX_STATES:  # one very long word alone: keep its place only
+                if len(self.nodes) > 4 * self.max_states:  # one very long word alone: keep its place only
                     node = self.nodes[state]
                     self._restart()
                     move, state = self.moves.get, self._adopt(node)
@@ -210,13 +212,14 @@ class Transducer:
 class _Words(dict):
     """Encoded pre-tokens as little-endian unsigned 32-bit ids, made when first asked for.
 
-    When MAX_WORDS have come in, they become the older generation and the one before is
+    When ``most`` have come in, they become the older generation and the one before is
     dropped; a word met again moves up, so frequent words stay.
     """
 
-    def __init__(self, machine: Transducer):
+    def __init__(self, machine: Transducer, most: int = MAX_WORDS):
         super().__init__()
         self.machine = machine
+        self.most = most
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
@@ -225,7 +228,7 @@ class _Words(dict):
             ids = self.machine.encode(word.encode())
             out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:  # longer ones hardly come again, and the bound is a count
-            if len(self) >= MAX_WORDS:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[word] = out
@@ -297,9 +300,9 @@ class StreamDecoder:
 class Codec:
     """A vocabulary ready for use: pattern, transducer and decoder tables."""
 
-    def __init__(self, path: str, pattern: str):
-        self.machine = Transducer(load_ranks(path))
-        self.words = _Words(self.machine)
+    def __init__(self, path: str, pattern: str, max_words: int = MAX_WORDS, max_states: int = MAX_STATES):
+        self.machine = Transducer(load_ranks(path), max_states)
+        self.words = _Words(self.machine, max_words)
         self.split = regex.compile(pattern).findall
         top = max(self.machine.tokens, default=-1) + 1
         self.by_id = [self.machine.tokens.get(i, b"") for i in range(top)]
@@ -331,9 +334,9 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, max_words: int = MAX_WORDS, max_states: int = MAX_STATES) -> Codec:
     """One codec per worker process and vocabulary."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, max_words, max_states)
 
 
 def _sha256(parts: Iterable[bytes]) -> str:
@@ -344,7 +347,14 @@ def _sha256(parts: Iterable[bytes]) -> str:
 
 
 def tokenize(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep_ids: bool = False,
+    max_words: int = MAX_WORDS,
+    max_states: int = MAX_STATES,
 ) -> DataFrame:
     """Per row: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if wanted, ``ids``.
 
@@ -358,7 +368,7 @@ def tokenize(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path, pattern)
+        tool = codec(path, pattern, max_words, max_states)
         gc.disable()  # the tables hold millions of small objects and no cycles
         try:
             yield from encoded(tool, batches)
