@@ -43,7 +43,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.tokenize(docs, path, public_tokenizers.PATTERN, keep_ids=True)
+    # Workers are shared with the other stages, so the tables kept are smaller here.
+    return byte_bpe.tokenize(docs, path, public_tokenizers.PATTERN, keep_ids=True, max_words=130_000, max_states=100_000)
 
 
 STAGES = [
