@@ -118,7 +118,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """One row per document and benchmark item that it holds.
 
     Columns: ``doc_id``, ``item_id``, ``similarity`` of the best window, ``start_word`` (the
-    first such window, in words from 0), ``bits`` (its Hamming distance).  Items of equal
+    first such window among those that lie where an item shingle occurs, in words from 0), ``bits`` (its Hamming distance).  Items of equal
     words each get a row.  Null and wordless texts match nothing; repeated rows add nothing;
     rows with a null doc_id come out under null; extra columns are ignored; either table may
     be empty.  A document shorter than the item is compared as a whole.
