@@ -52,7 +52,9 @@ def read_log(spark: SparkSession, path: str, schema: StructType, key: str, seq:
     """An append log of JSON lines: the last line of each key, and the lines that don't parse."""
     bad = "_corrupt_record"
     wide = StructType(list(schema.fields)).add(bad, "string")
-    lines = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
+    raw = spark.read.text(path).filter(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    lines = raw.select(F.from_json("value", wide, options).alias("r")).select("r.*")
     good = lines.filter(F.col(bad).isNull() & F.col(key).isNotNull()).drop(bad)
     rest = [c for c in good.columns if c not in (key, seq)]
     last = good.groupBy(key).agg(F.max(F.struct(seq, *rest)).alias("t")).select(key, *[f"t.{c}" for c in (seq, *rest)])
