@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 CJK = r"[\u4e00-\u9fff]"
-#: Java's white space even with (?U) lacks the separators U+001C to U+001F.
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: All white space there is, spelled out: Java's own class is ASCII, and its Unicode mode is slow
+#: and lacks the separators U+001C to U+001F.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 # The patterns by which publication records are told from other lines.
 DOI = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"
@@ -40,10 +42,17 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, expression: Callable[[Column], Column]) -> Column:
+    """``expression`` of a value that is worked out once, however often it is named.
+
+    Filters and generators would else repeat the value wherever it stands.
+    """
+    return F.get(F.transform(F.array(value), expression), F.lit(0))
+
+
 def collapse(value: Column | str) -> Column:
     """White space of any kind to single blanks, none at the ends; null to empty."""
-    plain = F.translate(F.coalesce(_col(value), F.lit("")), "\u3000\u00a0", "  ")
-    return F.trim(F.regexp_replace(plain, SPACE, " "))
+    return F.trim(F.regexp_replace(F.coalesce(_col(value), F.lit("")), SPACE, " "))
 
 
 def norm_text(value: Column | str) -> Column:
@@ -130,16 +139,19 @@ def split_entries(value: Column | str) -> Column:
 
 def is_publication(value: Column | str) -> Column:
     """Whether a line reads like a publication record and not like a career note, project or award."""
-    text = norm_evidence(value)
 
-    def has(pattern: str) -> Column:
-        return F.rlike(text, F.lit(pattern))
+    def judge(text: Column) -> Column:
+        def has(pattern: str) -> Column:
+            return F.rlike(text, F.lit(pattern))
+
+        identified = has(DOI) | has(ARXIV)
+        latin = F.size(F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z'-]{2,}"), F.lit(0))) >= 4
+        quoted = F.contains(text, F.lit("《")) & F.contains(text, F.lit("》"))
+        # Nearly all lines lack a year, so that is asked first.
+        plain = has(YEAR) & ~(has(CAREER) | has(PROJECT) | has(AWARD)) & (has(SIGNAL) | quoted | (latin & has(r"[.,;:()]")))
+        return (F.length(text) >= 12) & (plain | identified)
 
-    identified = has(DOI) | has(ARXIV)
-    latin = F.size(F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z'-]{2,}"), F.lit(0))) >= 4
-    quoted = F.contains(text, F.lit("《")) & F.contains(text, F.lit("》"))
-    plain = has(YEAR) & (has(SIGNAL) | quoted | (latin & has(r"[.,;:()]")))
-    return (F.length(text) >= 12) & (identified | (~(has(CAREER) | has(PROJECT) | has(AWARD)) & plain))
+    return let(norm_evidence(value), judge)
 
 
 def cut_at(value: Column, markers: list[str]) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.text import CJK, norm_text
+from dossier.functions.text import CJK, let, norm_text
 
 #: Most keywords of a profile.
 MAX_KEYWORDS = 2_000
@@ -91,16 +91,17 @@ def keyword_in(keyword: str, lowered: Column) -> Column:
     if is_cjk(own):
         return F.contains(lowered, F.lit(own))
     matches = F.rlike(lowered, F.lit(keyword_pattern(own)))
-    if own in SPECIAL or " " in own:  # a plain word is looked for before the pattern runs
+    if own in SPECIAL:
         return matches
-    return F.contains(lowered, F.lit(own)) & matches
+    # A plain search goes before the pattern; of a phrase it looks for the longest word.
+    return F.contains(lowered, F.lit(max(own.split(), key=len))) & matches
 
 
 def matched_terms(lowered: Column, terms: Sequence[str]) -> Column:
     """The terms found, in the order given."""
     if not terms:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(keyword_in(t, lowered), F.lit(t)) for t in terms]))
+    return let(lowered, lambda x: F.array_compact(F.array(*[F.when(keyword_in(t, x), F.lit(t)) for t in terms])))
 
 
 def _entries(lowered: Column, profile: Profile) -> Column:
@@ -142,7 +143,7 @@ def score(text: Column, profile: Profile, max_terms: int = 4) -> Column:
     a keyword within a longer one doesn't count; at most ``max_terms`` count, longest first.
     """
     lowered = F.lower(norm_text(text))
-    entries = _entries(lowered, profile)
+    entries = let(lowered, lambda x: _entries(x, profile))
     n = len(profile.alias_groups)
     if n:
 
@@ -214,7 +215,11 @@ def relevance_labels(text: Column, rules: Mapping[str, Sequence[str]], title: Co
             out = out | keyword_in(term, of)
         return out
 
-    labels = [F.when(holds(lowered, terms), F.lit(name)) for name, terms in rules.items()]
+    def found(own: Column) -> Column:
+        return F.array(*[F.when(holds(own, terms), F.lit(name)) for name, terms in rules.items()])
+
+    labels = let(lowered, found)
     if title is not None:
-        labels.append(F.when(~holds(F.lower(norm_text(title)), keywords), F.lit("uncertain")))
-    return F.array_compact(F.array(*labels))
+        sure = let(F.lower(norm_text(title)), lambda own: holds(own, keywords))
+        labels = F.concat(labels, F.array(F.when(~sure, F.lit("uncertain"))))
+    return F.array_compact(labels)

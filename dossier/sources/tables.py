@@ -67,7 +67,7 @@ def read_store(spark: SparkSession, path: str, entry: str) -> DataFrame:
     ``entry`` is the DDL of an entry.  A document that doesn't parse is an error, never an
     empty store.
     """
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     parsed = raw.select(
         F.from_json("value", f"struct<version:int,statuses:map<string,struct<{entry}>>>", {"mode": "FAILFAST"}).alias("s")
     )
