@@ -114,6 +114,11 @@ def _keep(direction: str) -> str:
       SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {order}) r FROM lineitem) WHERE r = 1"""
 
 
+def _cut(line: str) -> str:
+    """Marks places before entry numbers; twice, as neighbours share the blank between them."""
+    return rf"regexp_replace({line}, '(^|\s)(\d{{1,2}}[、.)）]\s)', '\1' || chr(1) || '\2', 'g')"
+
+
 _MATCHES = " UNION ALL ".join(
     f"SELECT doc_id, '{w}' AS keyword FROM d WHERE regexp_matches(t, '{_bounded(w)}')" for w in WORDS
 )
@@ -155,6 +160,9 @@ ORACLE_SQL = {
       FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages))""",
     "publication_gate": rf"""WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
       n AS (SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS t FROM l) SELECT doc_id, line_no, line FROM n WHERE {PUBLICATION}""",
+    "split_entries": rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))), lambda v: v <> '') AS ls FROM documents),
+      p AS (SELECT doc_id, list_filter(flatten(list_transform(ls, lambda v: list_transform(string_split({_cut(_cut("v"))}, chr(1)), lambda x: trim(x)))), lambda v: v <> '') AS e FROM l)
+      SELECT doc_id, len(e) AS n_entries, md5(array_to_string(e, chr(10))) AS entries_md5 FROM p""",
     "dedup_keep_last": _keep("DESC"),
     "dedup_keep_first": _keep("ASC"),
     "exact_canonical_works": """SELECT md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS work_key, min(doc_id) AS first_record, count(*) AS n_records,
@@ -213,6 +221,13 @@ ORACLE_SQL = {
       WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)""",
     "source_report": """SELECT source, raw, accepted, greatest(0, raw - accepted) AS rejected, CASE WHEN accepted = 0 THEN 'empty' WHEN accepted * 2 < raw THEN 'poor' ELSE 'good' END AS health
       FROM (SELECT source, count(*) AS raw, count(*) FILTER (n_chars >= 200) AS accepted FROM documents GROUP BY 1)""",
+    "web_search_gate": EVIDENCE + """SELECT c_custkey, n_orders, n_events FROM ev WHERE c_custkey % 11 <> 0 AND (
+      (c_acctbal > 5000 AND (n_orders + n_events <= 1 OR n_events = 0))
+      OR (c_acctbal < 2000 AND c_acctbal / 100 BETWEEN 10 AND 45 AND c_mktsegment = 'BUILDING')
+      OR (c_custkey % 3 <> 0 AND c_acctbal / 100 >= 10 AND c_mktsegment = 'BUILDING'))""",
+    "confidence_levels": """SELECT page_id, CASE WHEN (contains(url, 'example.org') AND (page_id % 2 = 0 OR page_id % 3 = 0)) OR page_id % 6 = 0 THEN '高'
+      WHEN (contains(url, '//blog.') OR contains(url, '//m.')) AND (page_id % 2 = 0 OR page_id % 3 = 0) THEN '中'
+      WHEN page_id % 2 = 0 OR page_id % 3 = 0 THEN '低' ELSE '' END AS confidence FROM pages""",
     "top_venues": """SELECT l_suppkey, l_partkey, n, place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_partkey) AS place
       FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)) WHERE place <= 10""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import dates, identity, text
-from dossier.operators import audit, authors, contact, dashboard, dedup, ranking, scoring, works
+from dossier.operators import audit, authors, contact, dashboard, dedup, evidence, ranking, scoring, works
 from dossier.sources.tables import parse_html, table
 
 # The demonstration profile: names of parts play the part of research directions.
@@ -421,6 +421,24 @@ def top_venues(spark: SparkSession, d: str) -> DataFrame:
     return per.withColumn("place", F.row_number().over(order)).filter("place <= 10").select("l_suppkey", "l_partkey", "n", F.col("place").cast("long").alias("place"))
 
 
+def web_search_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose evidence is thin: orders and events stand for counts, the balance for a score."""
+    score = F.col("c_acctbal") / 100
+    wanted = evidence.wants_web_search(
+        F.col("c_custkey") % 11 == 0, F.when(F.col("c_acctbal") > 5000, "是").otherwise("否"), F.col("c_acctbal") < 2000, score,
+        [F.col("n_orders")], F.col("n_events"), F.when(F.col("c_custkey") % 3 == 0, "http://x").otherwise(""), F.col("c_mktsegment") == "BUILDING",
+    )
+    return _evidence(spark, d).filter(wanted).select("c_custkey", "n_orders", "n_events")
+
+
+def confidence_levels(spark: SparkSession, d: str) -> DataFrame:
+    host = identity.normalize_url(F.col("url"))
+    level = evidence.web_confidence(
+        host.contains("example.org"), host.contains("//blog."), host.contains("//m."), F.col("page_id") % 2 == 0, F.col("page_id") % 3 == 0
+    )
+    return table(spark, d, "pages").select("page_id", level.alias("confidence"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -431,6 +449,6 @@ QUERIES = {
         best_candidate_margin, contact_overlay, contact_upsert, detail_fallback_join, progress_rollup, calendar_28d,
         weekly_events, response_counts, response_priority, missing_date, range_overlap, shadow_audit, audit_violations,
         duplicate_group_rows, checkpoint_coverage, row_fingerprints, hash_sample, holdout_sample, agreement_metrics,
-        union_by_name, affiliation_flatmap, ordinal_renumber, json_props, record_navigation, source_report, top_venues,
+        union_by_name, affiliation_flatmap, ordinal_renumber, json_props, record_navigation, source_report, top_venues, web_search_gate, confidence_levels,
     )
 }

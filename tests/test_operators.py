@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from dossier.functions import dates, identity, text
-from dossier.operators import audit, authors, contact, dashboard, dedup, ranking, scoring, works
+from dossier.operators import audit, authors, contact, dashboard, dedup, evidence, ranking, scoring, works
 from dossier.sources import tables
 from dossier.streaming import incremental
 
@@ -246,3 +246,18 @@ def test_stream_keeps_the_last_entry(spark, tmp_path):
 
     assert run("1.json", ("a", 1, "x", False), ("b", 2, "y", False)) == [("a", "x"), ("b", "y")]
     assert run("2.json", ("a", 5, "z", False), ("b", 6, None, True)) == [("a", "z")]
+
+
+def test_evidence(spark):
+    link = evidence.unwrap_redirect(F.col("u"))
+    assert one(spark, link, u="https://bing.com/ck/a?u=a1aHR0cHM6Ly9hLmVkdS94&p=1") == "https://a.edu/x"
+    assert one(spark, link, u="https://duckduckgo.com/l/?uddg=https%3A%2F%2Fa.edu%2Fy&rut=1") == "https://a.edu/y"
+    assert one(spark, link, u="https://a.edu") == "https://a.edu"
+    kind = evidence.response_class(F.col("s"), F.col("c"), F.col("b"))
+    cases = [(503, "", "", "retry"), (404, "", "", "request_failed"), (200, "text/html", "Accept the terms", "terms_required"),
+             (200, "", " <!DOCTYPE html>", "schema_changed"), (200, "application/json", "{}", "ok")]
+    assert all(one(spark, kind, s=s, c=c, b=b) == want for s, c, b, want in cases)
+    assert one(spark, evidence.first_number(F.col("a"), F.col("b")), a="", b="3") == 3.0
+    assert one(spark, evidence.best_confidence(F.array(F.col("a"), F.col("b"))), a="低", b="中") == "中"
+    entries = F.array(F.struct(F.lit("2024").alias("date"), F.lit("T").alias("title"), F.lit("math").alias("classes"), F.lit("u").alias("link")))
+    assert one(spark, evidence.entries_text(entries)) == "[2024] T (math) u"
