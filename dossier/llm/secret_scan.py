@@ -184,14 +184,12 @@ def scan(
     spans; rows are kept one to one whatever they repeat; a column named ``out`` is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    gates = (ASSIGN, r"AKIA[A-Z0-9]{14}", r"[0-9a-f]{16}")
+    # Runs are maximal, so for whole matches the least length can stand inside the pattern.
+    searched = (ASSIGN, r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}")
     parts = [
-        _spans(text, pattern, group, least, k, kind, gate)
-        for k, ((kind, pattern, group, least), gate) in enumerate(zip(BASE, gates, strict=True))
+        _spans(text, pattern, group, least, k, kind, pattern)
+        for k, ((kind, _, group, least), pattern) in enumerate(zip(BASE, searched, strict=True))
     ]
-    # Maximal runs that are long enough are the same with the bound inside the pattern.
-    parts[1] = _spans(text, r"AKIA[A-Z0-9]{14,}", 0, 18, 1, "access", gates[1])
-    parts[2] = _spans(text, r"[0-9a-f]{16,}", 0, 16, 2, "hex", gates[2])
     parts += [_entropy_spans(text, cls, len(BASE) + i, allow) for i, cls in enumerate(classes)]
     return docs.withColumn(out, F.array_sort(F.concat(*parts)))
 
