@@ -159,14 +159,12 @@ def test_greedy_groups(spark):
 
 
 def test_works(spark):
-    base = {"source_id": "", "arxiv_id": "", "is_preprint": False}
     rows = [
         (1, "arxiv", "", "", "2401.00001", "Robust estimation of large networks", 2024, ["A Li"], True),
         (2, "zbmath", "z1", "10.1000/robust.1", "", "Robust estimation of large networks.", 2025, ["A Li", "B Wu"], False),
         (3, "openalex", "", "", "", "Robust estimation of large networkz", 2025, ["C Xu"], False),
         (4, "openalex", "", "10.1000/ROBUST.1".lower(), "", "Other title", 2020, None, False),
     ]
-    assert base
     df = spark.createDataFrame(rows, "record_id long, source string, source_id string, doi string, arxiv_id string, title string, year int, authors array<string>, is_preprint boolean")
     groups = works.fuzzy_works(df)
     assert {r.record_id: r.work_id for r in groups.collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
