@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dossier.functions import extract
 from dossier.plans.queries import PROFILE, SEED, WORDS
 
 
@@ -114,6 +115,13 @@ def _keep(direction: str) -> str:
       SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {order}) r FROM lineitem) WHERE r = 1"""
 
 
+def _host_key(url: str) -> str:
+    return (
+        rf"regexp_replace(regexp_extract(lower(trim({url})), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), '^www\.', '')"
+        rf" || regexp_replace(regexp_extract(lower(trim({url})), '^(?:[a-z][a-z0-9+.-]*:)?(?://[^/?#]*)?([^?#;]*)', 1), '/+$', '')"
+    )
+
+
 def _cut(line: str) -> str:
     """Marks places before entry numbers; twice, as neighbours share the blank between them."""
     return rf"regexp_replace({line}, '(^|\s)(\d{{1,2}}[、.)）]\s)', '\1' || chr(1) || '\2', 'g')"
@@ -230,4 +238,43 @@ ORACLE_SQL = {
       WHEN page_id % 2 = 0 OR page_id % 3 = 0 THEN '低' ELSE '' END AS confidence FROM pages""",
     "top_venues": """SELECT l_suppkey, l_partkey, n, place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_partkey) AS place
       FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)) WHERE place <= 10""",
+    "phone_extract": rf"""SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(generate_series(1, len(l)), lambda i: {{'i': i, 'v': l[i]}}),
+        lambda x: list_position(l, x.v) = x.i), lambda x: x.v), '; ') AS phones
+      FROM (SELECT doc_id, regexp_extract_all(text, '{extract.PHONE}')[1:3] AS l FROM documents)""",
+    "link_extract": rf"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{extract.LINK}') AS l FROM documents),
+      u AS (SELECT doc_id, unnest(l) AS link, generate_subscripts(l, 1) AS i FROM l),
+      f AS (SELECT doc_id, link, min(i) AS i FROM u GROUP BY 1, 2)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place, link FROM f""",
+    "host_keys": rf"SELECT page_id, {_host_key('url')} AS host_key FROM pages",
+    "homepage_overlap": rf"""WITH k AS (SELECT page_id, {_host_key('url')} AS a, list_filter(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1),
+        lambda u: {_host_key('u')}), lambda v: v <> '') AS bs FROM pages)
+      SELECT page_id, a <> '' AND len(list_filter(bs, lambda b: contains(a, b) OR contains(b, a))) > 0 AS overlaps FROM k""",
+    "label_values": rf"""WITH t AS (SELECT conv_id, turn, {NORM} AS t FROM conversations),
+      c AS (SELECT *, CASE WHEN contains(t, '：') THEN strpos(t, '：') ELSE strpos(t, ':') END AS p FROM t)
+      SELECT conv_id, turn, CASE WHEN p > 0 THEN replace(left(t, p - 1), ' ', '') ELSE '' END AS label,
+        md5(CASE WHEN p > 0 THEN trim(substr(t, p + 1)) ELSE t END) AS value_md5 FROM c""",
+    "text_snippets": r"""WITH l AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))),
+        lambda v: length(v) >= 25 AND regexp_matches(v, '(^|\D)(19|20)\d{2}(\D|$)|(?i:licen[sc]e)'))[1:18], lambda v: left(v, 500)) AS s FROM documents)
+      SELECT doc_id, len(s) AS n_snippets, md5(array_to_string(s, chr(10))) AS snippets_md5 FROM l""",
+    "pattern_keywords": r"""WITH l AS (SELECT doc_id, list_concat(regexp_extract_all(text, '(?i)licen[sc]e'), regexp_extract_all(text, '(?i)copyright')) AS l FROM documents)
+      SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(generate_series(1, len(l)), lambda i: {'i': i, 'v': l[i]}),
+        lambda x: list_position(list_transform(l, lambda y: lower(y)), lower(x.v)) = x.i), lambda x: x.v)[1:12], '; ') AS keywords FROM l""",
+    "search_phrases": """SELECT p_partkey, '"' || p_name || '" "' || p_brand || '" ' || array_to_string(list_filter(string_split(p_type, ' '), lambda x: x <> '')[1:3], ' ')
+      || '|' || p_name || ' homepage' AS phrases FROM part""",
+    "work_summary": """WITH o AS (SELECT o_custkey, o_orderkey, year(o_orderdate) AS y, o_orderstatus AS v, floor(o_totalprice / 50000) AS s FROM orders),
+      a AS (SELECT o_custkey, sum(n)::BIGINT AS n, string_agg(y || ':' || n, '; ' ORDER BY y DESC) AS years FROM (SELECT o_custkey, y, count(*) AS n FROM o GROUP BY 1, 2) GROUP BY 1),
+      b AS (SELECT o_custkey, string_agg(v || '(' || n || ')', '; ' ORDER BY r) AS venues FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, f) AS r
+        FROM (SELECT o_custkey, v, count(*) AS n, min(o_orderkey) AS f FROM o GROUP BY 1, 2)) WHERE r <= 10 GROUP BY 1),
+      c AS (SELECT o_custkey, string_agg('[' || y || ' ' || v || '] o' || o_orderkey, '；' ORDER BY r) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
+        ORDER BY s DESC, y DESC, o_orderkey) AS r FROM o) WHERE r <= 10 GROUP BY 1)
+      SELECT o_custkey, n, years, venues, titles FROM a JOIN b USING (o_custkey) JOIN c USING (o_custkey)""",
+    "cached_lookup": """SELECT c_custkey, e IS NOT NULL AS hit, e AS event_id FROM customer LEFT JOIN (SELECT user_id, arg_max(event_id, (ts, event_id)) AS e FROM events
+      WHERE ts >= TIMESTAMP '2024-01-11' AND event_type <> 'error' GROUP BY 1) ON user_id = c_custkey""",
+    "kept_columns": """SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND s_suppkey IS NOT NULL THEN s_acctbal ELSE c_acctbal END AS c_acctbal
+      FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""",
+    "null_tolerant_override": """SELECT c_custkey, CASE WHEN n_nationkey % 5 = 1 AND c_mktsegment = 'BUILDING' THEN 'both:n:' || n_name WHEN n_nationkey % 5 = 2 THEN 'n:' || n_name
+      WHEN c_mktsegment = 'MACHINERY' THEN 's:machines' END AS affiliation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""",
+    "link_crawl": """WITH RECURSIVE r AS (SELECT 1::BIGINT AS node, 0::BIGINT AS depth UNION ALL SELECT c_custkey, depth + 1 FROM r JOIN customer ON c_custkey // 10 = node)
+      SELECT node, min(depth) AS depth FROM r GROUP BY 1""",
+    "local_order": "SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name, n_nationkey) AS place FROM nation",
 }

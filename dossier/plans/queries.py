@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.functions import dates, identity, text
-from dossier.operators import audit, authors, contact, dashboard, dedup, evidence, ranking, scoring, works
+from dossier.functions import dates, extract, identity, text
+from dossier.operators import audit, authors, contact, dashboard, dedup, evidence, ranking, rows, scoring, works
+from dossier.sources import connectors
 from dossier.sources.tables import parse_html, table
 
 # The demonstration profile: names of parts play the part of research directions.
@@ -439,6 +440,92 @@ def confidence_levels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", level.alias("confidence"))
 
 
+def phone_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(extract.phones(F.col("text")), "; ").alias("phones"))
+
+
+def link_extract(spark: SparkSession, d: str) -> DataFrame:
+    found = F.posexplode(extract.links(F.col("text"))).alias("place", "link")
+    return table(spark, d, "documents").select("doc_id", found).select("doc_id", F.col("place").cast("long").alias("place"), "link")
+
+
+def host_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", extract.host_key(F.col("url")).alias("host_key"))
+
+
+def homepage_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a page links to itself, in whole or to a part of it."""
+    found = extract.homepage_overlap(F.array("url"), text.html_links(F.col("html")))
+    return table(spark, d, "pages").select("page_id", found.alias("overlaps"))
+
+
+def label_values(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "conversations").select("conv_id", "turn", extract.label_value(F.col("text")).alias("p"))
+    return lines.select("conv_id", "turn", "p.label", F.md5("p.value").alias("value_md5"))
+
+
+def text_snippets(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.snippets(F.col("text"), [text.YEAR, "(?i)licen[sc]e"], "\n")
+    return table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n_snippets"), F.md5(F.array_join(found, "\n")).alias("snippets_md5"))
+
+
+def pattern_keywords(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.pattern_keywords(F.col("text"), ["(?i)licen[sc]e", "(?i)copyright"])
+    return table(spark, d, "documents").select("doc_id", found.alias("keywords"))
+
+
+def search_phrases(spark: SparkSession, d: str) -> DataFrame:
+    templates = ['"{name}" "{school}" {keywords}', "{name} homepage"]
+    made = extract.search_phrases(F.col("p_name"), F.col("p_brand"), F.replace("p_type", F.lit(" "), F.lit(";")), "paper", templates)
+    return table(spark, d, "part").select("p_partkey", F.array_join(made, "|").alias("phrases"))
+
+
+def work_summary(spark: SparkSession, d: str) -> DataFrame:
+    made = table(spark, d, "orders").select(
+        "o_custkey", "o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("venue"),
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("title"), F.floor(F.col("o_totalprice") / 50000).alias("s"),
+    )
+    return rows.summary(made, "o_custkey", "y", "venue", "title", "s", "o_orderkey")
+
+
+def cached_lookup(spark: SparkSession, d: str) -> DataFrame:
+    cache = table(spark, d, "events").select(F.col("user_id").alias("c_custkey"), F.col("ts").alias("fetched_at"), "event_id", "event_type")
+    found = connectors.cached(
+        table(spark, d, "customer").select("c_custkey"), cache, "c_custkey", F.lit("2024-01-25").cast("timestamp"), 14, F.col("event_type") != "error"
+    )
+    return found.select("c_custkey", "hit", "event_id")
+
+
+def kept_columns(spark: SparkSession, d: str) -> DataFrame:
+    previous = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+    now = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return rows.keep_previous(now, previous, "c_custkey", ["c_acctbal"], F.col("c_custkey") % 3 == 0)
+
+
+def null_tolerant_override(spark: SparkSession, d: str) -> DataFrame:
+    """Overrides of nations by name, by segment, or by both."""
+    people = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("nation"), F.lit("").alias("segment"), F.concat(F.lit("n:"), "n_name").alias("v"), F.col("n_nationkey").alias("k"))
+    both = nations.filter("k % 5 = 1").withColumns({"segment": F.lit("BUILDING"), "v": F.concat(F.lit("both:"), "v")})
+    segment = nations.filter("k = 2").withColumns({"nation": F.lit(""), "segment": F.lit("MACHINERY"), "v": F.lit("s:machines")})
+    dim = nations.filter("k % 5 = 2").unionByName(both).unionByName(segment).drop("k")
+    return rows.override(people, dim, ["nation", "segment"], "v", "affiliation").select("c_custkey", "affiliation")
+
+
+def link_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of customers, followed from its root."""
+    key = F.col("c_custkey")
+    edges = table(spark, d, "customer").select(F.floor(key / 10).alias("src"), key.alias("dst"))
+    found = connectors.follow_links(edges, spark.range(1, 2).select(F.col("id").alias("node")))
+    return found.select("node", F.col("depth").cast("long").alias("depth"))
+
+
+def local_order(spark: SparkSession, d: str) -> DataFrame:
+    """Places of nations by name within their region, in the order of the locale."""
+    order = Window.partitionBy("n_regionkey").orderBy(F.collate("n_name", "zh"), "n_nationkey")
+    return table(spark, d, "nation").select("n_nationkey", F.row_number().over(order).cast("long").alias("place"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -450,5 +537,7 @@ QUERIES = {
         weekly_events, response_counts, response_priority, missing_date, range_overlap, shadow_audit, audit_violations,
         duplicate_group_rows, checkpoint_coverage, row_fingerprints, hash_sample, holdout_sample, agreement_metrics,
         union_by_name, affiliation_flatmap, ordinal_renumber, json_props, record_navigation, source_report, top_venues, web_search_gate, confidence_levels,
+        phone_extract, link_extract, host_keys, homepage_overlap, label_values, text_snippets, pattern_keywords,
+        search_phrases, work_summary, cached_lookup, kept_columns, null_tolerant_override, link_crawl, local_order,
     )
 }

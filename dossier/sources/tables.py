@@ -78,10 +78,12 @@ class _Page(HTMLParser):
     """Collects visible text and anchors; stdlib, so it accepts any markup."""
 
     hidden = ("script", "style", "noscript", "svg")
+    described = ("description", "keywords", "author", "og:description", "og:title")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.skip, self.text, self.links, self.metas = 0, [], [], []
+        self.inside = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given = dict(attrs)
@@ -89,17 +91,20 @@ class _Page(HTMLParser):
             self.skip += 1
         elif tag == "a" and given.get("href"):
             self.links.append([given["href"], ""])
-        elif tag == "meta" and (given.get("name") or "").lower() in ("description", "keywords", "author"):
+            self.inside = True
+        elif tag == "meta" and (given.get("name") or given.get("property") or "").lower() in self.described:
             self.metas.append(given.get("content") or "")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.hidden and self.skip:
             self.skip -= 1
+        elif tag == "a":
+            self.inside = False
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.text.append(data)
-            if self.links:
+            if self.inside:
                 self.links[-1][1] += data if len(self.links[-1][1]) < 200 else ""
 
 
