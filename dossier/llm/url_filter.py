@@ -25,7 +25,10 @@ HOST_RULES = (
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``tokens``: lower-case letter-digit runs, whole in every URL that ``pattern`` matches."""
+    """``tokens``: lower-case letter-digit runs, whole in every URL that ``pattern`` matches.
+
+    The pattern must force a boundary on both sides of each: after ``.*``, a word may be the end of a longer one.
+    """
 
     action: str
     pattern: str
@@ -41,7 +44,7 @@ PATTERN_RULES = (
     PatternRule("block", r"(?i)[/.-]xxx[/.-]", ("xxx",)),
     PatternRule("block", r"(?i)[?&]affiliate=[^&#]*", ("affiliate",)),
     PatternRule("block", r"(?i)/wp-login\.php([?#]|$)", ("wp", "login", "php")),
-    PatternRule("block", r"(?i)/redirect\?.*url=https?%3a", ("redirect", "url")),
+    PatternRule("block", r"(?i)/redirect\?.*url=https?%3a", ("redirect",)),
     PatternRule("allow", r"(?i)^https?://([^/?#]*\.)?spam-farm\.[^/?#]+/(about|privacy)([/?#]|$)", ("spam", "farm")),
 )
 #: Most rules that are carried inside the plan as literals.

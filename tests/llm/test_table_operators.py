@@ -144,6 +144,30 @@ def test_urls_like_brute_force(spark, monkeypatch):
     assert url_filter.judge(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_urls_under_every_choice_of_token(spark, monkeypatch):
+    urls = ["http://a.fr/redirect?returnUrl=https%3A%2F%2Fx.com", "http://a.fr/redirect?a=1&targetUrl=http%3a//x", "http://a.fr/redirect?url=http%3a//x",
+            "http://a.fr/redirect?backurl=https://x", "http://a.fr/url?redirect=http%3a//x", "http://x.ads-track.fr", "http://cheap-pills.fr/", "http://free-bets.fr",
+            "http://spam-farm.fr/x", "http://spam-farm.fr/about", "http://a.fr/wp-login.php", "http://a.fr/casino/", "http://a.fr/a.xxx.b", "http://a.fr/?affiliate="]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    most = max(len(r.tokens) for r in url_filter.PATTERN_RULES)
+    for choice in (None, *range(most)):
+        if choice is not None:
+
+            def index(pages, rules, url_col="url", choice=choice):
+                out = {}
+                for n, rule in enumerate(rules):
+                    out.setdefault(rule.tokens[choice % len(rule.tokens)], []).append(n)
+                return out
+
+            monkeypatch.setattr(url_filter, "rare_tokens", index)
+        got = {r.url: r.verdict for r in url_filter.judge(df).collect()}
+        assert got == {u: slow_url(u, url_filter.PATTERN_RULES)[3] for u in urls}
+    for urls in (["http://a.fr/redirect?returnUrl=https%3A%2F%2Fx.com"], ["http://a.fr/redirect?returnUrl=https%3A%2F%2Fx.com", "http://a.fr/redirect", "http://a.fr/url"]):
+        monkeypatch.undo()
+        df = spark.createDataFrame([(u,) for u in urls], "url string")
+        assert url_filter.judge(df).filter("verdict = 'block'").count() == 1
+
+
 def slow_leaks(docs, items):
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
