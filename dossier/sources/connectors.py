@@ -6,6 +6,8 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from itertools import count
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -18,6 +20,8 @@ from dossier.operators.graph import cut, ship
 
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 MATERIALS = (".docx", ".txt", ".md", ".json")
+#: So many tables of a crawl's steps become one, so that its plan stays small at any depth.
+PIECES = 16
 
 
 def paged_source(name: str, schema: str, fetch: Callable[[int], list[tuple]], pages: Sequence[int]) -> type[DataSource]:
@@ -54,21 +58,24 @@ def truncated(rows: DataFrame, by: str, page_size: int, most_pages: int) -> Data
     return counts.withColumn("truncated", F.col("n") >= page_size * most_pages)
 
 
-def follow_links(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
+def follow_links(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(node, depth)`` of all that links lead to from the seeds, each at its least depth.
 
-    ``edges`` holds ``src`` and ``dst``, ``seeds`` holds ``node``.  One round a step; only
-    whether a round found anything comes to the driver.
+    ``edges`` holds ``src`` and ``dst``, ``seeds`` holds ``node``.  One round a step, until a
+    round finds nothing new; only whether it did comes to the driver.
     """
     frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
-    for depth in range(1, most + 1):
+    pieces = [(0, frontier)]  # levels fall; PIECES tables of a level become one of the next
+    for depth in count(1):
         found = edges.join(frontier, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, [piece for _, piece in pieces])
         frontier = cut(found.filter("node IS NOT NULL").join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
-    return seen
+        pieces.append((0, frontier))
+        while len(pieces) >= PIECES and pieces[-PIECES][0] == pieces[-1][0]:
+            merged = cut(reduce(DataFrame.unionByName, [piece for _, piece in pieces[-PIECES:]]))
+            pieces[-PIECES:] = [(pieces[-1][0] + 1, merged)]
 
 
 def cached(rows: DataFrame, cache: DataFrame, key: str, now: Column, days: int, valid: Column | None = None) -> DataFrame:

@@ -98,6 +98,12 @@ def test_follow_links_ends_on_cycles(spark):
     assert sorted(tuple(r) for r in connectors.follow_links(edges, seeds).collect()) == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_follow_links_has_no_last_step(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(104)] + [(104, 0), (0, 2)], "src int, dst int").coalesce(1)
+    seeds = spark.createDataFrame([(0,)], "node int")
+    assert sorted(tuple(r) for r in connectors.follow_links(edges, seeds).collect()) == [(0, 0), (1, 1)] + [(i, i - 1) for i in range(2, 105)]
+
+
 def test_materials(spark, tmp_path):
     body = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>One  </w:t><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>three</w:t></w:r></w:p></w:document>'
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as archive:
