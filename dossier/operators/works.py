@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +19,10 @@ from dossier.operators.graph import components, cut, ship
 PRIORITY = {"official": 4, "openalex": 3, "zbmath": 2, "arxiv": 1}
 RATIO = 0.94
 LEAST_TITLE = 12
+#: Lengths of letter runs, and so many counters, by which titles that can't be alike are told apart;
+#: then the runs of one length themselves.
+COUNTERS = ((1, 64), (2, 256), (4, 1024))
+RUN = 6
 
 
 def official_works(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,53 +60,134 @@ def same_work(a: dict, b: dict) -> bool:
     return shared and SequenceMatcher(None, a["title_key"], b["title_key"]).ratio() >= RATIO
 
 
+def _runs(key: str, q: int) -> np.ndarray:
+    """A hash of each run of ``q`` letters."""
+    codes = np.frombuffer(key.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    runs = np.zeros(max(0, len(codes) - q + 1), dtype=np.uint64)
+    for i in range(q):
+        runs = runs * np.uint64(1_000_003) + codes[i : i + len(runs)]
+    return runs * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _counters(keys: list[str], q: int, width: int) -> np.ndarray:
+    """How often runs of ``q`` letters occur in a key, by their hash, one row a key."""
+    rows = [np.bincount((_runs(key, q) >> np.uint64(40)).astype(np.int64) % width, minlength=width) for key in keys]
+    return np.array(rows, dtype=np.uint16 if max(map(len, keys)) < 65_536 else np.int32)
+
+
+def _reaches(common: np.ndarray | int, q: int, total: np.ndarray | int) -> np.ndarray | bool:
+    """Whether keys of so many letters in all and so many common runs can reach the ratio.
+
+    A matching of M letters is a common subsequence.  Its runs of q letters are whole in both keys but
+    for q - 1 at each letter left over, so G common runs allow M <= (G + (q - 1) (1 + total)) / (2 q - 1).
+    """
+    return 2.0 * ((common + (q - 1) * (1 + total)) // (2 * q - 1)) / total >= RATIO
+
+
+def _may_be_alike(keys: list[str], own: list[bool]) -> Iterator[tuple[int, int]]:
+    """Pairs of unequal keys, one at least ``own``, whose ratio can reach ``RATIO``; all that do are among them.
+
+    Runs are counted by hashes, which can only overstate how many are common.
+    """
+    order = sorted(range(len(keys)), key=lambda i: len(keys[i]))
+    keys, own = [keys[i] for i in order], np.array([own[i] for i in order], dtype=bool)
+    sizes = np.array([len(k) for k in keys], dtype=np.int64)
+    tables = [(q, _counters(keys, q, width)) for q, width in COUNTERS]
+    runs = [np.unique(_runs(key, RUN), return_counts=True) for key in keys]
+    for i in range(len(keys)):
+        # Lengths alone allow the shorter key's letters to match.
+        last = np.searchsorted(sizes, int(sizes[i] * (2 / RATIO - 1)) + 1, side="right")
+        for at in range(i + 1, last, 4_096):
+            js = np.arange(at, min(last, at + 4_096))
+            js = js[own[js] | own[i]]
+            for q, table in tables:
+                common = np.minimum(table[i], table[js]).sum(axis=1, dtype=np.int64)
+                total = sizes[i] + sizes[js]
+                js = js[_reaches(common, q, total)]
+            for j in js:
+                _, x, y = np.intersect1d(runs[i][0], runs[j][0], assume_unique=True, return_indices=True)
+                common = int(np.minimum(runs[i][1][x], runs[j][1][y]).sum())
+                if _reaches(common, RUN, int(sizes[i] + sizes[j])) and keys[i] != keys[j]:
+                    yield order[i], order[j]
+
+
+def _links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ordered pairs of a block's kinds that ``same_work`` links."""
+    rows = pdf.to_dict("records")
+    if pdf["key"].iloc[0].startswith("a:"):
+        pairs = _may_be_alike([r["title_key"] for r in rows], [bool(r["own"]) for r in rows])
+    else:
+        pairs = combinations(range(len(rows)), 2)
+    out = [(rows[x]["kind"], rows[y]["kind"]) for i, j in pairs for x, y in ((i, j), (j, i)) if same_work(rows[x], rows[y])]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
 def fuzzy_works(records: DataFrame) -> DataFrame:
     """``(record_id, work_id)``: each record joins the first group that has a record of the same work.
 
     ``records``: record_id (its order), source, source_id, doi, arxiv_id, title, year, authors.
-    Candidate groups are components over shared DOI, arXiv id, source id, title key or
-    author, outside which no two records can be the same work; the ordered fold runs in each.
+    Records alike in all that ``same_work`` reads are one kind.  Kinds are compared within blocks of
+    a shared DOI, arXiv id, source id, title key, or author and length band, outside which no two
+    records can be the same work; the ordered fold runs over the links found, one task a component.
     """
     ship(records.sparkSession)
-    own = records.withColumns(
+    read = ["source", "source_id", "doi", "arxiv_id", "title_key", "year", "author_keys"]
+    own = records.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source_id", "doi", "arxiv_id")}).withColumns(
         {
-            "title_key": normalized_title(F.col("title")),
-            "author_keys": F.filter(
+            "title_key": F.coalesce(normalized_title(F.col("title")), F.lit("")),
+            "author_keys": F.array_sort(F.array_distinct(F.filter(
                 F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda v: F.regexp_replace(F.lower(v), r"[^a-z0-9一-鿿]", "")),
                 lambda v: v != "",
-            ),
+            ))),
         }
-    )
+    )
+    own = cut(own.select("record_id", *read, F.sha2(F.to_json(F.struct(*read)), 256).alias("digest")))
+    kinds = cut(own.groupBy("digest").agg(F.min("record_id").alias("kind"), *[F.any_value(c).alias(c) for c in read]))
+    # Whether records of the kind are one work with each other.
+    itself = (F.greatest("doi", "arxiv_id", "source_id") != "") | (F.length("title_key") >= LEAST_TITLE)
+    members = cut(own.select("record_id", "digest").join(kinds.select("digest", "kind", itself.alias("itself")), "digest").drop("digest"))
+
+    # Alike titles lie in one band of lengths or in two next to each other.
+    band = F.floor(F.log(F.length("title_key")) / math.log(2 / RATIO - 1 + 1e-6))
+    long = F.length("title_key") >= LEAST_TITLE
+
+    def block(key: Column, own: bool = True) -> Column:
+        return F.struct(key.alias("key"), F.lit(own).alias("own"))
+
     blocks = F.array_compact(
         F.concat(
             F.array(
-                F.when(F.col("doi") != "", F.concat(F.lit("d:"), "doi")),
-                F.when(F.col("arxiv_id") != "", F.concat(F.lit("x:"), "arxiv_id")),
-                F.when(F.col("source_id") != "", F.concat_ws(":", F.lit("s"), "source", "source_id")),
-                F.when(F.length("title_key") >= LEAST_TITLE, F.concat(F.lit("t:"), "title_key")),
+                F.when(F.col("doi") != "", block(F.concat(F.lit("d:"), "doi"))),
+                F.when(F.col("arxiv_id") != "", block(F.concat(F.lit("x:"), "arxiv_id"))),
+                F.when(F.col("source_id") != "", block(F.concat_ws(":", F.lit("s"), "source", "source_id"))),
+                F.when(long, block(F.concat(F.lit("t:"), F.md5("title_key")))),
             ),
-            F.transform("author_keys", lambda a: F.concat(F.lit("a:"), a)),
+            F.transform("author_keys", lambda a: F.when(long, block(F.concat_ws(":", F.lit("a"), a, band.cast("string"))))),
+            F.transform("author_keys", lambda a: F.when(long, block(F.concat_ws(":", F.lit("a"), a, (band + 1).cast("string")), False))),
         )
     )
-    pairs = cut(own.select("record_id", F.explode(blocks).alias("key")))
-    hubs = pairs.groupBy("key").agg(F.min("record_id").alias("hub"))
-    edges = pairs.join(hubs, "key").select(F.col("record_id").alias("a"), F.col("hub").alias("b")).distinct()
-    roots = components(edges).withColumnRenamed("node", "record_id")
-    placed = own.join(roots, "record_id", "left").withColumn("root", F.coalesce("root", "record_id"))
+    placed = kinds.select("kind", *read, F.explode(blocks).alias("k")).select("kind", *read, "k.*")
     kind = records.schema["record_id"].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[dict]] = []
+    links = cut(placed.groupBy("key").applyInPandas(_links, f"a {kind}, b {kind}").distinct())
+    roots = cut(components(links).withColumnRenamed("node", "kind"))
+    alone = members.join(roots, "kind", "left_anti").select("record_id", F.when(F.col("itself"), F.col("kind")).otherwise(F.col("record_id")).alias("work_id"))
+
+    def fold(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        beside: dict = {}
+        for a, b in zip(near["a"], near["b"], strict=True):
+            beside.setdefault(a, []).append(b)
+        first: dict = {}  # the first group that has a record of a kind
         out = []
-        for record in pdf.sort_values("record_id").to_dict("records"):
-            home = next((g for g in groups if any(same_work(record, other) for other in g)), None)
-            if home is None:
-                groups.append(home := [])
-            home.append(record)
-            out.append((record["record_id"], home[0]["record_id"]))
+        for row in rows.sort_values("record_id").itertuples():
+            others = [*beside.get(row.kind, ()), *([row.kind] if row.itself else ())]
+            home = min((first[k] for k in others if k in first), default=row.record_id)
+            first[row.kind] = min(home, first.get(row.kind, home))
+            out.append((row.record_id, home))
         return pd.DataFrame(out, columns=["record_id", "work_id"])
 
-    return placed.groupBy("root").applyInPandas(fold, f"record_id {kind}, work_id {kind}")
+    rooted = links.join(roots.toDF("a", "top"), "a")
+    linked = members.join(roots, "kind").groupBy("root").cogroup(rooted.groupBy("top")).applyInPandas(fold, f"record_id {kind}, work_id {kind}")
+    return alone.unionByName(linked)
 
 
 def roll_up(records: DataFrame, groups: DataFrame) -> DataFrame:

@@ -210,10 +210,12 @@ def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_works(spark: SparkSession, d: str) -> DataFrame:
-    none, year = F.lit(""), F.lit(None).cast("int")
+    """Texts play the part of titles, sources that of authors; e-mails, links and telephones that of ids."""
+    first = lambda found: F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+    body = F.col("text")
     records = table(spark, d, "documents").select(
-        F.col("doc_id").alias("record_id"), "source", none.alias("source_id"), none.alias("doi"), none.alias("arxiv_id"),
-        F.col("text").alias("title"), year.alias("year"), F.array().cast("array<string>").alias("authors"),
+        F.col("doc_id").alias("record_id"), "source", first(extract.phones(body)).alias("source_id"), first(text.emails(body)).alias("doi"),
+        first(extract.links(body)).alias("arxiv_id"), body.alias("title"), text.first_year(body).alias("year"), F.array("source").alias("authors"),
     )
     return works.fuzzy_works(records)
 

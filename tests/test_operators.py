@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,43 @@ def test_works(spark):
     assert (main.canonical_id, main.year, main.is_preprint, main.n_records) == ("doi:10.1000/robust.1", 2025, False, 3)
 
 
+WORK = "record_id long, source string, source_id string, doi string, arxiv_id string, title string, year int, authors array<string>"
+
+
+def slow_works(rows):
+    names = WORK.replace("array<string>", "").replace("int", "").replace("string", "").replace("long", "").replace(" ", "").split(",")
+    groups, out = [], {}
+    for row in sorted(rows):
+        r = dict(zip(names, row, strict=True))
+        r |= {"title_key": re.sub("[^a-z0-9]", "", (r["title"] or "").lower()), "author_keys": [re.sub("[^a-z0-9]", "", a.lower()) for a in r["authors"] or []]}
+        home = next((g for g in groups if any(works.same_work(r, o) for o in g)), None)
+        if home is None:
+            groups.append(home := [])
+        home.append(r)
+        out[r["record_id"]] = home[0]["record_id"]
+    return out
+
+
+def test_alike_titles_like_the_sequential_fold(spark):
+    long = "Robust estimation of large sparse networks under noise"
+    near = [(1, "s", "", "", "", long, 2024, ["A Li"]), (2, "t", "", "", "", long.replace("sparse", "sparze"), 2025, ["A. Li", "B"]),
+            (3, "t", "", "", "", long.replace("noise", "noises"), 2030, ["A Li"]), (4, "t", "", "", "", long.replace("R", "r") + "x", None, ["C"])]
+    got = {r.record_id: r.work_id for r in works.fuzzy_works(spark.createDataFrame(near, WORK)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4} == slow_works(near)
+    rng = random.Random(3)
+    words = ["estimation", "of", "networks", "robust", "large", "sparse", "noise", "bounds", "graph"]
+    base = [" ".join(rng.choices(words, k=n)) for n in (1, 2, 6, 8, 9, 30, 60)]
+    rows = []
+    for i in range(160):
+        title = list(rng.choice(base))
+        for _ in range(rng.choice((0, 0, 1, 2, 4))):
+            title[rng.randrange(len(title))] = rng.choice(("", "q", "zz"))
+        rows.append((i, rng.choice("st"), rng.choice(("", "", "", "1", "2")), rng.choice(("", "", "", "", "d1", "d2", "d3")), rng.choice(("", "", "", "", "x1", None)),
+                     "".join(title), rng.choice((None, 2020, 2021, 2022)), rng.choice((None, [], ["A"], ["B", "A"], ["C"]))))
+    got = {r.record_id: r.work_id for r in works.fuzzy_works(spark.createDataFrame(rows, WORK).repartition(3)).collect()}
+    assert got == slow_works(rows)
+
+
 def test_authors(spark):
     df = spark.createDataFrame([(1, "a", 12), (1, "b", 9), (2, "c", 5)], "p long, c string, s int")
     got = {r.p: (r.c, r.margin) for r in authors.best_with_margin(df, ["p"], F.col("s"), [F.col("c")]).collect()}
