@@ -90,7 +90,7 @@ class _Page(HTMLParser):
         if tag in self.hidden:
             self.skip += 1
         elif tag == "a" and given.get("href"):
-            self.links.append([given["href"], ""])
+            self.links.append((given["href"], []))
             self.inside = True
         elif tag == "meta" and (given.get("name") or given.get("property") or "").lower() in self.described:
             self.metas.append(given.get("content") or "")
@@ -105,7 +105,7 @@ class _Page(HTMLParser):
         if not self.skip:
             self.text.append(data)
             if self.inside:
-                self.links[-1][1] += data if len(self.links[-1][1]) < 200 else ""
+                self.links[-1][1].append(data)
 
 
 def parse_html(html: Column) -> Column:
@@ -121,7 +121,7 @@ def parse_html(html: Column) -> Column:
                 parser = _Page()
                 parser.feed(page or "")
                 texts.append(" ".join(" ".join([*parser.metas, *parser.text]).split()))
-                links.append([{"href": h, "text": " ".join(t.split())} for h, t in parser.links])
+                links.append([{"href": h, "text": " ".join("".join(t).split())} for h, t in parser.links])
             yield pd.DataFrame({"text": texts, "links": links})
 
     return run(html)

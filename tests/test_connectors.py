@@ -121,3 +121,9 @@ def test_anchor_text_ends_with_the_anchor(spark):
     got = one(spark, tables.parse_html(F.col("h")), h=page)
     assert [(link.href, link.text) for link in got.links] == [("/x", "in"), ("/y", "two")]
     assert got.text == "T in out two end"
+
+
+def test_long_anchor_text_is_whole(spark):
+    inner = "".join(f"<b>word {i}</b> and " for i in range(60))
+    got = one(spark, tables.parse_html(F.col("h")), h=f'<a href="/x">{inner}</a> out')
+    assert got.links[0].text == " ".join(f"word {i} and" for i in range(60))
