@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -217,12 +218,17 @@ def roll_up(records: DataFrame, groups: DataFrame) -> DataFrame:
 def contained_titles(texts: DataFrame, titles: DataFrame, text_col: str, title_col: str, most: int = 100_000) -> DataFrame:
     """Pairs of a text and a title that it contains.
 
-    The titles are a dimension of a checked size; beyond it this raises, as containment has no
-    key to join by.
+    Containment has no key to join by, so titles are broadcast.  Beyond ``most`` they go in slices
+    of about that size, by a hash of the row, with one pass over the texts each.
     """
-    if titles.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} titles")
-    return texts.join(F.broadcast(titles), F.contains(F.col(text_col), F.col(title_col)))
+    slices = max(1, math.ceil(titles.count() / most))
+    if slices > 1:
+        titles = cut(titles.withColumn("__slice", F.pmod(F.xxhash64(*titles.columns), F.lit(slices))))
+    found = []
+    for n in range(slices):
+        part = titles.filter(F.col("__slice") == n).drop("__slice") if slices > 1 else titles
+        found.append(texts.join(F.broadcast(part), F.contains(F.col(text_col), F.col(title_col))))
+    return reduce(DataFrame.unionByName, found)
 
 
 def title_overlap(official: Column, candidate: Column, least: int = 16) -> Column:
