@@ -240,6 +240,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
-    """Documents in which some language was found, all columns kept; rejected are those judged ``und``."""
-    judged = predict(docs, train(docs))
+    """Documents in which some language was found, all columns kept; rejected are those judged ``und``.
+
+    Where no language could be learned, one with all features alike stands for any, so texts with letters stay.
+    """
+    model = train(docs)
+    if not model.languages:
+        model = Model(["any"], np.full((FEATURES, 1), -np.log(FEATURES), dtype=np.float32))
+    judged = predict(docs, model)
     return judged.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

@@ -228,3 +228,10 @@ def test_language_odd_rows(spark):
     assert language_id.predict(spark.createDataFrame(odd, "doc_id long, text string"), none).filter("lang_pred = 'und'").count() == 7
     kept = language_id.drop_unknown(spark.createDataFrame(train[:4] + [(99, "!!", "en", "", "", 0)], DOCS))
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ") and kept.count() == 4
+
+
+def test_letters_stay_when_no_language_was_learned(spark):
+    rows = [(1, "some words here"), (2, "1234 --"), (3, None), (4, "слова")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "CAST(null AS string) AS lang")
+    kept = language_id.drop_unknown(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
