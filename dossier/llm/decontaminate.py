@@ -2,14 +2,17 @@
 
 1. Benchmark items and documents become lower-cased words; five consecutive words make a
    shingle (an item of fewer words is one shingle).
-2. A window is as long as an item and lies where one of the item's shingles occurs.  A
-   window that shares no shingle has similarity zero, so none that could pass is left out.
-   In a run of consecutive shared shingles only the first places a window, as all of the
-   run would place the same.
-3. Each window and each item gets a 64-bit SimHash of its shingles, repeats included.
-4. The fingerprints are cut into RADIUS + 1 blocks.  Two that differ in RADIUS bits or
-   fewer agree in a block, so a join on (length, block, value) meets every such pair.
-5. Pairs within the radius are verified by the weighted Jaccard similarity of their
+2. Every window as long as an item gets a 64-bit SimHash of its shingles, repeats included,
+   from counts that are carried along: a shingle enters and another leaves from one window
+   to the next.  Only windows that can't reach the similarity are left out, by this rule.
+   A window of similarity t shares at least t * m of the m shingles of its item.  So of any
+   items' shingles whose counts sum to more than (1 - t) * m it holds one.  Such a choice of
+   each item's shingles, rarest in the benchmark first, is looked for in the documents, and
+   all windows of the item's length over each place where one occurs are fingerprinted.
+3. The fingerprints are cut into RADIUS + 1 blocks.  Two that differ in RADIUS bits or
+   fewer agree in a block, so a join on (length, block, value) meets a window with every
+   item of its length within the radius, whichever item's shingle led to the window.
+4. Pairs within the radius are verified by the weighted Jaccard similarity of their
    shingles: the sum of the smaller counts over the sum of the larger ones.
 
 A pair with similarity 0.8 differs in 64 * acos(0.89) / pi = 9.7 bits on average with a
@@ -19,7 +22,9 @@ expressions; the shingles of the documents stream through one stage without a sh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.common import cut, normal_words
@@ -27,8 +32,9 @@ from dossier.llm.common import cut, normal_words
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 23
-#: Most benchmark shingles that are broadcast at once; larger benchmarks go in slices.
-MAX_SHINGLES = 500_000
+#: Most rows that are broadcast at once, of 16 bytes (sought shingles) or 40 (blocks of items);
+#: larger benchmarks go in slices, one pass over the corpus each.
+MAX_ROWS = 500_000
 
 
 def shingles_of(words: Column) -> Column:
@@ -71,93 +77,156 @@ def blocks(fp: Column, radius: int = RADIUS) -> Column:
     )
 
 
-def weighted_jaccard(left: Column, right: Column) -> Column:
-    """Sum of smaller counts over sum of larger counts of the elements of two arrays."""
+def numbered(hashes: Column) -> Column:
+    """A bag as a set of 64-bit values: each element hashed with the number of equal ones before it."""
+    plain = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))
 
-    def number(of: Column, x: Column) -> Column:
-        return F.size(F.filter(of, lambda y: y == x))
+    def number(ordered: Column) -> Column:
+        return F.transform(ordered, lambda h, i: F.xxhash64(h, (i + 1 - F.array_position(ordered, h)).cast("int")))
 
-    shared = F.aggregate(
-        F.array_intersect(left, right), F.lit(0), lambda acc, x: acc + F.least(number(left, x), number(right, x))
-    )
+    counted = F.get(F.transform(F.array(F.sort_array(hashes)), number), F.lit(0))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), plain).otherwise(counted)
+
+
+def weighted_jaccard(left: Column, right: Column) -> Column:
+    """Sum of smaller counts over sum of larger counts of two bags given by ``numbered``."""
+    shared = F.size(F.array_intersect(left, right))
     return shared / (F.size(left) + F.size(right) - shared)
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """One row per distinct word sequence: ``words``, ``n`` and the ids that have it."""
+    """One row per distinct word sequence: ``item`` (its hash), ``words``, ``n``, ``shingles``."""
     words = benchmark.select("item_id", normal_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     return (
-        words.groupBy("words").agg(F.min("item_id").alias("item"))
+        words.select("words").distinct().withColumn("item", F.xxhash64("words"))
         .withColumn("n", F.size("words")).withColumn("shingles", shingles_of(F.col("words")))
     )
 
 
-def _run_starts(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, item, n, start, window)`` where a run of shared shingles begins."""
-    placed = items.select("item", "n", "words", F.posexplode("shingles").alias("at", "shingle")).select(
-        "item", "n", "at", F.least("n", F.lit(SHINGLE)).alias("size"),
-        F.xxhash64("shingle").alias("h"), F.get("words", F.col("at") - 1).alias("before"),
-    )
-    sizes = [r["size"] for r in placed.select("size").distinct().collect()]  # 1 to SHINGLE
-    words = docs.select("doc_id", normal_words(F.col("text")).alias("ws"))
+def sought(items: DataFrame, similarity: float) -> DataFrame:
+    """``(h, n)``: of each item shingles of which a window of that similarity holds at least one.
+
+    They are taken from the one in fewest items on, until their counts sum to more than
+    ``(1 - similarity) * m``: a window without any lacks more than it may.
+    """
+    own = items.select("item", "n", F.size("shingles").alias("m"), F.explode("shingles").alias("s")).withColumn("h", F.xxhash64("s"))
+    own = own.groupBy("item", "n", "m", "h").agg(F.count(F.lit(1)).alias("c"))
+    own = own.join(own.groupBy("h").agg(F.count(F.lit(1)).alias("items")), "h")
+    order = Window.partitionBy("item").orderBy("items", "h")
+    before = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # The small amount keeps a product such as 0.2 * 5 from falling below its true value.
+    own = own.withColumn("before", F.coalesce(before, F.lit(0)))
+    return own.filter(F.col("before") <= (1 - similarity) * F.col("m") + 1e-6).select("h", "n").distinct()
+
+
+def _chunks(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """Windows over places of sought shingles: ``(doc_id, key, n, first, last, m, hs)``.
+
+    ``first`` to ``last`` are the words at which windows begin, each in one chunk of a
+    document and length, ``m`` the shingles of a window, ``hs`` those from ``first`` on.
+    """
+    sizes = [r["size"] for r in places.select(F.least("n", F.lit(SHINGLE)).alias("size")).distinct().collect()]  # 1 to SHINGLE
+    words = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), normal_words(F.col("text")).alias("ws"))
+    n, total = F.col("n"), F.size("ws")
+    span = F.greatest(F.least(n, total) - SHINGLE + 1, F.lit(1))
     found = None
     for size in sorted(sizes):
-        at = words.select("doc_id", "ws", F.posexplode("ws").alias("pos", "w0")).filter(F.col("pos") + size <= F.size("ws"))
+        at = words.select("doc_id", "key", "ws", F.posexplode("ws").alias("pos", "w0")).filter(F.col("pos") + size <= F.size("ws"))
         text = F.concat_ws(" ", "w0", *[F.get("ws", F.col("pos") + k) for k in range(1, size)])
-        at = at.withColumn("h", F.xxhash64(text)).join(F.broadcast(placed.filter(F.col("size") == size)), "h")
-        fresh = F.col("before").isNull() | (F.col("pos") == 0) | (F.get("ws", F.col("pos") - 1) != F.col("before"))
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("ws") - F.col("n")))
-        at = at.filter(fresh).withColumn("start", start).select(
-            "doc_id", "item", "n", "start", F.slice("ws", F.col("start") + 1, F.col("n")).alias("window")
-        )
+        own = places.filter(F.least("n", F.lit(SHINGLE)) == size)
+        first = F.greatest(F.lit(0), F.col("pos") - span + 1)
+        at = at.withColumn("h", F.xxhash64(text)).join(F.broadcast(own), "h").select(
+            "doc_id", "key", "n", "pos", F.lit(size).alias("size"), span.alias("m"), first.alias("from"),
+            F.greatest(F.lit(0), F.least("pos", total - n)).alias("last"),
+            F.slice("ws", first + 1, F.col("pos") + n - first).alias("own"),
+        )
         found = at if found is None else found.unionAll(at)
-    return found
+    # Places that repeat, as in repeated rows, are dropped before the shuffle by key.
+    order = Window.partitionBy("key", "n").orderBy("pos")
+    first = F.greatest("from", F.coalesce(F.lag("pos").over(order) + 1, F.lit(0)))
+    found = cut(found.distinct()).withColumn("first", first).filter("first <= last")
+    hs = F.transform(
+        F.sequence(F.lit(0), F.col("last") - F.col("first") + F.col("m") - 1),
+        lambda i: F.xxhash64(F.concat_ws(" ", F.slice("own", F.col("first") - F.col("from") + i + 1, F.col("size")))),
+    )
+    return found.select("doc_id", "key", "n", "first", "last", "m", hs.alias("hs"))
+
+
+def window_fingerprints(chunks: DataFrame) -> DataFrame:
+    """``(key, n, first, start, wfp)``: the SimHash of every window of the chunks.
+
+    A shingle enters at one window and leaves at a later one, so a running sum of what
+    enters and leaves holds the counts of the 64 bits, two of them in one long value.
+    """
+    i, t = F.col("i"), F.col("t")
+    moves = F.array(
+        F.struct(F.greatest(F.lit(0), i - F.col("m") + 1).alias("t"), F.lit(1).cast("long").alias("sign")),
+        F.struct((i + 1).alias("t"), F.lit(-1).cast("long").alias("sign")),
+    )
+    steps = chunks.select("key", "n", "first", "last", "m", F.posexplode("hs").alias("i", "h"))
+    steps = steps.select("key", "n", "first", "last", "m", "i", "h", F.inline(moves)).filter(t <= F.col("last") - F.col("first"))
+    order = Window.partitionBy("key", "n", "first").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    pair = F.lit(1 << 32 | 1)
+    lanes = [F.sum(F.col("sign") * F.shiftrightunsigned("h", k).bitwiseAND(pair)).over(order).alias(f"c{k}") for k in range(32)]
+    counted = steps.select("key", "n", "first", "m", "t", "i", "sign", *lanes)
+    # The window's last shingle enters only there, so it stands for the window.
+    counted = counted.filter((F.col("sign") == 1) & (i == t + F.col("m") - 1))
+    half = F.floor(F.col("m") / 2)
+    bits = [F.when(F.col(f"c{k}").bitwiseAND(F.lit(0xFFFFFFFF)) > half, F.lit(1 << k)).otherwise(F.lit(0).cast("long")) for k in range(32)]
+    top = [1 << (k + 32) if k < 31 else -(1 << 63) for k in range(32)]
+    bits += [F.when(F.shiftrightunsigned(f"c{k}", 32) > half, F.lit(top[k]).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(32)]
+    return counted.select("key", "n", "first", (F.col("first") + t).alias("start"), functools.reduce(Column.bitwiseOR, bits).alias("wfp"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row per document and benchmark item that it holds.
 
     Columns: ``doc_id``, ``item_id``, ``similarity`` of the best window, ``start_word`` (the
-    first such window among those that lie where an item shingle occurs, in words from 0), ``bits`` (its Hamming distance).  Items of equal
+    first such window, in words from 0), ``bits`` (its Hamming distance).  Items of equal
     words each get a row.  Null and wordless texts match nothing; repeated rows add nothing;
     rows with a null doc_id come out under null; extra columns are ignored; either table may
     be empty.  A document shorter than the item is compared as a whole.
     """
     spark = docs.sparkSession
     ids = benchmark.select("item_id", normal_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    items = cut(items_of(benchmark).withColumn("fp", simhash(F.col("shingles"))))
-    total = items.agg(F.sum(F.size("shingles")).alias("t")).first()["t"] or 0
-    slices = -(-total // MAX_SHINGLES) or 1
+    items = cut(items_of(benchmark).withColumns({"fp": simhash(F.col("shingles")), "bag": numbered(F.transform("shingles", lambda s: F.xxhash64(s)))}))
+    size = items.agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("shingles")).alias("shingles")).first()
+    # No more shingles are sought than there are.
+    rows = max(size["items"] * (radius + 1), size["shingles"] or 0)
+    slices = -(-rows // MAX_ROWS) or 1
     kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     out = None
-    for k in range(slices if total else 0):
+    for k in range(slices if rows else 0):
         part = items.filter(F.pmod(F.xxhash64("words"), F.lit(slices)) == k) if slices > 1 else items
-        # The few windows are written before they are fingerprinted: the optimiser would else
-        # move null checks of the fingerprint into the join that all shingles stream through.
-        starts = cut(_run_starts(docs, part).select("doc_id", "n", "start", "window").distinct())
-        shingled = cut(starts.select("doc_id", "n", "start", shingles_of(F.col("window")).alias("ss")).withColumn("wfp", simhash(F.col("ss"))))
-        cells = shingled.withColumn("c", F.explode(blocks(F.col("wfp"), radius)))
-        cells = cells.select("doc_id", "n", "start", "ss", "wfp", "c.b", "c.v")
-        filed = part.select("item", "n", "shingles", "fp", F.explode(blocks(F.col("fp"), radius)).alias("c"))
-        filed = F.broadcast(filed.select("item", "n", "shingles", "fp", "c.b", "c.v"))
+        # The few chunks are written before they are fingerprinted, so that the shingles stream
+        # through the search once and nothing that follows moves into it.
+        chunks = cut(_chunks(docs, cut(sought(part, similarity))))
+        windows = window_fingerprints(chunks)
+        cells = windows.withColumn("c", F.explode(blocks(F.col("wfp"), radius))).select("key", "n", "first", "start", "wfp", "c.b", "c.v")
+        filed = part.select("item", "n", "fp", F.explode(blocks(F.col("fp"), radius)).alias("c"))
+        filed = F.broadcast(filed.select("item", "n", "fp", "c.b", "c.v"))
         bits = F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp")))
         # A pair may meet in several blocks; the first block in which it agrees reports it.
         first = F.array_position(
             F.zip_with(blocks(F.col("wfp"), radius), blocks(F.col("fp"), radius), lambda x, y: x["v"] == y["v"]), True
         )
         near = cells.join(filed, ["n", "b", "v"]).filter((bits <= radius) & (first == F.col("b") + 1))
-        near = near.withColumn("similarity", weighted_jaccard(F.col("ss"), F.col("shingles"))).withColumn("bits", bits)
-        near = near.filter(F.col("similarity") >= similarity).select("doc_id", "item", "start", "similarity", "bits")
+        near = cut(near.select("key", "n", "first", "start", "item", bits.alias("bits")))
+        bag = numbered(F.slice("hs", F.col("start") - F.col("first") + 1, F.col("m")))
+        near = near.join(chunks.select("doc_id", "key", "n", "first", "m", "hs"), ["key", "n", "first"]).withColumn("own", bag)
+        near = near.select("doc_id", "item", "start", "bits", "own").join(part.select("item", "bag"), "item")
+        near = near.withColumn("similarity", weighted_jaccard(F.col("own"), F.col("bag"))).filter(F.col("similarity") >= similarity)
+        near = near.select("doc_id", "item", "start", "similarity", "bits")
         out = near if out is None else out.unionAll(near)
     if out is None:
         return spark.createDataFrame([], f"doc_id {kind[0]}, item_id {kind[1]}, similarity double, start_word int, bits int")
     best = out.groupBy("doc_id", "item").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("back"), "bits")).alias("top")
+        F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("bits")).alias("bits"))).alias("top")
     )
     same = ids.join(items.select("words", "item"), "words").select("item_id", "item").distinct()
     return best.join(same, "item").select(
         "doc_id", "item_id", F.col("top.similarity").alias("similarity"),
-        (-F.col("top.back")).alias("start_word"), F.col("top.bits").alias("bits"),
+        (-F.col("top.back")).alias("start_word"), (-F.col("top.bits")).alias("bits"),
     )
 
 
