@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators.graph import components, cut, scratch_path, shared_dir, ship
 
-__all__ = ["components", "cut", "normal_words", "read_table", "scratch_path", "shared_dir", "ship"]
+__all__ = ["components", "cut", "fresh", "normal_words", "read_table", "scratch_path", "shared_dir", "ship"]
 
 
 def normal_words(text: Column) -> Column:
@@ -18,6 +18,14 @@ def normal_words(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

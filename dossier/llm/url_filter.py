@@ -1,18 +1,23 @@
 """URL filter: host rules, and pattern rules found through their rarest literal token.
 
-A pattern rule names the literal tokens that every URL it can match holds.  The rule is
-filed under whichever of them is rarest among all URLs of the table, so the tokens of a URL
-fetch the few rules that could match, and only those run their regular expression.
+The literal tokens that every URL a pattern matches must hold as whole tokens are read off
+the pattern itself.  The rule is filed under whichever of them is rarest among all URLs of
+the table, so the tokens of a URL fetch the few rules that could match, and only those run
+their regular expression.  A pattern without such a token is a candidate of every URL.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.common import fresh
+
 # Host rules in the order given, (action, host, path).
 HOST_RULES = (
     ("block", "com", "/en/"),
@@ -23,29 +28,134 @@ HOST_RULES = (
 )
 
 
-@dataclass(frozen=True)
-class PatternRule:
-    """``tokens``: lower-case letter-digit runs, whole in every URL that ``pattern`` matches.
+def _closing(pattern: str, at: int) -> int:
+    """Place after the group, class, or single character that begins at ``at``; -1 if it isn't understood."""
+    c = pattern[at]
+    if c == "\\":
+        return at + 2 if at + 1 < len(pattern) else -1
+    if c == "[":
+        found = re.compile(r"\[\^?\]?(?:\\.|[^\]\[\\])*\]").match(pattern, at)
+        return found.end() if found else -1
+    if c == "(":
+        depth, here = 0, at
+        while 0 <= here < len(pattern):
+            if pattern[here] in "()":
+                depth += 1 if pattern[here] == "(" else -1
+                here += 1
+                if not depth:
+                    return here
+            else:
+                here = _closing(pattern, here)
+        return -1
+    return at + 1
+
+
+#: A character class of single characters, none a letter or digit; a dash stands first or last.
+_MARKS = re.compile(r"\[-?(?:\\[^\w\s]|[^\w\\\]\[^&-])+(?:(?:&(?!&)))?-?\]|\[(?:[?&]){1,2}\]", re.ASCII)
+
 
-    The pattern must force a boundary on both sides of each: after ``.*``, a word may be the end of a longer one.
+def _marks_only(piece: str) -> bool:
+    """Whether a class holds only ASCII characters that aren't letters or digits."""
+    return piece.isascii() and bool(_MARKS.fullmatch(piece))
+
+
+@functools.cache
+def whole_tokens(pattern: str) -> tuple[str, ...]:
+    """Lower-case letter-digit runs that stand as whole tokens in every text ``pattern`` matches.
+
+    Only what stands at the pattern's top level counts.  A run is whole if on both sides
+    stands the pattern's anchor, or a piece that must match and can match nothing but a mark.
+    An optional piece between is passed over if it is a mark or ends (begins) in one.
+    Whatever isn't understood, such as alternatives at the top level, ends a run and may hold
+    letters, so it takes tokens away and never adds one.
     """
+    flag = re.match(r"\(\?i\)", pattern)
+    pieces, at = [], flag.end() if flag else 0
+    if re.search(r"\(\?[a-zA-Z-]|\\[^\W_dDwWsSbBnrt]", pattern[at:], re.ASCII):  # flags, quotes, named parts
+        return ()
+    while at < len(pattern):
+        end = _closing(pattern, at)
+        if end < 0:
+            return ()
+        piece = pattern[at:end]
+        times = re.compile(r"(?:[*+?]|\{\d+(?:,\d*)?\})[?+]?").match(pattern, end)
+        if piece == "|":
+            return ()
+        pieces.append((piece, times.group() if times else ""))
+        at = times.end() if times else end
+
+    def side(piece: str, last: bool) -> str:
+        """What a piece shows at its end (or beginning): a mark, a word character, or anything."""
+        if piece in ("^", "$"):
+            return "mark"
+        if piece.startswith("["):
+            return "mark" if _marks_only(piece) else "any"
+        if piece.startswith("("):
+            inner = piece[3:-1] if piece.startswith("(?:") else piece[1:-1]
+            if inner.startswith("?") or not inner:
+                return "any"
+            parts, here = [], 0
+            while here < len(inner):
+                end = _closing(inner, here)
+                if end < 0 or inner[here] == "|":
+                    return "any"
+                parts.append(inner[here:end])
+                here = end
+            edge = parts[-1] if last else parts[0]
+            follows = parts[1] if len(parts) > 1 else ""
+            return "any" if edge in ("*", "+", "?", "}") or (not last and follows[:1] in ("*", "?", "{")) else side(edge, last)
+        if piece.startswith("\\"):
+            return "mark" if piece[1].isascii() and not piece[1].isalnum() else "any"
+        if piece.isascii() and piece.isalnum():
+            return "word"
+        return "mark" if piece.isascii() and piece not in (".", "*", "+", "?", "{", "}", ")") else "any"
+
+    def bounded(place: int, step: int) -> bool:
+        place += step
+        while 0 <= place < len(pieces):
+            piece, times = pieces[place]
+            if side(piece, step < 0) != "mark":
+                return False
+            if not times.startswith(("*", "?", "{0")):
+                return True
+            place += step
+        return False
+
+    found, start = [], None
+    for place, (piece, times) in enumerate([*pieces, ("", "")]):
+        word = len(piece) == 1 and side(piece, True) == "word" and not times
+        if word and start is None:
+            start = place
+        elif not word and start is not None:
+            if bounded(start, -1) and bounded(place - 1, 1):
+                found.append("".join(p for p, _ in pieces[start:place]).lower())
+            start = None
+    return tuple(dict.fromkeys(found))
+
+
+@dataclass(frozen=True)
+class PatternRule:
+    """A rule of an action (block or allow) and the regular expression that it is for."""
 
     action: str
     pattern: str
-    tokens: tuple[str, ...]
+
+    @property
+    def tokens(self) -> tuple[str, ...]:
+        return whole_tokens(self.pattern)
 
 
 PATTERN_RULES = (
-    PatternRule("block", r"(?i)^https?://([^/?#]*[.-])?ads-track\.", ("ads", "track")),
-    PatternRule("block", r"(?i)^https?://([^/?#]*\.)?cheap-pills\.", ("cheap", "pills")),
-    PatternRule("block", r"(?i)^https?://([^/?#]*\.)?free-bets\.", ("free", "bets")),
-    PatternRule("block", r"(?i)^https?://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
-    PatternRule("block", r"(?i)[/.-]casino[/.-]", ("casino",)),
-    PatternRule("block", r"(?i)[/.-]xxx[/.-]", ("xxx",)),
-    PatternRule("block", r"(?i)[?&]affiliate=[^&#]*", ("affiliate",)),
-    PatternRule("block", r"(?i)/wp-login\.php([?#]|$)", ("wp", "login", "php")),
-    PatternRule("block", r"(?i)/redirect\?.*url=https?%3a", ("redirect",)),
-    PatternRule("allow", r"(?i)^https?://([^/?#]*\.)?spam-farm\.[^/?#]+/(about|privacy)([/?#]|$)", ("spam", "farm")),
+    PatternRule("block", r"(?i)^https?://([^/?#]*[.-])?ads-track\."),
+    PatternRule("block", r"(?i)^https?://([^/?#]*\.)?cheap-pills\."),
+    PatternRule("block", r"(?i)^https?://([^/?#]*\.)?free-bets\."),
+    PatternRule("block", r"(?i)^https?://([^/?#]*\.)?spam-farm\."),
+    PatternRule("block", r"(?i)[/.-]casino[/.-]"),
+    PatternRule("block", r"(?i)[/.-]xxx[/.-]"),
+    PatternRule("block", r"(?i)[?&]affiliate=[^&#]*"),
+    PatternRule("block", r"(?i)/wp-login\.php([?#]|$)"),
+    PatternRule("block", r"(?i)/redirect\?.*url=https?%3a"),
+    PatternRule("allow", r"(?i)^https?://([^/?#]*\.)?spam-farm\.[^/?#]+/(about|privacy)([/?#]|$)"),
 )
 #: Most rules that are carried inside the plan as literals.
 MAX_RULES = 2_000
@@ -86,32 +196,34 @@ def host_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
 
 
 def rare_tokens(pages: DataFrame, rules: Sequence[PatternRule], url_col: str = "url") -> dict[str, list[int]]:
-    """Rule numbers by the rarest of their tokens, counted over all URLs.
+    """Rule numbers by the rarest of their tokens, counted over all URLs; under ``""`` those without any.
 
     The counts are of the rules' own tokens, combined before the shuffle, so as many rows
     as the rules have tokens come back.  Ties go to the longer token, then by its letters.
     """
     named = sorted({t for rule in rules for t in rule.tokens})
     found = pages.select(F.explode(F.array_intersect(tokens(F.col(url_col)), F.lit(named).cast("array<string>"))).alias("t"))
-    seen = {row["t"]: row["n"] for row in found.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = {row["t"]: row["n"] for row in found.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()} if named else {}
     index: dict[str, list[int]] = {}
     for number, rule in enumerate(rules):
-        least = min(rule.tokens, key=lambda t: (seen.get(t, 0), -len(t), t))
+        least = min(rule.tokens, key=lambda t: (seen.get(t, 0), -len(t), t), default="")
         index.setdefault(least, []).append(number)
     return index
 
 
 def candidates(url: Column, rules: Sequence[PatternRule], index: dict[str, list[int]]) -> Column:
-    """The rules that the URL's tokens fetch from the index: ``array<struct<action, pattern>>``."""
-    files = F.map_from_arrays(
-        F.array(*[F.lit(token) for token in index]),
-        F.array(*[
-            F.array(*[F.struct(F.lit(rules[n].action).alias("action"), F.lit(rules[n].pattern).alias("pattern")) for n in numbers])
-            for numbers in index.values()
-        ]),
-    )
-    present = F.array_intersect(tokens(url), F.array(*[F.lit(token) for token in index]))
-    return F.flatten(F.transform(present, lambda t: F.element_at(files, t)))
+    """The rules that the URL's tokens fetch from the index, and those of no token: ``array<struct<action, pattern>>``."""
+
+    def filed(numbers: Sequence[int]) -> Column:
+        return F.array(*[F.struct(F.lit(rules[n].action).alias("action"), F.lit(rules[n].pattern).alias("pattern")) for n in numbers])
+
+    always = filed(index.get("", ())).cast("array<struct<action:string,pattern:string>>")
+    named = {token: numbers for token, numbers in index.items() if token}
+    if not named:
+        return always
+    files = F.map_from_arrays(F.array(*[F.lit(token) for token in named]), F.array(*[filed(numbers) for numbers in named.values()]))
+    present = F.array_intersect(tokens(url), F.array(*[F.lit(token) for token in named]))
+    return F.concat(F.flatten(F.transform(present, lambda t: F.element_at(files, t))), always)
 
 
 def _fires(action: str, text: Column) -> Callable[[Column], Column]:
@@ -124,30 +236,30 @@ def judge(
     host_rules: Sequence[tuple[str, str, str]] = HOST_RULES,
     pattern_rules: Sequence[PatternRule] = PATTERN_RULES,
 ) -> DataFrame:
-    """All columns and ``host``, ``path``, ``rule``, ``verdict``; columns of those names are replaced.
+    """All columns and ``host``, ``path``, ``rule``, ``verdict``; only columns of those names are replaced.
 
     The verdict is the host rule's, else that of the pattern rules.  A null URL, or one
     without ``://``, has an empty host and path, no rule, and is judged by its tokens
-    alone.  Rows map one to one.  Beyond ``MAX_RULES`` pattern rules they are applied in
-    slices of that size, one after the other over the same row.
+    alone.  Rows map one to one, repeated ones too; no pages give no rows.  Beyond
+    ``MAX_RULES`` pattern rules they are applied in slices of that size, one after the
+    other over the same row.
     """
     url = F.col(url_col)
-    out = pages.withColumns({"__h": host_of(url), "__p": path_of(url)})
-    out = out.withColumn("__r", host_rule(F.col("__h"), F.col("__p"), host_rules))
+    host, path, rule = (fresh(pages, name) for name in ("host_", "path_", "rule_"))
+    out = pages.withColumns({host: host_of(url), path: path_of(url)})
+    out = out.withColumn(rule, host_rule(F.col(host), F.col(path), host_rules))
     text = F.coalesce(url, F.lit(""))
     hit = {"block": F.lit(False), "allow": F.lit(False)}
+    own = []
     for at in range(0, len(pattern_rules), MAX_RULES):
         part = list(pattern_rules[at : at + MAX_RULES])
-        name = f"__c{at}"
-        out = out.withColumn(name, candidates(url, part, rare_tokens(pages, part, url_col)))
+        own.append(fresh(pages, f"rules_{at}_"))
+        out = out.withColumn(own[-1], candidates(url, part, rare_tokens(pages, part, url_col)))
         for action in hit:
-            hit[action] = hit[action] | F.exists(name, _fires(action, text))
+            hit[action] = hit[action] | F.exists(own[-1], _fires(action, text))
     method = F.when(hit["block"] & ~hit["allow"], "block").otherwise("allow")
-    return out.withColumns(
-        {
-            "host": F.col("__h"),
-            "path": F.col("__p"),
-            "rule": F.col("__r.rule"),
-            "verdict": F.coalesce(F.col("__r.action"), method),
-        }
-    ).drop("__h", "__p", "__r", *[f"__c{at}" for at in range(0, len(pattern_rules), MAX_RULES)])
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(
+        *[F.col(f"`{c}`") for c in kept], F.col(host).alias("host"), F.col(path).alias("path"),
+        F.col(f"{rule}.rule").alias("rule"), F.coalesce(F.col(f"{rule}.action"), method).alias("verdict"),
+    )

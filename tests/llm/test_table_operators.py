@@ -168,25 +168,43 @@ def test_urls_under_every_choice_of_token(spark, monkeypatch):
         assert url_filter.judge(df).filter("verdict = 'block'").count() == 1
 
 
-def slow_leaks(docs, items):
-    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
-    out = {}
-    for d, text in docs:
-        w = words(text)
-        for k, item in items:
-            v = words(item)
-            if not v or not w:
-                continue
-            b, best = bag(v), None
-            for s in range(max(1, len(w) - len(v) + 1)):
-                a = bag(w[s : s + len(v)])
-                j = sum((a & b).values()) / sum((a | b).values())
-                if best is None or j > best[0]:
-                    best = (j, s)
-            if best[0] >= 0.8:
-                out[d, k] = best
-    return out
+PIECES = ("ab", "x1", "Q", "/", r"\.", "-", "[/.-]", "[?&]", "[^/]", "[a-z]", ".", ".*", "s?", "/?", "-*", "(/|z)", "([^/]*\\.)?", "(a-)?", "(-a)?", "[&-]+", "z{2}", "^", "$", "=", r"\w", r"\b", "(?:-)", "%3a")
+
+
+def test_tokens_are_implied_by_the_pattern():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(("ab", "x1", "q", "/", ".", "-", "?", "&", "z", "a", "s", "=", "%3a"), k=rng.randrange(1, 9))) for _ in range(3000)]
+    named = 0
+    for _ in range(4000):
+        pattern = rng.choice(("", "(?i)")) + "".join(rng.choices(PIECES, k=rng.randrange(1, 7)))
+        held = url_filter.whole_tokens(pattern)
+        named += bool(held)
+        for text in texts if held else ():
+            if re.search(pattern, text):
+                assert set(held) <= set(re.split("[^a-z0-9]+", text.lower())), (pattern, text)
+    assert named > 100
+    for odd in (r"/a|b/", r"(?i)/a(?x)/ # /b/", r"(x)/\k<name>/", r"/\Qa\E/", "/abc", "/(abc/", "/a[", r"[+-z]abc/", "/abc(?=/)", "/abc()/"):
+        assert url_filter.whole_tokens(odd) == ()
+    assert url_filter.whole_tokens(r"(?i)^https?://([^/?#]*[.-])?ADS-track\.") == ("ads", "track")
+
+
+def test_hundreds_of_rules_like_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    shapes = (r"/{}/", r"(?i)[/.-]{}[/.-]", r"[?&]{}=", r"{}", r"^https?://([^/?#]*\.)?{}\.", r"/{}-{}\.", r"\.{}([/?#]|$)", r"/{}\?.*{}=1")
+    rules = [url_filter.PatternRule(rng.choice(("block", "block", "allow")), rng.choice(shapes).format(rng.choice(words), rng.choice(words))) for _ in range(400)]
+    urls = [f"http://{rng.choice(words)}.{rng.choice(words)}/{rng.choice(words)}{rng.choice('/-.?')}{rng.choice(words)}{rng.choice(['', '/', '=1', '.x'])}" for _ in range(300)]
+    assert sum(not r.tokens for r in rules) > 10 and sum(len(r.tokens) > 0 for r in rules) > 200
+    got = {r.url: r.verdict for r in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), pattern_rules=rules).collect()}
+    assert got == {u: slow_url(u, rules)[3] for u in urls} and set(got.values()) == {"block", "allow"}
+
+
+def test_urls_keep_other_columns(spark):
+    names = ["url", "host", "host_", "path_", "rule_", "rules_0_", "__h", "HOST__"]
+    df = spark.createDataFrame([("http://a.fr/casino/", *names[1:])] * 2, ", ".join(f"{n} string" for n in names))
+    out = url_filter.judge(df)
+    assert out.columns == ["url", "host_", "path_", "rule_", "rules_0_", "__h", "HOST__", "host", "path", "rule", "verdict"]
+    assert [tuple(r)[1:7] for r in out.collect()] == [tuple(names[2:])] * 2
 
 
 def altered(rng, own, vocabulary):
