@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import secret_scan, url_filter
+from dossier.llm import chat_format, secret_scan, url_filter
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
@@ -63,19 +63,29 @@ SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
     (bits[5*q+1]*16 + bits[5*q+2]*8 + bits[5*q+3]*4 + bits[5*q+4]*2 + bits[5*q+5] + 1)::BIGINT, 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
 
-CHATS = r"""WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+CHATS = rf"""WITH d AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
-u AS (SELECT pair_id, turn, role, text, min(side) = 0 AS c, max(side) = 1 AS r FROM t GROUP BY ALL),
+a AS (SELECT conv_id, last_turn, max(text) AS answer FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM d WHERE role = 'assistant') WHERE turn = last_turn GROUP BY ALL),
+e AS (SELECT a.conv_id, a.last_turn, b.answer FROM a JOIN a b ON b.conv_id = xor(a.conv_id, 1)),
+t AS (SELECT conv_id, 0 AS side, turn, role, text FROM d JOIN e USING (conv_id) WHERE turn <= last_turn
+  UNION ALL SELECT conv_id, 1, turn, role, text FROM d JOIN e USING (conv_id) WHERE turn < last_turn UNION ALL SELECT conv_id, 1, last_turn, 'assistant', answer FROM e),
+u AS (SELECT conv_id AS pair_id, turn, role, text, min(side) = 0 AS c, max(side) = 1 AS r FROM t GROUP BY ALL),
 x AS (SELECT pair_id, min(turn) AS parts_at FROM u WHERE NOT (c AND r) GROUP BY 1),
-w AS (SELECT u.*, parts_at IS NULL OR turn < parts_at AS shared, greatest(turn, 0) // 1024 AS block,
+h AS (SELECT u.*, parts_at IS NULL OR turn < parts_at AS shared,
   '<|' || role || '|>' || chr(10) AS head, replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body FROM u LEFT JOIN x USING (pair_id)),
+k AS (SELECT pair_id, turn, dense_rank() OVER (PARTITION BY pair_id ORDER BY step) - 1 AS block FROM (
+  SELECT pair_id, turn, (sum(n) OVER (PARTITION BY pair_id ORDER BY turn) - n)::BIGINT // {chat_format.MOST} AS step
+  FROM (SELECT pair_id, turn, sum(length(head) + length(body)) AS n FROM h GROUP BY ALL))),
+w AS (SELECT * FROM h JOIN k USING (pair_id, turn)),
 v AS (SELECT w.*, part FROM w, (VALUES ('prompt'), ('chosen'), ('rejected')) parts(part)
   WHERE CASE part WHEN 'prompt' THEN shared WHEN 'chosen' THEN c AND NOT shared ELSE r AND NOT shared END),
-s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, block, part ORDER BY turn, role, text) AS e FROM v),
+s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, part ORDER BY turn, role, text) AS e FROM v),
 g AS (SELECT pair_id, block, part, count(*) AS n, string_agg(head || body, '' ORDER BY turn, role, text) AS txt,
-  string_agg((e - length(body)) || ':' || e, ',' ORDER BY turn, role, text) FILTER (role = 'assistant') AS msk FROM s GROUP BY ALL)
-SELECT pair_id, block, coalesce(max(n) FILTER (part = 'prompt'), 0)::INT AS n_prompt_turns, coalesce(max(txt) FILTER (part = 'prompt'), '') AS prompt,
+  string_agg((e - length(body)) || ':' || e, ',' ORDER BY turn, role, text) FILTER (role = 'assistant') AS msk FROM s GROUP BY ALL),
+o AS (SELECT pair_id, block, coalesce(max(n) FILTER (part = 'prompt'), 0) AS n, coalesce(max(txt) FILTER (part = 'prompt'), '') AS prompt,
   coalesce(max(txt) FILTER (part = 'chosen'), '') AS chosen, coalesce(max(msk) FILTER (part = 'chosen'), '') AS chosen_mask,
-  coalesce(max(txt) FILTER (part = 'rejected'), '') AS rejected, coalesce(max(msk) FILTER (part = 'rejected'), '') AS rejected_mask FROM g GROUP BY ALL"""
+  coalesce(max(txt) FILTER (part = 'rejected'), '') AS rejected, coalesce(max(msk) FILTER (part = 'rejected'), '') AS rejected_mask FROM g GROUP BY ALL)
+SELECT pair_id, block, max(block) OVER (PARTITION BY pair_id) + 1 AS blocks, (sum(n) OVER (PARTITION BY pair_id))::BIGINT AS n_prompt_turns,
+  prompt, chosen, chosen_mask, rejected, rejected_mask FROM o"""
 
 ORACLE_SQL = {"op2_secret_scan": SECRETS, "op3_chat_format": CHATS, "op8_url_filter": URLS, "op9_warc": ARCHIVES}

@@ -36,7 +36,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.preferences(chat_format.pair_up(read_table(spark, sf_dir, "conversations")))
+    return chat_format.preferences(chat_format.swap_answers(read_table(spark, sf_dir, "conversations")))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,44 +265,80 @@ def test_leaks_of_odd_rows(spark):
 
 
 def slow_preferences(rows):
+    """``rows``: (pair, side, turn, role, text), side 0 chosen and 1 rejected."""
     pairs = collections.defaultdict(lambda: {0: collections.defaultdict(set), 1: collections.defaultdict(set)})
-    for conv, turn, role, text in rows:
-        if conv is not None:
-            pairs[conv // 2][conv % 2][-1 if turn is None else turn].add((role or "", text or ""))
+    for pair, side, turn, role, text in rows:
+        pairs[pair][side][-1 if turn is None else turn].add((role or "", text or ""))
     out = {}
     for p, sides in pairs.items():
+        if not sides[0] or not sides[1]:
+            continue
         turns = sorted({*sides[0], *sides[1]})
         parts = next((t for t in turns if sides[0].get(t) != sides[1].get(t)), None)
-        text, mask = {}, {}
+        text, mask, n = {}, {}, 0
         for name, side in (("prompt", sides[0]), ("chosen", sides[0]), ("rejected", sides[1])):
             s, spans = "", []
             for t in turns:
                 if (name == "prompt") == (parts is None or t < parts):
                     for role, body in sorted(side.get(t, ())):
+                        n += name == "prompt"
                         s += f"<|{role}|>\n"
                         end = body.replace("<|", "< |") + "<|end|>\n"
                         if role == "assistant":
                             spans.append(f"{len(s)}:{len(s) + len(end)}")
                         s += end
             text[name], mask[name] = s, ",".join(spans)
-        out[p] = (text["prompt"], text["chosen"], mask["chosen"], text["rejected"], mask["rejected"])
+        out[p] = (n, text["prompt"], text["chosen"], mask["chosen"], text["rejected"], mask["rejected"])
+    return out
+
+
+def slow_swap(rows):
+    turns, last = collections.defaultdict(list), {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own = (-1 if turn is None else turn, role or "", text or "")
+            turns[conv].append(own)
+            if role == "assistant":
+                last[conv] = max(last.get(conv, own), own, key=lambda o: (o[0], o[2]))
+    out = []
+    for conv in turns:
+        if conv in last and conv ^ 1 in last:
+            at = last[conv][0]
+            out += [(conv, 0, *o) for o in turns[conv] if o[0] <= at] + [(conv, 1, *o) for o in turns[conv] if o[0] < at]
+            out.append((conv, 1, at, "assistant", last[conv ^ 1][2]))
+    return out
+
+
+def rebuilt(rows):
+    """Pairs from rows, the texts and masks of several blocks joined in order."""
+    out = {}
+    for pair in {r.pair_id for r in rows}:
+        own = sorted((r for r in rows if r.pair_id == pair), key=lambda r: r.block)
+        assert [r.block for r in own] == list(range(own[0].blocks)) and len({r.n_prompt_turns for r in own}) == 1
+        parts = [("" if "mask" not in c else ",").join(filter(None, (r[c] for r in own))) for c in ("prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")]
+        out[pair] = (own[0].n_prompt_turns, *parts)
     return out
 
 
 def test_preferences_like_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     talk = [(0, "user", "hi <|x|>"), (1, "assistant", "hello"), (2, "user", "why"), (3, "assistant", "bécause")]
-    for conv, turns in ((900, talk), (901, talk[:3] + [(3, "assistant", "dunno")]), (902, talk), (903, talk), (904, talk), (905, talk[:2]), (906, talk)):
+    sparse = [(5_000 * t, role, text) for t, role, text in talk]
+    for conv, turns in ((900, talk), (901, talk[:3] + [(3, "assistant", "dunno")]), (902, talk), (903, talk), (904, talk), (905, talk[:2]), (906, talk),
+                        (910, sparse), (911, sparse[:3] + [(9_000_000_000, "assistant", "late")]), (-2, talk), (-1, talk[:2])):
         rows += [(conv, *t) for t in turns]
-    rows += [(900, 0, "user", "hi <|x|>"), (908, None, None, None), (908, 1, "assistant", "b"), (908, 1, "assistant", "a"), (None, 0, "user", "x")]
-    schema = "conv_id long, turn long, role string, text string, side string, head string"
-    df = spark.createDataFrame([(*r, "s", "h") for r in rows], schema)
-    got = {r.pair_id: (r.prompt, r.chosen, r.chosen_mask, r.rejected, r.rejected_mask) for r in chat_format.preferences(chat_format.pair_up(df)).collect()}
-    assert got == slow_preferences(rows)
-    assert got[450][0].count("<|end|>") == 3 and got[451][1] == ""
-    blocks = chat_format.preferences(chat_format.pair_up(df), block=2).collect()
-    assert "".join(r.prompt for r in sorted(blocks, key=lambda r: r.block) if r.pair_id == 450) == got[450][0]
-    assert chat_format.preferences(chat_format.pair_up(df.limit(0))).count() == 0
+    rows += [(900, 0, "user", "hi <|x|>"), (908, None, None, None), (908, 1, "assistant", "b"), (908, 1, "assistant", "a"), (909, 0, "assistant", None), (None, 0, "user", "x")]
+    schema = "conv_id long, turn long, role string, text string, side string, head string, block int, size string, part string"
+    df = spark.createDataFrame([(*r, "s", "h", 7, "z", "p") for r in rows], schema)
+    paired = slow_preferences([(c // 2, c % 2, *r) for c, *r in rows if c is not None])
+    swapped = slow_preferences(slow_swap(rows))
+    for most in (chat_format.MOST, 30):
+        for pairs, want in ((chat_format.pair_up(df), paired), (chat_format.swap_answers(df), swapped)):
+            got = chat_format.preferences(pairs, most=most).collect()
+            assert rebuilt(got) == want and (len(got) == len(want)) == (most > 30)
+    assert paired[450][0] == 3 and paired[451][2] == "" and 453 not in paired and paired[455][0] == 3 and swapped[908][1].startswith("<||>\n<|end|>")
+    assert max(n for n, *_ in swapped.values()) > 5 and set(swapped) >= {-2, -1, 910, 911}
+    assert chat_format.preferences(chat_format.pair_up(df.limit(0))).count() == chat_format.preferences(chat_format.swap_answers(df.limit(0))).count() == 0
 
 
 def test_archives_round_trip(spark):
