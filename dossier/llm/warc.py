@@ -38,9 +38,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(page_id: Column, part: str) -> Column:
-    """A record's URI, the same whenever and wherever the page is written."""
-    h = F.md5(F.concat(F.lit(part + ":"), F.coalesce(page_id.cast("string"), F.lit("null"))))
+def record_id(page_id: Column, digest: Column, part: str) -> Column:
+    """A record's URI, the same whenever and wherever this payload of the page is written."""
+    h = F.md5(F.concat_ws(":", F.lit(part), digest, F.coalesce(page_id.cast("string"), F.lit("null"))))
     groups = [F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *groups), F.lit(">"))
 
@@ -57,23 +57,26 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Adds ``payload``, ``payload_bytes``, ``payload_digest``, ``first_id`` (null unless a revisit).
 
     Of pages with equal payloads of at least ``least_bytes`` the smallest page_id is the
-    response.  The smallest id of each payload is combined before the shuffle, and joined
-    back by an equi-join that adaptive execution splits where one payload is common.
+    response.  The smallest id of each payload is combined before the shuffle, and only
+    payloads that occur more than once are kept: one narrow row each, written, so that their
+    measured size decides whether they are broadcast.  Beyond that size the pages are joined
+    to them by digest, and adaptive execution splits a payload that is common.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select(
         "page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"),
         base32_sha1(payload).alias("payload_digest"),
     )
-    firsts = own.groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    later = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return own.join(firsts, "payload_digest").withColumn("first_id", F.when(later, F.col("first"))).drop("first")
+    firsts = own.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
+    firsts = cut(firsts.agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    later = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    return own.join(firsts, "payload_digest", "left").withColumn("first_id", later).drop("first")
 
 
 def records_of(pages: DataFrame, date: str = DEFAULT_DATE) -> DataFrame:
     """One row a page: ``record``, its three WARC records as text."""
-    page = F.col("page_id")
-    own = record_id(page, "capture")
+    page, digest = F.col("page_id"), F.col("payload_digest")
+    own = record_id(page, digest, "capture")
     target = F.regexp_replace(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", "%0A")
     revisit = F.col("first_id").isNotNull()
     http = F.concat(
@@ -88,7 +91,7 @@ def records_of(pages: DataFrame, date: str = DEFAULT_DATE) -> DataFrame:
             ("WARC-Record-ID", own),
             *common,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-            ("WARC-Refers-To", F.when(revisit, record_id(F.col("first_id"), "capture"))),
+            ("WARC-Refers-To", F.when(revisit, record_id(F.col("first_id"), digest, "capture"))),
             ("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
             ("Content-Type", F.lit("application/http;msgtype=response")),
         ],
@@ -98,14 +101,14 @@ def records_of(pages: DataFrame, date: str = DEFAULT_DATE) -> DataFrame:
     host = F.regexp_extract(F.coalesce(target, F.lit("")), r"^[^:/?#]+://([^/?#]*)", 1)
     request = _record(
         [
-            ("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id(page, "request")), *common,
+            ("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id(page, digest, "request")), *common,
             ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http;msgtype=request")),
         ],
         F.concat(F.lit("GET "), F.when(place == "", "/").otherwise(place), F.lit(f" HTTP/1.1{EOL}Host: "), host, F.lit(GAP)),
     )
     metadata = _record(
         [
-            ("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id(page, "metadata")), *common,
+            ("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id(page, digest, "metadata")), *common,
             ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields")),
         ],
         F.concat_ws(
@@ -284,10 +287,10 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write all pages as archives, read them back, and return one row a page.
 
     Columns: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``,
-    ``refers_to``.  The digest of a response is taken from the payload read back.  Null html
-    is the empty payload; a null url leaves out the target; rows that repeat a page_id stay
-    rows of their own; a null page_id comes back null; other columns are ignored; no pages
-    give no rows.
+    ``refers_to``.  Bytes and digest are those of the payload read back, of a revisit those
+    of the response that it refers to.  Null html is the empty payload; a null url leaves out
+    the target; rows that repeat a page_id stay rows of their own, each with its own payload;
+    a null page_id comes back null; other columns are ignored; no pages give no rows.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
@@ -297,11 +300,17 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     rows = assemble(records).select(
         "capture_id",
         field(F.col("metadata.block"), "page-id").cast(id_type).alias("page_id"),
-        field(F.col("metadata.block"), "payload-bytes").cast("long").alias("payload_bytes"),
-        F.coalesce("response.payload_sha1", "response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        F.col("response.refers_to").alias("to"),
+        F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_sha1").alias("sha1"),
+        F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"),
     )
     rows = cut(rows)
-    named = rows.filter("record_type = 'response'").groupBy(F.col("capture_id").alias("to")).agg(F.min("page_id").alias("refers_to"))
-    return rows.join(named, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # Only responses that are referred to are joined, so their measured size decides how.
+    sought = rows.filter("record_type = 'revisit'").select("to").distinct()
+    named = rows.filter("record_type = 'response'").groupBy(F.col("capture_id").alias("to")).agg(
+        F.min("page_id").alias("refers_to"), F.min("bytes").alias("to_bytes"), F.min("sha1").alias("to_sha1")
+    )
+    named = cut(named.join(sought, "to", "left_semi"))
+    return rows.join(named, "to", "left").select(
+        "page_id", F.coalesce("bytes", "to_bytes").alias("payload_bytes"), F.coalesce("sha1", "to_sha1").alias("payload_digest"),
+        "record_type", "refers_to",
+    )

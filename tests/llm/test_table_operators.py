@@ -344,6 +344,7 @@ def test_preferences_like_brute_force(spark):
 def test_archives_round_trip(spark):
     html = ["<p>a</p>", "<p>a</p>", None, "", "é\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n", "x" * 3_000_000, "<p>a</p>"]
     rows = [(10 - i, "http://h.de/p?q\r\nX" if i else None, h, "t") for i, h in enumerate(html)] + [(None, "u", "lone", "t"), (3, "again", "x", "t"), (3, "again", "x", "t")]
+    rows += [(3, "again", "abc", "t"), (3, "again", "abcdefgh", "t"), (3, "again", "é😀", "t"), (12, "v", "abcdefgh", "t"), (12, "v", "abc", "t"), (2, "v", "abc", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, type string").repartition(3)
     got = collections.Counter(tuple(r) for r in warc.round_trip(df).collect())
     first = {}
