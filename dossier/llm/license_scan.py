@@ -1,11 +1,15 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
 The classifier is a sparse multinomial logistic regression over the word 1- and 2-grams a
-paragraph holds.  It is trained on the driver, in a second or so, from the notices below,
-altered at random, against prose and against texts that speak of rights but belong to no
-family; those make up the class ``unknown``.  Its temperature and the probability that a
-family must reach are set on texts kept out of the training.  A predicted family is confirmed if
-the paragraph holds enough of the 2-grams of one of the family's templates.
+paragraph holds.  It is trained on the driver, in a few seconds, from public notices and
+names of licences set into phrases, altered at random, against prose, texts that speak of
+rights, and other licences; those make up the class ``unknown``.  Its temperature, and the
+probability against ``unknown`` that a family must reach, are set on held-out wordings:
+phrases, names, notices and other licences that the training never sees.
+
+A predicted family is confirmed if the paragraph holds enough of the grams of one of the
+family's templates, at least one of the grams that decide its version or number of clauses,
+and none that speak for a sibling.  A paragraph may name several families.
 
 Scoring is built-in expressions over literals: weights are whole numbers, so sums are
 exact.  A paragraph is scored only if it holds one of the model's anchor words.  They are
@@ -24,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import normal_words
+from dossier.llm.common import fresh, normal_words
 
 UNKNOWN = "unknown"
 SCALE = 1 << 16
@@ -49,9 +53,13 @@ TEMPLATES = {
         "BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Licensed under the BSD 3-Clause License.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
+    "bsd-2-clause": [
+        "BSD 2-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS",
+        "Licensed under the Simplified BSD License.",
+    ],
     "cc-by-4.0": [
         "Creative Commons Attribution 4.0 International",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -62,13 +70,26 @@ TEMPLATES = {
         "Creative Commons Attribution-NonCommercial 4.0 International",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
-        "Released under a Creative Commons BY-NC license, noncommercial use only.",
+    ],
+    "cc-by-nc-nd-4.0": [
+        "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-NC-ND 4.0.",
+    ],
+    "cc-by-nc-sa-4.0": [
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-NC-SA 4.0.",
+    ],
+    "cc-by-nd-4.0": [
+        "Creative Commons Attribution-NoDerivatives 4.0 International",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-ND 4.0.",
     ],
     "cc-by-sa-4.0": [
         "Creative Commons Attribution-ShareAlike 4.0 International",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
-        "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.",
     ],
     "cc0-1.0": [
         "CC0 1.0 Universal",
@@ -94,6 +115,11 @@ TEMPLATES = {
         "Licensed under the ISC License.",
         "SPDX-License-Identifier: ISC",
     ],
+    "lgpl-2.1": [
+        "GNU Lesser General Public License Version 2.1, February 1999",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+    ],
     "lgpl-3.0": [
         "GNU Lesser General Public License Version 3, 29 June 2007",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
@@ -121,6 +147,79 @@ TEMPLATES = {
     ],
 }
 
+# Names of the families; the second list is kept out of the training.
+NAMES = {
+    "agpl-3.0": (["GNU AGPL v3", "AGPLv3", "AGPL-3.0-only", "Affero General Public License v3.0", "AGPL version 3"], ["GNU Affero GPL version 3", "AGPL 3.0 licence"]),
+    "apache-2.0": (["Apache License 2.0", "Apache 2.0 license", "Apache-2.0", "Apache 2.0", "Apache License v2.0", "Apache 2", "Apache licence 2.0", "Apache license, version 2"], ["Apache Software License, version 2.0", "Apache-2.0 licence", "Apache v2 license"]),
+    "bsd-2-clause": (["BSD-2-Clause", "2-clause BSD license", "BSD 2-Clause licence", "Simplified BSD License", "two-clause BSD license"], ["BSD 2-clause \"Simplified\" license", "FreeBSD License", "2-clause BSD licence"]),
+    "bsd-3-clause": (["BSD-3-Clause", "3-clause BSD license", "BSD 3-Clause licence", "New BSD License", "three-clause BSD license", "Modified BSD License"], ["BSD 3-clause \"New\" or \"Revised\" license", "Revised BSD License", "3-clause BSD licence"]),
+    "cc-by-4.0": (["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0", "Creative Commons BY 4.0"], ["Creative Commons Attribution 4.0 licence", "CC-BY 4.0 International"]),
+    "cc-by-nc-4.0": (["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0", "Creative Commons BY-NC 4.0", "Creative Commons Attribution Non-Commercial 4.0"], ["CC BY NC 4.0 licence", "CC-BY-NC 4.0 International"]),
+    "cc-by-nc-nd-4.0": (["CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0", "Creative Commons BY-NC-ND 4.0"], ["CC BY NC ND 4.0 licence", "CC-BY-NC-ND 4.0 International"]),
+    "cc-by-nc-sa-4.0": (["CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0", "Creative Commons BY-NC-SA 4.0"], ["CC BY NC SA 4.0 licence", "CC-BY-NC-SA 4.0 International"]),
+    "cc-by-nd-4.0": (["CC BY-ND 4.0", "CC-BY-ND-4.0", "Creative Commons BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0"], ["CC BY ND 4.0 licence", "CC-BY-ND 4.0 International"]),
+    "cc-by-sa-4.0": (["CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0", "Creative Commons BY-SA 4.0", "Creative Commons Attribution Share-Alike 4.0"], ["CC BY SA 4.0 licence", "CC-BY-SA 4.0 International"]),
+    "cc0-1.0": (["CC0", "CC0 1.0", "CC0-1.0", "Creative Commons Zero 1.0", "CC0 public domain dedication", "Creative Commons Zero"], ["CC0 waiver", "Creative Commons CC0 licence"]),
+    "gpl-2.0": (["GPLv2", "GNU GPL v2", "GPL-2.0", "GPL version 2", "GNU General Public License v2", "GPL-2.0-or-later", "GNU General Public Licence, version 2", "GNU GPL version 2 or later", "GPL 2"], ["GNU GPL 2.0", "GPL v2 licence", "General Public License v2.0"]),
+    "gpl-3.0": (["GPLv3", "GNU GPL v3", "GPL-3.0", "GPL version 3", "GNU General Public License v3", "GPL-3.0-only", "GNU General Public Licence, version 3", "GNU GPL version 3 or later", "GPL 3"], ["GNU GPL 3.0", "GPL v3 licence", "General Public License v3.0"]),
+    "isc": (["ISC", "ISC license", "ISC licence", "Internet Systems Consortium license"], ["ISC-style license", "Internet Systems Consortium (ISC) licence"]),
+    "lgpl-2.1": (["LGPLv2.1", "GNU LGPL v2.1", "LGPL-2.1", "LGPL version 2.1", "GNU Lesser General Public License v2.1", "LGPL-2.1-or-later", "GNU LGPL 2.1"], ["LGPL v2.1 licence", "Lesser GPL version 2.1"]),
+    "lgpl-3.0": (["LGPLv3", "GNU LGPL v3", "LGPL-3.0", "LGPL version 3", "GNU Lesser General Public License v3", "LGPL-3.0-only", "GNU LGPL 3"], ["LGPL v3 licence", "Lesser GPL version 3"]),
+    "mit": (["MIT License", "MIT licence", "MIT/X11 license", "Expat license", "MIT or Apache", "X11 license", "or MIT"], ["MIT (Expat) license", "MIT-style permissive license", "or MIT licence"]),
+    "mpl-2.0": (["MPL 2.0", "MPL-2.0", "MPLv2", "Mozilla Public License 2.0", "Mozilla Public Licence, version 2.0", "MPL v2.0", "Mozilla Public License v2"], ["MPL 2.0 licence", "MPL version 2"]),
+    "unlicense": (["Unlicense", "The Unlicense", "Unlicense license"], ["Unlicense (public domain)"]),
+}
+
+# Phrases that put a work under a licence; the second list is kept out of the training.
+PHRASES = (
+    ["{}", "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This project is licensed under the {}.", "License: {}",
+     "SPDX-License-Identifier: {}", "This work is licensed under the {}.", "under the terms of the {}", "This file is part of a library under {}; see COPYING."],
+    ["Distributed under the {}.", "The code is available under the {}.", "Published under {}.", "You may use it under the {}.", "Copyright 2020 the authors, {}."],
+)
+
+# Licences that belong to none of the families; the second list is kept out of the training.
+OTHERS = (
+    ["Eclipse Public License 2.0", "zlib License", "Boost Software License 1.0", "SIL Open Font License 1.1", "Python Software Foundation License",
+     "Academic Free License 3.0", "CDDL 1.0", "Microsoft Public License", "GNU Free Documentation License 1.3", "Open Database License 1.0", "NASA Open Source Agreement 1.3"],
+    ["Artistic License 2.0", "PostgreSQL License", "EUPL 1.2", "WTFPL", "Sleepycat License", "Common Public License 1.0", "Ruby License", "OpenSSL License"],
+)
+
+_GNU = ("affero", "agpl", "agplv3", "lesser", "lgpl", "lgplv3", "lgplv2", "library general")
+
+
+def _versions(number: str, *names: str) -> tuple[str, ...]:
+    """Grams that state a version: after a word such as ``version``, or joined to a name."""
+    after = ("version", "license", "licence", "v", *names)
+    return tuple(f"{w} {number}" for w in after) + (f"v{number}",) + tuple(f"{n}v{number}" for n in names)
+
+
+_NC = ("nc", "noncommercial", "non commercial")
+_SA = ("sa", "sharealike", "share alike")
+_ND = ("nd", "noderivatives", "no derivatives")
+#: Of each of the first groups of grams a paragraph must hold one, of the last group none,
+#: for the family to be confirmed.
+DECIDING: dict[str, tuple[tuple[tuple[str, ...], ...], tuple[str, ...]]] = {
+    "agpl-3.0": ((_versions("3", "agpl", "gpl"), ("affero", "agpl", "agplv3")), ()),
+    "apache-2.0": ((_versions("2", "apache"), ("apache",)), ()),
+    "bsd-2-clause": ((("2 clause", "two clause", "simplified bsd", "bsd 2", "freebsd license", "freebsd licence", "reproduce the"),), ("3 clause", "three clause", "neither the", "endorse or")),
+    "bsd-3-clause": ((("3 clause", "three clause", "new bsd", "modified bsd", "revised bsd", "neither the", "endorse or"),), ("2 clause", "two clause")),
+    "cc-by-4.0": ((("4 0",),), (*_NC, *_SA, *_ND)),
+    "cc-by-nc-4.0": ((("4 0",), _NC), (*_SA, *_ND)),
+    "cc-by-nc-nd-4.0": ((("4 0",), _NC, _ND), _SA),
+    "cc-by-nc-sa-4.0": ((("4 0",), _NC, _SA), _ND),
+    "cc-by-nd-4.0": ((("4 0",), _ND), (*_NC, *_SA)),
+    "cc-by-sa-4.0": ((("4 0",), _SA), (*_NC, *_ND)),
+    "cc0-1.0": ((("cc0", "commons zero"),), ()),
+    "gpl-2.0": ((_versions("2", "gpl"),), _GNU),
+    "gpl-3.0": ((_versions("3", "gpl"),), _GNU),
+    "isc": ((("isc", "internet systems", "and or"),), ()),
+    "lgpl-2.1": ((("2 1", "v2 1", "lgplv2 1"), ("lesser", "lgpl", "lgplv2")), ()),
+    "lgpl-3.0": ((_versions("3", "lgpl", "gpl"), ("lesser", "lgpl", "lgplv3")), ()),
+    "mit": ((("mit license", "mit licence", "mit x11", "x11 license", "expat license", "mit expat", "mit style", "or mit", "mit or", "identifier mit", "free of"),), ()),
+    "mpl-2.0": ((_versions("2", "mpl"), ("mozilla", "mpl", "mplv2")), ()),
+    "unlicense": ((("unlicense", "and unencumbered"),), ()),
+}
+
 # Texts about rights that name no family.
 RIGHTS = [
     "All rights reserved.", "Copyright 2021 by the author. All rights reserved.", "See the LICENSE file for details.",
@@ -185,29 +284,54 @@ def grams_of(words: list[str]) -> set[str]:
     return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
-def _examples(seed: int, copies: int) -> list[tuple[set[str], int]]:
-    """Altered notices by the number of their family, and others under the number after the last."""
+def _template(text: str) -> tuple[str, ...]:
+    """The 2-grams of a notice or name; of a single word, the word."""
+    words = words_of(text)
+    return tuple(sorted(g for g in grams_of(words) if " " in g)) or tuple(words)
+
+
+def _examples(seed: int, copies: int, kept: int) -> list[tuple[set[str], int]]:
+    """Altered wordings by the number of their family, and others under the number after the last.
+
+    ``kept`` 0 gives those to train on, 1 the held-out ones: other phrases and names, and of
+    the notices of a family the longest one cut to its halves, which stand in no phrase.
+    """
     rng = random.Random(seed)
     families = sorted(TEMPLATES)
-    pool = [w for text in PROSE for w in words_of(text)]
-    named = [w for texts in TEMPLATES.values() for text in texts for w in words_of(text)]
+    pool = [w for text in PROSE[kept::2] for w in words_of(text)]
+    named = [w for texts in TEMPLATES.values() for text in texts for w in words_of(text)[:100] if len(text) > 150]
 
     def altered(text: str, loss: float) -> list[str]:
-        kept = [w for w in words_of(text) if rng.random() > loss]
-        before = rng.choices(pool, k=rng.choice((0, 0, 3, 8)))
-        after = rng.choices(pool, k=rng.choice((0, 0, 3, 8)))
-        return before + kept + after
+        words = [w for w in words_of(text) if rng.random() > loss]
+        return rng.choices(pool, k=rng.choice((0, 0, 3, 8))) + words + rng.choices(pool, k=rng.choice((0, 0, 3, 8)))
+
+    def phrase(name: str) -> str:
+        return rng.choice(PHRASES[kept]).format(name)
 
     out = []
     for k, family in enumerate(families):
         for text in TEMPLATES[family]:
-            short = len(words_of(text)) < 12
-            out += [(grams_of(altered(text, 0.0 if short else rng.uniform(0, 0.12))), k) for _ in range(copies)]
+            words = text.split()
+            if len(words) >= 20:
+                for _ in range(copies):
+                    half = len(words) * 2 // 3
+                    part = " ".join(words[:half] if rng.random() < 0.5 else words[-half:]) if kept else text
+                    out.append((grams_of(altered(part, rng.uniform(0, 0.12))), k))
+            elif not kept:
+                out += [(grams_of(altered(text, 0.0)), k) for _ in range(copies)]
+        for name in NAMES[family][kept]:
+            out += [(grams_of(altered(phrase(name), 0.0)), k) for _ in range(copies)]
     other = len(families)
-    for text in RIGHTS + PROSE:
+    for text in RIGHTS[kept::2] + PROSE[kept::2]:
         out += [(grams_of(altered(text, 0.1)), other) for _ in range(copies)]
-    out += [(grams_of(rng.choices(named, k=rng.randint(3, 14))), other) for _ in range(25 * copies)]
-    out += [(grams_of(rng.choices(named + pool, k=rng.randint(3, 30))), other) for _ in range(25 * copies)]
+    for name in OTHERS[kept]:
+        out += [(grams_of(altered(phrase(name), 0.0)), other) for _ in range(2 * copies)]
+    for _ in range(40 * copies):  # licences of made-up names
+        name = f"{rng.choice(pool)} {rng.choice(('', 'Public ', 'Open Source ', 'Software '))}{rng.choice(('License', 'Licence'))}"
+        out.append((grams_of(altered(phrase(name + rng.choice(("", " 1.0", " 1.1", ", version 1"))), 0.0)), other))
+    # Words of notices in no order, to learn that order matters; they say nothing about real texts, so none is held out.
+    for words, most in ((named, 14), (named + pool, 30)) if not kept else ():
+        out += [(grams_of(rng.choices(words, k=rng.randint(3, most))), other) for _ in range(10 * copies)]
     return out
 
 
@@ -261,16 +385,23 @@ def _anchor_words(grams: list[str], weights: np.ndarray, bias: np.ndarray, plain
     return sorted(anchors)
 
 
+def _against_unknown(scores: np.ndarray) -> np.ndarray:
+    """Probability of each family when the choice is between it and ``unknown``."""
+    return 1 / (1 + np.exp(scores[:, -1:] - scores[:, :-1]))
+
+
 @functools.cache
-def train(seed: int = 7, copies: int = 12) -> Model:
+def train(seed: int = 7, copies: int = 24) -> Model:
     """The same model whenever it is trained."""
     families = sorted(TEMPLATES)
-    fit, kept = _examples(seed, copies), _examples(seed + 1, max(4, copies // 3))
+    fit, kept = _examples(seed, copies, 0), _examples(seed + 1, copies, 1)
     seen: dict[str, int] = {}
     for grams, _ in fit:
         for g in grams:
             seen[g] = seen.get(g, 0) + 1
-    named = {g for texts in TEMPLATES.values() for text in texts for g in grams_of(words_of(text))}
+    texts = [t for f in families for t in TEMPLATES[f] + [p.format(n) for n in NAMES[f][0] for p in PHRASES[0]]]
+    texts += [p.format(n) for n in OTHERS[0] for p in PHRASES[0]]
+    named = {g for text in texts for g in grams_of(words_of(text))}
     # Grams of plain words and numbers alone say nothing about a licence.
     plain = {w for text in PROSE for w in words_of(text)} | set(EVERYDAY)
     grams = sorted(
@@ -278,16 +409,15 @@ def train(seed: int = 7, copies: int = 12) -> Model:
     )
     column = {g: i for i, g in enumerate(grams)}
     x, y = _matrix(fit, column)
-    w, b = _fit(x, y, len(families) + 1, l1=4e-4, rounds=250)
+    w, b = _fit(x, y, len(families) + 1, l1=1e-4, rounds=250)
     hx, hy = _matrix(kept, column)
     z = hx @ w + b
     temperature = min(
         (0.5, 0.7, 1.0, 1.4, 2.0, 2.8),
         key=lambda t: float(-np.log(np.maximum(_softmax(z / t)[np.arange(len(hy)), hy], 1e-9)).mean()),
     )
-    p = _softmax(z / temperature)
-    wrong = np.sort(p[hy == len(families)][:, :-1].max(axis=1))
-    threshold = float(min(0.9, max(0.5, round(float(wrong[int(len(wrong) * 0.995) - 1]), 3))))
+    wrong = np.sort(_against_unknown(z / temperature)[hy == len(families)].max(axis=1))
+    threshold = float(min(0.9, max(0.5, round(float(wrong[int(len(wrong) * 0.98) - 1]), 3))))
     whole = np.rint(np.concatenate([w, b[None]]) * SCALE / temperature).astype(int)
     used = np.flatnonzero(np.abs(whole[:-1]).sum(axis=1))
     grams = [grams[i] for i in used]
@@ -299,9 +429,7 @@ def train(seed: int = 7, copies: int = 12) -> Model:
         bias=tuple(int(v) for v in bias),
         threshold=threshold,
         anchors=tuple(_anchor_words(grams, weights, bias, plain)),
-        templates=tuple(
-            tuple(tuple(sorted(g for g in grams_of(words_of(t)) if " " in g)) for t in TEMPLATES[f]) for f in families
-        ),
+        templates=tuple(tuple(dict.fromkeys(_template(t) for t in TEMPLATES[f] + NAMES[f][0] + NAMES[f][1])) for f in families),
     )
 
 
@@ -310,41 +438,42 @@ def _strings(values: tuple[str, ...]) -> Column:
 
 
 def classify(words: Column, model: Model) -> Column:
-    """``struct<family, probability, confirmed>`` of a paragraph's words; an unknown family is null."""
+    """``array<struct<family, probability, confirmed>>``: the families predicted for a paragraph's words."""
     bigrams = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
     table = F.map_from_arrays(
         _strings(model.grams), F.array(*[F.array(*[F.lit(v).cast("long") for v in row]) for row in model.weights])
     )
-    families = _strings(model.families)
-    templates = F.array(*[F.array(*[_strings(t) for t in family]) for family in model.templates])
+    known = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("family"), F.array(*[_strings(t) for t in templates]).alias("templates"),
+                F.array(*[_strings(group) for group in DECIDING[f][0]]).alias("some"), _strings(DECIDING[f][1]).alias("none"),
+            )
+            for f, templates in zip(model.families, model.templates, strict=True)
+        ]
+    )
 
     def judge(x: Column) -> Column:
-        grams = F.array_distinct(F.concat(x["words"], x["pairs"]))
         scores = F.aggregate(
-            F.array_intersect(grams, _strings(model.grams)),
+            F.array_intersect(x, _strings(model.grams)),
             F.array(*[F.lit(v).cast("long") for v in model.bias]),
             lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b),
         )
 
-        def decide(s: Column) -> Column:
-            best = F.array_max(F.slice(s, 1, len(model.families)))
-            k = F.array_position(s, best).cast("int") - 1
-            total = F.aggregate(s, F.lit(0.0), lambda acc, v: acc + F.exp((v - F.array_max(s)) / F.lit(float(SCALE))))
-            probability = F.round(F.exp((best - F.array_max(s)) / F.lit(float(SCALE))) / total, 6)
-            held = F.aggregate(
-                F.get(templates, k),
-                F.lit(0.0),
-                lambda acc, t: F.greatest(acc, F.size(F.array_intersect(x["pairs"], t)) / F.size(t)),
-            )
-            return F.struct(
-                F.when((best > F.element_at(s, -1)) & (probability >= model.threshold), F.get(families, k)).alias("family"),
-                probability.alias("probability"),
-                (held >= CONFIRM).alias("confirmed"),
-            )
+        def against(s: Column) -> Column:
+            lead = F.transform(F.slice(s, 1, len(model.families)), lambda v: (v - F.element_at(s, -1)) / F.lit(float(SCALE)))
+            return F.transform(lead, lambda v, k: F.struct(k.alias("k"), F.round(1 / (1 + F.exp(-v)), 6).alias("p")))
+
+        def confirm(r: Column) -> Column:
+            own = F.get(known, r["k"])
+            enough = F.exists(own["templates"], lambda t: F.size(F.array_intersect(x, t)) >= F.size(t) * F.lit(CONFIRM))
+            decided = F.forall(own["some"], lambda group: F.arrays_overlap(x, group)) & ~F.arrays_overlap(x, own["none"])
+            return F.struct(own["family"].alias("family"), r["p"].alias("probability"), (enough & decided).alias("confirmed"))
 
-        return F.get(F.transform(F.array(scores), decide), F.lit(0))
+        odds = F.get(F.transform(F.array(scores), against), F.lit(0))
+        return F.transform(F.filter(odds, lambda r: (r["p"] > 0.5) & (r["p"] >= model.threshold)), confirm)
 
-    return F.get(F.transform(F.array(F.struct(words.alias("words"), bigrams.alias("pairs"))), judge), F.lit(0))
+    return F.get(F.transform(F.array(F.array_distinct(F.concat(words, bigrams))), judge), F.lit(0))
 
 
 def paragraphs(text: Column) -> Column:
@@ -363,26 +492,30 @@ def scan(docs: DataFrame, text_col: str = "text", model: Model | None = None) ->
     ``license_families``: the confirmed families, sorted and comma-joined.
     ``n_license_paragraphs``: paragraphs put in a family.
 
-    Null, empty and wordless texts hold none; rows map one to one; columns of those names
-    are replaced.  Nothing is shuffled and no Python runs on the executors.
+    Null, empty and wordless texts hold none; rows map one to one, repeated ones too; no rows
+    give no rows; only columns of those names are replaced.  Nothing is shuffled and no
+    Python runs on the executors.
     """
     model = model or train()
     word = r"[\p{L}\p{M}\p{N}]"
-    gate = f"(?<!{word})(?:{'|'.join(model.anchors)})(?!{word})"
+    letters = "".join(sorted({a[0] for a in model.anchors}))
+    gate = f"(?=[{letters}])(?<!{word})(?:{'|'.join(model.anchors)})(?!{word})"
     text = F.coalesce(F.col(text_col), F.lit(""))
     near = F.filter(paragraphs(text), lambda p: F.rlike(F.lower(p), F.lit(gate)))
-    judged = F.filter(F.transform(near, lambda p: classify(normal_words(p), model)), lambda r: r["family"].isNotNull())
-    out = docs.withColumn("__l", F.when(F.rlike(F.lower(text), F.lit(gate)), judged).otherwise(F.array()))
-    sure = F.filter("__l", lambda r: r["confirmed"])
+    judged = F.filter(F.transform(near, lambda p: classify(normal_words(p), model)), lambda r: F.size(r) > 0)
+    name = fresh(docs, "licenses_")
+    out = docs.withColumn(name, F.when(F.rlike(F.lower(text), F.lit(gate)), judged).otherwise(F.array()))
+    every = F.flatten(name)
+    sure = F.filter(every, lambda r: r["confirmed"])
     top = F.get(
         F.array_sort(F.transform(sure, lambda r: F.struct((-r["probability"]).alias("p"), r["family"].alias("f")))), F.lit(0)
     )
-    highest = F.array_max(F.transform("__l", lambda r: r["probability"]))
-    return out.withColumns(
-        {
-            "license": F.when(F.size(sure) > 0, top["f"]).when(F.size("__l") > 0, UNKNOWN),
-            "license_probability": F.when(F.size(sure) > 0, -top["p"]).when(F.size("__l") > 0, highest),
-            "license_families": F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda r: r["family"]))), ","),
-            "n_license_paragraphs": F.size("__l"),
-        }
-    ).drop("__l")
+    highest = F.array_max(F.transform(every, lambda r: r["probability"]))
+    found = {
+        "license": F.when(F.size(sure) > 0, top["f"]).when(F.size(name) > 0, UNKNOWN),
+        "license_probability": F.when(F.size(sure) > 0, -top["p"]).when(F.size(name) > 0, highest),
+        "license_families": F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda r: r["family"]))), ","),
+        "n_license_paragraphs": F.size(name),
+    }
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in found]
+    return out.select(*kept, *[value.alias(c) for c, value in found.items()])
