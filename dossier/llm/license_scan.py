@@ -257,8 +257,12 @@ PROSE = [
     "We merge onto the main road, deal with the traffic, and then obtain a code at the gate.",
 ]
 
-#: Words that name a licence but are everyday words of other languages.
-EVERYDAY = ("mit",)
+#: Everyday words, of other languages too; alone they say nothing about a licence.
+EVERYDAY = (
+    "mit", "a", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "for", "from", "has", "have", "in", "is", "it", "its", "may", "must",
+    "no", "not", "of", "on", "one", "only", "or", "other", "our", "shall", "such", "that", "the", "their", "these", "they", "this", "those", "to", "two", "three",
+    "under", "was", "we", "were", "who", "whom", "will", "with", "without", "you", "your", "later", "following", "including", "project", "program",
+)
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -433,42 +437,44 @@ def train(seed: int = 7, copies: int = 24) -> Model:
     )
 
 
-def _strings(values: tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+def _parts(value: str | Column, mark: str) -> Column:
+    """``array<string>`` of a joined string, one literal however many parts: plans stay small."""
+    return F.split(F.lit(value) if isinstance(value, str) else value, mark)
 
 
 def classify(words: Column, model: Model) -> Column:
     """``array<struct<family, probability, confirmed>>``: the families predicted for a paragraph's words."""
     bigrams = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
-    table = F.map_from_arrays(
-        _strings(model.grams), F.array(*[F.array(*[F.lit(v).cast("long") for v in row]) for row in model.weights])
-    )
-    known = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("family"), F.array(*[_strings(t) for t in templates]).alias("templates"),
-                F.array(*[_strings(group) for group in DECIDING[f][0]]).alias("some"), _strings(DECIDING[f][1]).alias("none"),
-            )
-            for f, templates in zip(model.families, model.templates, strict=True)
-        ]
-    )
+    grams, classes = _parts(",".join(model.grams), ","), len(model.families) + 1
+    weights = _parts(",".join(str(v) for row in model.weights for v in row), ",").cast("array<bigint>")
+    bias = _parts(",".join(map(str, model.bias)), ",").cast("array<bigint>")
+    families = _parts(",".join(model.families), ",")
+    # By family: groups of grams, commas between grams, semicolons between groups.
+    joined = lambda groups: ";".join(",".join(g) for g in groups)
+    templates = _parts("|".join(joined(t) for t in model.templates), r"\|")
+    some = _parts("|".join(joined(DECIDING[f][0]) for f in model.families), r"\|")
+    none = _parts("|".join(",".join(DECIDING[f][1]) for f in model.families), r"\|")
 
     def judge(x: Column) -> Column:
         scores = F.aggregate(
-            F.array_intersect(x, _strings(model.grams)),
-            F.array(*[F.lit(v).cast("long") for v in model.bias]),
-            lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b),
+            F.array_intersect(x, grams),
+            bias,
+            lambda acc, g: F.zip_with(acc, F.slice(weights, (F.array_position(grams, g).cast("int") - 1) * classes + 1, classes), lambda a, b: a + b),
         )
 
         def against(s: Column) -> Column:
-            lead = F.transform(F.slice(s, 1, len(model.families)), lambda v: (v - F.element_at(s, -1)) / F.lit(float(SCALE)))
+            lead = F.transform(F.slice(s, 1, classes - 1), lambda v: (v - F.element_at(s, -1)) / F.lit(float(SCALE)))
             return F.transform(lead, lambda v, k: F.struct(k.alias("k"), F.round(1 / (1 + F.exp(-v)), 6).alias("p")))
 
+        def enough(t: Column) -> Column:
+            own = _parts(t, ",")
+            return F.size(F.array_intersect(x, own)) >= F.size(own) * F.lit(CONFIRM)
+
         def confirm(r: Column) -> Column:
-            own = F.get(known, r["k"])
-            enough = F.exists(own["templates"], lambda t: F.size(F.array_intersect(x, t)) >= F.size(t) * F.lit(CONFIRM))
-            decided = F.forall(own["some"], lambda group: F.arrays_overlap(x, group)) & ~F.arrays_overlap(x, own["none"])
-            return F.struct(own["family"].alias("family"), r["p"].alias("probability"), (enough & decided).alias("confirmed"))
+            held = F.exists(_parts(F.get(templates, r["k"]), ";"), enough)
+            decided = F.forall(_parts(F.get(some, r["k"]), ";"), lambda group: F.arrays_overlap(x, _parts(group, ",")))
+            sibling = F.arrays_overlap(x, _parts(F.get(none, r["k"]), ","))
+            return F.struct(F.get(families, r["k"]).alias("family"), r["p"].alias("probability"), (held & decided & ~sibling).alias("confirmed"))
 
         odds = F.get(F.transform(F.array(scores), against), F.lit(0))
         return F.transform(F.filter(odds, lambda r: (r["p"] > 0.5) & (r["p"] >= model.threshold)), confirm)
