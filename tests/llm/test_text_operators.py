@@ -1,6 +1,7 @@
 """BPE, SimHash, LZ fingerprints, language mixtures: against brute force, libraries, and odd inputs."""
 
 import hashlib
+import itertools
 import random
 import struct
 
@@ -10,6 +11,7 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from dossier.llm import byte_bpe, language_id, lz_fingerprint, simhash_dedup
 
@@ -226,12 +228,95 @@ def test_language_odd_rows(spark):
     assert got[1].score == 0 and got[6].languages.count(":") == 2 and len(out) == 7
     none = language_id.train(spark.createDataFrame([], DOCS))
     assert language_id.predict(spark.createDataFrame(odd, "doc_id long, text string"), none).filter("lang_pred = 'und'").count() == 7
-    kept = language_id.drop_unknown(spark.createDataFrame(train[:4] + [(99, "!!", "en", "", "", 0)], DOCS))
+    kept = language_id.keep_known(spark.createDataFrame(train[:4] + [(99, "!!", "en", "", "", 0), (98, None, None, "", "", 0)], DOCS))
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ") and kept.count() == 4
+    empty = spark.createDataFrame([], DOCS)
+    assert language_id.digest(empty).count() == language_id.keep_known(empty).count() == 0
+    tie = language_id.Model(["en", "fr"], np.full((language_id.FEATURES, 2), -3.0, dtype=np.float32))
+    assert {(r.lang_pred, r.score) for r in language_id.predict(spark.createDataFrame([(1, "same words")] * 2, "doc_id long, text string"), tie).collect()} == {("en", 1.0)}
+    clash = spark.createDataFrame([("the dog", "a", "b", "c", "d", "en")], "text string, score string, known string, own_text string, text_ string, lang string")
+    assert [tuple(r) for r in language_id.keep_known(clash.withColumn("doc_id", F.lit(1))).collect()] == [("the dog", "a", "b", "c", "d", "en", 1)]
+
+
+def slow_mixture(model, text):
+    """Best of all language sets, each fitted by many plain EM steps: shares, and the worth of each set."""
+    words, now = [], []
+    for c in (text or "").lower() + " ":
+        if c.isalpha():
+            now.append(ord(c))
+        elif now:
+            codes = [0, *now, 0]
+            total = np.zeros(len(model.languages))
+            for x, y, z in zip(codes, codes[1:], codes[2:]):
+                h = (x * 0x9E3779B1 ^ y * 0x85EBCA77 ^ z * 0xC2B2AE3D) & 0xFFFFFFFF
+                h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                total += model.table[h >> 16]
+            words.append((total, len(now)))
+            now = []
+    if not words:
+        return None
+    known = sum(n for w, n in words if w.max() > -np.log(language_id.FEATURES) * n) / sum(n for _, n in words)
+    words = np.array([w for w, _ in words])
+    worths = {}
+    for size in range(1, len(model.languages) + 1):
+        for chosen in itertools.combinations(range(len(model.languages)), size):
+            own = words[:, chosen]
+            top = own.max(axis=1, keepdims=True)
+            p, share = np.exp(own - top), np.full(size, 1 / size)
+            for _ in range(400):
+                joint = p * share
+                share = (joint / joint.sum(axis=1, keepdims=True)).mean(axis=0)
+            score = float((np.log((p * share).sum(axis=1)) + top[:, 0]).sum())
+            worths[chosen] = (score - (size - 1) * (language_id.PENALTY + 0.5 * np.log(len(words))), share)
+    best = max(worths, key=lambda c: worths[c][0])
+    return {model.languages[i]: s for i, s in zip(best, worths[best][1], strict=True)}, known, {c: w for c, (w, _) in worths.items()}
+
+
+def test_language_mixtures_like_brute_force(spark):
+    rng = random.Random(11)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs)
+    by_lang = {}
+    for r in docs.select("lang", "text").collect():
+        by_lang.setdefault(r.lang, []).append(r.text.split())
+    langs = sorted(by_lang)
+    texts = [" ".join(rng.choice(by_lang[rng.choice(langs)])[: rng.choice((3, 20, 80))]) for _ in range(40)]
+    for _ in range(60):
+        parts = [rng.choice(by_lang[lang])[: rng.choice((10, 30, 60))] for lang in rng.sample(langs, rng.choice((2, 2, 3, 4)))]
+        texts.append(" ".join(w for part in parts for w in part))
+    texts += ["x", "Ελληνικά", "qzx vvkj wqx", "a1b2c3d4", None, "-"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    mixed = 0
+    for i, text in enumerate(texts):
+        want, r = slow_mixture(model, text), rows[i]
+        if want is None:
+            assert (r.lang_pred, r.score, r.languages, r.known) == ("und", 0.0, "", 0.0)
+            continue
+        shares, known, worths = want
+        got = {p.split(":")[0]: float(p.split(":")[1]) for p in r.languages.split(",")}
+        assert abs(r.known - known) < 1e-9 and abs(sum(got.values()) - 1) < 1e-3
+        mine = tuple(sorted(langs.index(n) for n in got))
+        assert worths[mine] >= max(worths.values()) - 0.01, (text, got, shares)
+        assert got.keys() == shares.keys() and all(abs(got[n] - shares[n]) < 0.02 for n in got)
+        assert r.lang_pred == max(sorted(got), key=lambda n: shares[n]) or len({round(s, 2) for s in shares.values()}) < len(shares)
+        mixed += len(got) > 1
+    assert mixed > 40
+
+
+def test_texts_of_no_known_language_go(spark):
+    rng = random.Random(12)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = ["".join(rng.choices("qzxjkwvy", k=8)) + " " + "".join(rng.choices("QXZJVK", k=30)) for _ in range(5)] + ["Καλημέρα σε όλους", "доброе утро всем"]
+    extra = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate([*noise, None, "12 34", "Ünïcödé"])], "doc_id long, text string")
+    both = docs.unionByName(extra, allowMissingColumns=True)
+    kept = language_id.keep_known(both)
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert kept.columns == docs.columns and ids == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
 def test_letters_stay_when_no_language_was_learned(spark):
     rows = [(1, "some words here"), (2, "1234 --"), (3, None), (4, "слова")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "CAST(null AS string) AS lang")
-    kept = language_id.drop_unknown(docs)
+    kept = language_id.keep_known(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
