@@ -16,8 +16,12 @@ from dossier.llm.common import cut, read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be found go."""
-    return language_id.drop_unknown(docs)
+    """Documents go in which no language is found, or with less than ``LEAST_KNOWN`` of their letters in words that fit one.
+
+    So null texts and those without a letter go.  Where no document has a language to learn
+    from, all texts with a letter stay; repeated rows stay, no rows give no rows.
+    """
+    return language_id.keep_known(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
