@@ -262,6 +262,8 @@ EVERYDAY = (
     "mit", "a", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "for", "from", "has", "have", "in", "is", "it", "its", "may", "must",
     "no", "not", "of", "on", "one", "only", "or", "other", "our", "shall", "such", "that", "the", "their", "these", "they", "this", "those", "to", "two", "three",
     "under", "was", "we", "were", "who", "whom", "will", "with", "without", "you", "your", "later", "following", "including", "project", "program",
+    "sa", "nd", "met", "source", "general", "international", "foundation", "option", "purpose", "notice", "rights", "commercial", "extent", "related", "domain",
+    "zero", "universal", "systems", "charge", "publish", "associated", "limitation", "permitted", "possible", "internet", "fee", "forms", "new", "share",
 )
 
 WORD = re.compile(r"[^\W_]+")
@@ -444,7 +446,6 @@ def _parts(value: str | Column, mark: str) -> Column:
 
 def classify(words: Column, model: Model) -> Column:
     """``array<struct<family, probability, confirmed>>``: the families predicted for a paragraph's words."""
-    bigrams = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
     grams, classes = _parts(",".join(model.grams), ","), len(model.families) + 1
     weights = _parts(",".join(str(v) for row in model.weights for v in row), ",").cast("array<bigint>")
     bias = _parts(",".join(map(str, model.bias)), ",").cast("array<bigint>")
@@ -479,7 +480,12 @@ def classify(words: Column, model: Model) -> Column:
         odds = F.get(F.transform(F.array(scores), against), F.lit(0))
         return F.transform(F.filter(odds, lambda r: (r["p"] > 0.5) & (r["p"] >= model.threshold)), confirm)
 
-    return F.get(F.transform(F.array(F.array_distinct(F.concat(words, bigrams))), judge), F.lit(0))
+    def grams_in(w: Column) -> Column:
+        following = F.slice(w, 2, 1 << 30)
+        return F.array_distinct(F.concat(w, F.zip_with(F.slice(w, F.lit(1), F.size(following)), following, lambda a, b: F.concat_ws(" ", a, b))))
+
+    # Each step's array is bound to a name, or every use would work it out again.
+    return F.get(F.transform(F.transform(F.array(words), grams_in), judge), F.lit(0))
 
 
 def paragraphs(text: Column) -> Column:
