@@ -75,3 +75,114 @@ def neighbours(rows: DataFrame, by: Sequence[str], order: Sequence[Column], id_c
     """The record before and after each one in a list's order."""
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumns({"previous_id": F.lag(id_col).over(w), "next_id": F.lead(id_col).over(w)})
+
+
+def status_by_prefix(rows: DataFrame, store: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Rows with ``entry`` of the store: that of their key, else the only one whose key begins with ``target|name|``.
+
+    ``store`` holds ``row_key`` once, of the form ``target|name|rest``, and ``entry``.  Prefixes
+    are cut off the store's keys and counted, so both lookups are equi-joins.
+    """
+    exact = store.select(F.col("row_key").alias(key), F.col("entry").alias("__a"))
+    parts = F.split("row_key", r"\|")
+    heads = store.filter(F.col("entry").isNotNull() & (F.size(parts) >= 3))
+    heads = heads.groupBy(F.concat_ws("|", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.lit("")).alias(prefix))
+    only = heads.agg(F.count(F.lit(1)).alias("__n"), F.min("entry").alias("__b")).filter("__n = 1").drop("__n")
+    out = rows.join(exact, key, "left").join(only, prefix, "left")
+    return out.withColumn("entry", F.coalesce("__a", "__b")).drop("__a", "__b")
+
+
+def merge_entries(base: Column, stored: Column, fields: Sequence[str], kept: str = "responses") -> Column:
+    """A stored entry over a row's own; an empty list of responses keeps the row's."""
+    values = [F.coalesce(stored[f], base[f]).alias(f) for f in fields]
+    own = F.when(F.coalesce(F.size(stored[kept]), F.lit(0)) == 0, base[kept]).otherwise(stored[kept])
+    return F.struct(*values, own.alias(kept))
+
+
+def header(rows: DataFrame, shown: Column, status: Column, contacted: str, blocked: Sequence[str]) -> DataFrame:
+    """One row: how many records there are, are shown, were contacted and are ruled out."""
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(shown).alias("shown"), F.count_if(status == contacted).alias("contacted"),
+        F.count_if(status.isin(*blocked)).alias("blocked"),
+    )
+
+
+def choices(rows: DataFrame, value: str, within: Column | None = None) -> DataFrame:
+    """The distinct values of a filter in order, those of the rows ``within`` only."""
+    own = rows if within is None else rows.filter(within)
+    return own.select(value).filter(F.coalesce(F.col(value), F.lit("")) != "").distinct().orderBy(value)
+
+
+def page(rows: DataFrame, order: Sequence[Column], number_: int, size: int = 120) -> DataFrame:
+    """One page of a list, from 1, with ``place``: a limit that Spark keeps as a bounded heap."""
+    first = (number_ - 1) * size
+    top = rows.orderBy(*order).limit(first + size)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).filter(F.col("place") > first)
+
+
+def change_status(entry: Column, status: Column, today: Column, contacted: str, sent: str) -> Column:
+    """``struct<status, contacted_at, responses>`` after a change; a first contact fills in date and response."""
+    first = status == contacted
+    return F.struct(
+        F.nullif(status, F.lit("")).alias("status"),
+        F.when(first & (F.coalesce(entry["contacted_at"], F.lit("")) == ""), today).otherwise(entry["contacted_at"]).alias("contacted_at"),
+        F.when(first & (F.coalesce(F.size(entry["responses"]), F.lit(0)) == 0), F.array(F.lit(sent))).otherwise(entry["responses"]).alias("responses"),
+    )
+
+
+def canonical_signal(value: Column) -> Column:
+    """A signal as it is compared: full-width letters, digits and marks as ASCII, lower case, no closing stop."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　 "
+    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  "
+    text = F.regexp_replace(F.lower(F.translate(F.trim(value), wide, plain)), r"\s+", " ")
+    return F.trim(F.regexp_replace(text, r"[。.]$", ""))
+
+
+def signals_of(value: Column) -> Column:
+    """The signals of a field: parts between separators, labels of sources taken out."""
+    text = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?i)(?:DBLP|arXiv|WebSearch|网页)(?:近三年)?关键词\s*[:：]", ";")
+    return F.filter(F.transform(F.split(text, r"[;；,，、|\n]+"), lambda v: F.trim(v)), lambda v: v != "")
+
+
+def new_signals(groups: Sequence[tuple[str, Column]]) -> Column:
+    """``array<struct<source, signals>>``: of each source the signals that no earlier source showed."""
+    none = F.array().cast("array<string>")
+
+    def keyed(v: Column) -> Column:
+        return F.struct(canonical_signal(v).alias("k"), v.alias("v"))
+
+    def unseen(own: Column, known: Column) -> Column:
+        def first(x: Column, i: Column) -> Column:
+            return (F.array_position(keys_of(own), x["k"]) == i + 1) & (x["k"] != "") & ~F.array_contains(known, x["k"])
+
+        return F.transform(F.filter(own, first), lambda x: x["v"])
+
+    def keys_of(own: Column) -> Column:
+        return F.transform(own, lambda y: y["k"])
+
+    out, seen = [], none
+    for name, value in groups:
+        own = F.transform(signals_of(value), keyed)
+        out.append(F.struct(F.lit(name).alias("source"), unseen(own, seen).alias("signals")))
+        seen = F.concat(seen, keys_of(own))
+    return F.filter(F.array(*out), lambda g: F.size(g["signals"]) > 0)
+
+
+def breakdown(scores: Sequence[tuple[str, Column]], counts: Sequence[tuple[str, Column]]) -> Column:
+    """``array<struct<label, value>>``: a row's scores, or where it has none at all its counts; empty is 0."""
+
+    def entries(pairs: Sequence[tuple[str, Column]]) -> Column:
+        zero = lambda v: F.coalesce(F.nullif(F.trim(v.cast("string")), F.lit("")), F.lit("0"))
+        return F.array(*[F.struct(F.lit(name).alias("label"), zero(v).alias("value")) for name, v in pairs])
+
+    given = F.lit(False)
+    for _, v in scores:
+        given = given | (F.coalesce(F.trim(v.cast("string")), F.lit("")) != "")
+    return F.when(given, entries(scores)).otherwise(entries(counts))
+
+
+def combined_direction(direction: Column, sources: Sequence[tuple[str, Column]], most: int = 1200) -> Column:
+    """The official direction and what each source adds, behind its label, distinct and cut to a length."""
+    said = [F.when(F.trim(F.coalesce(v, F.lit(""))) != "", F.concat(F.lit(label), F.trim(v))) for label, v in sources]
+    parts = F.filter(F.array_compact(F.array(F.trim(F.coalesce(direction, F.lit(""))), *said)), lambda v: v != "")
+    return F.left(F.array_join(F.array_distinct(parts), "; "), F.lit(most))

@@ -118,3 +118,46 @@ def entries_text(entries: Column, most: int = 10) -> Column:
         lambda e: F.concat_ws(" ", F.concat(F.lit("["), e["date"], F.lit("]")), e["title"], F.concat(F.lit("("), e["classes"], F.lit(")")), e["link"]),
     )
     return F.array_join(shown, "；")
+
+
+def wants_catalogue(can_contact: Column, level: Column, name: Column, levels: Sequence[str] = (), names: Sequence[str] = ()) -> Column:
+    """Whether a catalogue is asked: on the list, and of the levels and names given, where any are."""
+    out = norm_text(can_contact) == "是"
+    for value, wanted in ((level, levels), (name, names)):
+        if wanted:
+            out = out & norm_text(value).isin(*wanted)
+    return F.coalesce(out, F.lit(False))
+
+
+def wants_publications(anchored: Column, score: Column) -> Column:
+    """Whether outside publication sources are asked: an official anchor or any score."""
+    return (norm_text(anchored) == "是") | (number(score) > 0)
+
+
+def evidence_columns(results: Column, accepted: Column, keywords: Column, bridging: Column) -> Column:
+    """The columns of evidence from a person's results and accepted works, as a struct.
+
+    ``results``: array of ``struct<source, status, confidence, author_id, author_url, orcid,
+    classes array<string>, reason>`` in the order of the sources; ``accepted``: titles.
+    The best identified outside source decides id and confidence, else the official one.
+    """
+    text = lambda v: F.coalesce(v, F.lit(""))
+    searched = F.filter(results, lambda r: (r["source"] != "official") & r["status"].isin("success", "no_recent_record") & r["confidence"].isin(*TRUSTED))
+    high = F.get(F.filter(searched, lambda r: r["confidence"] == "high"), F.lit(0))
+    official = F.get(F.filter(results, lambda r: (r["source"] == "official") & (r["status"] == "success")), F.lit(0))
+    best = F.coalesce(high, F.get(searched, F.lit(0)), official)
+    of = lambda s: F.get(F.filter(results, lambda r: r["source"] == s), F.lit(0))
+    shown = F.transform(
+        results, lambda r: F.concat(r["source"], F.lit(":"), r["status"], F.when(text(r["confidence"]) != "", F.concat(F.lit("/"), r["confidence"])).otherwise(""))
+    )
+    classes = F.flatten(F.transform(F.filter(results, lambda r: r["status"] == "success"), lambda r: F.coalesce(r["classes"], F.array().cast("array<string>"))))
+    orcid = F.coalesce(*[F.nullif(text(v["orcid"]), F.lit("")) for v in (best, of("zbmath"), of("openalex"))], F.lit(""))
+    reasons = F.transform(F.filter(results, lambda r: text(r["reason"]) != ""), lambda r: F.concat(r["source"], F.lit(":"), r["reason"]))
+    return F.struct(
+        F.array_join(shown, "; ").alias("status"), text(best["confidence"]).alias("confidence"), text(best["author_id"]).alias("author_id"),
+        text(of("zbmath")["author_url"]).alias("zbmath_url"), text(of("openalex")["author_id"]).alias("openalex_id"), orcid.alias("orcid"),
+        F.array_join(F.slice(F.array_distinct(F.filter(classes, lambda c: c != "")), 1, 12), "；").alias("classes"),
+        F.array_join(F.filter(keywords, lambda k: ~F.array_contains(bridging, k)), "；").alias("core_keywords"),
+        F.array_join(F.filter(keywords, lambda k: F.array_contains(bridging, k)), "；").alias("bridge_keywords"),
+        F.size(accepted).alias("n_works"), F.array_join(F.slice(accepted, 1, 5), "；").alias("titles"), F.array_join(reasons, "; ").alias("reasons"),
+    )

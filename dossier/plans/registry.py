@@ -1,6 +1,8 @@
 """Queries by name, and their SQL."""
 
-from dossier.plans.oracles import ORACLE_SQL
-from dossier.plans.queries import QUERIES
+from dossier.plans import oracles, queries, record_oracles, record_queries
+
+QUERIES = queries.QUERIES | record_queries.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | record_oracles.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
