@@ -19,7 +19,7 @@ SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 DOI = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"
 YEAR = r"(?<!\d)(?:19|20)\d{2}(?!\d)"
 ARXIV = r"(?i)\barxiv\s*:?\s*\d{4}\.\d{4,5}(?:v\d+)?\b"
-NUMBERED = r"(?<!\S)(?=\d{1,2}[、.)）]\s+)"
+NUMBERED = r"(?=(?<!\S)\d{1,2}[、.)）]\s+)"
 SIGNAL = (
     r"(?i)(?:journal|proceedings|conference|transactions|letters|annals|biometrika|econometrica|statistica|springer"
     r"|wiley|elsevier|siam|ieee|acm|accepted|forthcoming|in\s+press|to\s+appear|submitted|preprint|volume"
@@ -36,6 +36,13 @@ AWARD = r"(?i)(?:获奖|奖励|荣誉|成果奖|教学奖|一等奖|二等奖|
 #: Strings that stand for a missing value in publication data.
 MISSING = ("", "nan", "nat", "none", "<na>")
 EMAIL = r"[\w.\-+]+@[\w.\-]+\.\w+"
+# What is taken off identifiers and titles before they are compared.
+DOI_ADDRESS, DOI_LABEL, DOI_END = r"^https?://(?:dx\.)?doi\.org/", r"^doi\s*:\s*", r"[.,;)]+$"
+ARXIV_ADDRESS, ARXIV_LABEL, ARXIV_FILE = r"^https?://arxiv\.org/(?:abs|pdf)/", r"^arxiv\s*:\s*", r"\.pdf$"
+ARXIV_ID, ARXIV_VERSION = r"(?:[a-z.-]+/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?", r"v\d+$"
+TITLE_MARKS = r"\\(?:emph|textit|textbf|mathrm|mathbf)\s*\{([^{}]*)\}"
+#: The target of an anchor, wherever it stands in the tag and however it is quoted.
+ANCHOR = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def _col(value: Column | str) -> Column:
@@ -93,20 +100,20 @@ def normalized_title(value: Column | str, ascii_only: bool = False) -> Column:
     """
     text = norm_evidence(value)
     text = F.lower(text) if ascii_only else _compatible(text)
-    text = F.regexp_replace(text, r"\\(?:emph|textit|textbf|mathrm|mathbf)\s*\{([^{}]*)\}", "$1")
+    text = F.regexp_replace(text, TITLE_MARKS, "$1")
     return F.regexp_replace(text, r"[^a-z0-9\u4e00-\u9fff]", "")
 
 
 def normalize_doi(value: Column | str) -> Column:
-    text = F.regexp_replace(F.lower(norm_evidence(value)), r"^https?://(?:dx\.)?doi\.org/", "")
-    found = F.regexp_extract(F.regexp_replace(text, r"^doi\s*:\s*", ""), DOI, 0)
-    return F.regexp_replace(found, r"[.,;)]+$", "")
+    text = F.regexp_replace(F.lower(norm_evidence(value)), DOI_ADDRESS, "")
+    found = F.regexp_extract(F.regexp_replace(text, DOI_LABEL, ""), DOI, 0)
+    return F.regexp_replace(found, DOI_END, "")
 
 
 def normalize_arxiv_id(value: Column | str) -> Column:
-    text = F.regexp_replace(F.lower(norm_evidence(value)), r"^https?://arxiv\.org/(?:abs|pdf)/", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"^arxiv\s*:\s*", ""), r"\.pdf$", "")
-    return F.regexp_replace(F.regexp_extract(text, r"(?:[a-z.-]+/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?", 0), r"v\d+$", "")
+    text = F.regexp_replace(F.lower(norm_evidence(value)), ARXIV_ADDRESS, "")
+    text = F.regexp_replace(F.regexp_replace(text, ARXIV_LABEL, ""), ARXIV_FILE, "")
+    return F.regexp_replace(F.regexp_extract(text, ARXIV_ID, 0), ARXIV_VERSION, "")
 
 
 def author_key(value: Column | str) -> Column:
@@ -190,5 +197,6 @@ def html_text(html: Column) -> Column:
 
 
 def html_links(html: Column) -> Column:
-    """Targets of anchors in order."""
-    return F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), F.lit(1))
+    """Targets of anchors in order, quotes taken off; null has none."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(ANCHOR), F.lit(1))
+    return F.transform(found, lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))

@@ -186,3 +186,24 @@ def combined_direction(direction: Column, sources: Sequence[tuple[str, Column]],
     said = [F.when(F.trim(F.coalesce(v, F.lit(""))) != "", F.concat(F.lit(label), F.trim(v))) for label, v in sources]
     parts = F.filter(F.array_compact(F.array(F.trim(F.coalesce(direction, F.lit(""))), *said)), lambda v: v != "")
     return F.left(F.array_join(F.array_distinct(parts), "; "), F.lit(most))
+
+
+def undated(rows: DataFrame, done: Column, date: Column) -> DataFrame:
+    """Rows that are marked as done but have no date of it."""
+    return rows.filter(done & (F.coalesce(F.trim(date.cast("string")), F.lit("")) == ""))
+
+
+def within(rows: DataFrame, dates: Sequence[Column], first: str, last: str) -> DataFrame:
+    """Rows with some date in a range of days, both ends in it; times count as their day."""
+    inside = F.lit(False)
+    for date in dates:
+        inside = inside | F.coalesce(F.to_date(date).between(F.lit(first).cast("date"), F.lit(last).cast("date")), F.lit(False))
+    return rows.filter(inside)
+
+
+def source_report(rows: DataFrame, source: str, accepted: Column) -> DataFrame:
+    """``(source, raw, accepted, rejected, health)``: what each source brought and how much of it counts."""
+    out = rows.groupBy(source).agg(F.count(F.lit(1)).alias("raw"), F.count_if(accepted).alias("accepted"))
+    rejected = F.greatest(F.lit(0).cast("long"), F.col("raw") - F.col("accepted"))
+    health = F.when(F.col("accepted") == 0, "empty").when(F.col("accepted") * 2 < F.col("raw"), "poor").otherwise("good")
+    return out.withColumns({"rejected": rejected, "health": health})

@@ -41,16 +41,18 @@ def greedy_groups(rows: DataFrame, order_col: str, keys_col: str) -> DataFrame:
     starts a group, named by its own order value.  All its keys then point to that group
     unless they point elsewhere.  This depends on the order: rows {A}, {B}, {A, B} make
     two groups, not one.  Rows that share no key, directly or through others, can't
-    influence each other, so the fold runs apart in each connected component.  Rows without
-    keys are groups of their own.
+    influence each other, so the fold runs apart in each connected component, over one row for
+    each distinct list of keys; the lists of one component must fit in a task's memory.  Rows
+    without keys are groups of their own.
     """
-    own = rows.select(F.col(order_col).cast("long").alias("o"), F.col(keys_col).alias("keys"))
-    held = own.filter(F.size("keys") > 0)
-    pairs = cut(held.select("o", F.explode("keys").alias("key")))
+    every = rows.select(F.col(order_col).cast("long").alias("o"), F.col(keys_col).alias("keys"))
+    # Rows with one list of keys all join the group of their first, so only the first is folded.
+    own = cut(every.filter(F.size("keys") > 0).groupBy("keys").agg(F.min("o").alias("o")))
+    pairs = cut(own.select("o", F.explode("keys").alias("key")))
     hubs = pairs.groupBy("key").agg(F.min("o").alias("hub"))
     edges = pairs.join(hubs, "key").select(F.col("o").alias("a"), F.col("hub").alias("b")).distinct()
     roots = components(edges)
-    placed = held.join(roots.withColumnRenamed("node", "o"), "o", "left").withColumn("root", F.coalesce("root", "o"))
+    placed = own.join(roots.withColumnRenamed("node", "o"), "o", "left").withColumn("root", F.coalesce("root", "o"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         seen: dict[str, int] = {}
@@ -63,8 +65,10 @@ def greedy_groups(rows: DataFrame, order_col: str, keys_col: str) -> DataFrame:
         return pd.DataFrame(out, columns=["o", "grp"])
 
     folded = placed.groupBy("root").applyInPandas(fold, StructType().add("o", LongType()).add("grp", LongType()))
-    alone = own.filter(F.coalesce(F.size("keys"), F.lit(0)) <= 0).select("o", F.col("o").alias("grp"))
-    return folded.unionAll(alone).select(F.col("o").alias(order_col), F.col("grp").alias("group"))
+    named = own.join(folded, "o").select("keys", "grp")
+    held = every.filter(F.size("keys") > 0).join(named, "keys").select("o", "grp")
+    alone = every.filter(F.coalesce(F.size("keys"), F.lit(0)) <= 0).select("o", F.col("o").alias("grp"))
+    return held.unionAll(alone).select(F.col("o").alias(order_col), F.col("grp").alias("group"))
 
 
 def renumber(df: DataFrame, partition: Sequence[str], order: Sequence[Column], name: str = "ordinal") -> DataFrame:

@@ -23,10 +23,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where the session names none."""
+    """``spark.checkpoint.dir`` of the session.  Where it is unset a local session gets a temporary folder; a cluster an error."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="dossier-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
@@ -38,13 +40,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a written scratch path deleted when the driver ends; results may read it until then."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its lineage ends there.
 
-    A written table survives the loss of any executor and can be read by all of them.
+    A written table survives the loss of any executor and can be read by all of them.  It is
+    deleted when the driver ends.
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

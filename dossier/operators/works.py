@@ -24,6 +24,8 @@ LEAST_TITLE = 12
 #: then the runs of one length themselves.
 COUNTERS = ((1, 64), (2, 256), (4, 1024))
 RUN = 6
+#: Words of a title under which it is looked for.
+RUN_WORDS = 3
 
 
 def official_works(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -215,19 +217,48 @@ def roll_up(records: DataFrame, groups: DataFrame) -> DataFrame:
     return works.select("work_id", name.alias("canonical_id"), F.col("m.title").alias("title"), "year", "is_preprint", "sources", "n_records")
 
 
-def contained_titles(texts: DataFrame, titles: DataFrame, text_col: str, title_col: str, most: int = 100_000) -> DataFrame:
-    """Pairs of a text and a title that it contains.
+def _runs(words: Column, n: int) -> Column:
+    """Hashes of all runs of ``n`` words."""
+    return F.transform(
+        F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, F.lit(n))))
+    )
+
+
+def contained_titles(texts: DataFrame, titles: DataFrame, text_col: str, title_col: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """Pairs of a text and a title that it contains, as characters.
 
-    Containment has no key to join by, so titles are broadcast.  Beyond ``most`` they go in slices
-    of about that size, by a hash of the row, with one pass over the texts each.
+    All words of a title but the first and last are whole words of any text that contains
+    it.  So a title is filed under the run of up to ``RUN_WORDS`` such words that is rarest in
+    the texts, and the runs of a text fetch the few titles that are then searched in it.
+    Titles of two words or fewer have no such run and are searched in every text.  Both kinds
+    are broadcast in slices of about ``most_bytes``, with one pass over the texts each.
     """
-    slices = max(1, math.ceil(titles.count() / most))
-    if slices > 1:
-        titles = cut(titles.withColumn("__slice", F.pmod(F.xxhash64(*titles.columns), F.lit(slices))))
-    found = []
-    for n in range(slices):
-        part = titles.filter(F.col("__slice") == n).drop("__slice") if slices > 1 else titles
-        found.append(texts.join(F.broadcast(part), F.contains(F.col(text_col), F.col(title_col))))
+    words = F.split(F.col(title_col), r"\s+")
+    own = titles.withColumn("__in", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).filter(F.col(title_col).isNotNull())
+    own = cut(own.withColumn("__n", F.least(F.size("__in"), F.lit(RUN_WORDS))))
+    pieces = texts.filter(F.col(text_col).isNotNull()).withColumn("__ws", F.split(F.col(text_col), r"\s+"))
+    sizes = {r["__n"]: r["b"] for r in own.groupBy("__n").agg(F.sum(F.octet_length(title_col) + 64).alias("b")).collect()}  # at most RUN_WORDS + 1
+    found = [texts.join(titles.limit(0), F.lit(True), "inner").limit(0)]
+    for n, size in sorted(sizes.items()):
+        group = own.filter(F.col("__n") == n)
+        slices = max(1, math.ceil(size / most_bytes))
+        for k in range(slices):
+            part = group.filter(F.pmod(F.xxhash64(title_col), F.lit(slices)) == k) if slices > 1 else group
+            if n == 0:
+                short = F.broadcast(part.drop("__in", "__n"))
+                found.append(texts.join(short, F.contains(F.col(text_col), F.col(title_col))))
+                continue
+            runs = part.withColumn("__h", F.explode(F.array_distinct(_runs(F.col("__in"), n))))
+            sought = F.broadcast(runs.select("__h").distinct())
+            at = pieces.filter(F.size("__ws") >= n).select(F.posexplode("__ws").alias("i", "w"), "__ws").filter(F.col("i") + n <= F.size("__ws"))
+            met = at.select(F.xxhash64(F.concat_ws(" ", "w", *[F.get("__ws", F.col("i") + j) for j in range(1, n)])).alias("__h")).join(sought, "__h")
+            counts = cut(met.groupBy("__h").agg(F.count(F.lit(1)).alias("__c")))
+            rest = [c for c in titles.columns]
+            # A run that no text has proves that no text holds the title.
+            filed = runs.join(counts, "__h", "left").groupBy(*rest).agg(F.min(F.struct(F.coalesce("__c", F.lit(0)).alias("c"), F.col("__h").alias("h"))).alias("__r"))
+            filed = F.broadcast(cut(filed.filter("__r.c > 0").select(F.col("__r.h").alias("__h"), *rest)))
+            holding = pieces.filter(F.size("__ws") >= n).select(*texts.columns, F.explode(F.array_distinct(_runs(F.col("__ws"), n))).alias("__h"))
+            found.append(holding.join(filed, "__h").filter(F.contains(F.col(text_col), F.col(title_col))).drop("__h"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -60,6 +60,10 @@ ranked AS (
 )
 """
 
+CITED = """WITH cited AS (SELECT doc_id, concat_ws(chr(10), text, CASE WHEN doc_id % 2 = 0 THEN 'A. Author, B. Other, Some long title, Journal of Things, ' || (1990 + doc_id % 40) || ', doi:10.1000/x.' || doc_id
+  || ' see https://a.example/p' || (doc_id % 9) || '，and https://a.example/p0' ELSE 'Assistant professor since ' || (1990 + doc_id % 40) || ' at the journal department' END) AS text FROM documents)
+"""
+
 EVIDENCE = """
 WITH ev AS (
   SELECT c.*, coalesce(o.n, 0) AS n_orders, coalesce(e.n, 0) AS n_events FROM customer c
@@ -149,7 +153,7 @@ ORACLE_SQL = {
     "search_filter": """SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
       WHERE contains(lower(concat_ws(' ', c_name, n_name, r_name, c_mktsegment)), 'building') AND c_acctbal > 0""",
     "weak_evidence": EVIDENCE + "SELECT c_custkey, n_orders, n_events FROM ev WHERE n_orders + n_events <= 1",
-    "deep_query_gate": EVIDENCE + "SELECT c_custkey, n_orders FROM ev WHERE c_acctbal >= 8000 OR n_orders > 12 OR regexp_matches(c_mktsegment, '(?i)build|machin')",
+    "deep_query_gate": EVIDENCE + "SELECT c_custkey, n_orders FROM ev WHERE c_acctbal >= 8000 OR c_custkey % 25 >= 20 OR n_orders > 12 OR c_nationkey = 7 OR c_mktsegment IN ('BUILDING', 'MACHINERY')",
     "normalized_url": URL.replace("DROPPED", f"({_UTM} OR starts_with(lower(x), 'ref'))") + "SELECT page_id, url FROM u",
     "person_id": URL.replace("DROPPED", _UTM) + r""", k AS (
       SELECT page_id, url, url = '' OR lower(path) IN ('', '/index.htm', '/index.html', '/system/caslogin.jsp')
@@ -157,7 +161,7 @@ ORACLE_SQL = {
       SELECT page_id, CASE WHEN generic THEN 'provisional_' || left(sha256('provisional|s|c||' || url || '|||' || page_id), 24)
         ELSE 'teacher_' || left(sha256('url|s|' || url), 24) END AS person_id, CASE WHEN generic THEN '低-待复核' ELSE '高' END AS confidence FROM k""",
     "email_extract": rf"SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower({NORM}), '[\w.\-+]+@[\w.\-]+\.\w+')) AS email FROM documents",
-    "year_extract": r"""SELECT DISTINCT doc_id, y::INT AS year FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\d+')) AS y FROM documents)
+    "year_extract": CITED + r"""SELECT DISTINCT doc_id, y::INT AS year FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\d+')) AS y FROM cited)
       WHERE regexp_full_match(y, '(19|20)\d{2}')""",
     "norm_text_stats": rf"""SELECT doc_id, length(t) AS n_clean, md5(t) AS clean_md5, length(regexp_replace(lower(t), '[^a-z0-9一-鿿]', '', 'g')) AS n_name
       FROM (SELECT doc_id, {NORM} AS t FROM documents)""",
@@ -165,8 +169,8 @@ ORACLE_SQL = {
         regexp_replace(regexp_replace(html, '(?is)<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript|svg\b.*?</svg)\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)""",
     "html_links": """SELECT page_id, place - 1 AS place, href FROM (SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1) AS place
-      FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages))""",
-    "publication_gate": rf"""WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+      FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<a [^>]*href *= *("[^"]*"|[^ >]*)', 1), lambda h: trim(h, '"')) AS l FROM pages))""",
+    "publication_gate": CITED + rf""", l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM cited)),
       n AS (SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS t FROM l) SELECT doc_id, line_no, line FROM n WHERE {PUBLICATION}""",
     "split_entries": rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))), lambda v: v <> '') AS ls FROM documents),
       p AS (SELECT doc_id, list_filter(flatten(list_transform(ls, lambda v: list_transform(string_split({_cut(_cut("v"))}, chr(1)), lambda x: trim(x)))), lambda v: v <> '') AS e FROM l)
@@ -241,15 +245,16 @@ ORACLE_SQL = {
     "phone_extract": rf"""SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(generate_series(1, len(l)), lambda i: {{'i': i, 'v': l[i]}}),
         lambda x: list_position(l, x.v) = x.i), lambda x: x.v), '; ') AS phones
       FROM (SELECT doc_id, regexp_extract_all(text, '{extract.PHONE}')[1:3] AS l FROM documents)""",
-    "link_extract": rf"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{extract.LINK}') AS l FROM documents),
+    "link_extract": CITED + r""", l AS (SELECT doc_id, regexp_extract_all(text, 'https?://[^\s，,；;。)）]+') AS l FROM cited),
       u AS (SELECT doc_id, unnest(l) AS link, generate_subscripts(l, 1) AS i FROM l),
       f AS (SELECT doc_id, link, min(i) AS i FROM u GROUP BY 1, 2)
       SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place, link FROM f""",
     "host_keys": rf"SELECT page_id, {_host_key('url')} AS host_key FROM pages",
-    "homepage_overlap": rf"""WITH k AS (SELECT page_id, {_host_key('url')} AS a, list_filter(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1),
+    "homepage_overlap": rf"""WITH k AS (SELECT page_id, {_host_key('url')} AS a, list_filter(list_transform(list_transform(regexp_extract_all(html, '(?i)<a [^>]*href *= *("[^"]*"|[^ >]*)', 1), lambda h: trim(h, '"')),
         lambda u: {_host_key('u')}), lambda v: v <> '') AS bs FROM pages)
       SELECT page_id, a <> '' AND len(list_filter(bs, lambda b: contains(a, b) OR contains(b, a))) > 0 AS overlaps FROM k""",
-    "label_values": rf"""WITH t AS (SELECT conv_id, turn, {NORM} AS t FROM conversations),
+    "label_values": rf"""WITH m AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '研究 方向：' WHEN 1 THEN 'E mail: a：' ELSE '' END || text AS text FROM conversations),
+      t AS (SELECT conv_id, turn, {NORM} AS t FROM m),
       c AS (SELECT *, CASE WHEN contains(t, '：') THEN strpos(t, '：') ELSE strpos(t, ':') END AS p FROM t)
       SELECT conv_id, turn, CASE WHEN p > 0 THEN replace(left(t, p - 1), ' ', '') ELSE '' END AS label,
         md5(CASE WHEN p > 0 THEN trim(substr(t, p + 1)) ELSE t END) AS value_md5 FROM c""",
@@ -276,5 +281,22 @@ ORACLE_SQL = {
       WHEN c_mktsegment = 'MACHINERY' THEN 's:machines' END AS affiliation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""",
     "link_crawl": """WITH RECURSIVE r AS (SELECT 1::BIGINT AS node, 0::BIGINT AS depth UNION ALL SELECT c_custkey, depth + 1 FROM r JOIN customer ON c_custkey // 10 = node)
       SELECT node, min(depth) AS depth FROM r GROUP BY 1""",
-    "local_order": "SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name, n_nationkey) AS place FROM nation",
+    "local_order": "SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY lower(n_name), n_nationkey) AS place FROM nation",
+    "cited_works": CITED + rf""", l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))), lambda v: v <> '') AS ls FROM cited),
+      p AS (SELECT doc_id, list_filter(flatten(list_transform(ls, lambda v: list_transform(string_split({_cut(_cut("v"))}, chr(1)), lambda x: trim(x)))), lambda v: v <> '') AS e FROM l),
+      x AS (SELECT doc_id, unnest(e) AS t, generate_subscripts(e, 1) - 1 AS entry_no FROM p)
+      SELECT doc_id, entry_no, list_filter(regexp_extract_all(t, '\d+'), lambda y: regexp_full_match(y, '(19|20)\d\d'))[1]::INT AS year, regexp_extract(lower(t), '10\.1000/x\.\d+') AS doi FROM x WHERE {PUBLICATION}""",
+    "title_overlap_counts": """WITH p AS (SELECT p_partkey, [p_name || ' ' || p_type || ' ' || p_brand, p_type || ' ' || p_name] AS o, concat_ws(' ', p_name, CASE WHEN p_size > 20 THEN p_type END, CASE WHEN p_size > 30 THEN p_brand END) AS c FROM part)
+      SELECT p_partkey, len(list_filter(o, lambda x: length(x) >= 16 AND length(c) >= 16 AND (contains(x, c) OR contains(c, x))))::INT AS n FROM p""",
+    "directory_urls": r"""WITH u AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '/' ELSE '' END AS u FROM pages),
+      s AS (SELECT page_id, regexp_extract(u, '^(https?)://([^/?#]*)([^?#;]*)[^?#]*(?:\?([^#]*))?', ['s', 'h', 'p', 'q']) AS x FROM u)
+      SELECT page_id, x.s || '://' || lower(x.h) || rtrim(x.p, '/') || CASE WHEN x.q = '' THEN '' ELSE '?' || x.q END AS url FROM s""",
+    "evidence_rules": """WITH k AS (SELECT o_orderkey AS k, o_orderdate, o_orderstatus, (['identity_confirmed', 'success', 'terms_required', 'no_record', 'identity_probable', 'other'])[o_orderkey % 6 + 1] AS status,
+        (['high', 'medium', 'low'])[(o_orderkey // 6) % 3 + 1] AS confidence, (['official', 'zbmath'])[(o_orderkey // 18) % 2 + 1] AS source, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 40 ELSE 999 END AS lead FROM orders)
+      SELECT k AS o_orderkey, status IN ('identity_confirmed', 'identity_probable') AND confidence <> 'low' AS wanted, status = 'success' AND (source = 'official' OR confidence <> 'low') AS accepted,
+        CASE WHEN status IN ('success', 'no_record') THEN 'healthy' WHEN status = 'terms_required' THEN status ELSE 'review' END AS health,
+        CASE WHEN k % 7 = 0 THEN '中-学术库题名交叉确认' WHEN k % 30 = 0 THEN '中-DBLP交叉确认' ELSE '低' END AS arxiv,
+        k % 3 = 1 AND (k % 4 = 1 OR (k % 4 IN (0, 2) AND k % 2 = 0 AND k % 11 > 4)) AS review,
+        CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN '高' WHEN k % 10 = 0 AND lead >= 20 THEN '高' WHEN k % 2 = 0 AND lead >= 20 THEN '中' WHEN k % 15 = 0 AND lead >= 30 THEN '低' END AS dblp,
+        year(o_orderdate) BETWEEN 1998 AND 2000 AS recent, 's/c|' || k AS record_key, CASE WHEN k % 2 = 0 THEN true END AS cjk, hex('a' || o_orderstatus || chr(9)) AS clean FROM k""",
 }

@@ -115,7 +115,10 @@ def weak_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deep_query_gate(spark: SparkSession, d: str) -> DataFrame:
-    wanted = (F.col("c_acctbal") >= 8000) | (F.col("n_orders") > 12) | F.col("c_mktsegment").rlike("(?i)build|machin")
+    wanted = evidence.wants_deep_query(
+        F.when(F.col("c_acctbal") >= 8000, "是").otherwise("否"), F.col("c_custkey") % 25, F.col("n_orders") - 12,
+        F.when(F.col("c_nationkey") == 7, "http://x"), F.col("c_mktsegment").rlike("(?i)build|machin"),
+    )
     return _evidence(spark, d).filter(wanted).select("c_custkey", "n_orders")
 
 
@@ -142,8 +145,17 @@ def email_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(text.emails(F.col("text"))).alias("email"))
 
 
+def _cited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, each with a line behind its text: every other one a citation with year, DOI and link, the rest a career note."""
+    k = F.col("doc_id")
+    year = (F.lit(1990) + k % 40).cast("string")
+    cited = F.concat(F.lit("A. Author, B. Other, Some long title, Journal of Things, "), year, F.lit(", doi:10.1000/x."), k.cast("string"), F.lit(" see https://a.example/p"), (k % 9).cast("string"), F.lit("，and https://a.example/p0"))
+    note = F.concat(F.lit("Assistant professor since "), year, F.lit(" at the journal department"))
+    return table(spark, d, "documents").withColumn("text", F.concat_ws("\n", "text", F.when(k % 2 == 0, cited).otherwise(note)))
+
+
 def year_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.years(F.col("text")))).alias("year"))
+    return _cited(spark, d).select("doc_id", F.explode(F.array_distinct(text.years(F.col("text")))).alias("year"))
 
 
 def norm_text_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +182,7 @@ def html_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def publication_gate(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = _cited(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.filter(text.is_publication(F.col("line"))).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
@@ -314,12 +326,11 @@ def _order_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_date(spark: SparkSession, d: str) -> DataFrame:
-    return _order_lines(spark, d).filter((F.col("o_orderstatus") == "F") & F.col("shipped").isNull()).select("o_orderkey")
+    return dashboard.undated(_order_lines(spark, d), F.col("o_orderstatus") == "F", F.col("shipped")).select("o_orderkey")
 
 
 def range_overlap(spark: SparkSession, d: str) -> DataFrame:
-    inside = F.to_date("o_orderdate").between("1998-03-01", "1998-03-28") | F.to_date("shipped").between("1998-03-01", "1998-03-28")
-    return _order_lines(spark, d).filter(inside).select("o_orderkey")
+    return dashboard.within(_order_lines(spark, d), [F.col("o_orderdate"), F.col("shipped")], "1998-03-01", "1998-03-28").select("o_orderkey")
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
@@ -411,11 +422,7 @@ def record_navigation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_report(spark: SparkSession, d: str) -> DataFrame:
-    good = F.count_if(F.col("n_chars") >= 200)
-    rows = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("raw"), good.alias("accepted"))
-    rejected = F.greatest(F.lit(0).cast("long"), F.col("raw") - F.col("accepted"))
-    health = F.when(F.col("accepted") == 0, "empty").when(F.col("accepted") * 2 < F.col("raw"), "poor").otherwise("good")
-    return rows.withColumns({"rejected": rejected, "health": health})
+    return dashboard.source_report(table(spark, d, "documents"), "source", F.col("n_chars") >= 200)
 
 
 def top_venues(spark: SparkSession, d: str) -> DataFrame:
@@ -448,7 +455,7 @@ def phone_extract(spark: SparkSession, d: str) -> DataFrame:
 
 def link_extract(spark: SparkSession, d: str) -> DataFrame:
     found = F.posexplode(extract.links(F.col("text"))).alias("place", "link")
-    return table(spark, d, "documents").select("doc_id", found).select("doc_id", F.col("place").cast("long").alias("place"), "link")
+    return _cited(spark, d).select("doc_id", found).select("doc_id", F.col("place").cast("long").alias("place"), "link")
 
 
 def host_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -462,7 +469,8 @@ def homepage_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_values(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "conversations").select("conv_id", "turn", extract.label_value(F.col("text")).alias("p"))
+    marked = F.concat(F.when(F.col("turn") % 3 == 0, "研究 方向：").when(F.col("turn") % 3 == 1, "E mail: a：").otherwise(""), "text")
+    lines = table(spark, d, "conversations").select("conv_id", "turn", extract.label_value(marked).alias("p"))
     return lines.select("conv_id", "turn", "p.label", F.md5("p.value").alias("value_md5"))
 
 
@@ -523,11 +531,44 @@ def link_crawl(spark: SparkSession, d: str) -> DataFrame:
 
 
 def local_order(spark: SparkSession, d: str) -> DataFrame:
-    """Places of nations by name within their region, in the order of the locale."""
-    order = Window.partitionBy("n_regionkey").orderBy(F.collate("n_name", "zh"), "n_nationkey")
+    """Places of nations by name within their region where case decides nothing, every other name in lower case."""
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name"))
+    order = Window.partitionBy("n_regionkey").orderBy(F.collate(name, "UNICODE_CI"), "n_nationkey")
     return table(spark, d, "nation").select("n_nationkey", F.row_number().over(order).cast("long").alias("place"))
 
 
+def cited_works(spark: SparkSession, d: str) -> DataFrame:
+    found = works.official_works(_cited(spark, d), "doc_id", "text")
+    return found.select("doc_id", F.col("entry_no").cast("long").alias("entry_no"), "year", "doi")
+
+
+def title_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
+    own = F.array(F.concat_ws(" ", "p_name", "p_type", "p_brand"), F.concat_ws(" ", "p_type", "p_name"), F.lit("short one"))
+    other = F.array(F.concat_ws(" ", "p_name", F.when(F.col("p_size") > 20, F.col("p_type")), F.when(F.col("p_size") > 30, F.col("p_brand"))), F.lit("short one"))
+    return table(spark, d, "part").select("p_partkey", works.title_overlap(own, other).alias("n"))
+
+
+def directory_urls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", identity.dedup_url(F.concat("url", F.when(F.col("page_id") % 2 == 0, "/").otherwise(""))).alias("url"))
+
+
+def evidence_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The decision tables of evidence over all combinations that an order's key makes."""
+    k = F.col("o_orderkey")
+    pick = lambda values, by: F.array(*[F.lit(v) for v in values]).getItem((by % len(values)).cast("int"))
+    status = pick(("identity_confirmed", "success", "terms_required", "no_record", "identity_probable", "other"), k)
+    confidence, source = pick(("high", "medium", "low"), F.floor(k / 6)), pick(("official", "zbmath"), F.floor(k / 18))
+    decision = pick(("review", "rejected", "unresolved", "confirmed"), k)
+    lead = F.when(k % 4 > 0, (k % 40).cast("int"))
+    return table(spark, d, "orders").select(
+        "o_orderkey", evidence.works_wanted(status, confidence).alias("wanted"), evidence.works_accepted(status, source, confidence).alias("accepted"), evidence.source_health(status).alias("health"),
+        evidence.arxiv_confidence(k % 7 == 0, k % 2 == 0, k % 3 == 0, k % 5 == 0).alias("arxiv"), evidence.needs_review(k % 3, decision, k % 2 == 0, k % 11).alias("review"),
+        authors.dblp_confidence(k % 11 == 0, k % 13 == 0, k % 2 == 0, k % 3 == 0, k % 5 == 0, lead).alias("dblp"),
+        dates.in_years(F.year("o_orderdate"), 2000, 3).alias("recent"), identity.record_key(F.lit("s"), F.lit("c"), k.cast("string")).alias("record_key"),
+        text.has_cjk(F.when(k % 2 == 0, "王")).alias("cjk"), F.hex(text.strip_control(F.concat(F.lit("a\x01"), "o_orderstatus", F.lit("\t\x1f")))).alias("clean"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -541,5 +582,6 @@ QUERIES = {
         union_by_name, affiliation_flatmap, ordinal_renumber, json_props, record_navigation, source_report, top_venues, web_search_gate, confidence_levels,
         phone_extract, link_extract, host_keys, homepage_overlap, label_values, text_snippets, pattern_keywords,
         search_phrases, work_summary, cached_lookup, kept_columns, null_tolerant_override, link_crawl, local_order,
+        cited_works, title_overlap_counts, directory_urls, evidence_rules,
     )
 }
