@@ -217,7 +217,7 @@ def roll_up(records: DataFrame, groups: DataFrame) -> DataFrame:
     return works.select("work_id", name.alias("canonical_id"), F.col("m.title").alias("title"), "year", "is_preprint", "sources", "n_records")
 
 
-def _runs(words: Column, n: int) -> Column:
+def _word_runs(words: Column, n: int) -> Column:
     """Hashes of all runs of ``n`` words."""
     return F.transform(
         F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, F.lit(n))))
@@ -248,7 +248,7 @@ def contained_titles(texts: DataFrame, titles: DataFrame, text_col: str, title_c
                 short = F.broadcast(part.drop("__in", "__n"))
                 found.append(texts.join(short, F.contains(F.col(text_col), F.col(title_col))))
                 continue
-            runs = part.withColumn("__h", F.explode(F.array_distinct(_runs(F.col("__in"), n))))
+            runs = part.withColumn("__h", F.explode(F.array_distinct(_word_runs(F.col("__in"), n))))
             sought = F.broadcast(runs.select("__h").distinct())
             at = pieces.filter(F.size("__ws") >= n).select(F.posexplode("__ws").alias("i", "w"), "__ws").filter(F.col("i") + n <= F.size("__ws"))
             met = at.select(F.xxhash64(F.concat_ws(" ", "w", *[F.get("__ws", F.col("i") + j) for j in range(1, n)])).alias("__h")).join(sought, "__h")
@@ -257,7 +257,7 @@ def contained_titles(texts: DataFrame, titles: DataFrame, text_col: str, title_c
             # A run that no text has proves that no text holds the title.
             filed = runs.join(counts, "__h", "left").groupBy(*rest).agg(F.min(F.struct(F.coalesce("__c", F.lit(0)).alias("c"), F.col("__h").alias("h"))).alias("__r"))
             filed = F.broadcast(cut(filed.filter("__r.c > 0").select(F.col("__r.h").alias("__h"), *rest)))
-            holding = pieces.filter(F.size("__ws") >= n).select(*texts.columns, F.explode(F.array_distinct(_runs(F.col("__ws"), n))).alias("__h"))
+            holding = pieces.filter(F.size("__ws") >= n).select(*texts.columns, F.explode(F.array_distinct(_word_runs(F.col("__ws"), n))).alias("__h"))
             found.append(holding.join(filed, "__h").filter(F.contains(F.col(text_col), F.col(title_col))).drop("__h"))
     return reduce(DataFrame.unionByName, found)
 

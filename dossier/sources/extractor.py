@@ -30,7 +30,7 @@ class Extractor:
     with; what follows ends at one of ``stops``.
 
     A selector is one or several steps between blanks, each a tag, ``.class``, ``#id`` or a
-    tag with either; the last step may be any depth below the one before.
+    tag with either, at any depth below the one before; an empty one is the item itself.
     """
 
     items: str = ""

@@ -214,7 +214,7 @@ def test_contained_titles_beyond_a_slice(spark):
     texts = spark.createDataFrame([(i, f"a{i} b{i + 1} c") for i in range(30)], "doc_id int, text string")
     titles = spark.createDataFrame([(i, f"{'ab'[i % 2]}{i} ") for i in range(25)] + [(99, None)], "item_id int, title string")
     want = sorted((r.doc_id, r.item_id) for r in works.contained_titles(texts, titles, "text", "title").collect())
-    got = sorted((r.doc_id, r.item_id) for r in works.contained_titles(texts, titles, "text", "title", most=4).collect())
+    got = sorted((r.doc_id, r.item_id) for r in works.contained_titles(texts, titles, "text", "title", most_bytes=300).collect())
     assert got == want == sorted((d, i) for d in range(30) for i in range(25) if f"{'ab'[i % 2]}{i} " in f"a{d} b{d + 1} c")
 
 
