@@ -236,7 +236,9 @@ def contained_titles(texts: DataFrame, titles: DataFrame, text_col: str, title_c
     words = F.split(F.col(title_col), r"\s+")
     own = titles.withColumn("__in", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).filter(F.col(title_col).isNotNull())
     own = cut(own.withColumn("__n", F.least(F.size("__in"), F.lit(RUN_WORDS))))
-    pieces = texts.filter(F.col(text_col).isNotNull()).withColumn("__ws", F.split(F.col(text_col), r"\s+"))
+    # Rows are told apart by their hash: equal ones fare alike, and what collides is searched all the same.
+    keyed = texts.filter(F.col(text_col).isNotNull()).withColumn("__k", F.xxhash64(*texts.columns))
+    pieces = keyed.select("__k", F.split(F.col(text_col), r"\s+").alias("__ws"))
     sizes = {r["__n"]: r["b"] for r in own.groupBy("__n").agg(F.sum(F.octet_length(title_col) + 64).alias("b")).collect()}  # at most RUN_WORDS + 1
     found = [texts.join(titles.limit(0), F.lit(True), "inner").limit(0)]
     for n, size in sorted(sizes.items()):
@@ -250,15 +252,18 @@ def contained_titles(texts: DataFrame, titles: DataFrame, text_col: str, title_c
                 continue
             runs = part.withColumn("__h", F.explode(F.array_distinct(_word_runs(F.col("__in"), n))))
             sought = F.broadcast(runs.select("__h").distinct())
-            at = pieces.filter(F.size("__ws") >= n).select(F.posexplode("__ws").alias("i", "w"), "__ws").filter(F.col("i") + n <= F.size("__ws"))
-            met = at.select(F.xxhash64(F.concat_ws(" ", "w", *[F.get("__ws", F.col("i") + j) for j in range(1, n)])).alias("__h")).join(sought, "__h")
-            counts = cut(met.groupBy("__h").agg(F.count(F.lit(1)).alias("__c")))
-            rest = [c for c in titles.columns]
+            at = pieces.select("__k", "__ws", F.posexplode("__ws").alias("i", "w")).filter(F.col("i") + n <= F.size("__ws"))
+            run = F.xxhash64(F.concat_ws(" ", "w", *[F.get("__ws", F.col("i") + j) for j in range(1, n)]))
+            hits = cut(at.select("__k", run.alias("__h")).join(sought, "__h").distinct())
+            counts = hits.groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
             # A run that no text has proves that no text holds the title.
-            filed = runs.join(counts, "__h", "left").groupBy(*rest).agg(F.min(F.struct(F.coalesce("__c", F.lit(0)).alias("c"), F.col("__h").alias("h"))).alias("__r"))
-            filed = F.broadcast(cut(filed.filter("__r.c > 0").select(F.col("__r.h").alias("__h"), *rest)))
-            holding = pieces.filter(F.size("__ws") >= n).select(*texts.columns, F.explode(F.array_distinct(_word_runs(F.col("__ws"), n))).alias("__h"))
-            found.append(holding.join(filed, "__h").filter(F.contains(F.col(text_col), F.col(title_col))).drop("__h"))
+            rarest = runs.join(counts, "__h").groupBy(*titles.columns).agg(F.min(F.struct("__c", "__h")).alias("__r"))
+            times = part.groupBy(*titles.columns).agg(F.count(F.lit(1)).alias("__t"))
+            named = rarest.select(*titles.columns, F.col("__r.__h").alias("__h")).join(times.withColumnsRenamed({c: f"__{c}" for c in titles.columns}), reduce(
+                Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in titles.columns]
+            ))
+            pairs = cut(hits.join(named.select(*titles.columns, "__h", F.explode(F.array_repeat("__h", F.col("__t").cast("int"))).alias("__again")), "__h").drop("__h", "__again"))
+            found.append(keyed.join(pairs, "__k").filter(F.contains(F.col(text_col), F.col(title_col))).drop("__k"))
     return reduce(DataFrame.unionByName, found)
 
 
