@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.common import fresh
+
 # The patterns of the base kinds, in the order of their names, each with the
 # least length of the part that must be long enough and the group that holds that part.
 ASSIGN = (
@@ -221,7 +223,8 @@ def digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """The same rows and columns with every span, overlapping ones together, replaced by ``mark``.
 
-    Texts without spans, null included, stay as they are.
+    Texts without spans, null included, stay as they are; repeated rows stay, no rows give no
+    rows, and other columns are kept whatever their names.
     """
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -234,6 +237,6 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.call_function("substring", text, acc["at"] + 1, F.length(text)))
-    name = "__secrets"
+    name = fresh(docs, "secrets_")
     cleaned = F.when(F.size(name) > 0, F.aggregate(name, start, step, rest)).otherwise(text)
     return scan(docs, text_col, name).withColumn(text_col, cleaned).drop(name)

@@ -17,7 +17,10 @@ link to each other.  Where an anchor is home to several fingerprints, those are
 joined through the points at distance 1 or less of them: all that share such a point
 lie within 2 bits of each other, at most 65 share one, and a star replaces their pairs.
 At the anchors only links between different groups of that first step are then emitted,
-so the output never holds all pairs of a group and yet no connection is lost.
+so the output never holds all pairs of a group and yet no connection is lost.  The bound
+from which a place counts as dense changes no result: a star's edges are links, as its ends
+differ in 2 bits at most, and every pair of an anchor is still compared, but for pairs of one
+group, which are connected already.  So the components are those of all links, with any bound.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ SHINGLE = 3
 THRESHOLD = 3
 #: Shingles whose bits are summed at once; longer texts take several rounds.
 CHUNK = 1 << 16
-#: Fingerprints at home in one anchor from which it counts as a dense place.
+#: Fingerprints at home in one anchor from which it counts as a dense place; any number gives the same result.
 DENSE = 4
 
 

@@ -75,7 +75,18 @@ def test_redaction(spark):
     out = secret_scan.redact(frame(spark, [None, "clean", 'é token = "abcdef0123456789abcdef" end AKIA' + "Q" * 16]))
     assert out.columns == ["doc_id", "text", "found", "__l", "ws"]
     assert [r.text for r in out.orderBy("doc_id").collect()] == [None, "clean", 'é [secret]" end [secret]']
-    assert secret_scan.digest(frame(spark, [])).count() == 0
+    assert secret_scan.digest(frame(spark, [])).count() == secret_scan.redact(frame(spark, [])).count() == 0
+    clash = spark.createDataFrame([("AKIA" + "Q" * 16, "a", "b", "c", "d")] * 2, "text string, secrets_ string, __secrets string, SECRETS__ string, found string")
+    assert [tuple(r) for r in secret_scan.redact(clash).collect()] == [("[secret]", "a", "b", "c", "d")] * 2
+
+
+def test_secrets_of_a_very_long_text(spark):
+    rng = random.Random(13)
+    runs = ["".join(rng.choices("0123456789abcdef", k=rng.choice((12, 16, 40)))) for _ in range(4_000)] + ["AKIA" + "Z" * 20, 'token="' + "aB3" * 9 + '"']
+    text = "ü ".join(rng.sample(runs, len(runs)))
+    got = secret_scan.digest(frame(spark, [text, text])).collect()
+    want = slow_spans(text)
+    assert len(got) == 2 and {r.spans for r in got} == {",".join(f"{kind}:{s}:{e}" for s, _, e, kind in want)} and len(want) > 2_000
 
 
 def license_paragraph(words, model):
