@@ -177,14 +177,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has its last third replaced by as much of the start of the next
     document in descending order of id (after the last comes the first); null ids come last
-    and rows with the same id are in the order of their text.  Null counts as the empty text, whose
-    fingerprint is all zeros.  A single document is its own next.  Other columns are
-    ignored; an empty table gives an empty result.
-
-    Ids are cut into ranges at their percentiles, which are ids that occur.  So the first
-    row of every range is known beforehand and a copy of it travels with the range above:
-    texts are shuffled once, and nothing is collected but the range bounds, one for each
-    shuffle partition.
+    and rows with the same id are in the order of their text's hash, then text.  Null counts as
+    the empty text, whose fingerprint is all zeros.  A single document is its own next.  Other
+    columns are ignored; an empty table gives an empty result.
+
+    Ids are cut into ranges at their percentiles; an id that fills several of them is cut
+    further by the hash.  The first row of each range is found beforehand, in a pass that
+    keeps ids and hashes only, and a copy of it travels with the range before.  So texts are
+    shuffled once, and nothing is collected but bounds and first rows, two for each shuffle
+    partition at most.  Only rows alike in id and text can't be told apart and stay together.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -194,29 +195,53 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), least).alias("key"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
+    ).withColumn("hash", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = F.array(*[F.lit((k + 1) / parts) for k in range(parts)])
     bounds = keyed.agg(F.percentile_approx("key", shares, F.lit(max(10_000, 20 * parts))).alias("b")).first()["b"]
-    splits = np.array(sorted(set(bounds or [])), dtype=np.int64)
-    if not len(splits):
+    if not bounds:
         return spark.createDataFrame([], f"doc_id {kind}, " + ", ".join(f"{n} {t}" for n, _, t in FIELDS))
-
-    @F.pandas_udf("bucket int, head boolean")
-    def place(key: pd.Series) -> pd.DataFrame:
-        values = key.to_numpy(dtype=np.int64)
-        at = np.minimum(np.searchsorted(splits, values), len(splits) - 1)
-        return pd.DataFrame({"bucket": at.astype(np.int32), "head": splits[at] == values})
+    # Ranges from the highest on, each with its highest id and how many percentiles that id fills.
+    tops, filled = np.unique(np.array(bounds, dtype=np.int64), return_counts=True)
+    widths = np.where(filled > 1, filled + 1, 1)
+    starts = widths[::-1].cumsum()[::-1] - widths
+
+    def place(key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(tops, key), len(tops) - 1)
+        order = mark.view(np.uint64) ^ np.uint64(1 << 63)  # as signed numbers are ordered
+        piece = ((order >> np.uint64(32)) * filled[at].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        inner = np.where(key == tops[at], piece, filled[at])
+        return starts[at] + np.where(filled[at] > 1, inner, 0)
+
+    @F.pandas_udf("long")
+    def bucket_of(key: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series(place(key.to_numpy(dtype=np.int64), mark.to_numpy(dtype=np.int64)))
+
+    marked = keyed.select("key", "hash").withColumn("bucket", bucket_of("key", "hash"))
+    first = F.min(F.struct(F.bitwise_not("key").alias("rank"), "hash")).alias("f")
+    heads = {r["bucket"]: (~r["f"]["rank"], r["f"]["hash"]) for r in marked.groupBy("bucket").agg(first).collect()}
+    present = sorted(heads)
+    before = dict(zip(present, [present[-1], *present[:-1]], strict=True))
+
+    @F.pandas_udf("bucket long, to long")
+    def dealt_to(key: pd.Series, mark: pd.Series) -> pd.DataFrame:
+        keys, marks = key.to_numpy(dtype=np.int64), mark.to_numpy(dtype=np.int64)
+        at = place(keys, marks)
+        to = np.full(len(at), -1, dtype=np.int64)
+        for b in np.unique(at):
+            top, least_mark = heads[int(b)]
+            to[(at == b) & (keys == top) & (marks == least_mark)] = before[int(b)]
+        return pd.DataFrame({"bucket": at, "to": to})
 
     own = F.struct(F.col("p.bucket").alias("bucket"), F.lit(0).alias("copy"))
-    above = F.struct(F.pmod(F.col("p.bucket") + 1, F.lit(len(splits))).alias("bucket"), F.lit(1).alias("copy"))
+    copied = F.struct(F.col("p.to").alias("bucket"), F.lit(1).alias("copy"))
     dealt = (
-        keyed.withColumn("p", place("key"))
-        .withColumn("to", F.explode(F.when(F.col("p.head"), F.array(own, above)).otherwise(F.array(own))))
-        .select("doc_id", "key", "text", "to.bucket", "to.copy")
+        keyed.withColumn("p", dealt_to("key", "hash"))
+        .withColumn("at", F.explode(F.when(F.col("p.to") >= 0, F.array(own, copied)).otherwise(F.array(own))))
+        .select("doc_id", "key", "hash", "text", "at.bucket", "at.copy")
     )
-    ordered = dealt.repartitionById(len(splits), F.col("bucket")).sortWithinPartitions(
-        "bucket", "copy", F.desc("key"), "text"
+    ordered = dealt.repartitionById(int(widths.sum()), F.col("bucket").cast("int")).sortWithinPartitions(
+        "bucket", "copy", F.desc("key"), "hash", "text"
     )
     return ordered.select("doc_id", "text", "copy").mapInArrow(
         _walk, f"doc_id {kind}, " + ", ".join(f"{n} {t}" for n, _, t in FIELDS)

@@ -208,6 +208,48 @@ def test_lz_rows(spark):
     assert lz_fingerprint.fingerprints(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def slow_neighbours(rows):
+    """Each row's edited text, rows from the highest id, null last, equal ids by the text's hash."""
+    mark = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), mark(r[1]), r[1]))
+    out = []
+    for (i, own), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True):
+        n = len(own)
+        out.append((i, n, hashlib.sha256((own[: n - n // 3] + nxt[: n // 3]).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_lz_hot_ids_are_split(spark):
+    rng = random.Random(14)
+    text = lambda: " ".join(rng.choices(("ab", "ba", "c", "ddd"), k=rng.randrange(12)))
+    for rows in (
+        [(None, text()) for _ in range(150)] + [(7, text()) for _ in range(100)] + [(i, text()) for i in range(-20, 40)],
+        [(None, text()) for _ in range(60)], [(5, "same")] * 40 + [(9, "x"), (None, None)], [(i % 3, text()) for i in range(90)],
+        [(-(1 << 63), "low"), ((1 << 63) - 1, "high"), (None, "none"), (0, "zero")],
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        out = lz_fingerprint.fingerprints(df)
+        got = sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in out.collect()), key=repr)
+        if any(i == -(1 << 63) for i, _ in rows):
+            assert len(got) == 4
+        else:
+            assert got == slow_neighbours(rows)
+
+
+def test_lz_likeness_is_close_to_the_exact_overlap():
+    rng = random.Random(15)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "of", "the", "and", "stone", "river", "light", "seven", "house"]
+    off = []
+    for _ in range(120):
+        own = rng.choices(vocabulary, k=rng.choice((60, 200, 600)))
+        other = own[: rng.randrange(len(own))] + rng.choices(vocabulary, k=rng.randrange(1, len(own)))
+        a, b = (slow_phrases(" ".join(w)) for w in (own, other))
+        exact = len(set(a) & set(b)) / len(set(a) | set(b))
+        off.append(lz_fingerprint.likeness(slow_print(" ".join(own)), slow_print(" ".join(other))) - exact)
+    off = np.array(off)
+    assert abs(off.mean()) < 0.02 and np.abs(off).mean() < 0.04 and np.abs(off).max() < 0.15
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.digest(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
