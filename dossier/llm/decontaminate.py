@@ -232,4 +232,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
 def drop_leaky(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no benchmark item, all columns kept; null ids stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    leaky = cut(leaks(docs, benchmark).select("doc_id").distinct())  # written, so its size decides how it is joined
+    return docs.join(leaky, "doc_id", "left_anti")
