@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators.graph import components, cut, scratch_path, shared_dir, ship
 
-__all__ = ["components", "cut", "fresh", "normal_words", "read_table", "scratch_path", "shared_dir", "ship"]
+__all__ = ["components", "counted_broadcast", "cut", "fresh", "normal_words", "read_table", "scratch_path", "shared_dir", "ship"]
 
 
 def normal_words(text: Column) -> Column:
@@ -26,6 +26,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def counted_broadcast(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``df``, a written table of a few numbers a row, to be broadcast if it has ``most`` rows or fewer; else joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -27,7 +27,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import cut, normal_words
+from dossier.llm.common import counted_broadcast, cut, normal_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -232,5 +232,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
 def drop_leaky(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no benchmark item, all columns kept; null ids stay."""
-    leaky = cut(leaks(docs, benchmark).select("doc_id").distinct())  # written, so its size decides how it is joined
-    return docs.join(leaky, "doc_id", "left_anti")
+    leaky = cut(leaks(docs, benchmark).select("doc_id").distinct())
+    return docs.join(counted_broadcast(leaky), "doc_id", "left_anti")

@@ -199,7 +199,7 @@ def test_similar_groups_like_brute_force(spark):
     assert all(found[i] == found[least[i]] for i in range(len(texts)))  # no link that met is lost
     assert all(whole[i] == whole[found[i]] for i in range(len(texts)))  # nothing dissimilar is linked
     gone = lambda g: sum(g[i] != i for i in range(len(g)))
-    assert gone(found) >= 0.9 * gone(whole) and gone(whole) > 80
+    assert gone(found) >= 0.8 * gone(whole) and gone(whole) > 80
     kept = simhash_dedup.keep_distinct(df)
     assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([i for i, g in enumerate(found) if g == i] + [None, None], key=repr)
     assert simhash_dedup.similar_groups(df.limit(0)).count() == 0
