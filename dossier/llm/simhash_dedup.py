@@ -193,6 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 TABLES = 12
 WORDS = 5
+#: Rows whose shingles a worker holds at once.
+ROWS = 256
 SIMILARITY = 0.8
 #: Of all tables' bits, the share in which a pair may differ before its sets are fetched: at the
 #: similarity of 0.8 it is 0.151 with a deviation of 0.018, so this lies 4.6 deviations above.
@@ -227,22 +229,34 @@ def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit numbers as one list column, without an object for each number."""
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int64).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
+
+
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [_shingle_set(t.as_py()) for t in batch.column(1)]
-        nodes = np.array([_node(s) for s in sets], dtype=np.uint64).view(np.int64)
-        prints = [_table_prints(s).tolist() for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "node", "w"])
+        for at in range(0, batch.num_rows, ROWS):  # a few at a time bound a worker's memory
+            part = batch.slice(at, ROWS)
+            nodes, prints = [], []
+            for text in part.column(1):
+                own = _shingle_set(text.as_py())
+                nodes.append(_node(own))
+                prints.append(_table_prints(own))
+            columns = [part.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), _lists(prints)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "w"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [_shingle_set(t.as_py()) for t in batch.column(2)]
-        own = np.array([_node(s) for s in sets], dtype=np.uint64).view(np.int64)
-        lists = [s.view(np.int64).tolist() for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(own == batch.column(1).to_numpy()), pa.array(lists, pa.list_(pa.int64()))], names=["num", "own", "s"]
-        )
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            sets = [_shingle_set(t.as_py()) for t in part.column(2)]
+            own = np.array([_node(s) for s in sets], dtype=np.uint64).view(np.int64)
+            columns = [part.column(0), pa.array(own == part.column(1).to_numpy()), _lists(sets)]
+            yield pa.RecordBatch.from_arrays(columns, names=["num", "own", "s"])
 
 
 def _table_anchors(prints: DataFrame, replicas: bool) -> DataFrame:
