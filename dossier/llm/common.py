@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.operators.graph import components, cut, scratch_path, shared_dir, ship
 
-__all__ = ["components", "counted_broadcast", "cut", "fresh", "normal_words", "read_table", "scratch_path", "shared_dir", "ship"]
+__all__ = ["components", "counted_broadcast", "cut", "fresh", "normal_words", "read_table", "release", "scratch_path", "shared_dir", "ship"]
 
 
 def normal_words(text: Column) -> Column:
@@ -31,6 +34,16 @@ def counted_broadcast(df: DataFrame, most: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def release() -> None:
+    """Give a Python worker's free memory back: workers live on after their task, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        return
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

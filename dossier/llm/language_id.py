@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from dossier.llm.common import ship
+from dossier.llm.common import release, ship
 
 FEATURES = 1 << 16
 SMOOTHING = 0.25
@@ -260,6 +260,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string()), pa.array(known, pa.float64())],
                 names=[*carried, *ADDED],
             )
+        release()
 
     return marked.mapInArrow(run, schema)
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import components, counted_broadcast, cut, ship
+from dossier.llm.common import components, counted_broadcast, cut, release, ship
 
 SEED = 42
 SHINGLE = 3
@@ -247,6 +247,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 prints.append(_table_prints(own))
             columns = [part.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), _lists(prints)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "w"])
+    release()
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +258,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.array([_node(s) for s in sets], dtype=np.uint64).view(np.int64)
             columns = [part.column(0), pa.array(own == part.column(1).to_numpy()), _lists(sets)]
             yield pa.RecordBatch.from_arrays(columns, names=["num", "own", "s"])
+    release()
 
 
 def _table_anchors(prints: DataFrame, replicas: bool) -> DataFrame:
