@@ -53,7 +53,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     # Workers are shared with the other stages, so the tables kept are smaller here.
-    return byte_bpe.tokenize(docs, path, public_tokenizers.PATTERN, keep_ids=True, max_words=100_000, max_states=80_000)
+    return byte_bpe.tokenize(docs, path, public_tokenizers.PATTERN, keep_ids=True, max_words=30_000, max_states=25_000)
 
 
 STAGES = [
