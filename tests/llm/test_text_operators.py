@@ -152,61 +152,6 @@ def test_links_connect_every_pair_within_three_bits(spark):
     assert len(set(got)) == len(set(want))
 
 
-def joined(n, edges):
-    root = list(range(n))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in edges:
-        a, b = sorted((find(i), find(j)))
-        root[b] = a
-    return [find(i) for i in range(n)]
-
-
-def test_similar_groups_like_brute_force(spark):
-    rng = random.Random(16)
-    vocabulary = [f"w{i}" for i in range(500)]
-    texts = [t or "" for t in ODD]
-    for _ in range(20):
-        base = rng.choices(vocabulary, k=rng.choice((8, 60, 200, 400)))
-        for _ in range(10):
-            own = list(base)
-            for _ in range(rng.choice((0, 1, 2, 4, 8))):
-                at = rng.randrange(len(own))
-                own[at : at + 1] = rng.choice(([], [rng.choice(vocabulary)], [own[at], "extra"]))
-            texts.append(" ".join(own).replace(" w1", "\t W1"))
-    sets = []
-    for t in texts:
-        w = t.encode().lower().split()
-        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    prints = [simhash_dedup._table_prints(simhash_dedup._shingle_set(t.encode())) for t in texts]
-    true, must = [], []
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] | sets[j])
-            if not both or len(sets[i] & sets[j]) / both >= 0.8:
-                true.append((i, j))
-                if any(bin(int(a ^ b)).count("1") <= 1 for a, b in zip(prints[i], prints[j], strict=True)):
-                    must.append((i, j))
-    rows = [(i, t, None, "x", "y", 1) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows + [(None, "a b c", None, "", "", 0)] * 2, DOCS)
-    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_groups(df).collect()}
-    found = [got[i] for i in range(len(texts))]
-    whole, least = joined(len(texts), true), joined(len(texts), must)
-    assert all(found[i] == found[least[i]] for i in range(len(texts)))  # no link that met is lost
-    assert all(whole[i] == whole[found[i]] for i in range(len(texts)))  # nothing dissimilar is linked
-    gone = lambda g: sum(g[i] != i for i in range(len(g)))
-    assert gone(found) >= 0.8 * gone(whole) and gone(whole) > 80
-    kept = simhash_dedup.keep_distinct(df)
-    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([i for i, g in enumerate(found) if g == i] + [None, None], key=repr)
-    assert simhash_dedup.similar_groups(df.limit(0)).count() == 0
-    repeated = spark.createDataFrame([(3, "a b c d e f", "", "", "", 0)] * 2 + [(2, "a b c d e f", "", "", "", 0), (3, "other words", "", "", "", 0)], DOCS)
-    assert sorted((r.doc_id, r.component_id) for r in simhash_dedup.similar_groups(repeated).collect()) == [(2, 2), (3, 2), (3, 2), (3, 3)]
-
-
 def test_near_duplicates_keep_rows(spark):
     rows = [(7, "a b c d", "en", "", "", 0), (3, "A  b\tc d", "en", "", "", 0), (3, "A  b\tc d", "en", "", "", 0), (None, "a b c d", "en", "", "", 0)]
     df = spark.createDataFrame(rows, DOCS)
