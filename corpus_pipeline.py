@@ -25,17 +25,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
+    """One document of each near-duplicate group stays, the one with the smallest id.
+
+    Rows with a null id stay, of rows that repeat the smallest id all; empty texts are alike;
+    no rows give no rows.
+    """
     return simhash_dedup.keep_first(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and wordless texts and rows with a null id stay, no rows give no rows."""
     return decontaminate.drop_leaky(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts are replaced by a mark, and n_chars follows."""
+    """All documents stay, repeated ones too; secrets in their texts are replaced by a mark, and n_chars follows (null for a null text)."""
     cleaned = secret_scan.redact(docs)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -43,7 +47,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with counts and hashes of the ids and of what they decode to."""
+    """Token ids of every document, with counts and hashes of the ids and of what they decode to; a null text counts as empty."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
