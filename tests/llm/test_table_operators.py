@@ -258,6 +258,27 @@ def test_urls_keep_other_columns(spark):
     assert [tuple(r)[1:7] for r in out.collect()] == [tuple(names[2:])] * 2
 
 
+def slow_leaks(docs, items):
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    out = {}
+    for d, text in docs:
+        w = words(text)
+        for k, item in items:
+            v = words(item)
+            if not v or not w:
+                continue
+            b, best = bag(v), None
+            for s in range(max(1, len(w) - len(v) + 1)):
+                a = bag(w[s : s + len(v)])
+                j = sum((a & b).values()) / sum((a | b).values())
+                if best is None or j > best[0]:
+                    best = (j, s)
+            if best[0] >= 0.8:
+                out[d, k] = best
+    return out
+
+
 def altered(rng, own, vocabulary):
     """An item's words with small edits, swapped parts, a moved stretch or a repeated one."""
     own, n = list(own), len(own)
