@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import chat_format, secret_scan, url_filter
+from dossier.llm import chat_format, merkle, mixture, secret_scan, spelling, url_filter
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
@@ -88,4 +88,90 @@ o AS (SELECT pair_id, block, coalesce(max(n) FILTER (part = 'prompt'), 0) AS n,
 SELECT pair_id, block, max(block) OVER (PARTITION BY pair_id) + 1 AS blocks, (sum(n) OVER (PARTITION BY pair_id))::BIGINT AS n_prompt_turns,
   prompt, chosen, chosen_mask, rejected, rejected_mask FROM o"""
 
-ORACLE_SQL = {"op2_secret_scan": SECRETS, "op3_chat_format": CHATS, "op8_url_filter": URLS, "op9_warc": ARCHIVES}
+
+
+def _crc_table() -> list[int]:
+    """Checksums of single bytes, by the polynomial of CRC-32."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [0xEDB88320 ^ (c >> 1) if c & 1 else c >> 1 for c in table]
+    return table
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text of code points below 256, in UTF-8."""
+    of_bytes = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN ord(c) > 127 THEN [195, ord(c) - 64] ELSE [ord(c)] END))"
+    step = f"xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {of_bytes}::BIGINT[]), lambda c, b: {step}), 4294967295)"
+
+
+def _budgets() -> str:
+    """One nested budget after the other: running sums in the order of keys show where each runs out."""
+    parts = ["b0 AS (SELECT *, greatest(floor(target + 0.000001 - times * source_size), 0)::BIGINT AS lft, -1::BIGINT AS aft, 0 AS once FROM t)"]
+    for i in range(mixture.ROUNDS):
+        parts.append(
+            f"""c{i} AS (SELECT *, key > aft AND size <= lft AND lft > 0 AS c FROM b{i}),
+            u{i} AS (SELECT *, sum(size) FILTER (c) OVER (PARTITION BY source ORDER BY key) AS upto FROM c{i}),
+            s{i} AS (SELECT *, min(key) FILTER (c AND upto > lft) OVER (PARTITION BY source) AS stp FROM u{i}),
+            k{i} AS (SELECT *, c AND (stp IS NULL OR key < stp) AS got FROM s{i}),
+            r{i} AS (SELECT *, lft - coalesce(sum(size) FILTER (got) OVER (PARTITION BY source), 0) AS rest FROM k{i}),
+            b{i + 1} AS (SELECT doc_id, source, size, key, source_size, target, times, CASE WHEN stp IS NOT NULL AND rest > target * {mixture.NEAR} THEN rest ELSE 0 END::BIGINT AS lft,
+              stp AS aft, once + got::INT AS once FROM r{i})"""
+        )
+    return ",\n".join(parts)
+
+
+MIX = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, '-'))), 1, 15))::BIGINT AS key FROM documents),
+z AS (SELECT source, sum(size)::BIGINT AS source_size, {list(mixture.WEIGHTS)}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixture.WEIGHTS)} + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
+o AS (SELECT *, {mixture.CAP} * source_size::DOUBLE AS most, sum(source_size) OVER () * {mixture.SHARE} AS whole, sum(w) OVER () AS ws FROM z),
+p AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+  coalesce(sum(w) OVER (ORDER BY most / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wabove FROM o),
+l AS (SELECT max((whole - above) / (ws - wabove)) FILTER ((whole - above) / (ws - wabove) <= most / w) AS level FROM p),
+t AS (SELECT doc_id, d.source, size, key, source_size, least(most, level * w)::DOUBLE AS target, CASE WHEN source_size > 0 THEN floor(least(most, level * w) / source_size) ELSE 0 END::BIGINT AS times
+  FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, l),
+{_budgets()}
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (times + once))::BIGINT AS taken FROM b{mixture.ROUNDS}"""
+
+
+def _leaf(n_chars: str) -> str:
+    parts = [f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+_SHUT = "CASE WHEN s.d IS NULL THEN sha256(c.x) WHEN c.i % 2 = 0 THEN sha256(c.x || s.d) ELSE sha256(s.d || c.x) END"
+MANIFEST = f"""WITH RECURSIVE a AS (SELECT doc_id, lang AS g, {_leaf("n_chars")} AS leaf,
+    CASE WHEN n_chars IS NOT NULL AND {_crc("doc_id::VARCHAR")} % {merkle.TAMPER} = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS x FROM documents),
+v AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM a),
+t AS (SELECT g, 0 AS l, i, leaf AS d, n FROM v
+  UNION ALL SELECT g, l + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY g, l, i // 2, n),
+r AS (SELECT g, l AS h, d AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+q AS (SELECT 0 AS l, i, subroot AS d, n FROM r
+  UNION ALL SELECT l + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM q WHERE n > 1 GROUP BY l, i // 2, n),
+c AS (SELECT doc_id, v.g, 0 AS l, v.i, h, x, '' AS p FROM v JOIN r ON v.g IS NOT DISTINCT FROM r.g
+  UNION ALL SELECT c.doc_id, c.g, c.l + 1, c.i // 2, c.h, {_SHUT}, c.p || coalesce(s.d, '')
+  FROM c LEFT JOIN t s ON s.g IS NOT DISTINCT FROM c.g AND s.l = c.l AND s.i = xor(c.i, 1) WHERE c.l < c.h),
+e AS (SELECT doc_id, c.g, 0 AS l, r.i, (SELECT max(l) FROM q) AS h, x, p FROM c JOIN r ON c.g IS NOT DISTINCT FROM r.g WHERE c.l = c.h
+  UNION ALL SELECT c.doc_id, c.g, c.l + 1, c.i // 2, c.h, {_SHUT}, c.p || coalesce(s.d, '')
+  FROM e c LEFT JOIN q s ON s.l = c.l AND s.i = xor(c.i, 1) WHERE c.l < c.h)
+SELECT v.doc_id, leaf, subroot, w.d AS root, sha256(e.p) AS proof_sha256, e.x AS folded_root, e.x = w.d AS verified
+FROM v JOIN r ON v.g IS NOT DISTINCT FROM r.g JOIN e ON e.doc_id IS NOT DISTINCT FROM v.doc_id AND e.l = e.h, (SELECT d FROM q WHERE n = 1) w"""
+
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPELLINGS = rf"""WITH RECURSIVE o AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) GROUP BY ALL),
+h AS (SELECT *, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM o),
+x AS (SELECT CASE WHEN h % {spelling.SLIP} = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS w, n FROM h),
+v AS (SELECT w, sum(n)::BIGINT AS n FROM x WHERE length(w) >= {spelling.MIN_LENGTH} GROUP BY w HAVING sum(n) >= {spelling.MIN_COUNT}),
+k AS (SELECT w, n, i, left(w, i) || substr(w, i + 2) AS r FROM (SELECT w, n, unnest(range(length(w))) AS i FROM v)),
+m AS (SELECT k.w, v.w AS y, v.n AS m FROM k JOIN v ON k.r = v.w UNION SELECT v.w, k.w, k.n FROM k JOIN v ON k.r = v.w
+  UNION SELECT a.w, b.w, b.n FROM k a JOIN k b ON a.r = b.r AND a.i = b.i AND a.w <> b.w),
+b AS (SELECT w, count(*) AS n_near, max(m) AS form_n, arg_min(y, (-m, y)) AS form FROM m GROUP BY w),
+f AS (SELECT v.w AS word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {spelling.TIMES} * v.n THEN form END AS form, CASE WHEN form_n >= {spelling.TIMES} * v.n THEN form_n END AS form_n FROM v LEFT JOIN b USING (w)),
+g AS (SELECT word, word AS root FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON g.root = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT g.word, g.root FROM g JOIN f ON g.root = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)"""
+
+ORACLE_SQL = {
+    "op2_secret_scan": SECRETS, "op3_chat_format": CHATS, "op8_url_filter": URLS, "op9_warc": ARCHIVES, "op11_source_mix": MIX,
+    "op12_merkle_manifest": MANIFEST, "op13_spelling_variants": SPELLINGS,
+}
