@@ -9,14 +9,18 @@
    items' shingles whose counts sum to more than (1 - t) * m it holds one.  Such a choice of
    each item's shingles, rarest in the benchmark first, is looked for in the documents, and
    all windows of the item's length over each place where one occurs are fingerprinted.
-3. The fingerprints are cut into RADIUS + 1 blocks.  Two that differ in RADIUS bits or
-   fewer agree in a block, so a join on (length, block, value) meets a window with every
-   item of its length within the radius, whichever item's shingle led to the window.
+3. The fingerprints are cut into four blocks of 16 bits with allowances of RADIUS - 3 bits in
+   all.  Two that differ by more than its allowance in each block differ in more than RADIUS bits.
+   So within the radius some block differs by its allowance or less, and a join on (length, block,
+   value), each item filed under all values that its allowances reach, meets a window with
+   every item of its length within the radius, whichever item's shingle led to the window.  Of
+   items that have nothing to do with a window it meets 7 in 100.
 4. Pairs within the radius are verified by the weighted Jaccard similarity of their
    shingles: the sum of the smaller counts over the sum of the larger ones.
 
 A pair with similarity 0.8 differs in 64 * acos(0.89) / pi = 9.7 bits on average with a
-deviation of 2.9, so the radius of 23 lies 4.6 deviations above.  All steps are built-in
+deviation of 2.9, so the radius of 16 lies 2.3 deviations above: at 0.8 one pair in a hundred is
+missed, at 0.85 one in a thousand.  All steps are built-in
 expressions; the shingles of the documents stream through one stage without a shuffle.
 """
 
@@ -31,9 +35,9 @@ from dossier.llm.common import counted_broadcast, cut, normal_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 23
-#: Most rows that are broadcast at once, of 16 bytes (sought shingles) or 40 (blocks of items);
-#: larger benchmarks go in slices, one pass over the corpus each.
+RADIUS = 16
+BLOCKS, WIDTH = 4, 16
+#: Most sought shingles that are broadcast at once, of 16 bytes; larger benchmarks go in slices, one pass over the corpus each.
 MAX_ROWS = 500_000
 
 
@@ -62,19 +66,49 @@ def simhash(shingles: Column) -> Column:
     return F.get(F.transform(F.array(hashes), fold), F.lit(0))
 
 
-def blocks(fp: Column, radius: int = RADIUS) -> Column:
-    """``array<struct<b, v>>``: the fingerprint cut into radius + 1 blocks of nearly equal width."""
-    n = radius + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("b"),
-                F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("v"),
-            )
-            for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-        ]
-    )
+def block(fp: Column, b: int) -> Column:
+    """Block ``b`` of the fingerprint, from its lowest bits on."""
+    return F.shiftrightunsigned(fp, WIDTH * b).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))
+
+
+def allowances(radius: int) -> list[int]:
+    """Bits by which each block may differ, as even as can be; one more in each would be more than the radius."""
+    spare = radius - BLOCKS + 1
+    return [spare // BLOCKS + (b < spare % BLOCKS) for b in range(BLOCKS)]
+
+
+@functools.cache
+def _flips(bits: int) -> Column:
+    """All values of a block with ``bits`` bits set or fewer."""
+    values = [v for v in range(1 << WIDTH) if v.bit_count() <= bits]
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+
+
+def filed_items(items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(item, n, fp, b, v)``: each item under all values of each block that lie within the block's allowance."""
+    out = None
+    for b, bits in enumerate(allowances(radius)):
+        value = block(F.col("fp"), b)
+        near = F.transform(_flips(bits), value.bitwiseXOR)
+        own = items.select("item", "n", "fp", F.lit(b).alias("b"), F.explode(near).alias("v"))
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+def meetings(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Windows with the items of their length that are within the allowance of some block, once a block; ``b`` is the block."""
+    values = F.array(*(F.struct(F.lit(b).alias("b"), block(F.col("wfp"), b).alias("v")) for b in range(BLOCKS)))
+    cells = windows.withColumn("c", F.explode(values)).select("key", "n", "first", "start", "wfp", "c.b", "c.v")
+    return cells.join(filed_items(items, radius), ["n", "b", "v"])
+
+
+def near_items(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(key, n, first, start, item, bits)``: the pairs within the radius, each once."""
+    apart = F.col("wfp").bitwiseXOR(F.col("fp"))
+    # A pair may meet in several blocks; the first one reports it.
+    first = F.coalesce(*(F.when(F.bit_count(block(apart, b)) <= bits, F.lit(b)) for b, bits in enumerate(allowances(radius))))
+    met = meetings(windows, items, radius).filter((F.bit_count(apart) <= radius) & (first == F.col("b")))
+    return met.select("key", "n", "first", "start", "item", F.bit_count(apart).alias("bits"))
 
 
 def numbered(hashes: Column) -> Column:
@@ -190,9 +224,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     spark = docs.sparkSession
     ids = benchmark.select("item_id", normal_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     items = cut(items_of(benchmark).withColumns({"fp": simhash(F.col("shingles")), "bag": numbered(F.transform("shingles", lambda s: F.xxhash64(s)))}))
-    size = items.agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("shingles")).alias("shingles")).first()
     # No more shingles are sought than there are.
-    rows = max(size["items"] * (radius + 1), size["shingles"] or 0)
+    rows = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     slices = -(-rows // MAX_ROWS) or 1
     kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     out = None
@@ -202,16 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         # through the search once and nothing that follows moves into it.
         chunks = cut(_chunks(docs, cut(sought(part, similarity))))
         windows = window_fingerprints(chunks)
-        cells = windows.withColumn("c", F.explode(blocks(F.col("wfp"), radius))).select("key", "n", "first", "start", "wfp", "c.b", "c.v")
-        filed = part.select("item", "n", "fp", F.explode(blocks(F.col("fp"), radius)).alias("c"))
-        filed = F.broadcast(filed.select("item", "n", "fp", "c.b", "c.v"))
-        bits = F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp")))
-        # A pair may meet in several blocks; the first block in which it agrees reports it.
-        first = F.array_position(
-            F.zip_with(blocks(F.col("wfp"), radius), blocks(F.col("fp"), radius), lambda x, y: x["v"] == y["v"]), True
-        )
-        near = cells.join(filed, ["n", "b", "v"]).filter((bits <= radius) & (first == F.col("b") + 1))
-        near = cut(near.select("key", "n", "first", "start", "item", bits.alias("bits")))
+        near = cut(near_items(windows, part, radius))
         bag = numbered(F.slice("hs", F.col("start") - F.col("first") + 1, F.col("m")))
         near = near.join(chunks.select("doc_id", "key", "n", "first", "m", "hs"), ["key", "n", "first"]).withColumn("own", bag)
         near = near.select("doc_id", "item", "start", "bits", "own").join(part.select("item", "bag"), "item")

@@ -327,6 +327,36 @@ def test_leaks_like_brute_force(spark, monkeypatch):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_blocks_of_fingerprints_select(spark):
+    """Pairs within the radius all meet; of unrelated pairs fewer than one in ten does."""
+    assert decontaminate.allowances(16) == [4, 3, 3, 3] and sum(a + 1 for a in decontaminate.allowances(9)) == 10
+    rng = random.Random(8)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [rng.getrandbits(64) for _ in range(300)]
+    windows = [rng.getrandbits(64) for _ in range(300)]
+    windows += [item ^ sum(1 << b for b in rng.sample(range(64), k)) for item in items[:100] for k in (0, 8, 15, 16, 17)]
+    far = spark.createDataFrame([(signed(f), 60) for f in windows], "wfp long, n int").withColumns({c: F.monotonically_increasing_id() for c in ("key", "first", "start")})
+    near = spark.createDataFrame([(i, signed(f), 60) for i, f in enumerate(items)] + [(-1, 0, 59)], "item long, fp long, n int")
+    met = decontaminate.meetings(far, near)
+    assert met.count() < 0.1 * len(windows) * len(items)
+    got = decontaminate.near_items(far, near).join(far, "key").select("wfp", "item", "bits").collect()
+    want = [(signed(w), i, (w ^ f).bit_count()) for w in windows for i, f in enumerate(items) if (w ^ f).bit_count() <= 16]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) >= 400
+
+
+def test_recall_at_the_least_similarity(spark):
+    """Of pairs with a similarity of just 0.8 nearly all are within the radius."""
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(400):
+        m = rng.choice((18, 45, 90, 180))
+        own = [str(rng.random()) for _ in range(m + m // 9)]
+        pairs.append((own[:m], own[m // 9 :]))
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    apart = F.bit_count(decontaminate.simhash(F.col("a")).bitwiseXOR(decontaminate.simhash(F.col("b"))))
+    assert df.filter(apart <= decontaminate.RADIUS).count() >= 0.97 * len(pairs)
+
+
 def test_leaks_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(None, f"a {text} b", "x", "y", "z"), (1, f"x {text}", "x", "y", "z"), (1, f"x y {text}", "x", "y", "z"), (None, None, None, None, None)]
