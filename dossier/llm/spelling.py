@@ -10,12 +10,12 @@ whose third comes first, one of the three is unbroken; its counterpart in the ot
 comes no later in the order, so it is among the other's three.  Hence near words meet at
 one of their three rarest bigrams.  There the edit lies behind the bigram, and
 then both words agree up to and with it, at the same place; or before it, and then they agree from it to
-their ends, at places one apart at most.  So a word is filed under six keys, each a rare
-bigram with all that precedes or all that follows it, and the lengths, at most one apart.
-Words that meet are verified by their distance.
+their ends, at places one apart at most.  Of the rest, in which the edit is, either the first or the last half
+agrees too.  So near words meet at a rare bigram with all that precedes or follows it and half of what is
+left, and at lengths one apart at most: these are the keys.  Words that meet are verified by their distance.
 
 The words are joined by keys only, so no task holds all pairs of a frequent bigram, and a key is
-shared by as many words as have all but one side in common.
+shared by as many words as have all but a stretch of one side in common.
 """
 
 from __future__ import annotations
@@ -71,16 +71,33 @@ def rare_places(words: DataFrame) -> DataFrame:
     return each.join(F.broadcast(held), "gram").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= RAREST).select("word", "n", "p")
 
 
+def _keys(least: Column, kind: int) -> Column:
+    """Keys of a word under its bigram at ``p``, for pairs whose shorter word has ``least`` letters: hashes of a head and a tail of the word."""
+    p, size = F.col("p"), F.length("word")
+    half = lambda free: F.floor(free / 2).cast("int")
+    behind, before = least - p - 2, least - size + p  # letters, of the shorter word, in which the edit is
+    cuts = [(behind, p + 2 + half(behind), F.lit(0)), (behind, p + 2, behind - half(behind)), (before, half(before), size - p), (before, F.lit(0), least - half(before))]
+    made = [
+        F.when(free >= 0, F.xxhash64(F.lit(kind), least, head, tail, F.substring(F.col("word"), F.lit(1), head), F.substring(F.col("word"), size - tail + 1, tail)))
+        for free, head, tail in cuts
+    ]
+    return F.explode(F.array_compact(F.array(*made))).alias("k")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """``(a, b, n_a, n_b)``: all pairs of words (``word``, ``n``; a word once) one inserted, deleted or replaced letter apart; each once."""
     places = cut(rare_places(words))
-    length = F.length("word")
-    head, tail = F.substring(F.col("word"), F.lit(1), F.col("p") + 2), F.substring(F.col("word"), F.col("p") + 1, length)
-    keyed = places.withColumn("size", length.cast("int")).withColumn("k", F.explode(F.array(F.xxhash64(F.lit(0), head), F.xxhash64(F.lit(1), tail))))
-    left = keyed.select(F.col("k"), F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("size"), F.explode(F.array("size", F.col("size") + 1)).alias("with"))
-    right = keyed.select(F.col("k").alias("k_"), F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("size").alias("size_"))
-    met = left.join(right, (F.col("k") == F.col("k_")) & (F.col("with") == F.col("size_")) & ((F.col("size") < F.col("size_")) | (F.col("a") < F.col("b"))))
-    return met.filter(F.levenshtein("a", "b", 1) == 1).select("a", "b", "n_a", "n_b").distinct()
+    size = F.length("word")
+    kinds = {"alike": (size, 0), "shorter": (size, 1), "longer": (size - 1, 1)}
+    keyed = {name: places.select("word", "n", _keys(least, kind)) for name, (least, kind) in kinds.items()}
+    near = None
+    for left, right in (("alike", "alike"), ("shorter", "longer")):
+        a = keyed[left].select("k", F.col("word").alias("a"), F.col("n").alias("n_a"))
+        b = keyed[right].select(F.col("k").alias("k_"), F.col("word").alias("b"), F.col("n").alias("n_b"))
+        met = a.join(b, (F.col("k") == F.col("k_")) & ((F.col("a") < F.col("b")) if left == right else F.lit(True)))
+        met = met.filter(F.levenshtein("a", "b", 1) == 1).select("a", "b", "n_a", "n_b")
+        near = met if near is None else near.unionAll(met)
+    return near.distinct()
 
 
 def _last(forms: DataFrame) -> DataFrame:
