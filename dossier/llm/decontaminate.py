@@ -234,7 +234,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         # The few chunks are written before they are fingerprinted, so that the shingles stream
         # through the search once and nothing that follows moves into it.
         chunks = cut(_chunks(docs, cut(sought(part, similarity))))
-        windows = window_fingerprints(chunks)
+        # Written, too, so that the expression of a fingerprint is compiled once and not again in each block.
+        windows = cut(window_fingerprints(chunks))
         near = cut(near_items(windows, part, radius))
         bag = numbered(F.slice("hs", F.col("start") - F.col("first") + 1, F.col("m")))
         near = near.join(chunks.select("doc_id", "key", "n", "first", "m", "hs"), ["key", "n", "first"]).withColumn("own", bag)
