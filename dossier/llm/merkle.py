@@ -207,9 +207,9 @@ def manifest(leaves: DataFrame, keep: Sequence[str], finish: Callable = _listed,
     top, top_size = placed(tops, ["id"])
     crown = nodes(top, block)
     ways = prove(top, cut(block_paths(top_size, crown, block)), ["id", "digest"], _listed, f"proof {PROOF}", block)
-    whole = roots(crown).select(F.col("digest").alias("root"))
-    over = cut(ways.crossJoin(F.broadcast(whole)).select(F.col("id").alias("g_"), F.col("digest").alias("subroot"), F.col("proof").alias("over"), "root"))
-    over = bounded_broadcast(over)
+    root = next((row["digest"] for row in roots(crown).take(1)), None)
+    over = ways.select(F.col("id").alias("g_"), F.col("digest").alias("subroot"), F.col("proof").alias("over"), F.lit(root).cast("string").alias("root"))
+    over = bounded_broadcast(cut(over))
     paths = cut(block_paths(sizes, tree, block).join(over, F.col("g").eqNullSafe(F.col("g_"))).select("g", "block", F.concat("path", "over").alias("path")))
     proved = prove(own, paths, [*keep, "g", "digest"], finish, made, block)
     return proved.join(over.drop("over"), F.col("g").eqNullSafe(F.col("g_"))).drop("g_").withColumnRenamed("digest", "leaf")
