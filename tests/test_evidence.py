@@ -1,12 +1,15 @@
 """Picks, stores, author verification and what follows from them: sequential rules and odd rows."""
 
+import datetime
 import hashlib
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import picking, stores, verification
+from dossier.sources import paging
 
 RULES = {"a": "n % 2 = 0", "a_again": "n % 2 = 0", "b": "n % 3 = 0", "c": "n % 5 = 0 AND n % 2 = 1", "any": "true"}
 
@@ -107,3 +110,86 @@ def test_keys_of_pages(spark):
     urls = [None, "", "x", "http://www.A.org/B/", "https://a.org/b?q#f", "http://a.org", "http://a.org/bc;p"]
     df = spark.createDataFrame([(u,) for u in urls], "u string").select(verification.domain_key(F.col("u")).alias("k"))
     assert [r.k for r in df.collect()] == ["", "", "", "a.org/b", "a.org/b", "a.org", "a.org/bc"]
+
+
+def scripted(answers):
+    """A client over a list of answers; errors are raised.  Gives it with the waits and the requests it made."""
+    waits, asked, left = [], [], list(answers)
+
+    def fetch(url, params):
+        asked.append((url, dict(params)))
+        answer = left.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    now = lambda: datetime.datetime(2026, 1, 1, 0, 0, 10, tzinfo=datetime.UTC)
+    return paging.Client(fetch, sleep=waits.append, now=now), waits, asked
+
+
+OK = paging.Response(200, '{"results": []}', "application/json")
+
+
+@pytest.mark.parametrize(
+    ("answers", "waits"),
+    [
+        ([OK], []), ([ConnectionError("x"), OK], [1]), ([ConnectionError("x"), TimeoutError("y"), OK], [1, 2]), ([paging.Response(503), paging.Response(500), OK], [1, 2]),
+        ([paging.Response(429, retry_after="7"), OK], [7]), ([paging.Response(429, retry_after="900"), OK], [30]), ([paging.Response(429, retry_after="-5"), OK], [0]),
+        ([paging.Response(429, retry_after="soon"), OK], [1]), ([paging.Response(429, retry_after="nan"), OK], [1]),
+        ([paging.Response(503, retry_after="Thu, 01 Jan 2026 00:00:15 GMT"), OK], [5]),
+        ([paging.Response(503, retry_after="Thu, 01 Jan 2026 00:00:15 GMT", date="Thu, 01 Jan 2026 00:00:03 GMT"), OK], [12]),
+    ],
+)
+def test_client_tries_again(answers, waits):
+    client, waited, asked = scripted(answers)
+    assert client.get("u", {"a": 1}, ("results",)) == {"results": []} and waited == waits and len(asked) == len(answers)
+
+
+@pytest.mark.parametrize(
+    ("answers", "kind", "status"),
+    [
+        ([paging.Response(503)] * 3, "request_failed", 503), ([OSError("down")] * 3, "request_failed", None), ([paging.Response(404)], "request_failed", 404),
+        ([paging.Response(200, " <!DOCTYPE html> please Accept the Terms")], "terms_required", 200), ([paging.Response(403, "<p>Terms of Use", "text/html")], "terms_required", 403),
+        ([paging.Response(200, "<html>")], "schema_changed", 200), ([paging.Response(200, "{")], "schema_changed", 200), ([paging.Response(200, "[1]")], "schema_changed", 200),
+        ([paging.Response(200, '{"other": 1}')], "schema_changed", 200),
+    ],
+)
+def test_client_tells_errors_apart(answers, kind, status):
+    client, waited, _ = scripted(answers)
+    with pytest.raises(paging.SourceError) as error:
+        client.get("u", {}, ("results",))
+    assert (error.value.kind, error.value.status) == (kind, status) and len(waited) == len(answers) - 1
+
+
+def answer(url, params):
+    """A source in which person n has n pages of two items; it is busy at first, and fails for some."""
+    person, page = int(url), 0 if params["cursor"] == "*" else int(params["cursor"][1:])
+    if person == 7:
+        return paging.Response(500)
+    if person == 8 and page == 1:
+        return paging.Response(200, "<html>moved")
+    items = [{"id": f"w{person}.{page}", "display_name": f"title {page % 2}"}, {"display_name": " Title  x ", "n": page}] if page < person else []
+    return paging.Response(200, json.dumps({"results": items, "meta": {"next_cursor": f"c{page + 1}" if page + 1 < person else None}}))
+
+
+def test_pages_are_followed_and_errors_are_rows(spark):
+    people = spark.createDataFrame([(n,) for n in (0, 1, 3, 4, 7, 8, None)], "p long")
+    pages = paging.collect(people, "p", lambda p: (str(p), {}), lambda: paging.Client(answer, sleep=lambda s: None))
+    assert pages.columns == ["p", "place", "cursor", "next", "items", "state", "message"]
+    found = paging.works(pages, "p", "id string, display_name string, n int", F.col("display_name"), F.col("id"))
+    told = {r.p: tuple(r)[1:] for r in paging.reading(pages, found, "p").collect()}
+    assert told == {
+        0: (1, 0, 0, False, "ok"), 1: (1, 2, 2, False, "ok"), 3: (3, 6, 4, False, "ok"), 4: (3, 6, 4, True, "ok"), 7: (0, 0, 0, False, "request_failed"), 8: (1, 2, 2, False, "schema_changed"),
+    }
+    assert {(r.p, r.n, r.place) for r in found.filter("id IS NULL").collect()} == {(1, 0, 0), (3, 2, 2), (4, 2, 2), (8, 0, 0)}
+    stored = pages.filter("state = 'ok'").select("p", "cursor", "next", "items")
+    again = paging.walk(people.unionAll(people), stored, "p")
+    same = lambda df: sorted(map(tuple, df.filter("state = 'ok'").collect()))
+    assert same(again.filter("p <> 8")) == same(pages.filter("p <> 8"))
+    assert paging.walk(people.limit(0), stored, "p").count() == 0
+
+
+def test_field_filter(spark):
+    df = spark.createDataFrame([("Professor",), (" Dean ",), (None,), ("",)], "t string")
+    keep = lambda **k: [r.ok for r in df.select(paging.allowed(F.col("t"), **k).alias("ok")).collect()]
+    assert keep(only=["Professor", "Dean"], never=["Dean"]) == [True, False, False, False] and keep(never=["Dean"]) == [True, False, True, True]
