@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import YEAR, is_publication, norm_text
+from dossier.operators.graph import cut
 
 # Headings that open and end a list of publications, and those that end a biography.
 OPENING = (
@@ -160,27 +161,49 @@ def table_rows(lines: DataFrame, id_col: str, headers: Sequence[str] = ()) -> Da
     )
 
 
+#: Longest name that is looked for, and what stands near one of two characters that is a person's.
+LONGEST_NAME = 8
+NEAR_PERSON = "(?:教授|研究员|老师|导师|博士|团队)"
+
+
 def mentions(docs: DataFrame, doc_id: str, text: Column, names: DataFrame, name: str, most: int = 3, width: int = 20_000) -> DataFrame:
     """``(name, doc_id, place)``: the first ``most`` documents that name each person, by doc_id.
 
-    Runs of Chinese characters in the first ``width`` characters are cut into all pieces as
-    long as some name and joined by equality, so no name is searched in every document.
-    Names of two characters count only where a word of research stands near.
+    Each place of the runs of Chinese characters in the first ``width`` characters is filed under the two characters
+    there, with no more than a name's length behind it; names are filed under their first two.  So
+    names meet the places where they may begin, and no text travels.  Names of two characters count only where a
+    word of research stands near: the texts of the documents that have one, and no others, are looked at for that.
+    Names of other than 2 to 8 Chinese characters are not looked for; repeated names and rows add nothing.
     """
-    known = names.select(F.col(name).alias("name")).filter(F.rlike("name", F.lit(r"^[一-鿿]{2,8}$"))).distinct()
-    lengths = sorted(r["n"] for r in known.select(F.length("name").alias("n")).distinct().collect())  # 2 to 8
+    known = names.select(F.col(name).alias("name")).filter(F.rlike("name", F.lit(rf"^[一-鿿]{{2,{LONGEST_NAME}}}$"))).distinct()
     head = F.left(F.coalesce(text, F.lit("")), F.lit(width))
-    runs = docs.select(doc_id, head.alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(head, F.lit("[一-鿿]{2,}"), F.lit(0)))).alias("run"))
-    found = None
-    for n in lengths:
-        pieces = F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.call_function("substring", "run", i, F.lit(n))))
-        own = runs.filter(F.length("run") >= n).select(doc_id, "t", pieces.alias("name"))
-        own = own.join(known.filter(F.length("name") == n), "name")
-        if n == 2:
-            own = own.filter(F.rlike("t", F.concat(F.lit("(?:教授|研究员|老师|导师|博士|团队).{0,12}"), F.col("name"), F.lit("|"), F.col("name"), F.lit(".{0,12}(?:教授|研究员|老师|导师|博士|团队)"))))
-        own = own.select("name", doc_id).distinct()
-        found = own if found is None else found.unionAll(own)
-    if found is None:
-        found = docs.limit(0).select(F.lit("").alias("name"), doc_id)
+    runs = docs.select(F.col(doc_id).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(head, F.lit("[一-鿿]{2,}"), F.lit(0)))).alias("run"))
+    places = F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.call_function("substring", "run", i, F.lit(LONGEST_NAME)))
+    pieces = runs.select("id", F.explode(F.array_distinct(places)).alias("piece")).distinct()
+    filed = known.withColumn("gram", F.left("name", F.lit(2)))
+    met = pieces.join(filed, (F.left("piece", F.lit(2)) == F.col("gram")) & F.startswith("piece", "name"))
+    found = cut(met.select("name", "id").distinct())
+    short = found.filter(F.length("name") == 2)
+    read = docs.select(F.col(doc_id).alias("id_"), head.alias("t")).join(short.select(F.col("id").alias("id_")).distinct(), "id_", "left_semi")
+    near = F.concat(F.lit(f"{NEAR_PERSON}.{{0,12}}"), F.col("name"), F.lit("|"), F.col("name"), F.lit(f".{{0,12}}{NEAR_PERSON}"))
+    sure = short.join(read, (F.col("id") == F.col("id_")) & F.rlike("t", near)).select("name", "id").distinct()
+    every = found.filter(F.length("name") > 2).unionAll(sure).withColumnRenamed("id", doc_id)
     order = Window.partitionBy("name").orderBy(doc_id)
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    return every.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+def person_materials(people: DataFrame, name: str, entries: DataFrame, found: DataFrame, titles: DataFrame, doc_id: str, most: int = 3) -> DataFrame:
+    """``people`` with what materials say of them: ``entry``, a printed table's row under their name, and ``evidence``, titles of documents.
+
+    ``entries`` has ``name`` and more, of rows with one name the first in order of all columns counts; ``found`` has ``name`` and
+    ``doc_id`` (as ``mentions`` gives), ``titles`` has ``doc_id`` and ``title``.  ``evidence`` lists the first ``most`` titles by doc_id,
+    each once; people of one name share both.  Without any they are null and empty.
+    """
+    rest = [c for c in entries.columns if c != "name"]
+    own = entries.filter(F.col("name").isNotNull()).groupBy(F.col("name").alias("name_")).agg(F.min(F.struct(*rest)).alias("entry"))
+    named = found.select("name", F.col(doc_id).alias("id")).join(titles.select(F.col(doc_id).alias("id_"), "title"), F.col("id") == F.col("id_"))
+    order = Window.partitionBy("name").orderBy("id", "title")
+    first = named.select("name", "id", "title").distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most)
+    listed = first.groupBy(F.col("name").alias("named_")).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("at", "title"))), lambda x: x["title"])).alias("evidence"))
+    out = people.drop("entry", "evidence").join(own, F.col(name) == F.col("name_"), "left").join(listed, F.col(name) == F.col("named_"), "left").drop("name_", "named_")
+    return out.withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))

@@ -106,4 +106,71 @@ SELECT p.person, CASE WHEN o.a IS NOT NULL THEN o.a WHEN p.name LIKE '%7' THEN '
   CASE WHEN o.a IS NOT NULL THEN '已匹配-高' WHEN p.name LIKE '%7' THEN '已匹配-中' WHEN sure IS NOT NULL THEN '已匹配-' || sure WHEN z.person IS NOT NULL THEN '歧义/未采用' ELSE '未匹配' END AS status
 FROM people p LEFT JOIN z USING (person) LEFT JOIN o USING (person)"""
 
-ORACLE_SQL = {"picked_samples": PICKS, "normal_store_entries": STORES, "author_choices": AUTHORS}
+_ITEMS = f"""WITH i AS (SELECT doc_id, doc_id // {made.PERSON} AS person, (doc_id % {made.PERSON} // {made.PAGE})::INT AS place, doc_id % 3 > 0 AS named, 'w' || doc_id % 15 AS id,
+    CASE WHEN doc_id % 17 > 0 THEN lang || ' ' || source END AS display_name, (n_chars % 30 + 2000)::INT AS year, source AS kind FROM documents),
+  r AS (SELECT *, (row_number() OVER (PARTITION BY person, place ORDER BY doc_id) - 1)::INT AS item FROM i WHERE place < least(person % 5, 3)),
+  w AS (SELECT * FROM r WHERE display_name <> '' AND kind NOT IN ('src3', 'src11')
+    QUALIFY row_number() OVER (PARTITION BY person, CASE WHEN named THEN 'i' || id ELSE 't' || lower(display_name) END ORDER BY doc_id DESC) = 1)"""
+PAGED = f"{_ITEMS} SELECT person, place, item, CASE WHEN named THEN id END AS id, display_name, year FROM w"
+READING = f"""{_ITEMS}, k AS (SELECT person, count(*) AS n FROM w GROUP BY 1)
+SELECT person, count(DISTINCT place) AS pages, count(*) AS raw_count, coalesce(any_value(n), 0) AS accepted_count, person % 5 > 3 AND max(place) = 2
+  AND EXISTS (SELECT 1 FROM i WHERE i.person = r.person AND i.place = 3) AS truncated, 'ok' AS state FROM r LEFT JOIN k USING (person) GROUP BY person"""
+
+
+def _union(values: str, work: str = "g") -> str:
+    """A list of lists joined, alike values in any case once, as first written."""
+    flat = f"list_filter(list_transform(flatten({values}), lambda x: trim(x)), lambda x: x <> '')"
+    return f"array_to_string(list_filter({flat}, lambda x, i: list_position(list_transform({flat}, lambda y: lower(y)), lower(x)) = i), '|')"
+
+
+def _first(column: str) -> str:
+    return f"coalesce((list({column} ORDER BY o) FILTER ({column} <> ''))[1], '')"
+
+
+MERGED = f"""WITH d AS (SELECT *, coalesce(source, '?') AS s, coalesce(lang, '?') AS l FROM documents),
+r AS (SELECT doc_id AS id, doc_id - doc_id % 7 AS work_id, ['official', 'openalex', 'zbmath', 'arxiv', 'other'][(doc_id % 5 + 1)::INT] AS source, CASE WHEN doc_id % 4 > 0 THEN 's' || doc_id % 6 END AS source_id,
+  CASE WHEN doc_id % 11 = 3 THEN '10.1/' || doc_id ELSE '' END AS doi, CASE WHEN doc_id % 13 = 5 THEN doc_id::VARCHAR END AS arxiv_id, 'On ' || s || ' ' || l AS title,
+  CASE WHEN doc_id % 3 > 0 THEN (n_chars % 20 + 2005)::INT END AS year, CASE WHEN doc_id % 2 = 0 THEN s END AS venue, 'u' || doc_id % 8 AS url, doc_id % 3 = 0 AS is_preprint,
+  [s, upper(s), l, ' ', 'A ' || doc_id % 3] AS authors, CASE WHEN doc_id % 2 = 1 THEN [l, '62H'] END AS classifications, [upper(l[1]) || lower(l[2:])] AS topics FROM d WHERE doc_id % 29 > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY doi = '', is_preprint, doc_rank, -length(title), id) AS o FROM
+  (SELECT *, list_position(['official', 'openalex', 'zbmath', 'arxiv', 'other'], source) AS doc_rank FROM r)),
+g AS (SELECT work_id, (list(title ORDER BY o))[1] AS title, max(year) AS year, {_first("doi")} AS doi, {_first("arxiv_id")} AS arxiv_id, {_first("venue")} AS venue, '' AS publication_date, {_first("url")} AS url,
+  bool_and(is_preprint) AS is_preprint, count(*) AS n_records, {_union("list([source] ORDER BY o)")} AS sources, {_union("list([source || ':' || source_id] ORDER BY o) FILTER (source_id IS NOT NULL)")} AS source_ids,
+  {_union("list(authors ORDER BY o)")} AS authors, {_union("list(classifications ORDER BY o) FILTER (classifications IS NOT NULL)")} AS classifications, {_union("list(topics ORDER BY o)")} AS topics FROM o GROUP BY 1)
+SELECT * REPLACE (coalesce(source_ids, '') AS source_ids, coalesce(classifications, '') AS classifications),
+  CASE WHEN doi <> '' THEN 'doi:' || doi WHEN arxiv_id <> '' THEN 'arxiv:' || arxiv_id WHEN coalesce(source_ids, '') <> '' THEN string_split(source_ids, '|')[1] ELSE 'title:' || regexp_replace(lower(title), '[^a-z0-9]', '', 'g') END AS canonical_id FROM g"""
+
+_AT = f"(page_id + i - 1) % {len(made.LINKS)}"
+_HREFS = " ".join(f"WHEN {k} THEN " + " || w || ".join(f"'{p}'" for p in href.split("%s")) for k, (href, _) in enumerate(made.LINKS))
+_SAID = " ".join(f"WHEN {k} THEN '{' '.join(text.lower().split())}'" for k, (_, text) in enumerate(made.LINKS))
+_ROOT, _PATH = "regexp_extract(url, '^https?://[^/?#]*')", "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
+
+
+def _hosts(names: tuple[str, ...]) -> str:
+    return "host IN (" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def _words(names: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(said, '{n}')" for n in names) + ")"
+
+
+_H = made.homepages
+_PAPER = f"({_hosts(_H.PAPER_HOSTS)} OR contains(host, 'dblp.'))"
+HOMEPAGES = f"""WITH p AS (SELECT page_id, url, regexp_extract_all(html, '<a href="/([^"]*)">', 1)[1:(1 + page_id % 9)] AS found FROM pages),
+l AS (SELECT page_id, url, i, lower(regexp_replace(found[i], '[^A-Za-z]', '', 'g')) AS w FROM p, unnest(range(1, len(found) + 1)) t(i)),
+h AS (SELECT *, CASE {_AT} {_HREFS} END AS raw, CASE {_AT} {_SAID} END AS said, {_ROOT} AS root, {_PATH} AS path, regexp_replace({_PATH}, '[^/]*$', '') AS folder FROM l),
+c AS (SELECT *, CASE WHEN raw = '' THEN url WHEN starts_with(raw, '//') THEN string_split(root, ':')[1] || ':' || raw WHEN starts_with(raw, '..') THEN root || regexp_replace(folder, '[^/]+/$', '') || 'x/' || w || '.html'
+  WHEN starts_with(raw, '?') THEN root || path || raw WHEN starts_with(raw, '#') THEN regexp_replace(url, '#.*$', '') || raw ELSE raw END AS href FROM h),
+a AS (SELECT *, lower(regexp_extract(href, '^https?://([^/?#]*)', 1)) AS host, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS home FROM c WHERE regexp_matches(href, '^https?://')),
+x AS (SELECT *, rtrim(href, '；') AS tidy, lower(rtrim(path, '/')) AS own, lower(rtrim(regexp_extract(rtrim(href, '；'), '^https?://[^/?#]*([^?#]*)', 1), '/')) AS their FROM a),
+y AS (SELECT *, raw <> '' AND raw <> '#' AND NOT {_hosts(_H.COMMON_HOSTS)} AND NOT {_PAPER} AND NOT (host = home AND own = their) AS good FROM x),
+z AS (SELECT *, good AND {_words(_H.SAYS_HOME)} AS direct, good AND regexp_matches(host, '{_H.PERSON_HOSTS}') AS fallback FROM y),
+m AS (SELECT page_id, list(href ORDER BY i) FILTER (host <> home OR {_words(_H.SAYS_PERSON)}) AS outs, list(tidy ORDER BY i) FILTER (direct) AS ds, list(tidy ORDER BY i) FILTER (fallback) AS fs,
+  list(href ORDER BY i) FILTER (NOT ({_hosts(_H.SECTION_HOSTS + _H.COMMON_HOSTS)} OR {_PAPER}) AND (host <> home OR {_words(_H.SAYS_PERSON)})) AS ss,
+  list(href ORDER BY i) FILTER (host <> home AND {_words(_H.SAYS_OWN)}) AS ps, list(href ORDER BY i) FILTER (host <> home) AS os FROM z GROUP BY 1)
+SELECT page_id, {", ".join(f"coalesce(array_to_string(list_filter({v}, lambda x, i: list_position({v}, x) = i), ' '), '') AS {n}" for n, v in (("outside", "outs"), ("clean", "coalesce(ds, fs)"), ("section", "ss")))},
+  coalesce(ps[1], os[1], '') AS first FROM pages LEFT JOIN m USING (page_id)"""
+
+ORACLE_SQL = {
+    "picked_samples": PICKS, "normal_store_entries": STORES, "author_choices": AUTHORS, "paged_works": PAGED, "paged_reading": READING, "merged_works": MERGED, "homepage_links": HOMEPAGES,
+}

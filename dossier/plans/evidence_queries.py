@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.operators import picking, stores, verification
+from dossier.functions import homepages
+from dossier.operators import picking, stores, unions, verification
+from dossier.operators.graph import cut
+from dossier.sources import paging
 from dossier.sources.tables import table
 
 SEED = "evidence-2026"
@@ -88,4 +91,79 @@ def author_choices(spark: SparkSession, d: str) -> DataFrame:
     return verification.identified(people, found, pages, "person", AFFILIATIONS, CITIES, overrides.unionByName(named))
 
 
-QUERIES = {f.__name__: f for f in (picked_samples, normal_store_entries, author_choices)}
+#: A person of the stored pages is a run of documents, a page a run of those; people have 0 to 4 pages.
+PERSON, PAGE = 40, 10
+WORK = "id string, display_name string, year int, kind string"
+
+
+def _stored_pages(spark: SparkSession, d: str) -> DataFrame:
+    person, place = F.floor(F.col("doc_id") / PERSON).cast("long"), F.floor(F.col("doc_id") % PERSON / PAGE).cast("int")
+    rows = table(spark, d, "documents").select("doc_id", "n_chars", "source", "lang", person.alias("person"), place.alias("at")).filter(F.col("at") < F.col("person") % 5)
+    item = F.to_json(F.struct(
+        F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("w"), (F.col("doc_id") % 15).cast("string"))).alias("id"), F.when(F.col("doc_id") % 17 > 0, F.concat_ws(" ", "lang", "source")).alias("display_name"),
+        (F.col("n_chars") % 30 + 2000).alias("year"), F.col("source").alias("kind"),
+    ))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda x: x["item"])
+    cursor = lambda at: F.when(at == 0, "*").otherwise(F.md5(F.concat_ws(":", "person", at)))
+    pages = rows.groupBy("person", "at").agg(items.alias("items"))
+    after = F.when(F.col("at") + 1 < F.col("person") % 5, cursor(F.col("at") + 1))
+    return cut(pages.select("person", cursor(F.col("at")).alias("cursor"), after.alias("next"), "items"))
+
+
+def _read_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    stored = _stored_pages(spark, d)
+    pages = paging.walk(stored.select("person").distinct(), stored, "person")
+    return pages, paging.works(pages, "person", WORK, F.col("display_name"), F.col("id"), paging.allowed(F.col("kind"), never=("src3", "src11")))
+
+
+def paged_works(spark: SparkSession, d: str) -> DataFrame:
+    """Works on pages that are stored and followed from one to the next, the last of those alike."""
+    return _read_pages(spark, d)[1].select("person", "place", "item", "id", "display_name", "year")
+
+
+def paged_reading(spark: SparkSession, d: str) -> DataFrame:
+    """How the reading of each person's stored pages went."""
+    pages, works = _read_pages(spark, d)
+    return paging.reading(pages, works, "person")
+
+
+def merged_works(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of seven documents as the records of a work."""
+    k, source, lang = F.col("doc_id"), F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?"))
+    origin = F.get(F.array(*[F.lit(s) for s in ("official", "openalex", "zbmath", "arxiv", "other")]), (k % 5).cast("int"))
+    records = table(spark, d, "documents").select(
+        k.alias("record_id"), origin.alias("source"), F.when(k % 4 > 0, F.concat(F.lit("s"), (k % 6).cast("string"))).alias("source_id"),
+        F.when(k % 11 == 3, F.concat(F.lit("10.1/"), k.cast("string"))).otherwise("").alias("doi"), F.when(k % 13 == 5, k.cast("string")).alias("arxiv_id"),
+        F.when(k % 29 > 0, F.concat_ws(" ", F.lit("On"), source, lang)).alias("title"), F.when(k % 3 > 0, (F.col("n_chars") % 20 + 2005).cast("int")).alias("year"),
+        F.when(k % 2 == 0, source).alias("venue"), F.lit(None).cast("string").alias("publication_date"), F.concat(F.lit(" u"), (k % 8).cast("string")).alias("url"), (k % 3 == 0).alias("is_preprint"),
+        F.array(source, F.upper(source), lang, F.lit(" "), F.concat(F.lit("A "), (k % 3).cast("string"))).alias("authors"),
+        F.when(k % 2 == 1, F.array(lang, F.lit("62H"))).alias("classifications"), F.array(F.initcap(lang)).alias("topics"),
+    )
+    groups = table(spark, d, "documents").select(k.alias("record_id"), (k - k % 7).alias("work_id"))
+    joined = {c: F.array_join(c, "|") for c in ("sources", "source_ids", *unions.LISTS)}
+    return unions.merged_works(records, groups).withColumns(joined)
+
+
+#: Links by their place in a page: an address, given the word of the page's own link, and a text.
+LINKS = (
+    ("", "see"), ("https://%s.github.io/a#b", "code"), ("../x/./%s.html", "Home  Page"), ("http://www.zju.edu.cn/%s", "个人主页"), ("//Lab.example.org/%s/；", "x"),
+    ("?q=%s", "the lab"), ("mailto:%s@a.b", "homepage"), ("#top", "主页"), ("https://dblp.org/%s", "实验室"), ("https://%s.example.net/", "My HomePage"), ("https://%s.example.net/", "more"),
+)
+
+
+def homepage_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the pages, turned into others by their place, as those of a person's page."""
+    found = F.regexp_extract_all("html", F.lit('<a href="/([^"]*)">'), F.lit(1))
+    word = lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z]", ""))
+
+    def link(w: Column, i: Column) -> Column:
+        made = [F.when((F.col("page_id") + i) % len(LINKS) == k, F.struct(F.format_string(href, word(w)) if "%s" in href else F.lit(href), F.lit(text))) for k, (href, text) in enumerate(LINKS)]
+        return F.coalesce(*made).cast("struct<href:string,text:string>")
+
+    links = F.transform(F.slice(found, F.lit(1), F.lit(1) + (F.col("page_id") % 9).cast("int")), link)
+    pages = table(spark, d, "pages").select("page_id", "url", links.alias("links"))
+    ways = {"outside": homepages.outside_links, "clean": homepages.clean_homepages, "section": homepages.section_homepages}
+    return pages.select("page_id", *[F.array_join(way(F.col("links"), F.col("url")), " ").alias(n) for n, way in ways.items()], homepages.one_homepage(F.col("links"), F.col("url")).alias("first"))
+
+
+QUERIES = {f.__name__: f for f in (picked_samples, normal_store_entries, author_choices, paged_works, paged_reading, merged_works, homepage_links)}

@@ -4,11 +4,14 @@ import datetime
 import hashlib
 import json
 import random
+import re
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import picking, stores, verification
+from dossier.functions import homepages
+from dossier.operators import picking, sections, stores, unions, verification
 from dossier.sources import paging
 
 RULES = {"a": "n % 2 = 0", "a_again": "n % 2 = 0", "b": "n % 3 = 0", "c": "n % 5 = 0 AND n % 2 = 1", "any": "true"}
@@ -193,3 +196,91 @@ def test_field_filter(spark):
     df = spark.createDataFrame([("Professor",), (" Dean ",), (None,), ("",)], "t string")
     keep = lambda **k: [r.ok for r in df.select(paging.allowed(F.col("t"), **k).alias("ok")).collect()]
     assert keep(only=["Professor", "Dean"], never=["Dean"]) == [True, False, False, False] and keep(never=["Dean"]) == [True, False, True, True]
+
+
+def test_addresses_are_resolved_as_by_the_library(spark):
+    bases = ["http://a.org", "http://A.org/", "https://a.org/b/c", "https://a.org/b/c/?q=1#f", "http://a.org/x.html?u"]
+    hrefs = ["", "p", "p/q.html?r#s", "/p", "/", "//h.org/p", "../p", "../../../p", "./p/./q/..", "..", ".", "?q", "#f", "mailto:x@y", "http://b.org/../c", "p//q", "javascript:;", "/p/../q/"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
+    for r in df.withColumn("got", homepages.resolve(F.col("b"), F.col("h"))).collect():
+        assert r.got == urllib.parse.urljoin(r.b, r.h), (r.b, r.h)
+
+
+def links_of(spark, links, base, way):
+    df = spark.createDataFrame([(base, links)], "u string, l array<struct<href:string,text:string>>")
+    return df.select(way(F.col("l"), F.col("u")).alias("o")).first().o
+
+
+def test_homepages_of_a_page(spark):
+    base = "http://cs.x.edu/teacher/ann.htm"
+    links = [("a.htm", "news"), (None, "x"), ("http://WWW.zju.edu.cn/ann", "个人主页"), ("https://ann.github.io/；", "code"), ("http://cs.x.edu/teacher/ann.htm/", "主页"), ("/~ann#:~:text=x", "Homepage"), ("http://dblp.org/ann", "lab"), ("http://m.org", None)]
+    assert links_of(spark, links, base, homepages.clean_homepages) == ["https://ann.github.io/"]
+    assert links_of(spark, [*links, ("/~ann)", " Home  page of Ann")], base, homepages.clean_homepages) == ["http://cs.x.edu/~ann"]
+    assert links_of(spark, links, base, homepages.outside_links) == ["http://WWW.zju.edu.cn/ann", "https://ann.github.io/；", "http://cs.x.edu/teacher/ann.htm/", "http://cs.x.edu/~ann#:~:text=x", "http://dblp.org/ann", "http://m.org"]
+    assert links_of(spark, links, base, homepages.section_homepages) == ["https://ann.github.io/；", "http://cs.x.edu/teacher/ann.htm/", "http://cs.x.edu/~ann#:~:text=x", "http://m.org"]
+    assert links_of(spark, links, base, homepages.one_homepage) == "http://WWW.zju.edu.cn/ann" and links_of(spark, links[6:], base, homepages.one_homepage) == "http://dblp.org/ann"
+    found = F.array(F.lit("http://k.org/1"), F.lit("http://doi.org/1"), F.lit("http://m.org"))
+    assert links_of(spark, links[7:], base, lambda v, u: homepages.section_homepages(v, u, found)) == ["http://m.org", "http://k.org/1"]
+    for way in (homepages.clean_homepages, homepages.outside_links, homepages.section_homepages):
+        assert links_of(spark, [], base, way) == [] and links_of(spark, [(None, None)], base, way) == []
+    assert links_of(spark, [], base, homepages.one_homepage) == ""
+
+
+RECORD = (
+    "record_id long, source string, source_id string, doi string, arxiv_id string, title string, year int, venue string, publication_date string, url string, is_preprint boolean, "
+    "authors array<string>, classifications array<string>, topics array<string>"
+)
+
+
+def slow_merge(rows):
+    texts = lambda v: " ".join((v or "").split())
+    rank = {"official": 4, "openalex": 3, "zbmath": 2, "arxiv": 1}
+    rows = sorted(rows, key=lambda r: r[0])
+    rows.sort(key=lambda r: (bool(r[3]), not r[10], rank.get(r[1], 0), len(texts(r[5]))), reverse=True)
+
+    def union(values):
+        seen = {}
+        for v in map(texts, values):
+            if v:
+                seen.setdefault(v.lower(), v)
+        return list(seen.values())
+
+    first = lambda k: next((texts(r[k]) for r in rows if texts(r[k])), "")
+    ids = union(f"{r[1]}:{r[2]}" for r in rows if r[2])
+    name = f"doi:{first(3)}" if first(3) else f"arxiv:{first(4)}" if first(4) else ids[0] if ids else "title:" + re.sub("[^a-z0-9]", "", texts(rows[0][5]).lower())
+    lists = [union(v for r in rows for v in r[k] or ()) for k in (11, 12, 13)]
+    return (name, texts(rows[0][5]), max((r[6] for r in rows if r[6]), default=None), *map(first, (3, 4, 7, 8, 9)), all(r[10] for r in rows), len(rows), union(r[1] for r in rows), ids, *lists)
+
+
+def test_works_are_merged_in_order(spark):
+    rng = random.Random(6)
+    some = lambda *v: rng.choice(v)
+    words = lambda: some(None, [], [some("Ann Lee", "ANN LEE", " ann  lee", "Bo", "Çi", None, "") for _ in range(rng.randrange(6))])
+    rows = [
+        (i, some("official", "openalex", "zbmath", "arxiv", "else"), some(None, "", "s1", "s2"), some("", "", None, "10.1/a", "10.1/b"), some(None, "", "2401.1"), some(None, " ", "On it", "On  it more", "on IT"),
+         some(None, 2020, 2024), some(None, "V"), some("", "2024-01"), some(None, "u1", "u2"), some(True, False), words(), words(), words())
+        for i in range(300)
+    ]
+    groups = [(i, i % 40 if i % 3 else -1) for i in range(290)]  # one group holds a third of all
+    got = unions.merged_works(spark.createDataFrame(rows, RECORD).repartition(7), spark.createDataFrame(groups, "record_id long, work_id long"))
+    own = {w: [r for r in rows if (r[0], w) in groups and (r[5] or "").strip()] for w in {g for _, g in groups}}
+    assert {r.work_id: tuple(r)[1:] for r in got.collect()} == {w: slow_merge(v) for w, v in own.items() if v}
+    assert unions.merged_works(spark.createDataFrame([], RECORD), spark.createDataFrame([], "record_id long, work_id long")).count() == 0
+
+
+def test_mentions_without_texts_in_the_join(spark):
+    docs = [(1, "王小明和李明教授"), (2, "李明"), (3, None), (4, "x李明y老师 欧阳小明"), (5, "张" * 30_000 + "李明教授"), (6, "王小明"), (7, "王小明"), (8, "王小明"), (8, "王小明"), (None, "王小明")]
+    names = spark.createDataFrame([("王小明",), ("李明",), ("小明",), ("欧阳小明",), ("李明",), ("Ann",), (None,), ("张" * 9,), ("张" * 8,)], "name string")
+    df = spark.createDataFrame(docs, "id long, t string").withColumn("name", F.lit("x")).withColumn("gram", F.lit("x"))
+    found = sections.mentions(df, "id", F.col("t"), names, "name")
+    assert sorted((r.name, r.id, r.place) for r in found.filter("id IS NOT NULL").collect()) == sorted(
+        [("王小明", 1, 2), ("王小明", 6, 3), ("李明", 1, 1), ("李明", 4, 2), ("欧阳小明", 4, 1), ("张" * 8, 5, 1), ("小明", 1, 1), ("小明", 4, 2)]
+    )
+    assert ("王小明", None, 1) in {(r.name, r.id, r.place) for r in found.collect()}
+    assert sections.mentions(df.limit(0), "id", F.col("t"), names, "name").count() == 0 and sections.mentions(df, "id", F.col("t"), names.limit(0), "name").count() == 0
+    people = spark.createDataFrame([("王小明", 1), ("none", 2), (None, 3)], "who string, k int")
+    entries = spark.createDataFrame([("王小明", "b", 2), ("王小明", "a", 9), (None, "c", 1)], "name string, title string, n int")
+    titles = spark.createDataFrame([(1, "T1"), (6, "T1"), (7, "T7"), (8, "T8")], "id long, title string")
+    every = spark.createDataFrame([("王小明", i) for i in (1, 6, 7, 8)], "name string, id long")
+    out = sections.person_materials(people, "who", entries, every, titles, "id")
+    assert sorted(((r.k, r.entry and tuple(r.entry), r.evidence) for r in out.collect())) == [(1, ("a", 9), ["T1", "T7"]), (2, None, []), (3, None, [])]
