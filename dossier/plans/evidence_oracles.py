@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dossier.operators import stores, verification
+from dossier.operators import placement, stores, verification
 from dossier.plans import evidence_queries as made
+from dossier.plans.record_oracles import RANKED
 
 
 def _picks(rules: dict[str, str], prefix: str, seed: str, before: str, school: int, soft: bool) -> str:
@@ -171,6 +172,39 @@ m AS (SELECT page_id, list(href ORDER BY i) FILTER (host <> home OR {_words(_H.S
 SELECT page_id, {", ".join(f"coalesce(array_to_string(list_filter({v}, lambda x, i: list_position({v}, x) = i), ' '), '') AS {n}" for n, v in (("outside", "outs"), ("clean", "coalesce(ds, fs)"), ("section", "ss")))},
   coalesce(ps[1], os[1], '') AS first FROM pages LEFT JOIN m USING (page_id)"""
 
+#: By profile: the targets that it confirms, with the step that decides and the words shown.
+_STEPS = {2: [("ai", 2, "人工智能学院")], 4: [("software", 3, "软件学院")], 5: [("software", 4, made.JOINT.merged), ("ai", 4, made.JOINT.merged)], 6: [("cse", 1, "计算机科学与工程学院"), ("ai", 1, "人工智能学院")]}
+_TOLD = ", ".join(f"({i}, '{t}', {step}, '{needle}')" for i, told in _STEPS.items() for t, step, needle in told)
+_M = placement.METHODS
+AFFILIATIONS = f"""WITH told(i, target, step, needle) AS (VALUES {_TOLD}),
+p AS (SELECT doc_id, 'n' || doc_id % 100 AS name, 'http://x.edu/' || doc_id || '/?utm_a=1' AS page, trim(regexp_replace({list(made.PROFILES)}[(doc_id % {len(made.PROFILES)} + 1)::INT] || ' ' || coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
+e AS (SELECT doc_id, target, '{placement.CONFIRMED}' AS status, '{_M["profile"]}' AS method, step, trim(substr(t, greatest(instr(t, needle) - 100, 1), instr(t, needle) - greatest(instr(t, needle) - 100, 1) + length(needle) + 100)) AS evidence, page AS source, 0 AS seq
+    FROM p JOIN told ON i = doc_id % {len(made.PROFILES)}
+  UNION ALL SELECT doc_id, 'cse', '{placement.CONFIRMED}', '{_M["department"]}', 0, '计算机科学系', page, 0 FROM p WHERE doc_id % 5 = 0
+  UNION ALL SELECT p.doc_id, 'ai', CASE WHEN o.doc_id % 3 = 0 THEN 'by hand' ELSE '{placement.BY_HAND}' END, '{_M["hand"]}', 5, 'seen', 's1; s2', o.doc_id FROM p JOIN documents o ON o.doc_id % 50 = 7
+    AND CASE WHEN o.doc_id % 200 > 7 THEN o.doc_id = p.doc_id AND (o.doc_id % 100 <> 7 OR p.name = 'n' || o.doc_id % 90) ELSE p.name = 'n' || o.doc_id % 90 END),
+l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, target ORDER BY step DESC, seq DESC) = 1)
+SELECT doc_id, target, status, method, step, md5(evidence) AS evidence, source FROM l
+UNION ALL SELECT doc_id, 'cse', '{placement.PENDING}', '{_M["directory"]}', 6, md5(''), page FROM p WHERE doc_id NOT IN (SELECT doc_id FROM l)"""
+
+
+def _ranked(web_search: str) -> str:
+    """Parts ranked with but two sources that may be trusted."""
+    out = RANKED.replace("p_partkey % 11 = 0", web_search)
+    for other in ("p_partkey % 3 < 2 AND p_partkey % 5 <> 0", "p_partkey % 7 = 0", "p_partkey % 2 = 1"):
+        out = out.replace(other, "false")
+    return out
+
+
+RESTORED = f"""SELECT b.p_partkey, b.p_partkey % 3 = 0 AS found, b.p_partkey % 3 = 0 AS changed, b.level AS level_before, a.level, a.score, a.score_web_search
+FROM ({_ranked("false")}) b JOIN ({_ranked("p_partkey % 33 = 0")}) a USING (p_partkey)"""
+DEPARTMENTS = """SELECT source || ':' || n_chars % 50 AS name, arg_max(lang, doc_id) AS department FROM documents WHERE doc_id % 4 > 0 AND doc_id % 3 > 0 AND lang IS NOT NULL AND source IS NOT NULL GROUP BY 1"""
+DETAILS = """WITH p AS (SELECT doc_id AS p, CASE WHEN doc_id % 15 > 0 THEN 'i' || doc_id ELSE '' END AS i, source || ':' || doc_id // 25 AS n, CASE WHEN doc_id // 5 % 3 > 0 THEN 'http://p/' || doc_id // 5 % 2 ELSE '' END AS u FROM documents WHERE doc_id % 5 = 0),
+r AS (SELECT doc_id AS r, CASE WHEN doc_id % 6 = 0 THEN 'i' || (doc_id - doc_id % 10) ELSE '' END AS i, source || ':' || doc_id // 25 AS n, CASE WHEN doc_id % 4 > 0 THEN 'http://p/' || doc_id % 2 ELSE '' END AS u FROM documents),
+k AS (SELECT p, r FROM p JOIN r ON p.i = r.i AND p.i <> '')
+SELECT * FROM k UNION ALL SELECT p, r FROM p JOIN r ON p.n = r.n AND r.i = '' AND (p.u = '' OR r.u = '' OR p.u = r.u) WHERE p NOT IN (SELECT p FROM k)"""
+
 ORACLE_SQL = {
     "picked_samples": PICKS, "normal_store_entries": STORES, "author_choices": AUTHORS, "paged_works": PAGED, "paged_reading": READING, "merged_works": MERGED, "homepage_links": HOMEPAGES,
+    "joint_affiliations": AFFILIATIONS, "restored_levels": RESTORED, "department_map": DEPARTMENTS, "detail_rows_of_people": DETAILS,
 }

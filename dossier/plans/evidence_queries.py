@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import homepages
-from dossier.operators import picking, stores, unions, verification
+from dossier.operators import picking, placement, ranking, restoring, stores, unions, verification
 from dossier.operators.graph import cut
+from dossier.plans.record_queries import RANK_PROFILE
 from dossier.sources import paging
 from dossier.sources.tables import table
 
@@ -166,4 +167,66 @@ def homepage_links(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("page_id", *[F.array_join(way(F.col("links"), F.col("url")), " ").alias(n) for n, way in ways.items()], homepages.one_homepage(F.col("links"), F.col("url")).alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (picked_samples, normal_store_entries, author_choices, paged_works, paged_reading, merged_works, homepage_links)}
+JOINT = placement.Joint(
+    "东南大学", {"cse": "计算机科学与工程学院", "software": "软件学院", "ai": "人工智能学院"}, "cse", ("计算机科学系", "计算机工程系"), ("计算机学院",), "计算机软件与人工智能学院", ("software", "ai")
+)
+#: What a profile says before a document's text, by doc_id; each step of the cascade decides one of them.
+PROFILES = (
+    "", "欢迎报考软件学院。", "人工智能学院 副教授", "于软件学院取得学位后任教授", "东南大学软件学院、计算机学院 教授", "计算机软件与人工智能学院", "今年招收计算机科学与工程学院和人工智能学院学生", "软件学院毕业，学院教授",
+)
+
+
+def joint_affiliations(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as profiles of people in a directory that three colleges share."""
+    k = F.col("doc_id")
+    said = F.get(F.array(*[F.lit(p) for p in PROFILES]), (k % len(PROFILES)).cast("int"))
+    docs = table(spark, d, "documents")
+    people = docs.select(
+        "doc_id", F.concat(F.lit("n"), (k % 100).cast("string")).alias("name"), F.concat(F.lit("http://x.edu/"), k.cast("string"), F.lit("/?utm_a=1")).alias("url"),
+        F.when(k % 5 == 0, "计算机科学系").when(k % 5 == 1, "other").alias("department"), F.concat(said, F.lit(" "), F.coalesce("text", F.lit(""))).alias("profile"),
+    )
+    overrides = docs.filter("doc_id % 50 = 7").select(
+        k.alias("seq"), F.when(k % 100 == 7, F.concat(F.lit("n"), (k % 90).cast("string"))).alias("name"), F.when(k % 200 > 7, F.concat(F.lit("http://X.edu/"), k.cast("string"))).alias("url"),
+        F.array(F.lit("ai"), F.lit("unknown")).alias("targets"), F.when(k % 3 == 0, "by hand").alias("status"), F.lit("seen").alias("evidence"), F.array(F.lit("s1"), F.lit("s2")).alias("sources"),
+    )
+    return placement.placed(people, "doc_id", JOINT, overrides).withColumn("evidence", F.md5("evidence"))
+
+
+def restored_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Parts ranked without confirmed search results, which an earlier output has for every third; ranked again where they matter."""
+    k = F.col("p_partkey")
+    now = table(spark, d, "part").select(
+        "p_partkey", F.when(k % 4 == 0, "").otherwise(F.col("p_name")).alias("direction"), F.when(k % 3 == 0, F.concat(F.lit("研究方向 "), "p_name", F.lit(". "), "p_type")).otherwise(F.col("p_type")).alias("bio"), F.col("p_brand").alias("department"),
+        F.col("p_type").alias("dblp_keywords"), F.col("p_name").alias("dblp_titles"), F.when(k % 2 == 0, "高").otherwise("低").alias("dblp_confidence"),
+    )
+    before = table(spark, d, "part").filter("p_partkey % 3 = 0").select(
+        "p_partkey", F.when(k % 11 == 0, "人工确认-x").otherwise("auto").alias("WebSearch状态"), F.lit("高").alias("WebSearch置信度"), F.col("p_name").alias("WebSearch关键词"), F.lit(None).cast("string").alias("WebSearch代表证据")
+    )
+    out = restoring.rank_restored(ranking.rank(now, RANK_PROFILE), restoring.from_sheet(before), "p_partkey", RANK_PROFILE)
+    return out.select("p_partkey", "found", "changed", "level_before", "level", "score", "score_web_search")
+
+
+def department_map(spark: SparkSession, d: str) -> DataFrame:
+    """The department of a name: that of the last document that has one."""
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select(k, F.when(k % 4 > 0, F.concat_ws(":", "source", (F.col("n_chars") % 50).cast("string"))).alias("name"), F.when(k % 3 > 0, F.col("lang")).alias("department"))
+    return restoring.first_wins(rows, "name", "department", [-F.col("doc_id")])
+
+
+def detail_rows_of_people(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as detail rows of people, who are every fifth document: by id, else by name, with an address that doesn't speak against it."""
+    k = F.col("doc_id")
+    name = F.concat_ws(":", "source", F.floor(k / 25).cast("string"))
+    page = lambda key, odd: F.when(key % odd > 0, F.concat(F.lit("http://p/"), (key % 2).cast("string")))
+    docs = table(spark, d, "documents")
+    people = docs.filter("doc_id % 5 = 0").select(k.alias("p"), F.when(k % 15 > 0, F.concat(F.lit("i"), k.cast("string"))).alias("person"), name.alias("name"), page(F.floor(k / 5), 3).alias("url"))
+    rows = docs.select(k.alias("r"), F.when(k % 6 == 0, F.concat(F.lit(" i"), (k - k % 10).cast("string"))).otherwise("").alias("person"), name.alias("name"), page(k, 4).alias("url"))
+    return restoring.person_details(people, rows, "person", "name", "url").select("p", F.col("detail_r").alias("r"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        picked_samples, normal_store_entries, author_choices, paged_works, paged_reading, merged_works, homepage_links, joint_affiliations, restored_levels, department_map, detail_rows_of_people,
+    )
+}

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import homepages
-from dossier.operators import picking, sections, stores, unions, verification
+from dossier.operators import picking, placement, ranking, restoring, scoring, sections, stores, unions, verification
 from dossier.sources import paging
 
 RULES = {"a": "n % 2 = 0", "a_again": "n % 2 = 0", "b": "n % 3 = 0", "c": "n % 5 = 0 AND n % 2 = 1", "any": "true"}
@@ -284,3 +284,61 @@ def test_mentions_without_texts_in_the_join(spark):
     every = spark.createDataFrame([("王小明", i) for i in (1, 6, 7, 8)], "name string, id long")
     out = sections.person_materials(people, "who", entries, every, titles, "id")
     assert sorted(((r.k, r.entry and tuple(r.entry), r.evidence) for r in out.collect())) == [(1, ("a", 9), ["T1", "T7"]), (2, None, []), (3, None, [])]
+
+
+PROFILE = scoring.validate(scoring.Profile(weights=[("robot", 24), ("vision", 20)], core=["robot", "vision"], alias_groups=[], direction_groups={}))
+
+
+def test_restored_rows_are_ranked_again(spark):
+    columns = "k long, direction string, web_search_keywords string, web_search_status string, extra_ int"
+    rows = spark.createDataFrame([(1, "robot", None, None, 7), (2, "robot", None, "auto", 7), (3, "robot", "old", None, 7), (4, "poetry", None, None, 7), (None, "robot", None, None, 7)], columns)
+    before = spark.createDataFrame([(1, "人工确认-a", "高", "vision"), (2, "auto", "", ""), (4, "人工确认-a", "高", "vision"), (9, "人工确认", "高", "robot"), (None, "人工确认", "高", "robot")], "k long, `WebSearch状态` string, `WebSearch置信度` string, `WebSearch关键词` string")
+    ranked = ranking.rank(rows, PROFILE)
+    out = restoring.rank_restored(ranked, restoring.from_sheet(before), "k", PROFILE)
+    got = {r.k: (r.found, r.changed, r.web_search_keywords, r.web_search_evidence, r.score_web_search > 0, r.score, r.extra_) for r in out.collect()}
+    assert got == {
+        1: (True, True, "vision", "", True, 27, 7), 2: (True, False, "", "", False, 24, 7), 3: (False, False, "old", "", False, 24, 7), 4: (True, True, "vision", "", False, 0, 7), None: (False, False, None, "", False, 24, 7),
+    }
+    whole = ranking.rank(restoring.restored(rows, restoring.from_sheet(before), "k"), PROFILE)
+    assert {(r.k, r.score, r.level) for r in whole.collect()} == {(r.k, r.score, r.level) for r in out.collect()}
+    assert restoring.rank_restored(ranked.limit(0), restoring.from_sheet(before), "k", PROFILE).count() == 0
+
+
+def test_sheets_and_tables_rank_alike(spark):
+    table = spark.createDataFrame([(1, "robot", "高", "vision", "x", "人工确认-b", "中", "robot"), (2, "", "低", "vision", None, None, None, None)], "k long, direction string, dblp_confidence string, dblp_keywords string, arxiv_keywords string, web_search_status string, web_search_confidence string, web_search_keywords string")
+    sheet = restoring.to_sheet(table)
+    assert "DBLP匹配置信度" in sheet.columns and not set(restoring.SHEET.values()) & set(sheet.columns)
+    of = lambda df: [(r.k, r.score, r.level, r.reasons, r.warnings) for r in df.orderBy("k").collect()]
+    assert of(restoring.rank_sheet(sheet, PROFILE)) == of(ranking.rank(table, PROFILE))
+    both = table.withColumn("研究方向", F.when(F.col("k") == 2, "robot").otherwise(" "))
+    assert [r.direction for r in restoring.from_sheet(both).orderBy("k").collect()] == ["robot", "robot"]
+
+
+def test_first_wins_and_details(spark):
+    rows = spark.createDataFrame([("a", "x", 2), ("a", "z", 1), ("a", "y", 1), ("b", None, 0), (None, "q", 0), ("b", "w", None)], "k string, v string, o int")
+    assert sorted(map(tuple, restoring.first_wins(rows, "k", "v", [F.col("o")]).collect())) == [("a", "y"), ("b", "w")]
+    people = spark.createDataFrame([(1, " i1", "ann", "u"), (2, "i9", "ann", "u"), (3, None, "ann", None), (4, "", "", ""), (5, "i1", "else", "v")], "p int, i string, n string, u string")
+    details = spark.createDataFrame([(10, "i1", "other", "w"), (11, "", "ann", "u "), (12, None, " ann", "w"), (13, "", "ann", None), (14, "", "", "q"), (15, "i7", "ann", "u"), (11, "", "ann", "u ")], "r int, i string, n string, u string")
+    got = restoring.person_details(people, details, "i", "n", "u")
+    assert got.columns == ["p", "i", "n", "u", "detail_r", "detail_i", "detail_n", "detail_u"]
+    assert sorted((r.p, r.detail_r) for r in got.collect()) == [(1, 10), (2, 11), (2, 11), (2, 13), (3, 11), (3, 11), (3, 12), (3, 13), (4, 14), (5, 10)]
+    assert restoring.person_details(people.limit(0), details, "i", "n", "u").count() == 0
+
+
+def test_places_of_people(spark):
+    joint = placement.Joint("东南大学", {"cse": "计算机科学与工程学院", "software": "软件学院"}, "cse", ("计算机科学系",), ("计算机学院",), "软件与智能学院", ("software",))
+    said = ["计算机科学系", None, None, None, None, None]
+    profile = ["软件学院 教授", "毕业于软件学院，学位后任教授", None, "软件与智能学院", "东南大学软件学院与计算机学院 讲师", "x" * 500 + "招收" + "y" * 100 + "软件学院"]
+    rows = [(i, "ann" if i < 3 else f"n{i}", f"http://a.org/{i}/", d, p) for i, (d, p) in enumerate(zip(said, profile, strict=True))] + [(None, None, None, None, None)]
+    people = spark.createDataFrame(rows, "id int, name string, url string, department string, profile string").withColumn("status", F.lit("x"))
+    hand = [(1, "ann", None, ["software", "none"], None, "e1", ["s"]), (2, "ann", "http://A.org/1", ["software"], "sure", None, None), (3, None, "http://a.org/3", ["cse"], " ", "e3", ["a", "b"]), (4, "bo", "http://a.org/4", ["cse"], "", "", []), (5, None, None, ["cse"], "", "", [])]
+    overrides = spark.createDataFrame(hand, "seq int, name string, url string, targets array<string>, status string, evidence string, sources array<string>")
+    got = {(r.id, r.target): (r.status, r.step, len(r.evidence), r.source) for r in placement.placed(people, "id", joint, overrides).collect()}
+    page = "http://a.org/{}/".format
+    assert got == {
+        (0, "cse"): ("官方确认", 0, 6, page(0)), (0, "software"): ("人工确认", 5, 2, "s"), (1, "software"): ("sure", 5, 0, ""), (2, "software"): ("人工确认", 5, 2, "s"),
+        (3, "software"): ("官方确认", 4, 7, page(3)), (3, "cse"): ("人工确认", 5, 2, "a; b"), (4, "software"): ("官方确认", 3, 17, page(4)), (5, "software"): ("官方确认", 1, 104, page(5)), (None, "cse"): ("待复核", 6, 0, ""),
+    }
+    alone = {(r.id, r.target, r.step) for r in placement.placed(people, "id", joint).collect()}
+    assert alone == {(0, "cse", 0), (0, "software", 2), (1, "cse", 6), (2, "cse", 6), (3, "software", 4), (4, "software", 3), (5, "software", 1), (None, "cse", 6)}
+    assert placement.placed(people.limit(0), "id", joint, overrides).count() == 0
