@@ -3,13 +3,19 @@
 The classifier is a sparse multinomial logistic regression over the word 1- and 2-grams a
 paragraph holds.  It is trained on the driver, in a few seconds, from public notices and
 names of licences set into phrases, altered at random, against prose, texts that speak of
-rights, and other licences; those make up the class ``unknown``.  Its temperature, and the
-probability against ``unknown`` that a family must reach, are set on held-out wordings:
-phrases, names, notices and other licences that the training never sees.
+rights, products of a family's name, and other licences; those make up the class ``unknown``.
+Families are looked for where the odds against ``unknown`` reach a bound that one in twenty held-out
+paragraphs without a family reaches.  The reported number is the model's odds of a family against all
+else, ``unknown`` included, made a probability by a logistic curve (Platt) fitted on held-out wordings:
+phrases, names, notices, products and other licences that the training never sees, two of them in a
+paragraph now and then.
 
 A predicted family is confirmed if the paragraph holds enough of the grams of one of the
 family's templates, at least one of the grams that decide its version or number of clauses,
-and none that speak for a sibling.  A paragraph may name several families.
+and none that speak for a sibling.  Where the template is but a name, nothing may deny it (``not under``,
+``license server``); where the name alone may be anything else (``isc``, ``apache 2``), the
+paragraph must also speak of licensing, or say nothing but names.  A paragraph may name several families.
+Held-out names are no templates.
 
 Scoring is built-in expressions over literals: weights are whole numbers, so sums are
 exact.  A paragraph is scored only if it holds one of the model's anchor words.  They are
@@ -32,7 +38,10 @@ from dossier.llm.common import fresh, normal_words
 
 UNKNOWN = "unknown"
 SCALE = 1 << 16
-CONFIRM = 0.6
+#: Share of the grams of a notice or line, and of a name, that a paragraph must hold.
+CONFIRM, NAMED = 0.6, 0.5
+#: A family of a smaller probability is not considered; so many paragraphs without a family may pass as having one, before confirmation.
+LEAST, PASSING = 0.02, 0.05
 
 # Notices by which works are put under well-known licences.
 TEMPLATES = {
@@ -164,7 +173,7 @@ NAMES = {
     "gpl-3.0": (["GPLv3", "GNU GPL v3", "GPL-3.0", "GPL version 3", "GNU General Public License v3", "GPL-3.0-only", "GNU General Public Licence, version 3", "GNU GPL version 3 or later", "GPL 3"], ["GNU GPL 3.0", "GPL v3 licence", "General Public License v3.0"]),
     "isc": (["ISC", "ISC license", "ISC licence", "Internet Systems Consortium license"], ["ISC-style license", "Internet Systems Consortium (ISC) licence"]),
     "lgpl-2.1": (["LGPLv2.1", "GNU LGPL v2.1", "LGPL-2.1", "LGPL version 2.1", "GNU Lesser General Public License v2.1", "LGPL-2.1-or-later", "GNU LGPL 2.1"], ["LGPL v2.1 licence", "Lesser GPL version 2.1"]),
-    "lgpl-3.0": (["LGPLv3", "GNU LGPL v3", "LGPL-3.0", "LGPL version 3", "GNU Lesser General Public License v3", "LGPL-3.0-only", "GNU LGPL 3"], ["LGPL v3 licence", "Lesser GPL version 3"]),
+    "lgpl-3.0": (["LGPLv3", "GNU LGPL v3", "LGPL-3.0", "LGPL version 3", "GNU Lesser General Public License v3", "LGPL-3.0-only", "GNU LGPL 3", "LGPL 3"], ["LGPL v3 licence", "Lesser GPL version 3"]),
     "mit": (["MIT License", "MIT licence", "MIT/X11 license", "Expat license", "MIT or Apache", "X11 license", "or MIT"], ["MIT (Expat) license", "MIT-style permissive license", "or MIT licence"]),
     "mpl-2.0": (["MPL 2.0", "MPL-2.0", "MPLv2", "Mozilla Public License 2.0", "Mozilla Public Licence, version 2.0", "MPL v2.0", "Mozilla Public License v2"], ["MPL 2.0 licence", "MPL version 2"]),
     "unlicense": (["Unlicense", "The Unlicense", "Unlicense license"], ["Unlicense (public domain)"]),
@@ -201,7 +210,7 @@ _ND = ("nd", "noderivatives", "no derivatives")
 DECIDING: dict[str, tuple[tuple[tuple[str, ...], ...], tuple[str, ...]]] = {
     "agpl-3.0": ((_versions("3", "agpl", "gpl"), ("affero", "agpl", "agplv3")), ()),
     "apache-2.0": ((_versions("2", "apache"), ("apache",)), ()),
-    "bsd-2-clause": ((("2 clause", "two clause", "simplified bsd", "bsd 2", "freebsd license", "freebsd licence", "reproduce the"),), ("3 clause", "three clause", "neither the", "endorse or")),
+    "bsd-2-clause": ((("2 clause", "two clause", "simplified bsd", "bsd 2", "reproduce the"),), ("3 clause", "three clause", "neither the", "endorse or")),
     "bsd-3-clause": ((("3 clause", "three clause", "new bsd", "modified bsd", "revised bsd", "neither the", "endorse or"),), ("2 clause", "two clause")),
     "cc-by-4.0": ((("4 0",),), (*_NC, *_SA, *_ND)),
     "cc-by-nc-4.0": ((("4 0",), _NC), (*_SA, *_ND)),
@@ -215,11 +224,32 @@ DECIDING: dict[str, tuple[tuple[tuple[str, ...], ...], tuple[str, ...]]] = {
     "isc": ((("isc", "internet systems", "and or"),), ()),
     "lgpl-2.1": ((("2 1", "v2 1", "lgplv2 1"), ("lesser", "lgpl", "lgplv2")), ()),
     "lgpl-3.0": ((_versions("3", "lgpl", "gpl"), ("lesser", "lgpl", "lgplv3")), ()),
-    "mit": ((("mit license", "mit licence", "mit x11", "x11 license", "expat license", "mit expat", "mit style", "or mit", "mit or", "identifier mit", "free of"),), ()),
+    "mit": ((("mit license", "mit licence", "mit x11", "x11 license", "expat license", "or mit", "mit or", "identifier mit", "free of"),), ()),
     "mpl-2.0": ((_versions("2", "mpl"), ("mozilla", "mpl", "mplv2")), ()),
     "unlicense": ((("unlicense", "and unencumbered"),), ()),
 }
 
+# Texts that hold a family's name and put nothing under it; the second list is kept out of the training.
+PRODUCTS = (
+    ["Apache 2.4.6 is a web server.", "Install Apache 2 with the package manager.", "The ISC meeting was held in Paris.", "ISC DHCP 4 assigns addresses.", "X11 window server", "The license server is down.",
+     "CC0 was the code of the old bus line.", "The MIT campus is near the river.", "Mozilla 2.0 shipped with a new engine.", "The GNU debugger version 3 was announced.", "BSD 3 was a release of the operating system.",
+     "Creative Commons held a summit.", "He left Harvard or MIT in spring.", "Version 2 of the public register is available.", "This is not licensed under the GPL version 2.", "Unlike the MIT license, ours has a clause on patents."],
+    ["Apache 2.2 reached its end of life.", "ISC published a report on name servers.", "Restart Apache 2 after the change.", "The X11 session did not start.", "A talk at MIT on robots.", "FreeBSD 3 and 2 were compared.", "Track CC0 is closed.", "The GNU tools, version 2, run on it."],
+)
+# Grams that deny a name, and grams by which a paragraph speaks of licensing.
+DENIED = (
+    "not under", "not licensed", "not released", "not covered", "not available", "not distributed", "not use", "no longer", "never under", "isn t", "aren t", "instead of", "rather than", "unlike the", "other than",
+    "license server", "license manager", "license key", "license fee", "license plate", "licence fee", "incompatible with",
+)
+CONTEXT = (
+    "license", "licence", "licensed", "licenced", "licensing", "relicensed", "licenses", "licences", "spdx", "terms", "released under", "distributed under", "available under", "provided under", "under apache", "under cc0", "under creative", "under isc", "under mit", "covered", "subject", "applies", "copying", "governed", "dedication", "waiver",
+    "waived", "permissive",
+)
+#: Families whose bare name may mean something else.
+AMBIGUOUS = ("apache-2.0", "cc0-1.0", "isc", "mit")
+#: A template of so many grams or more is a notice, not a name.
+NOTICE = 8
+
 # Texts about rights that name no family.
 RIGHTS = [
     "All rights reserved.", "Copyright 2021 by the author. All rights reserved.", "See the LICENSE file for details.",
@@ -277,13 +307,24 @@ class Model:
     grams: tuple[str, ...]
     weights: tuple[tuple[int, ...], ...]
     bias: tuple[int, ...]
+    slope: float
+    shift: float
     threshold: float
     anchors: tuple[str, ...]
-    templates: tuple[tuple[tuple[str, ...], ...], ...]
+    notices: tuple[tuple[tuple[str, ...], ...], ...]
+    lines: tuple[tuple[tuple[str, ...], ...], ...]
+    names: tuple[tuple[tuple[str, ...], ...], ...]
+    ambiguous: tuple[tuple[tuple[str, ...], ...], ...]
+    name_words: tuple[str, ...]
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Lower-cased words; ``licence`` is spelt ``license``."""
+    return WORD.findall(text.lower().replace("licence", "license"))
+
+
+def _spelt(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit("licence"), F.lit("license"))
 
 
 def grams_of(words: list[str]) -> set[str]:
@@ -299,6 +340,8 @@ def _template(text: str) -> tuple[str, ...]:
 def _examples(seed: int, copies: int, kept: int) -> list[tuple[set[str], int]]:
     """Altered wordings by the number of their family, and others under the number after the last.
 
+    Held-out products stand beside held-out rights and prose.
+
     ``kept`` 0 gives those to train on, 1 the held-out ones: other phrases and names, and of
     the notices of a family the longest one cut to its halves, which stand in no phrase.
     """
@@ -328,7 +371,7 @@ def _examples(seed: int, copies: int, kept: int) -> list[tuple[set[str], int]]:
         for name in NAMES[family][kept]:
             out += [(grams_of(altered(phrase(name), 0.0)), k) for _ in range(copies)]
     other = len(families)
-    for text in RIGHTS[kept::2] + PROSE[kept::2]:
+    for text in RIGHTS[kept::2] + PROSE[kept::2] + PRODUCTS[kept]:
         out += [(grams_of(altered(text, 0.1)), other) for _ in range(copies)]
     for name in OTHERS[kept]:
         out += [(grams_of(altered(phrase(name), 0.0)), other) for _ in range(2 * copies)]
@@ -391,22 +434,56 @@ def _anchor_words(grams: list[str], weights: np.ndarray, bias: np.ndarray, plain
     return sorted(anchors)
 
 
-def _against_unknown(scores: np.ndarray) -> np.ndarray:
-    """Probability of each family when the choice is between it and ``unknown``."""
-    return 1 / (1 + np.exp(scores[:, -1:] - scores[:, :-1]))
+def _odds(scores: np.ndarray) -> np.ndarray:
+    """Log odds of each family against all other classes."""
+    top = scores.max(axis=1, keepdims=True)
+    e = np.exp(scores - top)
+    return (scores - top - np.log(np.maximum(e.sum(axis=1, keepdims=True) - e, 1e-30)))[:, :-1]
+
+
+def _licensed(scores: np.ndarray) -> np.ndarray:
+    """Log odds of all families together against ``unknown``."""
+    top = scores.max(axis=1)
+    return top + np.log(np.maximum(np.exp(scores[:, :-1] - top[:, None]).sum(axis=1), 1e-30)) - scores[:, -1]
+
+
+def _platt(odds: np.ndarray, named: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from odds to how often the family is named, by Newton's method."""
+    v, t = np.clip(odds.ravel(), -30, 30), named.ravel().astype(float)
+    slope, shift = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(slope * v + shift)))
+        g, w = p - t, np.maximum(p * (1 - p), 1e-9)
+        a, b, c = (w * v * v).sum() + 1e-6, (w * v).sum(), w.sum() + 1e-6
+        ga, gb = (g * v).sum(), g.sum()
+        slope, shift = slope - (c * ga - b * gb) / (a * c - b * b), shift - (a * gb - b * ga) / (a * c - b * b)
+        slope = min(max(slope, 0.05), 20.0)
+    return float(slope), float(shift)
+
+
+def _held_out(seed: int, copies: int) -> list[tuple[set[str], set[int]]]:
+    """Held-out paragraphs with the families they name; now and then two of them in one."""
+    rng = random.Random(seed)
+    single = _examples(seed, copies, 1)
+    other = len(TEMPLATES)
+    out = [(grams, {k} - {other}) for grams, k in single]
+    for _ in range(len(single) // 8):
+        (a, i), (b, j) = rng.choice(single), rng.choice(single)
+        out.append((a | b, {i, j} - {other}))
+    return out
 
 
 @functools.cache
 def train(seed: int = 7, copies: int = 24) -> Model:
     """The same model whenever it is trained."""
     families = sorted(TEMPLATES)
-    fit, kept = _examples(seed, copies, 0), _examples(seed + 1, copies, 1)
+    fit, kept = _examples(seed, copies, 0), _held_out(seed + 1, copies)
     seen: dict[str, int] = {}
     for grams, _ in fit:
         for g in grams:
             seen[g] = seen.get(g, 0) + 1
     texts = [t for f in families for t in TEMPLATES[f] + [p.format(n) for n in NAMES[f][0] for p in PHRASES[0]]]
-    texts += [p.format(n) for n in OTHERS[0] for p in PHRASES[0]]
+    texts += [p.format(n) for n in OTHERS[0] for p in PHRASES[0]] + PRODUCTS[0]
     named = {g for text in texts for g in grams_of(words_of(text))}
     # Grams of plain words and numbers alone say nothing about a licence.
     plain = {w for text in PROSE for w in words_of(text)} | set(EVERYDAY)
@@ -416,26 +493,39 @@ def train(seed: int = 7, copies: int = 24) -> Model:
     column = {g: i for i, g in enumerate(grams)}
     x, y = _matrix(fit, column)
     w, b = _fit(x, y, len(families) + 1, l1=1e-4, rounds=250)
-    hx, hy = _matrix(kept, column)
-    z = hx @ w + b
-    temperature = min(
-        (0.5, 0.7, 1.0, 1.4, 2.0, 2.8),
-        key=lambda t: float(-np.log(np.maximum(_softmax(z / t)[np.arange(len(hy)), hy], 1e-9)).mean()),
-    )
-    wrong = np.sort(_against_unknown(z / temperature)[hy == len(families)].max(axis=1))
-    threshold = float(min(0.9, max(0.5, round(float(wrong[int(len(wrong) * 0.98) - 1]), 3))))
-    whole = np.rint(np.concatenate([w, b[None]]) * SCALE / temperature).astype(int)
+    whole = np.rint(np.concatenate([w, b[None]]) * SCALE).astype(int)
+    hx, _ = _matrix([(g, 0) for g, _ in kept], column)
+    z = (hx.astype(np.float64) @ whole[:-1] + whole[-1]) / SCALE
+    odds, truth = _odds(z), np.array([[k in own for k in range(len(families))] for _, own in kept])
+    slope, shift = (round(v, 6) for v in _platt(odds, truth))
+    # So few of the held-out paragraphs that name no family may pass for ones that do.
+    wrong = np.sort(_licensed(z)[~truth.any(axis=1)])
+    threshold = round(float(wrong[int(len(wrong) * (1 - PASSING))]) + 1e-3, 3)
     used = np.flatnonzero(np.abs(whole[:-1]).sum(axis=1))
     grams = [grams[i] for i in used]
     weights, bias = whole[used], whole[-1]
+    own = [[(t, _template(t)) for t in TEMPLATES[f] + NAMES[f][0]] for f in families]
+    says = re.compile("licen[sc]e", re.IGNORECASE)
+    vague = lambda f, text: f in AMBIGUOUS and not says.search(text)
+    kinds: list[list[tuple]] = [[], [], [], []]
+    for family, rows in zip(families, own, strict=True):
+        kind = [0 if len(t) >= NOTICE else 3 if vague(family, text) else 1 if text in TEMPLATES[family] else 2 for text, t in rows]
+        for k in range(4):
+            kinds[k].append(tuple(dict.fromkeys(t for (_, t), at in zip(rows, kind, strict=True) if at == k)))
     return Model(
         families=tuple(families),
         grams=tuple(grams),
         weights=tuple(tuple(int(v) for v in row) for row in weights),
         bias=tuple(int(v) for v in bias),
+        slope=slope,
+        shift=shift,
         threshold=threshold,
         anchors=tuple(_anchor_words(grams, weights, bias, plain)),
-        templates=tuple(tuple(dict.fromkeys(_template(t) for t in TEMPLATES[f] + NAMES[f][0] + NAMES[f][1])) for f in families),
+        notices=tuple(kinds[0]),
+        lines=tuple(kinds[1]),
+        names=tuple(kinds[2]),
+        ambiguous=tuple(kinds[3]),
+        name_words=tuple(sorted({w for f in families for n in [*NAMES[f][0], *(t for t in TEMPLATES[f] if len(t) < 30 and vague(f, t))] for w in words_of(n)} | {"and", "or", "the"})),
     )
 
 
@@ -452,7 +542,8 @@ def classify(words: Column, model: Model) -> Column:
     families = _parts(",".join(model.families), ",")
     # By family: groups of grams, commas between grams, semicolons between groups.
     joined = lambda groups: ";".join(",".join(g) for g in groups)
-    templates = _parts("|".join(joined(t) for t in model.templates), r"\|")
+    notices, lines, names, ambiguous = (_parts("|".join(joined(t) for t in kind), r"\|") for kind in (model.notices, model.lines, model.names, model.ambiguous))
+    context, denied, name_words = (_parts(",".join(v), ",") for v in (CONTEXT, DENIED, model.name_words))
     some = _parts("|".join(joined(DECIDING[f][0]) for f in model.families), r"\|")
     none = _parts("|".join(",".join(DECIDING[f][1]) for f in model.families), r"\|")
 
@@ -464,21 +555,31 @@ def classify(words: Column, model: Model) -> Column:
         )
 
         def against(s: Column) -> Column:
-            lead = F.transform(F.slice(s, 1, classes - 1), lambda v: (v - F.element_at(s, -1)) / F.lit(float(SCALE)))
-            return F.transform(lead, lambda v, k: F.struct(k.alias("k"), F.round(1 / (1 + F.exp(-v)), 6).alias("p")))
-
-        def enough(t: Column) -> Column:
+            z = F.transform(s, lambda v: v / F.lit(float(SCALE)))
+            e = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
+            rest = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
+            odds = lambda v, k: v - F.array_max(z) - F.log(F.greatest(rest - F.get(e, k), F.lit(1e-30)))
+            sure = lambda v, k: F.round(1 / (1 + F.exp(-(odds(v, k) * model.slope + model.shift))), 6)
+            ahead = F.transform(F.slice(z, 1, classes - 1), lambda v, k: F.when(v > F.element_at(z, -1), F.struct(k.alias("k"), sure(v, k).alias("p"))))
+            licensed = F.array_max(z) + F.log(F.greatest(rest - F.element_at(e, -1), F.lit(1e-30))) - F.element_at(z, -1)
+            return F.when(licensed >= model.threshold, F.filter(ahead, lambda r: r.isNotNull() & (r["p"] >= LEAST))).otherwise(F.array().cast("array<struct<k:int,p:double>>"))
+
+        def enough(t: Column, share: float) -> Column:
             own = _parts(t, ",")
-            return F.size(F.array_intersect(x, own)) >= F.size(own) * F.lit(CONFIRM)
+            return (t != "") & (F.size(F.array_intersect(x, own)) >= F.size(own) * F.lit(share))
+
+        bare = F.size(F.array_except(F.filter(x, lambda g: ~F.contains(g, F.lit(" "))), name_words)) == 0
+        spoken = F.arrays_overlap(x, context) | bare
+        free = ~F.arrays_overlap(x, denied)
 
         def confirm(r: Column) -> Column:
-            held = F.exists(_parts(F.get(templates, r["k"]), ";"), enough)
+            of = lambda kind, share: F.exists(_parts(F.get(kind, r["k"]), ";"), lambda t: enough(t, share))
+            held = of(notices, CONFIRM) | (free & (of(lines, CONFIRM) | of(names, NAMED) | (of(ambiguous, NAMED) & spoken)))
             decided = F.forall(_parts(F.get(some, r["k"]), ";"), lambda group: F.arrays_overlap(x, _parts(group, ",")))
             sibling = F.arrays_overlap(x, _parts(F.get(none, r["k"]), ","))
             return F.struct(F.get(families, r["k"]).alias("family"), r["p"].alias("probability"), (held & decided & ~sibling).alias("confirmed"))
 
-        odds = F.get(F.transform(F.array(scores), against), F.lit(0))
-        return F.transform(F.filter(odds, lambda r: (r["p"] > 0.5) & (r["p"] >= model.threshold)), confirm)
+        return F.transform(F.get(F.transform(F.array(scores), against), F.lit(0)), confirm)
 
     def grams_in(w: Column) -> Column:
         following = F.slice(w, 2, 1 << 30)
@@ -513,10 +614,10 @@ def scan(docs: DataFrame, text_col: str = "text", model: Model | None = None) ->
     letters = "".join(sorted({a[0] for a in model.anchors}))
     gate = f"(?=[{letters}])(?<!{word})(?:{'|'.join(model.anchors)})(?!{word})"
     text = F.coalesce(F.col(text_col), F.lit(""))
-    near = F.filter(paragraphs(text), lambda p: F.rlike(F.lower(p), F.lit(gate)))
-    judged = F.filter(F.transform(near, lambda p: classify(normal_words(p), model)), lambda r: F.size(r) > 0)
+    near = F.filter(paragraphs(text), lambda p: F.rlike(_spelt(p), F.lit(gate)))
+    judged = F.filter(F.transform(near, lambda p: classify(normal_words(_spelt(p)), model)), lambda r: F.size(r) > 0)
     name = fresh(docs, "licenses_")
-    out = docs.withColumn(name, F.when(F.rlike(F.lower(text), F.lit(gate)), judged).otherwise(F.array()))
+    out = docs.withColumn(name, F.when(F.rlike(_spelt(text), F.lit(gate)), judged).otherwise(F.array()))
     every = F.flatten(name)
     sure = F.filter(every, lambda r: r["confirmed"])
     top = F.get(
