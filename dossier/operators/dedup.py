@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
-from dossier.operators.graph import components, cut
+from dossier.operators.graph import cut
+from dossier.operators.precedence import first_known, roots_of
 
 
 def keep(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -40,35 +39,13 @@ def greedy_groups(rows: DataFrame, order_col: str, keys_col: str) -> DataFrame:
     A row's keys are looked up in their order; the first known one names the group it joins, else it
     starts a group, named by its own order value.  All its keys then point to that group
     unless they point elsewhere.  This depends on the order: rows {A}, {B}, {A, B} make
-    two groups, not one.  Rows that share no key, directly or through others, can't
-    influence each other, so the fold runs apart in each connected component, over one row for
-    each distinct list of keys; the lists of one component must fit in a task's memory.  Rows
-    without keys are groups of their own.
+    two groups, not one.  The group of a row is that of the earliest row with its first known key, so
+    groups are found by following these, in doubling steps, without a fold.  Rows without keys, and null keys, are
+    groups of their own; ``order_col`` tells rows apart.
     """
-    every = rows.select(F.col(order_col).cast("long").alias("o"), F.col(keys_col).alias("keys"))
-    # Rows with one list of keys all join the group of their first, so only the first is folded.
-    own = cut(every.filter(F.size("keys") > 0).groupBy("keys").agg(F.min("o").alias("o")))
-    pairs = cut(own.select("o", F.explode("keys").alias("key")))
-    hubs = pairs.groupBy("key").agg(F.min("o").alias("hub"))
-    edges = pairs.join(hubs, "key").select(F.col("o").alias("a"), F.col("hub").alias("b")).distinct()
-    roots = components(edges)
-    placed = own.join(roots.withColumnRenamed("node", "o"), "o", "left").withColumn("root", F.coalesce("root", "o"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, int] = {}
-        out = []
-        for o, keys in sorted(zip(pdf["o"], pdf["keys"], strict=True), key=lambda x: x[0]):
-            group = next((seen[k] for k in keys if k in seen), o)
-            for k in keys:
-                seen.setdefault(k, group)
-            out.append((o, group))
-        return pd.DataFrame(out, columns=["o", "grp"])
-
-    folded = placed.groupBy("root").applyInPandas(fold, StructType().add("o", LongType()).add("grp", LongType()))
-    named = own.join(folded, "o").select("keys", "grp")
-    held = every.filter(F.size("keys") > 0).join(named, "keys").select("o", "grp")
-    alone = every.filter(F.coalesce(F.size("keys"), F.lit(0)) <= 0).select("o", F.col("o").alias("grp"))
-    return held.unionAll(alone).select(F.col("o").alias(order_col), F.col("grp").alias("group"))
+    own = cut(rows.select(F.col(order_col).cast("long").alias("o"), F.col(keys_col).alias("keys")))
+    roots = roots_of(cut(first_known(own, "o", "keys")), "o")
+    return own.join(roots, "o", "left").select(F.col("o").alias(order_col), F.coalesce("root", "o").alias("group"))
 
 
 def renumber(df: DataFrame, partition: Sequence[str], order: Sequence[Column], name: str = "ordinal") -> DataFrame:

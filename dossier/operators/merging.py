@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
 
 from dossier.functions.extract import clean_name
 from dossier.functions.text import norm_text
-from dossier.operators.graph import components, cut
+from dossier.operators.graph import cut
+from dossier.operators.precedence import first_known, owners_of
 
 # The columns that a merge folds, and what the notes say.
 MERGED = (
@@ -58,38 +57,6 @@ def name_key(school: Column, name: Column) -> Column:
     return F.when(F.rlike(own, F.lit(r"^[一-鿿]{2,8}$")), F.concat_ws(":", F.lit("name"), school, own))
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one component in order, each kept or merged into the row that owns one of its keys."""
-    owners: dict[str, int] = {}
-    named: dict[str, int] = {}
-    at: dict[int, tuple[str, str, str]] = {}
-    notes: dict[int, list[str]] = {}
-    out = []
-    for o, target, group, name, keys, by_name in pdf.sort_values("o")[["o", "target", "overlap", "name", "keys", "by_name"]].itertuples(index=False):
-        owner = next((owners[k] for k in keys if k in owners), None)
-        preserved = owner is not None and bool(group) and group == at[owner][1]
-        if preserved:
-            said = f"{KEPT_BOTH}{name} @ {at[owner][0]} / {target}"
-            notes.setdefault(owner, []).append(said)
-            notes.setdefault(o, []).append(said)
-            owner = None
-        elif owner is None and by_name and by_name in named:
-            said = f"{SAME_NAME}{name} @ {target} / {at[named[by_name]][0]}"
-            notes.setdefault(named[by_name], []).append(said)
-            notes.setdefault(o, []).append(said)
-        if owner is not None:
-            notes.setdefault(owner, []).append(f"{ACROSS}{name} @ {target} -> {at[owner][0]}")
-        holder = o if owner is None else owner
-        at.setdefault(o, (target, group, name))
-        for k in keys:
-            owners.setdefault(k, holder)
-        if by_name:
-            named.setdefault(by_name, holder)
-        out.append((o, holder))
-    joined = ["; ".join(dict.fromkeys(notes.get(o, []))) if o == holder else "" for o, holder in out]
-    return pd.DataFrame({"o": [o for o, _ in out], "owner": [h for _, h in out], "note": joined})
-
-
 def across_targets(rows: DataFrame) -> DataFrame:
     """``(o, owner, note)``: into which row each one is merged across targets, itself if it is kept.
 
@@ -97,21 +64,36 @@ def across_targets(rows: DataFrame) -> DataFrame:
     of rows within), ``target``, ``overlap`` (group of targets that share people on purpose,
     or empty), ``name``, ``keys`` (its identity keys in order) and ``by_name`` (``name_key``).
 
-    The first known key names the owner.  Between targets of one overlap group both rows stay
-    and both say so; a row without an owner that shares a name within its school stays and
-    both ask for review.  What happens depends on the order, but rows that share no key or
-    name, directly or through others, can't influence each other: the fold runs apart in
-    each connected component, which must fit in a task's memory.
+    The first key that an earlier row has names the owner.  Between targets of one overlap group both rows stay
+    and both say so; a row without an owner that shares a name within its school with an earlier one stays, and
+    both ask for review; else it is merged, and its owner says so.  Owners are found by pointers to earlier rows
+    (``precedence``), notes by joins on them: no task holds more than a row and the notes it ends with.
     """
     own = rows.select(
         F.col("o").cast("long").alias("o"), "target", F.coalesce("overlap", F.lit("")).alias("overlap"), norm_text(F.col("name")).alias("name"),
         F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), F.coalesce("by_name", F.lit("")).alias("by_name"),
     )
-    marks = F.filter(F.concat("keys", F.array("by_name")), lambda k: k != "")
-    pairs = cut(own.select("o", F.explode(marks).alias("key")))
-    hubs = pairs.groupBy("key").agg(F.min("o").alias("hub"))
-    roots = components(pairs.join(hubs, "key").select(F.col("o").alias("a"), F.col("hub").alias("b")).distinct())
-    placed = own.join(roots.withColumnRenamed("node", "o"), "o", "left")
-    alone = placed.filter("root IS NULL").select("o", F.col("o").alias("owner"), F.lit("").alias("note"))
-    schema = StructType().add("o", LongType()).add("owner", LongType()).add("note", StringType())
-    return placed.filter("root IS NOT NULL").groupBy("root").applyInPandas(_fold, schema).unionByName(alone)
+    own = cut(own)
+    pointers = cut(first_known(own, "o", "keys"))
+    owners = cut(owners_of(own, pointers, "o", "overlap"))
+    targets = own.select(F.col("o").alias("who"), F.col("target").alias("their"))
+    led = own.join(pointers, "o")
+
+    def facing(met: DataFrame, text: Column, both: bool) -> DataFrame:
+        """Notes about rows and those that they face (``who``, ``their`` target): for these, or for both."""
+        to = F.array("who", "o") if both else F.array("who")
+        return met.join(targets, "who").select("o", text.alias("note"), F.explode(to).alias("row"))
+
+    said = lambda start, *parts: F.concat(F.lit(start), "name", F.lit(" @ "), *parts)
+    # The owner that a row would have joined is that of its parent.
+    above = led.join(owners.select(F.col("o").alias("parent"), F.col("owner").alias("who")), "parent").join(owners, "o")
+    merged = facing(above.filter("owner <> o"), said(ACROSS, "target", F.lit(" -> "), "their"), False)
+    kept = facing(above.filter("owner = o"), said(KEPT_BOTH, "their", F.lit(" / "), "target"), True)
+    named = own.filter("by_name <> ''")
+    firsts = named.groupBy("by_name").agg(F.min("o").alias("first"))
+    alike = named.join(pointers, "o", "left_anti").join(firsts, "by_name").filter("first < o")
+    alike = alike.join(owners.select(F.col("o").alias("first"), F.col("owner").alias("who")), "first")
+    review = facing(alike, said(SAME_NAME, "target", F.lit(" / "), "their"), True)
+    notes = merged.unionAll(kept).unionAll(review).groupBy("row", "note").agg(F.min("o").alias("at"))
+    joined = notes.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "note"))), lambda n: n["note"]), "; ").alias("note"))
+    return owners.join(joined.withColumnRenamed("row", "o"), "o", "left").select("o", "owner", F.coalesce("note", F.lit("")).alias("note"))

@@ -12,27 +12,31 @@ from dossier.sources import extractor, sinks, tables
 
 
 def slow_across(rows):
-    """The rule row by row: (o, target, overlap, name, keys, by_name) in order."""
-    kept, key_owner, name_owner, info, notes = {}, {}, {}, {}, {}
-    for o, target, overlap, name, keys, by_name in sorted(rows):
-        key = next((k for k in keys if k in key_owner), None)
-        owner, preserved = (key_owner[key], False) if key else (None, False)
-        if owner is not None and overlap and overlap == info[owner][1]:
-            for who in (owner, o):
-                notes.setdefault(who, []).append(f"跨目标多学院归属保留：{name} @ {info[owner][0]} / {target}")
-            owner, preserved = None, True
-        if owner is None and not preserved and by_name and by_name in name_owner:
-            for who in (name_owner[by_name], o):
-                notes.setdefault(who, []).append(f"同校同名待人工复核：{name} @ {target} / {info[name_owner[by_name]][0]}")
-        info[o] = (target, overlap)
-        if owner is not None:
-            notes.setdefault(owner, []).append(f"跨目标重复记录合并（identity）：{name} @ {target} -> {info[owner][0]}")
-        kept[o] = o if owner is None else owner
-        for k in keys:
-            key_owner.setdefault(k, kept[o])
-        if by_name:
-            name_owner.setdefault(by_name, kept[o])
-    return {(o, w, "; ".join(dict.fromkeys(notes.get(o, []))) if o == w else "") for o, w in kept.items()}
+    """What becomes of each row in turn: merged, kept beside its owner, asked for review, or new; and who says so."""
+    leads, called, row_of, said = {}, {}, {}, {}
+
+    def tell(text, *who):
+        for w in who:
+            said.setdefault(w, {})[text] = None  # a dict keeps the order and each text once
+
+    out = {}
+    for row in sorted(rows):
+        o, target, overlap, name, keys, by_name = row
+        row_of[o] = row
+        into = next(iter(leads[k] for k in keys if k in leads), None)
+        there = None if into is None else row_of[into]
+        if there and not (overlap and there[2] == overlap):
+            out[o] = into
+            tell(f"跨目标重复记录合并（identity）：{name} @ {target} -> {there[1]}", into)
+        else:
+            out[o] = o
+            if there:
+                tell(f"跨目标多学院归属保留：{name} @ {there[1]} / {target}", into, o)
+            elif by_name and by_name in called:
+                tell(f"同校同名待人工复核：{name} @ {target} / {row_of[called[by_name]][1]}", called[by_name], o)
+        leads = {k: out[o] for k in keys} | leads
+        called = ({by_name: out[o]} if by_name else {}) | called
+    return {(o, w, "; ".join(said.get(o, ())) if o == w else "") for o, w in out.items()}
 
 
 def test_across_targets_like_the_sequential_rule(spark):
@@ -50,6 +54,16 @@ def test_across_targets_like_the_sequential_rule(spark):
     assert {(r.o, r.owner) for r in merging.across_targets(odd).collect()} == {(1, 1), (2, 2), (3, 2)}
 
 
+def test_pointers_of_any_depth_and_hot_keys(spark):
+    rows = [(i, [f"k{i - 1}", f"k{i}"]) for i in range(1, 70)] + [(i, ["hot", f"k{i}"]) for i in range(100, 300)] + [(400, [None, "hot"]), (401, [None]), (402, None)]
+    got = {r.o: r.group for r in dedup.greedy_groups(spark.createDataFrame(rows, "o long, keys array<string>").repartition(5), "o", "keys").collect()}
+    assert got == {**{i: 1 for i in range(1, 70)}, **{i: 100 for i in range(100, 300)}, 400: 100, 401: 401, 402: 402}
+    schema = "o long, target string, overlap string, name string, keys array<string>, by_name string"
+    rng = random.Random(12)
+    chain = [(i, f"t{i % 5}", rng.choice(["", "g", "h"]), f"p{i % 3}", [f"k{i - 1}", f"k{i}"] if i < 14 else ["k3"], "n" if i % 2 else "") for i in range(1, 80)]
+    assert {tuple(r) for r in merging.across_targets(spark.createDataFrame(chain, schema)).collect()} == slow_across(chain)
+
+
 def test_overlap_group_keeps_both(spark):
     schema = "o long, target string, overlap string, name string, keys array<string>, by_name string"
     rows = [(1, "seu_cse", "seu", "张三", ["u"], "name:seu:张三"), (2, "seu_ai", "seu", "张三", ["u"], "name:seu:张三")]
