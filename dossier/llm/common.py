@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.operators.graph import components, cut, scratch_path, shared_dir, ship
+from dossier.operators.graph import components, cut, forget_at_exit, scratch_path, shared_dir, ship
 
-__all__ = ["bounded_broadcast", "components", "counted_broadcast", "cut", "fresh", "normal_words", "ordinals", "read_table", "release", "scratch_path", "shared_dir", "ship", "small"]
+__all__ = ["bounded_broadcast", "components", "cut", "forget_at_exit", "fresh", "normal_words", "ordinals", "read_table", "release", "scratch_path", "shared_dir", "ship", "small"]
 
 
 def normal_words(text: Column) -> Column:
@@ -29,11 +29,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def counted_broadcast(df: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """``df``, a written table of a few numbers a row, to be broadcast if it has ``most`` rows or fewer; else joined as Spark sees fit."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def small(df: DataFrame, most: int = 32 << 20) -> bool:
     """Whether the values of ``df`` take ``most`` bytes or fewer as text, 8 at least each."""
     taken = sum((F.greatest(F.lit(8), F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(8))) for c in df.columns), F.lit(0))

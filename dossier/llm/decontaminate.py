@@ -31,7 +31,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import counted_broadcast, cut, normal_words
+from dossier.llm.common import bounded_broadcast, cut, normal_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -256,6 +256,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
 
 def drop_leaky(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no benchmark item, all columns kept; null ids stay."""
+    """Documents that hold no benchmark item, all columns kept; null ids and repeated rows stay, no rows or items give what there is."""
     leaky = cut(leaks(docs, benchmark).select("doc_id").distinct())
-    return docs.join(counted_broadcast(leaky), "doc_id", "left_anti")
+    return docs.join(bounded_broadcast(leaky), "doc_id", "left_anti")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import cut, scratch_path, ship
+from dossier.llm.common import cut, forget_at_exit, scratch_path, ship
 
 VERSION = "WARC/1.1"
 EOL = "\r\n"
@@ -293,7 +293,9 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     a null page_id comes back null; other columns are ignored; no pages give no rows.
     """
     spark = pages.sparkSession
-    path = path or scratch_path(spark, "warc")
+    if not path:
+        path = scratch_path(spark, "warc")
+        forget_at_exit(spark, path)
     write_archives(pages, path)
     records = cut(read_records(spark, path))
     id_type = pages.schema["page_id"].dataType
