@@ -30,10 +30,6 @@ def relative_week(day: Column, today: Column) -> Column:
     return F.floor(F.datediff(week_start(day), week_start(today)) / 7)
 
 
-def day_range(first: Column, days: int = 28) -> Column:
-    return F.sequence(first, F.date_add(first, days - 1))
-
-
 def recent_years(as_of: int, count: int) -> tuple[int, int]:
     """First and last year of the window of ``count`` years that ends in ``as_of``."""
     return as_of - count + 1, as_of

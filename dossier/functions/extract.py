@@ -174,7 +174,3 @@ def author_strings(publications: Column, aliases: Column) -> Column:
     heads = F.transform(split_entries(publications), lambda e: F.left(e, F.lit(220)))
     names = F.flatten(F.transform(heads, lambda e: F.transform(_all(e, AUTHOR, 1), lambda a: norm_text(F.replace(a, F.lit(","), F.lit(" "))))))
     return F.array_distinct(F.filter(names, lambda n: F.array_contains(known, normalized_name(n))))
-
-
-def is_chinese_name(value: Column) -> Column:
-    return F.rlike(norm_text(value), F.lit(CJK))

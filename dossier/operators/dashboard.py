@@ -201,9 +201,19 @@ def within(rows: DataFrame, dates: Sequence[Column], first: str, last: str) -> D
     return rows.filter(inside)
 
 
-def source_report(rows: DataFrame, source: str, accepted: Column) -> DataFrame:
-    """``(source, raw, accepted, rejected, health)``: what each source brought and how much of it counts."""
-    out = rows.groupBy(source).agg(F.count(F.lit(1)).alias("raw"), F.count_if(accepted).alias("accepted"))
+# Statuses of a source that failed, and of one that was never asked.
+FAILED, NOT_ASKED = ("request_failed", "schema_changed", "terms_required"), "not_configured"
+
+
+def source_report(rows: DataFrame, source: str, accepted: Column, status: Column, truncated: Column) -> DataFrame:
+    """``(source, raw, accepted, rejected, truncated, health)``: what each source brought, how much of it counts, and how it went.
+
+    A source is degraded if some status of its rows says that it failed, not configured if all say that it wasn't asked, else ok.
+    """
+    out = rows.groupBy(source).agg(
+        F.count(F.lit(1)).alias("raw"), F.count_if(accepted).alias("accepted"), F.max(F.coalesce(truncated, F.lit(False))).alias("truncated"),
+        F.max(F.coalesce(status.isin(*FAILED), F.lit(False))).alias("failed"), F.min(F.coalesce(status == NOT_ASKED, F.lit(False))).alias("silent"),
+    )
     rejected = F.greatest(F.lit(0).cast("long"), F.col("raw") - F.col("accepted"))
-    health = F.when(F.col("accepted") == 0, "empty").when(F.col("accepted") * 2 < F.col("raw"), "poor").otherwise("good")
-    return out.withColumns({"rejected": rejected, "health": health})
+    health = F.when(F.col("silent"), NOT_ASKED).when(F.col("failed"), "degraded").otherwise("ok")
+    return out.withColumns({"rejected": rejected, "health": health}).drop("failed", "silent")

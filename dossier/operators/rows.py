@@ -111,9 +111,9 @@ def syllables(people: DataFrame, id_col: str, name_col: str, sounds: DataFrame)
     """``(id_col, syllables)``: the sound of each Chinese character of a name, in order.
 
     ``sounds`` (``character``, ``sound``) is cut to single characters of the CJK block, at
-    most 20,992 rows, which bounds what is broadcast.
+    most 20,992 rows, and sounds to 16 letters, which bounds what is broadcast.
     """
-    table = sounds.filter(F.rlike("character", F.lit(r"^[一-鿿]$"))).groupBy("character").agg(F.min("sound").alias("sound"))
+    table = sounds.filter(F.rlike("character", F.lit(r"^[一-鿿]$")) & (F.length("sound") <= 16)).groupBy("character").agg(F.min("sound").alias("sound"))
     marks = F.posexplode(F.regexp_extract_all(norm_text(F.col(name_col)), F.lit(r"[一-鿿]"), F.lit(0))).alias("at", "character")
     heard = people.select(id_col, marks).join(F.broadcast(table), "character")
     found = heard.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "sound"))).alias("s"))

@@ -56,11 +56,19 @@ def text_of(v: Column) -> Column:
     return F.coalesce(norm_text(F.try_variant_get(v, "$", "string")), F.lit(""))
 
 
+def _distinct(texts: Column) -> Column:
+    clean = F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda r: F.coalesce(norm_text(r), F.lit("")))
+    return F.array_distinct(F.filter(clean, lambda r: r != ""))
+
+
+def response_texts(text: Column) -> Column:
+    """Distinct responses of a text with separators, in order."""
+    return _distinct(F.split(text, RESPONSE_SPLIT))
+
+
 def response_list(v: Column) -> Column:
     """Distinct responses in order, of a list or of a text with separators."""
-    listed = F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<string>")).otherwise(F.split(text_of(v), RESPONSE_SPLIT))
-    texts = F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda r: F.coalesce(norm_text(r), F.lit("")))
-    return F.array_distinct(F.filter(texts, lambda r: r != ""))
+    return _distinct(F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<string>")).otherwise(F.split(text_of(v), RESPONSE_SPLIT)))
 
 
 def entry(v: Column) -> Column:

@@ -176,7 +176,7 @@ SELECT page_id, {", ".join(f"coalesce(array_to_string(list_filter({v}, lambda x,
 _STEPS = {2: [("ai", 2, "人工智能学院")], 4: [("software", 3, "软件学院")], 5: [("software", 4, made.JOINT.merged), ("ai", 4, made.JOINT.merged)], 6: [("cse", 1, "计算机科学与工程学院"), ("ai", 1, "人工智能学院")]}
 _TOLD = ", ".join(f"({i}, '{t}', {step}, '{needle}')" for i, told in _STEPS.items() for t, step, needle in told)
 _M = placement.METHODS
-AFFILIATIONS = f"""WITH told(i, target, step, needle) AS (VALUES {_TOLD}),
+AFFILIATIONS = rf"""WITH told(i, target, step, needle) AS (VALUES {_TOLD}),
 p AS (SELECT doc_id, 'n' || doc_id % 100 AS name, 'http://x.edu/' || doc_id || '/?utm_a=1' AS page, trim(regexp_replace({list(made.PROFILES)}[(doc_id % {len(made.PROFILES)} + 1)::INT] || ' ' || coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
 e AS (SELECT doc_id, target, '{placement.CONFIRMED}' AS status, '{_M["profile"]}' AS method, step, trim(substr(t, greatest(instr(t, needle) - 100, 1), instr(t, needle) - greatest(instr(t, needle) - 100, 1) + length(needle) + 100)) AS evidence, page AS source, 0 AS seq
     FROM p JOIN told ON i = doc_id % {len(made.PROFILES)}
@@ -204,7 +204,17 @@ r AS (SELECT doc_id AS r, CASE WHEN doc_id % 6 = 0 THEN 'i' || (doc_id - doc_id
 k AS (SELECT p, r FROM p JOIN r ON p.i = r.i AND p.i <> '')
 SELECT * FROM k UNION ALL SELECT p, r FROM p JOIN r ON p.n = r.n AND r.i = '' AND (p.u = '' OR r.u = '' OR p.u = r.u) WHERE p NOT IN (SELECT p FROM k)"""
 
+SHEETS = f"""WITH e AS ({STORES}),
+s AS (SELECT doc_id, source AS name, lang, {list(made.STATES)}[(doc_id % {len(made.STATES)} + 1)::INT] AS raw FROM documents),
+o AS (SELECT *, CASE WHEN raw = '不考虑' THEN '先不考虑' WHEN raw IN ('已套磁', '先不考虑') THEN raw ELSE '' END AS own_status, CASE WHEN doc_id % 7 = 0 THEN '官回；已发' ELSE '' END AS own_said,
+  CASE WHEN doc_id % 5 = 0 THEN '2026-03-04T05:06' ELSE '' END AS own_at,
+  concat_ws('；', CASE WHEN doc_id % 3 = 0 THEN 'b' END, CASE WHEN doc_id % 4 = 0 THEN '备注 a' END, CASE WHEN doc_id % 7 = 0 THEN 'else' END) AS own_note FROM s),
+f AS (SELECT o.*, coalesce(b.doc_id, q.doc_id) IS NOT NULL AS hit, CASE WHEN b.doc_id IS NOT NULL THEN b ELSE q END AS t FROM o LEFT JOIN e b ON b.doc_id = o.doc_id AND b.row_key = 'b' LEFT JOIN e q ON q.doc_id = o.doc_id AND q.row_key = 'q')
+SELECT doc_id, name, lang, coalesce(nullif(t.status, ''), own_status) AS status, coalesce(t.contacted_at, '') AS contacted_at, coalesce(nullif(replace(t.responses, '|', '；'), ''), own_said) AS responses,
+  coalesce(nullif(t.interview_at, ''), own_at) AS interview_at, coalesce(nullif(t.note, ''), own_note) AS note FROM f"""
+
 ORACLE_SQL = {
     "picked_samples": PICKS, "normal_store_entries": STORES, "author_choices": AUTHORS, "paged_works": PAGED, "paged_reading": READING, "merged_works": MERGED, "homepage_links": HOMEPAGES,
     "joint_affiliations": AFFILIATIONS, "restored_levels": RESTORED, "department_map": DEPARTMENTS, "detail_rows_of_people": DETAILS,
+    "synced_sheets": SHEETS,
 }

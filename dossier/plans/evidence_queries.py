@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import homepages
-from dossier.operators import picking, placement, ranking, restoring, stores, unions, verification
+from dossier.operators import picking, placement, ranking, restoring, sheets, stores, unions, verification
 from dossier.operators.graph import cut
 from dossier.plans.record_queries import RANK_PROFILE
 from dossier.sources import paging
@@ -224,9 +224,26 @@ def detail_rows_of_people(spark: SparkSession, d: str) -> DataFrame:
     return restoring.person_details(people, rows, "person", "name", "url").select("p", F.col("detail_r").alias("r"))
 
 
+def synced_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as rows of a sheet with status columns of old, brought in line with the stores that documents hold."""
+    k = F.col("doc_id")
+    docs = table(spark, d, "documents")
+    old = F.get(F.array(*[F.lit(s) for s in STATES]), (k % len(STATES)).cast("int"))
+    rows = docs.select(
+        "doc_id", F.col("source").alias("姓名"), F.when(k % 4 == 0, "备注 a").alias("套磁备注"), F.when(k % 3 == 0, " b").alias("回复情况备注"), "lang", old.alias("套磁情况"),
+        F.when(k % 7 == 0, "官回；else、已发").alias("回复情况"), F.when(k % 5 == 0, "2026-03-04 05:06:07").when(k % 5 == 1, "soon").alias("约面试时间"),
+    )
+    entries = stores.normal_stores(stored_documents(docs), ["doc_id"], "store")
+    store = entries.withColumn("row_key", F.concat_ws("|", F.col("doc_id").cast("string"), "row_key"))
+    own = lambda name: lambda df: F.concat_ws("|", F.col("doc_id").cast("string"), name)
+    out = sheets.synced(rows, store, own(F.lit("b")), own(F.lit("q")))
+    return out.withColumnsRenamed({"姓名": "name"} | sheets.COLUMNS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         picked_samples, normal_store_entries, author_choices, paged_works, paged_reading, merged_works, homepage_links, joint_affiliations, restored_levels, department_map, detail_rows_of_people,
+        synced_sheets,
     )
 }

@@ -231,8 +231,8 @@ ORACLE_SQL = {
     "json_props": "SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS sum_k, count(json_extract_string(props, '$.k')) AS n_k FROM events GROUP BY 1",
     "record_navigation": """SELECT p_partkey, lag(p_partkey) OVER w AS previous_id, lead(p_partkey) OVER w AS next_id FROM part
       WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)""",
-    "source_report": """SELECT source, raw, accepted, greatest(0, raw - accepted) AS rejected, CASE WHEN accepted = 0 THEN 'empty' WHEN accepted * 2 < raw THEN 'poor' ELSE 'good' END AS health
-      FROM (SELECT source, count(*) AS raw, count(*) FILTER (n_chars >= 200) AS accepted FROM documents GROUP BY 1)""",
+    "source_report": """SELECT source, count(*) AS raw, count(*) FILTER (n_chars >= 200) AS accepted, greatest(0, count(*) FILTER (NOT coalesce(n_chars >= 200, false))) AS rejected, max(n_chars) > 15000 AS truncated,
+      CASE WHEN source = 'src7' THEN 'not_configured' WHEN count(*) FILTER (doc_id % 97 = 5) > 0 THEN 'degraded' ELSE 'ok' END AS health FROM documents GROUP BY source""",
     "web_search_gate": EVIDENCE + """SELECT c_custkey, n_orders, n_events FROM ev WHERE c_custkey % 11 <> 0 AND (
       (c_acctbal > 5000 AND (n_orders + n_events <= 1 OR n_events = 0))
       OR (c_acctbal < 2000 AND c_acctbal / 100 BETWEEN 10 AND 45 AND c_mktsegment = 'BUILDING')

@@ -422,7 +422,8 @@ def record_navigation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_report(spark: SparkSession, d: str) -> DataFrame:
-    return dashboard.source_report(table(spark, d, "documents"), "source", F.col("n_chars") >= 200)
+    status = F.when(F.col("source") == "src7", "not_configured").when(F.col("doc_id") % 97 == 5, "schema_changed").when(F.col("doc_id") % 2 == 0, "no_record").otherwise("success")
+    return dashboard.source_report(table(spark, d, "documents"), "source", F.col("n_chars") >= 200, status, F.col("n_chars") > 15_000)
 
 
 def top_venues(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, FloatType, NumericType, TimestampNTZType, TimestampType
 
-from dossier.operators.graph import scratch_path
+from dossier.operators import sheets
+from dossier.operators.graph import forget_at_exit, scratch_path
 
 # The columns of a web search, the first of them a number.
 SEARCH_COUNT = "web_search_count"
@@ -44,8 +45,21 @@ def replace_table(df: DataFrame, root: str, name: str) -> None:
     What replaces it is written elsewhere in full before anything is taken away.
     """
     kept = scratch_path(df.sparkSession, "replace")
+    forget_at_exit(df.sparkSession, kept)  # unless it is deleted below, as after a failure
     df.write.parquet(kept)
     df.sparkSession.read.schema(df.schema).parquet(kept).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(kept)
+    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def sync_statuses(spark: SparkSession, root: str, store: DataFrame, key: Callable[[DataFrame], Column], fallback: Callable[[DataFrame], Column], authoritative: bool = False) -> list[str]:
+    """Bring the status columns of all tables of a root in line with ``store``; the names of those that have a name column, which were replaced."""
+    done = []
+    for name, rows in read_tables(spark, root).items():
+        if sheets.NAME in rows.columns:
+            replace_table(sheets.synced(rows, store, key, fallback, authoritative), root, name)
+            done.append(name)
+    return done
 
 
 def clean_columns(df: DataFrame) -> DataFrame:

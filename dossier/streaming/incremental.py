@@ -16,12 +16,6 @@ def split_work(rows: DataFrame, saved: DataFrame, key: str, mark: str) -> tuple[
     return rows.join(known, [key, mark], "left_semi"), rows.join(known, [key, mark], "left_anti")
 
 
-def daily_counts(events: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
-    """Records a day, of a stream or a table; late records within the watermark still count."""
-    out = events.withWatermark(ts, late) if events.isStreaming else events
-    return out.groupBy(F.window(ts, "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.to_date("w.start").alias("day"), "n")
-
-
 def read_appended(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """JSON lines as they are appended to a folder."""
     return spark.readStream.schema(schema).json(path)

@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import homepages
-from dossier.operators import picking, placement, ranking, restoring, scoring, sections, stores, unions, verification
-from dossier.sources import paging
+from dossier.operators import picking, placement, ranking, restoring, scoring, sections, sheets, stores, unions, verification
+from dossier.sources import paging, sinks
 
 RULES = {"a": "n % 2 = 0", "a_again": "n % 2 = 0", "b": "n % 3 = 0", "c": "n % 5 = 0 AND n % 2 = 1", "any": "true"}
 
@@ -342,3 +342,23 @@ def test_places_of_people(spark):
     alone = {(r.id, r.target, r.step) for r in placement.placed(people, "id", joint).collect()}
     assert alone == {(0, "cse", 0), (0, "software", 2), (1, "cse", 6), (2, "cse", 6), (3, "software", 4), (4, "software", 3), (5, "software", 1), (None, "cse", 6)}
     assert placement.placed(people.limit(0), "id", joint, overrides).count() == 0
+
+
+def test_statuses_are_synced_into_tables(spark, tmp_path):
+    schema = "k string, `姓名` string, `套磁备注` string, `套磁情况` string, `回复情况` string, `约面试时间` string"
+    rows = [("a", "n", "old", "不考虑", "官回、else", "2026-01-02 03:04"), ("b", "n", None, "bogus", None, "x"), ("c", "n", " ", "已套磁", "else；else", None), (None, "n", None, None, None, None)]
+    store = spark.createDataFrame([("a", "不可能", "", [], "", ""), ("B", "", "2026", ["已发", "官回"], "", "said"), (None, "不可能", "", [], "", "")], "row_key string, status string, contacted_at string, responses array<string>, interview_at string, note string")
+    root = str(tmp_path / "root")
+    spark.createDataFrame(rows, schema).write.parquet(f"{root}/people")
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{root}/other")
+    assert sinks.sync_statuses(spark, root, store, lambda df: F.col("k"), lambda df: F.upper("k")) == ["people"]
+    got = spark.read.parquet(f"{root}/people")
+    assert got.columns == ["k", "姓名", *sheets.COLUMNS] and spark.read.parquet(f"{root}/other").count() == 1
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([
+        ("a", "n", "不可能", "", "官回", "2026-01-02T03:04", "old；else"), ("b", "n", "", "2026", "已发；官回", "", "said"), ("c", "n", "已套磁", "", "", "", "else"), (None, "n", "", "", "", "", ""),
+    ], key=repr)
+    again = sheets.synced(got, store, lambda df: F.col("k"), lambda df: F.upper("k"))
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, got.collect()), key=repr)
+    strict = sheets.synced(spark.createDataFrame(rows, schema), store, lambda df: F.col("k"), lambda df: F.upper("k"), authoritative=True)
+    assert sorted((tuple(r)[2:] for r in strict.collect())) == sorted([("不可能", "", "", "", ""), ("", "2026", "已发；官回", "", "said"), ("", "", "", "", ""), ("", "", "", "", "")])
+    assert sheets.synced(got.limit(0), store, lambda df: F.col("k"), lambda df: F.col("k")).count() == 0
