@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.names import unused
 from dossier.functions.text import norm_text
 
 # The score from which a candidate is probable, and the words of the results.
@@ -131,8 +132,9 @@ def pick_author(candidates: DataFrame, overrides: DataFrame, by: str, name: str)
 
     Overrides (``by`` or ``name``, ``author_id``) for a person go before those for a name.
     """
-    own = overrides.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min("author_id").alias("__own"))
-    shared = overrides.filter(F.col(by).isNull()).groupBy(name).agg(F.min("author_id").alias("__shared"))
+    p = unused(candidates, overrides)
+    own = overrides.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min("author_id").alias(f"{p}own"))
+    shared = overrides.filter(F.col(by).isNull()).groupBy(name).agg(F.min("author_id").alias(f"{p}shared"))
     out = candidates.join(own, by, "left").join(shared, name, "left")
-    wanted = F.coalesce("__own", "__shared")
-    return out.withColumn("direct", F.coalesce(wanted == F.col("author_id"), F.lit(False))).drop("__own", "__shared")
+    wanted = F.coalesce(f"{p}own", f"{p}shared")
+    return out.withColumn("direct", F.coalesce(wanted == F.col("author_id"), F.lit(False))).drop(f"{p}own", f"{p}shared")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.dates import minute, valid_date
+from dossier.functions.names import unused
 from dossier.functions.text import norm_text
 
 # The statuses, an old name of one, the separators of response lists.
@@ -55,13 +56,14 @@ def overlay(
     fields of every row, by nulls where it has no entry; else its non-null fields win.
     Columns with the fields' names in ``rows`` are what is kept below.
     """
+    p = unused(rows, store)
     entry = F.struct(*fields)
-    first = store.select(F.col("row_key").alias(key), entry.alias("__a"))
-    second = store.select(F.col("row_key").alias(fallback), entry.alias("__b"))
+    first = store.select(F.col("row_key").alias(key), entry.alias(f"{p}a"))
+    second = store.select(F.col("row_key").alias(fallback), entry.alias(f"{p}b"))
     out = rows.join(first, key, "left").join(second, fallback, "left")
-    found = F.coalesce("__a", "__b")
+    found = F.coalesce(f"{p}a", f"{p}b")
     own = {f: F.col(f) if f in rows.columns and not authoritative else F.lit(None) for f in fields}
-    return out.withColumn("__e", found).withColumns({f: F.coalesce(F.col(f"__e.{f}"), own[f]) for f in fields}).drop("__a", "__b", "__e")
+    return out.withColumn(f"{p}e", found).withColumns({f: F.coalesce(F.col(f"{p}e.{f}"), own[f]) for f in fields}).drop(f"{p}a", f"{p}b", f"{p}e")
 
 
 def upsert(store: DataFrame, changes: DataFrame, key: str, seq: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.functions.names import unused
+
 
 def search(rows: DataFrame, query: str, columns: Sequence[str], *filters: Column | None) -> DataFrame:
     """Rows whose columns, joined by blanks, hold the query in any case, and that pass all filters given."""
@@ -83,13 +85,14 @@ def status_by_prefix(rows: DataFrame, store: DataFrame, key: str, prefix: str) -
     ``store`` holds ``row_key`` once, of the form ``target|name|rest``, and ``entry``.  Prefixes
     are cut off the store's keys and counted, so both lookups are equi-joins.
     """
-    exact = store.select(F.col("row_key").alias(key), F.col("entry").alias("__a"))
+    p = unused(rows, store)
+    exact = store.select(F.col("row_key").alias(key), F.col("entry").alias(f"{p}a"))
     parts = F.split("row_key", r"\|")
     heads = store.filter(F.col("entry").isNotNull() & (F.size(parts) >= 3))
     heads = heads.groupBy(F.concat_ws("|", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.lit("")).alias(prefix))
-    only = heads.agg(F.count(F.lit(1)).alias("__n"), F.min("entry").alias("__b")).filter("__n = 1").drop("__n")
+    only = heads.agg(F.count(F.lit(1)).alias(f"{p}n"), F.min("entry").alias(f"{p}b")).filter(f"{p}n = 1").drop(f"{p}n")
     out = rows.join(exact, key, "left").join(only, prefix, "left")
-    return out.withColumn("entry", F.coalesce("__a", "__b")).drop("__a", "__b")
+    return out.withColumn("entry", F.coalesce(f"{p}a", f"{p}b")).drop(f"{p}a", f"{p}b")
 
 
 def merge_entries(base: Column, stored: Column, fields: Sequence[str], kept: str = "responses") -> Column:

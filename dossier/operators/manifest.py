@@ -11,6 +11,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.names import unused
 from dossier.functions.text import norm_text
 
 # The columns whose content decides whether a saved result still holds.
@@ -86,10 +87,11 @@ def from_checkpoint(rows: DataFrame, saved: DataFrame, key: str, evidence: Mappi
     ``saved`` holds ``key`` once.  ``evidence``: for each column what stands in it where
     nothing is saved.
     """
-    held = saved.select(key, F.struct(*[F.col(c) for c in evidence]).alias("__e"))
+    p = unused(rows, saved)
+    held = saved.select(key, F.struct(*[F.col(c) for c in evidence]).alias(f"{p}e"))
     out = rows.drop(*evidence).join(held, key, "left")
-    found = F.col("__e").isNotNull()
-    return out.withColumns({c: F.when(found, F.col(f"__e.{c}")).otherwise(empty) for c, empty in evidence.items()}).drop("__e")
+    found = F.col(f"{p}e").isNotNull()
+    return out.withColumns({c: F.when(found, F.col(f"{p}e.{c}")).otherwise(empty) for c, empty in evidence.items()}).drop(f"{p}e")
 
 
 def saved_evidence(entries: Column, keywords: Column, texts: Column, snippets: Column, packed: Column) -> Column:
@@ -132,14 +134,15 @@ def semantic_cache(rows: DataFrame, cache: DataFrame, keys: Sequence[str], statu
     Only entries of a cacheable status count, and one that is asked again, from a read-only
     second cache ``through``, only where the first has none.  ``origin`` tells which it was.
     """
+    p = unused(rows, cache)
     layers = [("cache", cache)] + ([("through", through)] if through is not None else [])
     out = rows
     for name, layer in layers:
-        own = layer.filter(F.col(status).isin(*CACHEABLE)).groupBy(*keys).agg(F.max(F.struct(status, *values)).alias(f"__{name}"))
+        own = layer.filter(F.col(status).isin(*CACHEABLE)).groupBy(*keys).agg(F.max(F.struct(status, *values)).alias(f"{p}{name}"))
         out = out.join(own, list(keys), "left")
-    held = F.coalesce(*[F.col(f"__{name}") for name, _ in layers])
-    origin = F.coalesce(*[F.when(F.col(f"__{name}").isNotNull(), F.lit(name)) for name, _ in layers], F.lit("miss"))
-    return out.withColumn("__h", held).select(*rows.columns, origin.alias("origin"), *[F.col(f"__h.{c}").alias(c) for c in (status, *values)])
+    held = F.coalesce(*[F.col(f"{p}{name}") for name, _ in layers])
+    origin = F.coalesce(*[F.when(F.col(f"{p}{name}").isNotNull(), F.lit(name)) for name, _ in layers], F.lit("miss"))
+    return out.withColumn(f"{p}h", held).select(*rows.columns, origin.alias("origin"), *[F.col(f"{p}h.{c}").alias(c) for c in (status, *values)])
 
 
 def input_hash(mode: str, version: str, columns: Mapping[str, Column]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.extract import clean_name
+from dossier.functions.names import unused
 from dossier.functions.text import norm_text
 from dossier.operators.graph import cut
 from dossier.operators.precedence import first_known, owners_of
@@ -30,23 +31,24 @@ def merge_rows(rows: DataFrame, group: str, order: str, columns: Sequence[str],
     Other columns are those of the first row.  The first occurrence of a value is found by a
     combined minimum before anything is collected, so repeats of a value never meet.
     """
+    p = unused(rows)
     rest = [c for c in rows.columns if c not in (group, *columns, note)]
     reason = F.concat(F.lit(SAME_TARGET), norm_text(F.col(name)), F.lit(" @ "), F.col(target))
-    own = rows.withColumn("__text", F.array(*[F.struct(F.lit(i).alias("c"), norm_text(F.col(c)).alias("v")) for i, c in enumerate(columns)]))
-    first = own.groupBy(group).agg(F.min(F.struct(F.col(order).alias("__o"), *[F.col(c) for c in rest])).alias("__f"), F.count(F.lit(1)).alias("n_merged"))
-    values = own.select(group, F.col(order).alias("o"), F.explode("__text").alias("t")).filter("t.v <> ''")
-    values = values.groupBy(group, F.col("t.c").alias("c"), F.col("t.v").alias("v")).agg(F.min("o").alias("o"))
-    notes = own.join(first.select(group, F.col("__f.__o").alias("__first")), group).filter(F.col(order) > F.col("__first"))
-    notes = notes.groupBy(group, F.lit(len(columns)).alias("c"), reason.alias("v")).agg(F.min(order).alias("o"))
-    joined = values.unionByName(notes).groupBy(group, "c").agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("l"))
-    joined = joined.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("c", F.array_join(F.transform("l", lambda x: x["v"]), "; ").alias("t")))).alias("__m"))
+    own = rows.withColumn(f"{p}text", F.array(*[F.struct(F.lit(i).alias("c"), norm_text(F.col(c)).alias("v")) for i, c in enumerate(columns)]))
+    first = own.groupBy(group).agg(F.min(F.struct(F.col(order).alias(f"{p}o"), *[F.col(c) for c in rest])).alias(f"{p}f"), F.count(F.lit(1)).alias("n_merged"))
+    values = own.select(group, F.col(order).alias(f"{p}o"), F.explode(f"{p}text").alias(f"{p}t")).filter(f"{p}t.v <> ''")
+    values = values.groupBy(group, F.col(f"{p}t.c").alias(f"{p}c"), F.col(f"{p}t.v").alias(f"{p}v")).agg(F.min(f"{p}o").alias(f"{p}o"))
+    notes = own.join(first.select(group, F.col(f"{p}f.{p}o").alias(f"{p}first")), group).filter(F.col(order) > F.col(f"{p}first"))
+    notes = notes.groupBy(group, F.lit(len(columns)).alias(f"{p}c"), reason.alias(f"{p}v")).agg(F.min(order).alias(f"{p}o"))
+    joined = values.unionByName(notes).groupBy(group, f"{p}c").agg(F.array_sort(F.collect_list(F.struct(f"{p}o", F.col(f"{p}v").alias("v")))).alias(f"{p}l"))
+    joined = joined.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(f"{p}c", F.array_join(F.transform(f"{p}l", lambda x: x["v"]), "; ").alias("t")))).alias(f"{p}m"))
     out = first.join(joined, group, "left")
 
     def text(i: int) -> Column:
-        return F.coalesce(F.element_at("__m", F.lit(i)), F.lit(""))
+        return F.coalesce(F.element_at(f"{p}m", F.lit(i)), F.lit(""))
 
     return out.select(
-        group, *[F.col(f"__f.{c}").alias(c) for c in rest], *[text(i).alias(c) for i, c in enumerate(columns)],
+        group, *[F.col(f"{p}f.{c}").alias(c) for c in rest], *[text(i).alias(c) for i, c in enumerate(columns)],
         text(len(columns)).alias(note), "n_merged",
     )
 

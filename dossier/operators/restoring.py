@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.names import unused
 from dossier.functions.text import norm_text
 from dossier.operators.ranking import Columns, rank
 from dossier.operators.scoring import Profile
@@ -51,15 +52,17 @@ def restored(rows: DataFrame, previous: DataFrame, key: str, columns: Sequence[s
     All ``columns`` of a row that is found are the earlier ones, empty where those are null; other rows
     keep their own, empty ones if ``rows`` lacks a column.  ``changed`` says that one differs from before.
     """
-    told = previous.filter(F.col(key).isNotNull()).select(F.col(key).alias("key_"), F.struct(*[(F.col(c) if c in previous.columns else F.lit(None)).cast("string").alias(c) for c in columns]).alias("old_"))
-    out = rows.join(told, F.col(key) == F.col("key_"), "left")
-    found = F.col("old_").isNotNull()
+    p = unused(rows, previous)
+    old = F.struct(*[(F.col(c) if c in previous.columns else F.lit(None)).cast("string").alias(c) for c in columns])
+    told = previous.filter(F.col(key).isNotNull()).select(F.col(key).alias(f"{p}key"), old.alias(f"{p}old"))
+    out = rows.join(told, F.col(key) == F.col(f"{p}key"), "left")
+    found = F.col(f"{p}old").isNotNull()
     own = {c: F.col(c).cast("string") if c in rows.columns else F.lit("") for c in columns}
-    new = {c: F.when(found, F.coalesce(F.col(f"old_.{c}"), F.lit(""))).otherwise(own[c]) for c in columns}
+    new = {c: F.when(found, F.coalesce(F.col(f"{p}old.{c}"), F.lit(""))).otherwise(own[c]) for c in columns}
     differs = F.lit(False)
     for c in columns:
         differs |= F.coalesce(new[c], F.lit("")) != F.coalesce(own[c], F.lit(""))
-    return out.withColumns({"found": found, "changed": differs}).withColumns(new).drop("key_", "old_")
+    return out.withColumns({"found": found, "changed": differs}).withColumns(new).drop(f"{p}key", f"{p}old")
 
 
 def rank_restored(ranked: DataFrame, previous: DataFrame, key: str, profile: Profile, columns: Columns = Columns()) -> DataFrame:
@@ -90,12 +93,13 @@ def person_details(people: DataFrame, rows: DataFrame, id_col: str, name_col: st
     By name a row counts if one of both has no address, or both have the same.  Ids, names and addresses are compared in normal
     form, null as empty; two empty names are one name.  Columns of ``rows`` get the prefix ``detail_``.
     """
+    p = unused(people, rows)
     clean = lambda c: F.coalesce(norm_text(F.col(c).cast("string")), F.lit(""))
-    who = people.withColumns({"i_": clean(id_col), "n_": clean(name_col), "u_": clean(url_col)})
-    own = rows.select(clean(id_col).alias("di_"), clean(name_col).alias("dn_"), clean(url_col).alias("du_"), *[F.col(c).alias(f"detail_{c}") for c in rows.columns])
-    known = own.filter("di_ <> ''")
-    by_id = who.filter("i_ <> ''").join(known, F.col("i_") == F.col("di_"))
-    without = who.join(known.select(F.col("di_").alias("k_")).distinct(), (F.col("i_") != "") & (F.col("i_") == F.col("k_")), "left_anti")
-    same_page = (F.col("u_") == "") | (F.col("du_") == "") | (F.col("u_") == F.col("du_"))
-    by_name = without.join(own.filter("di_ = ''"), (F.col("n_") == F.col("dn_")) & same_page)
-    return by_id.unionByName(by_name).drop("i_", "n_", "u_", "di_", "dn_", "du_")
+    who = people.withColumns({f"{p}i": clean(id_col), f"{p}n": clean(name_col), f"{p}u": clean(url_col)})
+    own = rows.select(clean(id_col).alias(f"{p}di"), clean(name_col).alias(f"{p}dn"), clean(url_col).alias(f"{p}du"), *[F.col(c).alias(f"detail_{c}") for c in rows.columns])
+    known = own.filter(F.col(f"{p}di") != "")
+    by_id = who.filter(F.col(f"{p}i") != "").join(known, F.col(f"{p}i") == F.col(f"{p}di"))
+    without = who.join(known.select(F.col(f"{p}di").alias(f"{p}k")).distinct(), (F.col(f"{p}i") != "") & (F.col(f"{p}i") == F.col(f"{p}k")), "left_anti")
+    same_page = (F.col(f"{p}u") == "") | (F.col(f"{p}du") == "") | (F.col(f"{p}u") == F.col(f"{p}du"))
+    by_name = without.join(own.filter(F.col(f"{p}di") == ""), (F.col(f"{p}n") == F.col(f"{p}dn")) & same_page)
+    return by_id.unionByName(by_name).drop(f"{p}i", f"{p}n", f"{p}u", f"{p}di", f"{p}dn", f"{p}du")

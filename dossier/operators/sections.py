@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.functions.names import unused
 from dossier.functions.text import YEAR, is_publication, norm_text
 from dossier.operators.graph import cut
 
@@ -199,11 +200,12 @@ def person_materials(people: DataFrame, name: str, entries: DataFrame, found: Da
     ``doc_id`` (as ``mentions`` gives), ``titles`` has ``doc_id`` and ``title``.  ``evidence`` lists the first ``most`` titles by doc_id,
     each once; people of one name share both.  Without any they are null and empty.
     """
+    p = unused(people)
     rest = [c for c in entries.columns if c != "name"]
-    own = entries.filter(F.col("name").isNotNull()).groupBy(F.col("name").alias("name_")).agg(F.min(F.struct(*rest)).alias("entry"))
+    own = entries.filter(F.col("name").isNotNull()).groupBy(F.col("name").alias(f"{p}name")).agg(F.min(F.struct(*rest)).alias("entry"))
     named = found.select("name", F.col(doc_id).alias("id")).join(titles.select(F.col(doc_id).alias("id_"), "title"), F.col("id") == F.col("id_"))
     order = Window.partitionBy("name").orderBy("id", "title")
     first = named.select("name", "id", "title").distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most)
-    listed = first.groupBy(F.col("name").alias("named_")).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("at", "title"))), lambda x: x["title"])).alias("evidence"))
-    out = people.drop("entry", "evidence").join(own, F.col(name) == F.col("name_"), "left").join(listed, F.col(name) == F.col("named_"), "left").drop("name_", "named_")
+    listed = first.groupBy(F.col("name").alias(f"{p}named")).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("at", "title"))), lambda x: x["title"])).alias("evidence"))
+    out = people.drop("entry", "evidence").join(own, F.col(name) == F.col(f"{p}name"), "left").join(listed, F.col(name) == F.col(f"{p}named"), "left").drop(f"{p}name", f"{p}named")
     return out.withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))

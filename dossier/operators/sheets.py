@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.dates import minute
+from dossier.functions.names import unused
 from dossier.functions.text import norm_text
 from dossier.operators import contact
 from dossier.operators.rows import insert_after
@@ -48,11 +49,12 @@ def synced(rows: DataFrame, store: DataFrame, key: Callable[[DataFrame], Column]
     out = migrated(rows)
     fields = list(COLUMNS.values())
     text = lambda c: F.array_join(c, JOINT) if c == "responses" else F.coalesce(F.col(c), F.lit(""))
+    p = unused(out)
     entries = store.filter("row_key IS NOT NULL").select("row_key", F.struct(*[text(c).alias(c) for c in fields]).alias("entry"))
-    first, second = (entries.select(F.col("row_key").alias(f"key_{i}_"), F.col("entry").alias(f"entry_{i}_")) for i in (1, 2))
-    out = out.withColumns({"k1_": key(out), "k2_": fallback(out)})
-    out = out.join(first, F.col("k1_") == F.col("key_1_"), "left").join(second, F.col("k2_") == F.col("key_2_"), "left")
+    first, second = (entries.select(F.col("row_key").alias(f"{p}key{i}"), F.col("entry").alias(f"{p}entry{i}")) for i in (1, 2))
+    out = out.withColumns({f"{p}k1": key(out), f"{p}k2": fallback(out)})
+    out = out.join(first, F.col(f"{p}k1") == F.col(f"{p}key1"), "left").join(second, F.col(f"{p}k2") == F.col(f"{p}key2"), "left")
     own = row_entry()
-    out = out.withColumns({"stored_": F.coalesce("entry_1_", "entry_2_"), "own_": own})
-    said = lambda f: F.coalesce(F.nullif(F.col(f"stored_.{f}"), F.lit("")), F.lit("") if authoritative else F.col(f"own_.{f}"))
+    out = out.withColumns({f"{p}stored": F.coalesce(f"{p}entry1", f"{p}entry2"), f"{p}own": own})
+    said = lambda f: F.coalesce(F.nullif(F.col(f"{p}stored.{f}"), F.lit("")), F.lit("") if authoritative else F.col(f"{p}own.{f}"))
     return out.withColumns({c: said(f) for c, f in COLUMNS.items()}).select(*migrated(rows).columns)

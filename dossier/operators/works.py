@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.names import unused
 from dossier.functions.text import first_year, is_publication, normalize_doi, normalized_title, split_entries
 from dossier.operators.graph import components, cut, ship
 
@@ -233,37 +234,38 @@ def contained_titles(texts: DataFrame, titles: DataFrame, text_col: str, title_c
     Titles of two words or fewer have no such run and are searched in every text.  Both kinds
     are broadcast in slices of about ``most_bytes``, with one pass over the texts each.
     """
+    p = unused(texts, titles)
     words = F.split(F.col(title_col), r"\s+")
-    own = titles.withColumn("__in", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).filter(F.col(title_col).isNotNull())
-    own = cut(own.withColumn("__n", F.least(F.size("__in"), F.lit(RUN_WORDS))))
+    own = titles.withColumn(f"{p}in", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).filter(F.col(title_col).isNotNull())
+    own = cut(own.withColumn(f"{p}n", F.least(F.size(f"{p}in"), F.lit(RUN_WORDS))))
     # Rows are told apart by their hash: equal ones fare alike, and what collides is searched all the same.
-    keyed = texts.filter(F.col(text_col).isNotNull()).withColumn("__k", F.xxhash64(*texts.columns))
-    pieces = keyed.select("__k", F.split(F.col(text_col), r"\s+").alias("__ws"))
-    sizes = {r["__n"]: r["b"] for r in own.groupBy("__n").agg(F.sum(F.octet_length(title_col) + 64).alias("b")).collect()}  # at most RUN_WORDS + 1
+    keyed = texts.filter(F.col(text_col).isNotNull()).withColumn(f"{p}k", F.xxhash64(*texts.columns))
+    pieces = keyed.select(f"{p}k", F.split(F.col(text_col), r"\s+").alias(f"{p}ws"))
+    sizes = {r[f"{p}n"]: r["b"] for r in own.groupBy(f"{p}n").agg(F.sum(F.octet_length(title_col) + 64).alias("b")).collect()}  # at most RUN_WORDS + 1
     found = [texts.join(titles.limit(0), F.lit(True), "inner").limit(0)]
     for n, size in sorted(sizes.items()):
-        group = own.filter(F.col("__n") == n)
+        group = own.filter(F.col(f"{p}n") == n)
         slices = max(1, math.ceil(size / most_bytes))
         for k in range(slices):
             part = group.filter(F.pmod(F.xxhash64(title_col), F.lit(slices)) == k) if slices > 1 else group
             if n == 0:
-                short = F.broadcast(part.drop("__in", "__n"))
+                short = F.broadcast(part.drop(f"{p}in", f"{p}n"))
                 found.append(texts.join(short, F.contains(F.col(text_col), F.col(title_col))))
                 continue
-            runs = part.withColumn("__h", F.explode(F.array_distinct(_word_runs(F.col("__in"), n))))
-            sought = F.broadcast(runs.select("__h").distinct())
-            at = pieces.select("__k", "__ws", F.posexplode("__ws").alias("i", "w")).filter(F.col("i") + n <= F.size("__ws"))
-            run = F.xxhash64(F.concat_ws(" ", "w", *[F.get("__ws", F.col("i") + j) for j in range(1, n)]))
-            hits = cut(at.select("__k", run.alias("__h")).join(sought, "__h").distinct())
-            counts = hits.groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
+            runs = part.withColumn(f"{p}h", F.explode(F.array_distinct(_word_runs(F.col(f"{p}in"), n))))
+            sought = F.broadcast(runs.select(f"{p}h").distinct())
+            at = pieces.select(f"{p}k", f"{p}ws", F.posexplode(f"{p}ws").alias("i", "w")).filter(F.col("i") + n <= F.size(f"{p}ws"))
+            run = F.xxhash64(F.concat_ws(" ", "w", *[F.get(f"{p}ws", F.col("i") + j) for j in range(1, n)]))
+            hits = cut(at.select(f"{p}k", run.alias(f"{p}h")).join(sought, f"{p}h").distinct())
+            counts = hits.groupBy(f"{p}h").agg(F.count(F.lit(1)).alias(f"{p}c"))
             # A run that no text has proves that no text holds the title.
-            rarest = runs.join(counts, "__h").groupBy(*titles.columns).agg(F.min(F.struct("__c", "__h")).alias("__r"))
-            times = part.groupBy(*titles.columns).agg(F.count(F.lit(1)).alias("__t"))
-            named = rarest.select(*titles.columns, F.col("__r.__h").alias("__h")).join(times.withColumnsRenamed({c: f"__{c}" for c in titles.columns}), reduce(
-                Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in titles.columns]
+            rarest = runs.join(counts, f"{p}h").groupBy(*titles.columns).agg(F.min(F.struct(f"{p}c", f"{p}h")).alias(f"{p}r"))
+            times = part.groupBy(*titles.columns).agg(F.count(F.lit(1)).alias(f"{p}t"))
+            named = rarest.select(*titles.columns, F.col(f"{p}r.{p}h").alias(f"{p}h")).join(times.withColumnsRenamed({c: f"{p}{c}" for c in titles.columns}), reduce(
+                Column.__and__, [F.col(c).eqNullSafe(F.col(f"{p}{c}")) for c in titles.columns]
             ))
-            pairs = cut(hits.join(named.select(*titles.columns, "__h", F.explode(F.array_repeat("__h", F.col("__t").cast("int"))).alias("__again")), "__h").drop("__h", "__again"))
-            found.append(keyed.join(pairs, "__k").filter(F.contains(F.col(text_col), F.col(title_col))).drop("__k"))
+            pairs = cut(hits.join(named.select(*titles.columns, f"{p}h", F.explode(F.array_repeat(f"{p}h", F.col(f"{p}t").cast("int"))).alias(f"{p}again")), f"{p}h").drop(f"{p}h", f"{p}again"))
+            found.append(keyed.join(pairs, f"{p}k").filter(F.contains(F.col(text_col), F.col(title_col))).drop(f"{p}k"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.names import unused
 from dossier.operators.dedup import keep
 from dossier.operators.graph import ship
 
@@ -176,14 +177,15 @@ def with_details(
     The first of several rows of one address counts, in the order of ``page`` and ``place``.
     ``state`` is ``parsed``, ``empty`` (the page has none of the fields) or ``missing``.
     """
+    p = unused(listed, pages)
     first = keep(listed, [link], [F.col("page"), F.col("place")])
     own = people(pages, url, html, rules).filter("place = 0").drop("place")
     own = keep(own, ["page"], [F.col(c) for c in rules.columns]).withColumnRenamed("page", link)
     said = F.lit(False)
     for c in rules.columns:
         said = said | (F.col(c) != "")
-    detail = own.select(link, said.alias("__said"), F.struct(*rules.columns).alias("__d"))
+    detail = own.select(link, said.alias(f"{p}said"), F.struct(*rules.columns).alias(f"{p}d"))
     out = first.join(detail, link, "left")
-    values = {c: F.coalesce(F.nullif(F.col(f"__d.{c}"), F.lit("")), F.col(c) if c in first.columns else F.lit("")) for c in rules.columns}
-    state = F.when(F.col("__d").isNull(), "missing").when(F.col("__said"), "parsed").otherwise("empty")
-    return out.withColumns({**values, "state": state}).drop("__said", "__d")
+    values = {c: F.coalesce(F.nullif(F.col(f"{p}d.{c}"), F.lit("")), F.col(c) if c in first.columns else F.lit("")) for c in rules.columns}
+    state = F.when(F.col(f"{p}d").isNull(), "missing").when(F.col(f"{p}said"), "parsed").otherwise("empty")
+    return out.withColumns({**values, "state": state}).drop(f"{p}said", f"{p}d")

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import homepages
-from dossier.operators import picking, placement, ranking, restoring, scoring, sections, sheets, stores, unions, verification
+from dossier.operators import candidates, contact, dashboard, manifest, merging, picking, placement, ranking, restoring, scoring, sections, sheets, stores, unions, verification
+from dossier.operators.works import contained_titles
 from dossier.sources import paging, sinks
 
 RULES = {"a": "n % 2 = 0", "a_again": "n % 2 = 0", "b": "n % 3 = 0", "c": "n % 5 = 0 AND n % 2 = 1", "any": "true"}
@@ -362,3 +363,26 @@ def test_statuses_are_synced_into_tables(spark, tmp_path):
     strict = sheets.synced(spark.createDataFrame(rows, schema), store, lambda df: F.col("k"), lambda df: F.upper("k"), authoritative=True)
     assert sorted((tuple(r)[2:] for r in strict.collect())) == sorted([("不可能", "", "", "", ""), ("", "2026", "已发；官回", "", "said"), ("", "", "", "", ""), ("", "", "", "", "")])
     assert sheets.synced(got.limit(0), store, lambda df: F.col("k"), lambda df: F.col("k")).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    """Operators that add columns for a while leave those alone that are named alike."""
+    odd = ["__text", "__o", "__m", "__f", "__first", "__a", "__b", "__e", "__h", "__own", "__shared", "__key", "__old", "__k1", "__name", "c", "v", "o", "l", "t"]
+    wear = lambda df: df.select("*", *[F.lit("x").alias(n) for n in odd if n not in df.columns])
+    people = wear(spark.createDataFrame([("p", 1, "a", "n", "t1"), ("p", 2, "b", "n", "t1")], "person string, at int, title string, name string, target string"))
+    merged = merging.merge_rows(people, "person", "at", ["title"], "name", "target").first()
+    assert (merged.title, merged.n_merged, merged["__text"], merged["__m"], merged.c) == ("a; b", 2, "x", "x", "x")
+    store = spark.createDataFrame([("p", "s")], "row_key string, status string")
+    laid = contact.overlay(people, store, "person", "name", ["status"])
+    assert sorted(laid.columns) == sorted([*people.columns, "status"]) and {r.status for r in laid.collect()} == {"s"} and laid.first()["__a"] == "x"
+    by = dashboard.status_by_prefix(people, spark.createDataFrame([("p", "e")], "row_key string, entry string"), "person", "target")
+    assert by.first().entry == "e" and by.first()["__b"] == "x"
+    back = manifest.from_checkpoint(people, spark.createDataFrame([("p", "w")], "person string, web string"), "person", {"web": F.lit("")})
+    assert {r.web for r in back.collect()} == {"w"} and back.first()["__e"] == "x"
+    kept = restoring.restored(people, spark.createDataFrame([("p", "k")], "person string, web_search_keywords string"), "person")
+    assert kept.first()["__old"] == "x" and kept.first().web_search_keywords == "k"
+    picked = candidates.pick_author(people.withColumn("author_id", F.lit("z")), spark.createDataFrame([("p", None, "z")], "person string, name string, author_id string"), "person", "name")
+    assert picked.first().direct and picked.first()["__own"] == "x"
+    titles = spark.createDataFrame([("a b c",)], "title string")
+    found = contained_titles(wear(spark.createDataFrame([("x a b c y",)], "text string")), titles.withColumn("__in", F.lit(1)), "text", "title")
+    assert found.count() == 1 and found.first()["__text"] == "x"
