@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dossier.functions.identity import dedup_url
 from dossier.functions.text import norm_text
 
 # Hosts that many people share, hosts of papers and profiles, words of a homepage's anchor, marks of a person's host, stray signs.
@@ -29,6 +30,18 @@ PERSON_HOSTS = r"github\.io$|^sites\.google\.com$|lab|group|faculty\."
 STRAY = "，,；;。)）]"
 NO_LINKS = ("#", "--", "javascript:;")
 
+# Addresses that many rows share, a host of none but these, and start pages of two schools.
+SHARED_URLS = (
+    "https://chenyang10.github.io/chengyang", "https://manage.faculty.ustc.edu.cn/system/caslogin.jsp", "http://sc.ruc.edu.cn/department/ssai/ssai_users/index.htm", "http://www.fudanmagiclab.com",
+    "https://dml.fudan.edu.cn",
+)
+SHARED_HOST = "aiia.seu.edu.cn"
+START_PATHS = ("", "/", "/index.htm", "/index.html")
+SCHOOL_STARTS = {
+    ("www.cad.zju.edu.cn", "cad.zju.edu.cn"): ("", "/", "/english.html"),
+    ("cs.seu.edu.cn", "cse.seu.edu.cn"): ("", "/", "/dsxx/list.htm", "/54820/list.htm"),
+}
+
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -132,3 +145,18 @@ def one_homepage(links: Column, base: Column) -> Column:
     named = F.filter(other, lambda a: _says(a["text"], SAYS_OWN))
     first = lambda found: F.get(F.transform(found, lambda a: a["href"]), F.lit(0))
     return F.coalesce(first(named), first(other), F.lit(""))
+
+
+def is_shared_url(url: Column) -> Column:
+    """Whether an address in the form of ``dedup_url`` says nothing about who a directory's row is."""
+    path, host = F.regexp_replace(_part(url, 3), "/+$", ""), host_of(url)
+    common = host.isin(*COMMON_HOSTS) & (path.isin(*START_PATHS) | path.endswith("/list.htm"))
+    starts = reduce(Column.__or__, [host.isin(*hosts) & path.isin(*paths) for hosts, paths in SCHOOL_STARTS.items()])
+    return (url == "") | F.regexp_replace(url, "/$", "").isin(*SHARED_URLS) | host.isin(*PAPER_HOSTS, SHARED_HOST) | (_part(url, 5) != "") | common | starts
+
+
+def directory_keys(personal: Column, profile: Column) -> Column:
+    """Keys by which rows of directories are the same person: their own addresses, the homepage first; those with a mark in the page and shared ones are none."""
+    own = F.transform(F.array(personal, profile), lambda u: F.when(~F.contains(norm_text(u), F.lit("#")), dedup_url(u)))
+    kept = F.filter(own, lambda u: u.isNotNull() & ~is_shared_url(u))
+    return F.array_distinct(F.transform(kept, lambda u: F.concat(F.lit("url:"), u)))

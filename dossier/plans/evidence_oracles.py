@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dossier.operators import placement, stores, verification
 from dossier.plans import evidence_queries as made
-from dossier.plans.record_oracles import RANKED
+from dossier.plans.record_oracles import _CORE, _KEYWORDS, RANKED, _scored
 
 
 def _picks(rules: dict[str, str], prefix: str, seed: str, before: str, school: int, soft: bool) -> str:
@@ -213,8 +213,52 @@ f AS (SELECT o.*, coalesce(b.doc_id, q.doc_id) IS NOT NULL AS hit, CASE WHEN b.d
 SELECT doc_id, name, lang, coalesce(nullif(t.status, ''), own_status) AS status, coalesce(t.contacted_at, '') AS contacted_at, coalesce(nullif(replace(t.responses, '|', '；'), ''), own_said) AS responses,
   coalesce(nullif(t.interview_at, ''), own_at) AS interview_at, coalesce(nullif(t.note, ''), own_note) AS note FROM f"""
 
+FINDINGS = f"""WITH kw(ord, kw, w) AS (VALUES {_KEYWORDS}),
+w AS (SELECT doc_id // {made.RUN} AS person, doc_id AS pos, (n_chars % 4 + 2020)::INT AS year, CASE WHEN doc_id % 5 > 0 THEN source END AS venue, p_name AS title FROM documents JOIN part ON p_partkey = doc_id % 190 + 1),
+b1 AS (SELECT pos AS p_partkey, concat_ws(' ', title, venue) AS t FROM w),{_scored("one", "t", 4).replace("FROM base", "FROM b1")},
+b2 AS (SELECT person AS p_partkey, string_agg(concat_ws(' ', title, venue), ' ; ') AS t FROM w GROUP BY 1),{_scored("all", "t", 4).replace("FROM base", "FROM b2")},
+y AS (SELECT person, sum(n)::BIGINT AS n, string_agg(year || ':' || n, '; ' ORDER BY year DESC) AS years FROM (SELECT person, year, count(*) AS n FROM w GROUP BY ALL) GROUP BY 1),
+v AS (SELECT person, string_agg(venue || '(' || n || ')', '; ' ORDER BY n DESC, f, venue) AS venues FROM (SELECT * FROM (SELECT person, venue, count(*) AS n, min(pos) AS f FROM w WHERE venue <> '' GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY person ORDER BY n DESC, f, venue) <= 10) GROUP BY 1),
+t AS (SELECT person, string_agg('[' || concat_ws(' ', year, venue) || '] ' || title, '；' ORDER BY r) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY coalesce(s_one, 0) DESC, year DESC, pos) AS r
+  FROM w LEFT JOIN sc_one ON p_partkey = pos QUALIFY r <= 10) GROUP BY 1)
+SELECT person, n, years, coalesce(venues, '') AS venues, titles, coalesce(array_to_string(kw_all, '; '), '') AS keywords, coalesce(s_all, 0)::INT AS score, coalesce(list_has_any(kw_all, [{_CORE}]), false) AS has_core
+FROM y LEFT JOIN v USING (person) JOIN t USING (person) LEFT JOIN sc_all ON p_partkey = person"""
+
+AUDIT = """WITH d AS (SELECT *, CASE WHEN doc_id % 4 > 0 THEN 'w' || n_chars % 50 END AS work FROM documents),
+m(metric, n) AS (SELECT 'people', count(*) FROM d UNION ALL SELECT 'identity_seed_coverage', count(*) FILTER (doc_id % 10 > 0) FROM d UNION ALL SELECT 'publication_rows', count(*) FROM d
+  UNION ALL SELECT 'blank_titles', count(*) FILTER (doc_id % 9 = 0) FROM d UNION ALL SELECT 'missing_trace_rows', count(*) FILTER (doc_id % 3 > 0 AND doc_id % 5 = 0) FROM d
+  UNION ALL SELECT 'duplicate_canonical_rows', coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM d WHERE work IS NOT NULL GROUP BY doc_id % 100, work HAVING count(*) > 1)
+  UNION ALL SELECT 'review_queue', count(*) FILTER (CASE WHEN doc_id % 2 = 0 THEN doc_id % 6 = 0 ELSE doc_id % 7 < 2 END) FROM d)
+SELECT metric, n::BIGINT AS n FROM m
+UNION ALL SELECT 'ok', (max(n) FILTER (metric = 'people') = max(n) FILTER (metric = 'identity_seed_coverage') AND sum(n) FILTER (metric IN ('blank_titles', 'missing_trace_rows', 'duplicate_canonical_rows')) = 0)::BIGINT FROM m
+UNION ALL SELECT coalesce(source, '') || '|' || CASE WHEN doc_id % 8 = 0 THEN 'failed' WHEN doc_id % 8 < 5 THEN 'success' ELSE '' END, count(*) FROM documents GROUP BY 1"""
+
+_LETTERS = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')".format
+CHECKED = f"""WITH e AS (SELECT doc_id // {made.RUN} AS person, doc_id AS pos, 'on robust ' || lower(source) || ' in ' || coalesce(lang, '?') AS title, CASE WHEN doc_id % 3 = 0 THEN 'l' || doc_id % 5 ELSE '' END AS link, coalesce(lang, '') AS lang FROM documents),
+l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY person, CASE WHEN link <> '' THEN link ELSE lower(title) END ORDER BY pos DESC) = 1),
+p AS (SELECT doc_id // {made.RUN} AS person, doc_id % 24 = 0 AS named, doc_id % 36 > 0 AS sure, doc_id % 60 = 0 AS verified, 'x; On Robust src1' || doc_id % 7 || ' in en; On robust SRC4 in en' AS dblp, 'On robust src13 in fr; on robust src2 in en' AS works
+  FROM documents WHERE doc_id % {made.RUN} = 0)
+SELECT person, count(*) AS n, CASE WHEN any_value(verified) AND bool_or(contains({_LETTERS("works")}, {_LETTERS("title")})) THEN '{made.findings.IN_CATALOGUE}'
+  WHEN any_value(sure) AND any_value(named) AND bool_or(lang = 'en') AND bool_or(contains({_LETTERS("dblp")}, {_LETTERS("title")})) THEN '{made.findings.IN_DBLP}' ELSE '{made.findings.BY_NAME}' END AS confidence
+FROM l JOIN p USING (person) GROUP BY person"""
+
+
+def _plain(url: str) -> str:
+    return f"""regexp_extract({url}, '^(https?)://', 1) || '://' || lower(regexp_extract({url}, '^https?://([^/?#]*)', 1)) || rtrim(regexp_extract({url}, '^https?://[^/?#]*([^?#]*)', 1), '/')
+      || CASE WHEN contains({url}, '?') THEN '?' || regexp_extract({url}, '[?]([^#]*)', 1) ELSE '' END"""
+
+
+_STARTS = " OR ".join(f"({_hosts(h)} AND path IN ({', '.join(repr(p) for p in paths)}))" for h, paths in _H.SCHOOL_STARTS.items())
+IDENTITIES = f"""WITH m AS (SELECT page_id, url, ['https://www.nju.edu.cn', 'http://cs.seu.edu.cn', 'https://dblp.org', 'http://aiia.seu.edu.cn', 'https://ai.fudan.edu.cn', 'https://dml.fudan.edu.cn'][(page_id % 6 + 1)::INT]
+    || ['/', '/index.htm', '/x/list.htm', '/54820/list.htm', '/ann', '', '/?b=2&a=1'][(page_id // 6 % 7 + 1)::INT] AS made FROM pages),
+u AS (SELECT page_id, 0 AS i, {_plain("made")} AS k FROM m UNION ALL SELECT page_id, 1, {_plain("url")} FROM m WHERE NOT contains(url, '#')),
+h AS (SELECT *, regexp_extract(k, '^https?://([^/?#]*)', 1) AS host, rtrim(regexp_extract(k, '^https?://[^/?#]*([^?#]*)', 1), '/') AS path FROM u),
+g AS (SELECT * FROM h WHERE NOT (rtrim(k, '/') IN {_H.SHARED_URLS} OR {_hosts(_H.PAPER_HOSTS)} OR host = '{_H.SHARED_HOST}' OR ({_hosts(_H.COMMON_HOSTS)} AND (path IN {_H.START_PATHS} OR ends_with(path, '/list.htm'))) OR {_STARTS}))
+SELECT page_id, coalesce(string_agg('url:' || k, ' ' ORDER BY i), '') AS keys FROM pages LEFT JOIN g USING (page_id) GROUP BY page_id"""
+
 ORACLE_SQL = {
     "picked_samples": PICKS, "normal_store_entries": STORES, "author_choices": AUTHORS, "paged_works": PAGED, "paged_reading": READING, "merged_works": MERGED, "homepage_links": HOMEPAGES,
     "joint_affiliations": AFFILIATIONS, "restored_levels": RESTORED, "department_map": DEPARTMENTS, "detail_rows_of_people": DETAILS,
-    "synced_sheets": SHEETS,
+    "synced_sheets": SHEETS, "person_findings": FINDINGS, "publication_audit": AUDIT, "checked_entries": CHECKED, "directory_identities": IDENTITIES,
 }

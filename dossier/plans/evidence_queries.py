@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import homepages
-from dossier.operators import picking, placement, ranking, restoring, sheets, stores, unions, verification
+from dossier.operators import findings, picking, placement, ranking, restoring, sheets, stores, unions, verification
 from dossier.operators.graph import cut
 from dossier.plans.record_queries import RANK_PROFILE
 from dossier.sources import paging
@@ -240,10 +240,65 @@ def synced_sheets(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnsRenamed({"姓名": "name"} | sheets.COLUMNS)
 
 
+#: Works of a person: so many documents in a row; the names of parts play titles.
+RUN = 12
+
+
+def person_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as works of people, titled by parts."""
+    k = F.col("doc_id")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_name")
+    works = table(spark, d, "documents").select(
+        F.floor(k / RUN).cast("long").alias("person"), k.alias("at"), (F.col("n_chars") % 4 + 2020).cast("int").alias("year"), F.when(k % 5 > 0, F.col("source")).alias("venue"), (k % 190 + 1).alias("part")
+    )
+    works = works.join(parts, "part").select("person", "at", "year", "venue", F.col("p_name").alias("title"))
+    return findings.person_findings(works, "person", "year", "venue", "title", "at", RANK_PROFILE)
+
+
+def publication_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as people, works, candidates and sources of a run."""
+    k, docs = F.col("doc_id"), table(spark, d, "documents")
+    people = docs.select(F.when(k % 10 > 0, F.md5(k.cast("string"))).otherwise(" ").alias("seed_hash"))
+    details = docs.select(
+        F.concat(F.lit("p"), (k % 100).cast("string")).alias("person"), F.when(k % 4 > 0, F.concat(F.lit("w"), (F.col("n_chars") % 50).cast("string"))).alias("canonical_id"), F.when(k % 9 > 0, "t").otherwise("").alias("title"),
+        F.when(k % 3 == 0, "r").alias("trace_id"), F.when(k % 5 > 0, "u").otherwise(" ").alias("url"),
+    )
+    candidates = docs.select(F.when(k % 2 == 0, F.when(k % 6 == 0, "是").otherwise("否")).alias("needs_review"), F.when(k % 7 == 0, "review").when(k % 7 == 1, "unresolved").otherwise("accepted").alias("decision"))
+    return findings.publication_audit(people, details, candidates, docs.select("source", F.when(k % 8 == 0, "failed").when(k % 8 < 5, "success").alias("status")))
+
+
+def checked_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as entries of people, the last of those alike, checked against what is known of the people."""
+    k = F.col("doc_id")
+    docs = table(spark, d, "documents")
+    title = F.concat(F.lit("on robust "), F.lower("source"), F.lit(" in "), F.coalesce("lang", F.lit("?")))
+    entries = docs.select(
+        F.floor(k / RUN).cast("long").alias("person"), k.alias("at"), title.alias("title"), F.when(k % 3 == 0, F.concat(F.lit("l"), (k % 5).cast("string"))).otherwise("").alias("link"),
+        F.concat(F.lit("2024-0"), (F.col("n_chars") % 9 + 1).cast("string")).alias("published"), F.concat_ws("; ", F.lit("A. Bee"), F.concat(F.lit("C "), "lang")).alias("authors"),
+    )
+    kept = findings.last_entries(entries, "person", "at")
+    people = docs.filter(k % RUN == 0).select(
+        F.floor(k / RUN).cast("long").alias("person"), F.when(k % 24 == 0, "C. en").otherwise("").alias("dblp_author"), F.when(k % 36 > 0, "高").otherwise("低").alias("dblp_confidence"),
+        F.concat(F.lit("x; On Robust src1"), (k % 7).cast("string"), F.lit(" in en; On robust SRC4 in en")).alias("dblp_titles"), F.when(k % 60 == 0, "high").alias("publication_confidence"),
+        F.lit("On robust src13 in fr; on robust src2 in en").alias("publication_titles"),
+    )
+    return findings.cross_checked(people, kept, "person")
+
+
+def directory_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of pages, some under hosts that many share, as those of directory rows."""
+    hosts = ("https://www.nju.edu.cn", "http://cs.seu.edu.cn", "https://dblp.org", "http://aiia.seu.edu.cn", "https://ai.fudan.edu.cn", "https://dml.fudan.edu.cn")
+    ends = ("/", "/index.htm", "/x/list.htm", "/54820/list.htm", "/ann", "", "/?b=2&a=1")
+    k = F.col("page_id")
+    pick = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    made = F.concat(pick(hosts, k % len(hosts)), pick(ends, F.floor(k / len(hosts)) % len(ends)))
+    return table(spark, d, "pages").select("page_id", F.array_join(homepages.directory_keys(made, F.col("url")), " ").alias("keys"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         picked_samples, normal_store_entries, author_choices, paged_works, paged_reading, merged_works, homepage_links, joint_affiliations, restored_levels, department_map, detail_rows_of_people,
-        synced_sheets,
+        synced_sheets, person_findings, publication_audit, checked_entries, directory_identities,
     )
 }

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import homepages
-from dossier.operators import candidates, contact, dashboard, manifest, merging, picking, placement, ranking, restoring, scoring, sections, sheets, stores, unions, verification
+from dossier.operators import candidates, contact, dashboard, findings, manifest, merging, picking, placement, ranking, restoring, scoring, sections, sheets, stores, unions, verification
 from dossier.operators.works import contained_titles
 from dossier.sources import paging, sinks
 
@@ -386,3 +386,48 @@ def test_columns_of_any_name_stay(spark):
     titles = spark.createDataFrame([("a b c",)], "title string")
     found = contained_titles(wear(spark.createDataFrame([("x a b c y",)], "text string")), titles.withColumn("__in", F.lit(1)), "text", "title")
     assert found.count() == 1 and found.first()["__text"] == "x"
+
+
+def test_findings_of_people(spark):
+    profile = scoring.validate(scoring.Profile(weights=[("small ring", 30), ("ring", 24), ("robot", 10), ("bolt", 0)], core=["ring"], alias_groups=[], direction_groups={}))
+    works = [("a", 1, 2024, "V", "A small ring"), ("a", 2, 2023, None, "Robots and bolts"), ("a", 3, 2024, "V", None), ("b", 4, 2020, "", "on rings"), (None, 5, 2021, "W", "ring")]
+    df = spark.createDataFrame(works, "p string, o int, y int, v string, t string").withColumn("terms", F.lit(1))
+    got = {r.p: tuple(r)[1:] for r in findings.person_findings(df, "p", "y", "v", "t", "o", profile).collect()}
+    assert got["a"][:3] == (3, "2024:2; 2023:1", "V(2)") and got["a"][3].startswith("[2024 V] A small ring；[2023] Robots and bolts") and got["a"][4:] == ("small ring; robot", 40, False)
+    assert got["b"][4:] == ("", 0, False) and got[None][4:] == ("ring", 24, True)
+    assert findings.person_findings(df.limit(0), "p", "y", "v", "t", "o", profile).count() == 0
+
+
+def test_publication_audit_of_tables(spark):
+    people = spark.createDataFrame([("h",), (" ",), (None,)], "seed_hash string")
+    details = [("p", "c", "t", "r", None), ("p ", "c", "t", None, "u"), ("q", "c", " ", None, " "), (None, "c", None, "r", "u"), (None, " c ", "t", "r", "u"), ("p", None, "t", "r", "u"), ("p", "", "t", "r", "u")]
+    details = spark.createDataFrame(details, "person string, canonical_id string, title string, trace_id string, url string")
+    candidates = spark.createDataFrame([("是", "accepted"), ("否", "review"), (None, "unresolved"), (None, None)], "needs_review string, decision string")
+    sources = spark.createDataFrame([("a", "ok"), ("a", "ok"), (None, "x")], "source string, status string")
+    got = dict(map(tuple, findings.publication_audit(people, details, candidates, sources).collect()))
+    assert got == {
+        "people": 3, "identity_seed_coverage": 1, "publication_rows": 7, "blank_titles": 2, "missing_trace_rows": 1, "duplicate_canonical_rows": 4, "review_queue": 2, "ok": 0, "a|ok": 2, "|x": 1,
+    }
+    none = dict(map(tuple, findings.publication_audit(people.limit(0), details.limit(0), candidates.limit(0), sources.limit(0)).collect()))
+    assert none["ok"] == 1 and sum(none.values()) == 1
+
+
+def test_entries_are_checked_against_known_titles(spark):
+    schema = "p string, o int, link string, title string, published string, authors string"
+    rows = [("a", 1, "l", "Old one", "2024-02", ""), ("a", 2, "l", "New one", "2024-01", ""), ("a", 3, "", "SAME Title of it", "2024-03", ""), ("a", 4, None, "same title of IT", "2024-01", "x"), ("b", 5, None, None, None, None), ("b", 6, "", "", None, None)]
+    last = findings.last_entries(spark.createDataFrame(rows, schema), "p", "o")
+    assert sorted((r.p, r.place, r.o) for r in last.collect()) == [("a", 0, 2), ("a", 1, 4), ("b", 0, 6)]
+    people = [("a", "Ann Lee", "高", "x; Robust networks of all", None, None), ("b", "Ann Lee", "低", "Robust networks of all", "medium", "Robust Networks, of all 2"), ("c", None, None, None, "high", None), ("d", "Ann Lee", "高", "short", "low", "short")]
+    people = spark.createDataFrame(people, "p string, dblp_author string, dblp_confidence string, dblp_titles string, publication_confidence string, publication_titles string")
+    entries = [("a", 1, "", "robust networks: of all", "", "Bo; ann-LEE"), ("b", 1, "", "Robust networks of ALL", "", "Bo"), ("c", 1, "", "robust networks of all", "", None), ("d", 1, "", "short", "", "Ann Lee"), ("e", 1, "", "x", "", "")]
+    got = findings.cross_checked(people, spark.createDataFrame(entries + entries[:1], schema), "p")
+    assert sorted(map(tuple, got.collect())) == [("a", 2, findings.IN_DBLP), ("b", 1, findings.IN_CATALOGUE), ("c", 1, findings.BY_NAME), ("d", 1, findings.BY_NAME)]
+
+
+def test_addresses_that_many_share(spark):
+    shared = ["", "http://www.nju.edu.cn", "http://www.nju.edu.cn/index.html", "http://www.nju.edu.cn/a/list.htm", "http://doi.org/10.1/x", "http://aiia.seu.edu.cn/ann", "http://cad.zju.edu.cn/english.html", "http://cs.seu.edu.cn/dsxx/list.htm", "https://dml.fudan.edu.cn", "http://a.org/b#c"]
+    own = ["http://a.org", "http://www.nju.edu.cn/ann", "http://cs.seu.edu.cn/ann", "http://x.edu/list.htm"]
+    df = spark.createDataFrame([(u,) for u in shared + own], "u string").select("u", homepages.is_shared_url(F.col("u")).alias("s"))
+    assert {r.u for r in df.collect() if r.s} == set(shared)
+    keys = spark.createDataFrame([("http://A.org/x/", "http://a.org/x"), ("http://a.org/#me", "http://doi.org/1"), (None, "http://b.org/?q")], "h string, p string").select(homepages.directory_keys(F.col("h"), F.col("p")).alias("k"))
+    assert [r.k for r in keys.collect()] == [["url:http://a.org/x"], [], ["url:http://b.org?q"]]
