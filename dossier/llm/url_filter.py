@@ -4,6 +4,8 @@ The literal tokens that every URL a pattern matches must hold as whole tokens ar
 the pattern itself.  The rule is filed under whichever of them is rarest among all URLs of
 the table, so the tokens of a URL fetch the few rules that could match, and only those run
 their regular expression.  A pattern without such a token is a candidate of every URL.
+
+A few rules are carried in the plan; many are a table that meets the tokens of the distinct URLs in a join.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import fresh
+from dossier.llm.common import bounded_broadcast, cut, fresh
 
 # Host rules in the order given, (action, host, path).
 HOST_RULES = (
@@ -157,7 +159,7 @@ PATTERN_RULES = (
     PatternRule("block", r"(?i)/redirect\?.*url=https?%3a"),
     PatternRule("allow", r"(?i)^https?://([^/?#]*\.)?spam-farm\.[^/?#]+/(about|privacy)([/?#]|$)"),
 )
-#: Most rules that are carried inside the plan as literals.
+#: Most rules that are carried inside the plan as literals; more are a table.
 MAX_RULES = 2_000
 
 TOKEN = r"[^a-z0-9]+"
@@ -230,6 +232,25 @@ def _fires(action: str, text: Column) -> Callable[[Column], Column]:
     return lambda rule: (rule["action"] == action) & F.rlike(text, rule["pattern"])
 
 
+def hits_by_table(pages: DataFrame, rules: Sequence[PatternRule], url_col: str = "url") -> DataFrame:
+    """``(hit_url, block, allow)``: the distinct URLs for which some rule with a token fires, and of which actions.
+
+    Tokens of URLs meet a table of all rules' tokens to be counted, then each rule under its rarest one, and only what
+    meets runs a regular expression.  Ties go to the longer token, then by its letters, as in ``rare_tokens``.
+    """
+    spark = pages.sparkSession
+    named = [(i, r.action, r.pattern, t) for i, r in enumerate(rules) for t in r.tokens]
+    filed = cut(spark.createDataFrame(named, "rule long, action string, pattern string, token string"))
+    urls = pages.select(F.coalesce(F.col(url_col), F.lit("")).alias("hit_url")).distinct()
+    held = cut(urls.select("hit_url", F.explode(tokens(F.col("hit_url"))).alias("token")).join(bounded_broadcast(cut(filed.select("token").distinct())), "token"))
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("token")).alias("l"), "token")
+    rarest = filed.join(counts, "token", "left").groupBy("rule", "action", "pattern").agg(F.min(rank).alias("r"))
+    index = bounded_broadcast(cut(rarest.select("action", "pattern", F.col("r.token").alias("token"))))
+    fired = held.join(index, "token").filter(F.rlike("hit_url", F.col("pattern")))
+    return fired.groupBy("hit_url").agg(F.max(F.col("action") == "block").alias("block"), F.max(F.col("action") == "allow").alias("allow"))
+
+
 def judge(
     pages: DataFrame,
     url_col: str = "url",
@@ -240,9 +261,9 @@ def judge(
 
     The verdict is the host rule's, else that of the pattern rules.  A null URL, or one
     without ``://``, has an empty host and path, no rule, and is judged by its tokens
-    alone.  Rows map one to one, repeated ones too; no pages give no rows.  Beyond
-    ``MAX_RULES`` pattern rules they are applied in slices of that size, one after the
-    other over the same row.
+    alone.  Rows map one to one, repeated ones too; no pages give no rows.  More than ``MAX_RULES``
+    pattern rules with a token are looked up by a join (``hits_by_table``); those without one must run on every URL
+    and are carried in slices of that size.
     """
     url = F.col(url_col)
     host, path, rule = (fresh(pages, name) for name in ("host_", "path_", "rule_"))
@@ -251,9 +272,17 @@ def judge(
     text = F.coalesce(url, F.lit(""))
     hit = {"block": F.lit(False), "allow": F.lit(False)}
     own = []
-    for at in range(0, len(pattern_rules), MAX_RULES):
-        part = list(pattern_rules[at : at + MAX_RULES])
-        own.append(fresh(pages, f"rules_{at}_"))
+    carried = list(pattern_rules)
+    if len(pattern_rules) > MAX_RULES:
+        filed = [r for r in pattern_rules if r.tokens]
+        carried = [r for r in pattern_rules if not r.tokens]
+        names = {c: fresh(out, f"{c}_hit_") for c in ("hit_url", *hit)}
+        found = hits_by_table(pages, filed, url_col).withColumnsRenamed(names)
+        out = out.join(found, text == F.col(names["hit_url"]), "left")
+        hit = {action: F.coalesce(F.col(names[action]), F.lit(False)) for action in hit}
+    for at in range(0, len(carried), MAX_RULES):
+        part = carried[at : at + MAX_RULES]
+        own.append(fresh(out, f"rules_{at}_"))
         out = out.withColumn(own[-1], candidates(url, part, rare_tokens(pages, part, url_col)))
         for action in hit:
             hit[action] = hit[action] | F.exists(own[-1], _fires(action, text))

@@ -235,7 +235,22 @@ def test_urls_like_brute_force(spark, monkeypatch):
         rows = {r.page_id: r for r in url_filter.judge(df).collect()}
         for i, u in enumerate(pages):
             assert (rows[i].host, rows[i].path, rows[i].rule, rows[i].verdict) == slow_url(u, url_filter.PATTERN_RULES), u
-    assert url_filter.judge(spark.createDataFrame([], schema)).count() == 0
+        assert url_filter.judge(df.limit(0)).count() == 0 and rows[0]["keys"] == "k"
+
+
+def test_urls_under_many_rules(spark, monkeypatch):
+    """Rules as a table: hot tokens, rules that share one, rules without one, repeated and null URLs."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    rules = [url_filter.PatternRule(rng.choice(("block", "allow")), rf"(?i)[/.-]{rng.choice(words)}[/.-]{rng.choice(words)}([/?]|$)") for _ in range(120)]
+    rules += [url_filter.PatternRule("block", r"(?i)hot"), url_filter.PatternRule("allow", r"(?i)/com/"), *url_filter.PATTERN_RULES]
+    urls = [f"http://{rng.choice(words)}.xy/{'/'.join(rng.choices([*words, 'com', 'Hot', 'W3'], k=3))}" for _ in range(400)] + [None, "", "http://com.xy/com/"] * 3
+    monkeypatch.setattr(url_filter, "MAX_RULES", 30)
+    df = spark.createDataFrame([(u, "a", "b") for u in urls], "url string, hit_url string, block_hit_ string")
+    got = url_filter.judge(df, pattern_rules=rules)
+    assert got.columns == ["url", "hit_url", "block_hit_", "host", "path", "rule", "verdict"]
+    want = collections.Counter((u, slow_url(u, rules)[3]) for u in urls)
+    assert collections.Counter((r.url, r.verdict) for r in got.collect()) == want and {"block", "allow"} == {v for _, v in want}
 
 
 def test_urls_under_every_choice_of_token(spark, monkeypatch):
