@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import merkle, mixture, spelling
+from dossier.llm import common, merkle, mixture, spelling
 
 DOCS = "doc_id long, source string, text string, lang string, n_chars long"
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -96,6 +96,22 @@ def test_mix_agrees_with_itself(spark):
     assert one == two
 
 
+def test_sources_too_many_to_broadcast(spark, monkeypatch):
+    """The same rows where the tables over sources, and the counts of numbered ranges, are joined by shuffles."""
+    rng = random.Random(4)
+    rows = [(rng.choice([*"abcdefghij", None]), rng.randrange(60), rng.getrandbits(60)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "source string, size long, key long")
+    want = sorted(map(tuple, mixture.mix(df).collect()), key=repr)
+    monkeypatch.setattr(mixture, "small", lambda df, most=0: False)
+    monkeypatch.setattr(common, "small", lambda df, most=0: False)
+    got = mixture.mix(df)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    placed = common.ordinals(df.repartition(6), [F.col("size")], "at", ["source"]).collect()
+    for source in {r.source for r in placed}:
+        own = sorted((r.at, r.size) for r in placed if r.source == source)
+        assert [at for at, _ in own] == list(range(len(own))) and [n for _, n in own] == sorted(n for _, n in own)
+
+
 def slow_root(digests):
     levels = [digests]
     while len(levels[-1]) > 1:
