@@ -118,3 +118,30 @@ def normal_stores(documents: DataFrame, by: Sequence[str], text: str, strict: bo
         silent &= F.size(f"__e.{name}") == 0 if name == "responses" else F.col(f"__e.{name}") == ""
     last = told.filter(~silent).groupBy(*by, "version", "store_updated_at", "row_key").agg(F.max_by("__e", "__key").alias("__e"))
     return last.select(*by, "version", "store_updated_at", "row_key", *[F.col(f"__e.{n}").alias(n) for n in fields])
+
+
+#: What an entry may say, and what is added to it from the person it is about.
+SAID, ABOUT = ("status", "contacted_at", "responses", "interview_at", "note"), ("name", "school", "college", "teacher_url")
+
+
+def patched(store: DataFrame, patches: DataFrame, people: DataFrame) -> DataFrame:
+    """``store`` (``row_key`` once, the fields, and ``updated_at``) after ``patches``: entries changed field by field, deleted where nothing is left.
+
+    ``patches`` has ``row_key``, ``seq``, ``at`` (a text) and the fields that an entry may say, null where one isn't touched; of several the last by
+    ``seq`` counts, each field for itself, and an empty text clears it.  A changed entry gets what ``people`` (``row_key`` once) say of themselves,
+    and ``at`` of its last patch.  Patches for keys that no one has are passed over.  Last values are combined maxima, so a key that
+    is patched often doesn't meet in one task.
+    """
+    named = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in SAID}
+    last = patches.filter("row_key IS NOT NULL").groupBy("row_key").agg(*named.values(), F.max_by("at", "seq").alias("updated_at"))
+    wanted = last.select(F.col("row_key").alias("k_"), *[F.col(c).alias(f"new_{c}") for c in SAID], F.col("updated_at").alias("new_at"))
+    asked = people.select("row_key", *ABOUT).join(wanted, F.col("row_key") == F.col("k_")).drop("k_")
+    held = store.select(F.col("row_key").alias("k_"), *[F.col(c).alias(f"old_{c}") for c in SAID])
+    met = asked.join(held, F.col("row_key") == F.col("k_"), "left")
+    text = lambda c: F.coalesce(f"new_{c}", f"old_{c}", F.lit(""))
+    said = F.coalesce("new_responses", "old_responses", F.array().cast("array<string>"))
+    entry = {"status": status(text("status")), "contacted_at": norm_text(text("contacted_at")), "responses": _distinct(said), "interview_at": minute(text("interview_at")), "note": norm_text(text("note"))}
+    changed = met.select("row_key", *[v.alias(c) for c, v in entry.items()], *[F.coalesce(norm_text(c), F.lit("")).alias(c) for c in ABOUT], F.col("new_at").alias("updated_at"))
+    kept = changed.filter((F.concat("status", "contacted_at", "interview_at", "note") != "") | (F.size("responses") > 0))
+    rest = store.join(asked.select(F.col("row_key").alias("k_")), F.col("row_key") == F.col("k_"), "left_anti")
+    return rest.select(*changed.columns).unionByName(kept)

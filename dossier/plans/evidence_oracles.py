@@ -257,8 +257,26 @@ h AS (SELECT *, regexp_extract(k, '^https?://([^/?#]*)', 1) AS host, rtrim(regex
 g AS (SELECT * FROM h WHERE NOT (rtrim(k, '/') IN {_H.SHARED_URLS} OR {_hosts(_H.PAPER_HOSTS)} OR host = '{_H.SHARED_HOST}' OR ({_hosts(_H.COMMON_HOSTS)} AND (path IN {_H.START_PATHS} OR ends_with(path, '/list.htm'))) OR {_STARTS}))
 SELECT page_id, coalesce(string_agg('url:' || k, ' ' ORDER BY i), '') AS keys FROM pages LEFT JOIN g USING (page_id) GROUP BY page_id"""
 
+def _newest(value: str) -> str:
+    return f"(list({value} ORDER BY doc_id DESC) FILTER ({value} IS NOT NULL))[1]"
+
+
+_OLD = f"{list(made.STATES)}[(doc_id % {len(made.STATES)} + 1)::INT]"
+PATCHED = f"""WITH s AS (SELECT 'k' || doc_id AS row_key, CASE WHEN {_OLD} IN ('已套磁', '先不考虑') THEN {_OLD} ELSE '' END AS status, '2026' AS contacted_at, CASE WHEN doc_id % 2 = 0 THEN '官回' ELSE '' END AS responses,
+    '' AS interview_at, '' AS note, 'old' AS name, 'old' AS school, 'old' AS college, 'old' AS teacher_url, 'before' AS updated_at FROM documents WHERE doc_id % 3 = 0),
+p AS (SELECT 'k' || doc_id // 2 AS row_key, {_newest(f"CASE WHEN doc_id % 4 > 0 THEN {_OLD} END")} AS st, {_newest("CASE WHEN doc_id % 3 = 1 THEN '' END")} AS ca, {_newest("CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '已发|own' END")} AS rs,
+    {_newest("CASE WHEN doc_id % 7 = 0 THEN '2026-01-02T03:04' END")} AS ia, {_newest("CASE WHEN doc_id % 6 = 0 THEN lang END")} AS nt, 't' || max(doc_id) AS ts FROM documents GROUP BY 1),
+m AS (SELECT 'k' || d.doc_id AS row_key, coalesce(st, s.status, '') AS raw, coalesce(ca, s.contacted_at, '') AS contacted_at, coalesce(rs, s.responses, '') AS responses, coalesce(ia, s.interview_at, '') AS interview_at,
+    coalesce(nt, s.note, '') AS note, source AS name, 's' AS school, '' AS college, 'u' AS teacher_url, ts AS updated_at FROM documents d JOIN p ON p.row_key = 'k' || d.doc_id LEFT JOIN s ON s.row_key = p.row_key WHERE d.doc_id % 10 > 0),
+n AS (SELECT row_key, CASE WHEN raw = '不考虑' THEN '先不考虑' WHEN raw IN ('已套磁', '先不考虑') THEN raw ELSE '' END AS status, contacted_at, responses, interview_at, note, name, school, college, teacher_url, updated_at FROM m)
+SELECT * FROM n WHERE concat(status, contacted_at, responses, interview_at, note) <> '' UNION ALL SELECT * FROM s WHERE row_key NOT IN (SELECT row_key FROM m)"""
+
+MATERIALS = """WITH t AS (SELECT source AS who, doc_id, 'T' || doc_id % 60 AS title FROM documents WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 3),
+f AS (SELECT who, list(title ORDER BY doc_id) AS l FROM t GROUP BY 1), e AS (SELECT 'src' || s_suppkey % 15 AS who, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1)
+SELECT who, s_suppkey, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|'), '') AS evidence FROM (SELECT DISTINCT source AS who FROM documents) LEFT JOIN f USING (who) LEFT JOIN e USING (who)"""
+
 ORACLE_SQL = {
     "picked_samples": PICKS, "normal_store_entries": STORES, "author_choices": AUTHORS, "paged_works": PAGED, "paged_reading": READING, "merged_works": MERGED, "homepage_links": HOMEPAGES,
     "joint_affiliations": AFFILIATIONS, "restored_levels": RESTORED, "department_map": DEPARTMENTS, "detail_rows_of_people": DETAILS,
-    "synced_sheets": SHEETS, "person_findings": FINDINGS, "publication_audit": AUDIT, "checked_entries": CHECKED, "directory_identities": IDENTITIES,
+    "synced_sheets": SHEETS, "person_findings": FINDINGS, "publication_audit": AUDIT, "checked_entries": CHECKED, "directory_identities": IDENTITIES, "patched_store": PATCHED, "people_materials": MATERIALS,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import homepages
-from dossier.operators import findings, picking, placement, ranking, restoring, sheets, stores, unions, verification
+from dossier.operators import findings, picking, placement, ranking, restoring, sections, sheets, stores, unions, verification
 from dossier.operators.graph import cut
 from dossier.plans.record_queries import RANK_PROFILE
 from dossier.sources import paging
@@ -295,10 +295,39 @@ def directory_identities(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.array_join(homepages.directory_keys(made, F.col("url")), " ").alias("keys"))
 
 
+def patched_store(spark: SparkSession, d: str) -> DataFrame:
+    """Every third document as an entry of a store, and documents as patches of each other's."""
+    k, docs, empty = F.col("doc_id"), table(spark, d, "documents"), F.array().cast("array<string>")
+    key = lambda n: F.concat(F.lit("k"), n.cast("string"))
+    old = F.get(F.array(*[F.lit(s) for s in STATES]), (k % len(STATES)).cast("int"))
+    store = docs.filter("doc_id % 3 = 0").select(
+        key(k).alias("row_key"), F.when(old.isin("已套磁", "先不考虑"), old).otherwise("").alias("status"), F.lit("2026").alias("contacted_at"), F.when(k % 2 == 0, F.array(F.lit("官回"))).otherwise(empty).alias("responses"),
+        F.lit("").alias("interview_at"), F.lit("").alias("note"), *[F.lit("old").alias(c) for c in stores.ABOUT], F.lit("before").alias("updated_at"),
+    )
+    patches = docs.select(
+        key(F.floor(k / 2).cast("long")).alias("row_key"), k.alias("seq"), F.concat(F.lit("t"), k.cast("string")).alias("at"), F.when(k % 4 > 0, old).alias("status"), F.when(k % 3 == 1, "").alias("contacted_at"),
+        F.when(k % 5 == 0, empty).when(k % 5 == 1, F.array(F.lit("已发"), F.lit(" 已发 "), F.lit("own"))).alias("responses"), F.when(k % 7 == 0, "2026-01-02 03:04:05").alias("interview_at"), F.when(k % 6 == 0, F.col("lang")).alias("note"),
+    )
+    people = docs.filter("doc_id % 10 > 0").select(key(k).alias("row_key"), F.col("source").alias("name"), F.lit("s").alias("school"), F.lit(None).cast("string").alias("college"), F.lit(" u ").alias("teacher_url"))
+    return stores.patched(store, patches, people).withColumn("responses", F.array_join("responses", "|"))
+
+
+def people_materials(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as people with a table's entry, and the first three documents under their name as what is said of them."""
+    docs = table(spark, d, "documents")
+    people = docs.select(F.col("source").alias("who")).distinct()
+    entries = table(spark, d, "supplier").select(F.concat(F.lit("src"), (F.col("s_suppkey") % 15).cast("string")).alias("name"), "s_suppkey", "s_name")
+    found = docs.filter("doc_id % 2 = 0").select(F.col("source").alias("name"), "doc_id")
+    titles = docs.select("doc_id", F.concat(F.lit("T"), (F.col("doc_id") % 60).cast("string")).alias("title"))
+    out = sections.person_materials(people, "who", entries, found, titles, "doc_id")
+    return out.select("who", "entry.s_suppkey", F.array_join("evidence", "|").alias("evidence"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         picked_samples, normal_store_entries, author_choices, paged_works, paged_reading, merged_works, homepage_links, joint_affiliations, restored_levels, department_map, detail_rows_of_people,
-        synced_sheets, person_findings, publication_audit, checked_entries, directory_identities,
+        synced_sheets, person_findings, publication_audit, checked_entries, directory_identities, patched_store,
+        people_materials,
     )
 }

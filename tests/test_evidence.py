@@ -431,3 +431,17 @@ def test_addresses_that_many_share(spark):
     assert {r.u for r in df.collect() if r.s} == set(shared)
     keys = spark.createDataFrame([("http://A.org/x/", "http://a.org/x"), ("http://a.org/#me", "http://doi.org/1"), (None, "http://b.org/?q")], "h string, p string").select(homepages.directory_keys(F.col("h"), F.col("p")).alias("k"))
     assert [r.k for r in keys.collect()] == [["url:http://a.org/x"], [], ["url:http://b.org?q"]]
+
+
+def test_patches_change_and_delete_entries(spark):
+    fields = "row_key string, status string, contacted_at string, responses array<string>, interview_at string, note string"
+    store = spark.createDataFrame([("a", "已套磁", "2026", ["已发"], "", "n", *["old"] * 4, "t0"), ("b", "", "2026", [], "", "", *["old"] * 4, "t0"), ("c", "", "", ["x"], "", "", *["old"] * 4, "t0")], fields + ", name string, school string, college string, teacher_url string, updated_at string")
+    patches = [("a", None, None, None, None, "m", 1, "t1"), ("a", "不考虑", None, None, "2026-01-02 03:04", None, 3, "t3"), ("a", "bogus", None, [" ", "y", "y"], None, None, 2, "t2"), ("b", None, "", None, None, None, 1, "t1"), ("d", None, None, ["z"], None, None, 1, None),
+               ("e", "", None, [], None, " ", 1, "t"), ("nobody", "已套磁", None, None, None, None, 1, "t"), (None, "已套磁", None, None, None, None, 1, "t")]
+    patches = spark.createDataFrame(patches, fields + ", seq int, at string")
+    people = spark.createDataFrame([(k, f" n  {k}", "s", None, "u") for k in ("a", "b", "c", "d", "e")] + [(None, "x", "s", None, "u")], "row_key string, name string, school string, college string, teacher_url string")
+    got = sorted(map(tuple, stores.patched(store, patches, people).collect()))
+    assert got == [
+        ("a", "先不考虑", "2026", ["y"], "2026-01-02T03:04", "m", "n a", "s", "", "u", "t3"), ("c", "", "", ["x"], "", "", *["old"] * 4, "t0"), ("d", "", "", ["z"], "", "", "n d", "s", "", "u", None),
+    ]
+    assert stores.patched(store.limit(0), patches.limit(0), people).count() == 0
