@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from dossier.functions.names import unused
 from dossier.functions.text import YEAR, is_publication, norm_text
-from dossier.operators.graph import cut
 
 # Headings that open and end a list of publications, and those that end a biography.
 OPENING = (
@@ -173,22 +172,24 @@ def mentions(docs: DataFrame, doc_id: str, text: Column, names: DataFrame, name:
     Each place of the runs of Chinese characters in the first ``width`` characters is filed under the two characters
     there, with no more than a name's length behind it; names are filed under their first two.  So
     names meet the places where they may begin, and no text travels.  Names of two characters count only where a
-    word of research stands near: the texts of the documents that have one, and no others, are looked at for that.
+    word of research stands near, up to 12 characters before or behind; such pairs are picked out where the text is read.
     Names of other than 2 to 8 Chinese characters are not looked for; repeated names and rows add nothing.
     """
     known = names.select(F.col(name).alias("name")).filter(F.rlike("name", F.lit(rf"^[一-鿿]{{2,{LONGEST_NAME}}}$"))).distinct()
     head = F.left(F.coalesce(text, F.lit("")), F.lit(width))
-    runs = docs.select(F.col(doc_id).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(head, F.lit("[一-鿿]{2,}"), F.lit(0)))).alias("run"))
-    places = F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.call_function("substring", "run", i, F.lit(LONGEST_NAME)))
+    own = docs.select(F.col(doc_id).alias("id"), head.alias("head"))
+    runs = own.select("id", F.explode(F.array_distinct(F.regexp_extract_all("head", F.lit("[一-鿿]{3,}"), F.lit(0)))).alias("run"))
+    places = F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.call_function("substring", "run", i, F.lit(LONGEST_NAME)))
     pieces = runs.select("id", F.explode(F.array_distinct(places)).alias("piece")).distinct()
-    filed = known.withColumn("gram", F.left("name", F.lit(2)))
-    met = pieces.join(filed, (F.left("piece", F.lit(2)) == F.col("gram")) & F.startswith("piece", "name"))
-    found = cut(met.select("name", "id").distinct())
-    short = found.filter(F.length("name") == 2)
-    read = docs.select(F.col(doc_id).alias("id_"), head.alias("t")).join(short.select(F.col("id").alias("id_")).distinct(), "id_", "left_semi")
-    near = F.concat(F.lit(f"{NEAR_PERSON}.{{0,12}}"), F.col("name"), F.lit("|"), F.col("name"), F.lit(f".{{0,12}}{NEAR_PERSON}"))
-    sure = short.join(read, (F.col("id") == F.col("id_")) & F.rlike("t", near)).select("name", "id").distinct()
-    every = found.filter(F.length("name") > 2).unionAll(sure).withColumnRenamed("id", doc_id)
+    filed = known.filter(F.length("name") > 2).withColumn("gram", F.left("name", F.lit(2)))
+    found = pieces.join(filed, (F.left("piece", F.lit(2)) == F.col("gram")) & F.startswith("piece", "name")).select("name", "id")
+    # Empty matches at each place: what stands there is caught by looking ahead, so pairs may overlap.
+    pair, near = "[一-鿿]{2}", f"{NEAR_PERSON}"
+    behind = F.regexp_extract_all("head", F.lit(f"(?<={near}.{{0,12}})(?=({pair}))"), F.lit(1))
+    before = F.regexp_extract_all("head", F.lit(f"(?=({pair}).{{0,12}}{near})"), F.lit(1))
+    short = own.filter(F.rlike("head", F.lit(near))).select("id", F.explode(F.array_distinct(F.concat(behind, before))).alias("pair"))
+    sure = short.join(known.filter(F.length("name") == 2), F.col("pair") == F.col("name")).select("name", "id")
+    every = found.unionAll(sure).distinct().withColumnRenamed("id", doc_id)
     order = Window.partitionBy("name").orderBy(doc_id)
     return every.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 

@@ -445,3 +445,13 @@ def test_patches_change_and_delete_entries(spark):
         ("a", "先不考虑", "2026", ["y"], "2026-01-02T03:04", "m", "n a", "s", "", "u", "t3"), ("c", "", "", ["x"], "", "", *["old"] * 4, "t0"), ("d", "", "", ["z"], "", "", "n d", "s", "", "u", None),
     ]
     assert stores.patched(store.limit(0), patches.limit(0), people).count() == 0
+
+
+def test_short_names_stand_near_a_word_of_research(spark):
+    rng = random.Random(14)
+    people = [a + b for a in "李王张" for b in "明李教"]
+    texts = ["".join(rng.choices(["李", "王", "张", "明", "教", "教授", "研究员", "博士", "x", "，", "\n", "yyyyyyyyyy"], k=rng.randrange(1, 25))) for _ in range(300)]
+    near = sections.NEAR_PERSON
+    want = {(n, i) for i, t in enumerate(texts) for n in people if re.search(f"{near}.{{0,12}}{n}|{n}.{{0,12}}{near}", t)}
+    got = sections.mentions(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", F.col("t"), spark.createDataFrame([(p,) for p in people], "name string"), "name", most=1_000)
+    assert {(r.name, r.id) for r in got.collect()} == want and len(want) > 200
