@@ -79,6 +79,8 @@ def placed(people: DataFrame, by: str, joint: Joint, overrides: DataFrame | None
         text = lambda c: norm_text(F.col(c))
         given = overrides.select("seq", text("name").alias("n_"), normalize_url(F.col("url")).alias("u_"), "targets", text("status").alias("s_"), text("evidence").alias("e_"), F.array_join("sources", "; ").alias("f_"))
         given = given.withColumn("target", F.explode("targets")).drop("targets").filter(F.col("target").isin(*joint.colleges))
+        # Of overrides that fit the same people only the last counts, so people meet one for each target.
+        given = given.groupBy("n_", "u_", "target").agg(F.max_by(F.struct("s_", "e_", "f_"), "seq").alias("g"), F.max("seq").alias("seq")).select("n_", "u_", "target", "g.*", "seq")
         by_page = who.filter("url <> ''").join(given.filter("u_ <> ''"), (F.col("url") == F.col("u_")) & ((F.col("n_") == "") | (F.col("n_") == F.col("name"))))
         by_name = who.join(given.filter("u_ = '' AND n_ <> ''"), F.col("name") == F.col("n_"))
         hand = by_page.unionByName(by_name).select(
