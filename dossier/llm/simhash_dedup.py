@@ -21,6 +21,9 @@ so the output never holds all pairs of a group and yet no connection is lost.  T
 from which a place counts as dense changes no result: a star's edges are links, as its ends
 differ in 2 bits at most, and every pair of an anchor is still compared, but for pairs of one
 group, which are connected already.  So the components are those of all links, with any bound.
+
+Joins.  All are merged by hint: both sides grow with the corpus, and Spark takes the size of exploded
+rows for that of the table they come from, so it would broadcast the 35 rows of each fingerprint.
 """
 
 from __future__ import annotations
@@ -122,7 +125,7 @@ def _dense_stars(prints: DataFrame) -> DataFrame:
     """Star edges between fingerprints of dense places that share a point at distance 1 or less."""
     homes = _anchor_rows(prints.select("fp"), replicas=False)
     crowded = homes.groupBy("t", "anchor").count().filter(F.col("count") >= DENSE)
-    dense = homes.join(crowded, ["t", "anchor"], "left_semi").select("fp").distinct()
+    dense = homes.join(crowded.hint("merge"), ["t", "anchor"], "left_semi").select("fp").distinct()
     point = F.explode(
         F.concat(
             F.array(F.col("fp")),
@@ -145,14 +148,14 @@ def links(prints: DataFrame) -> DataFrame:
     stars = cut(_dense_stars(prints))
     grouped = components(stars)
     known = cut(
-        prints.select("fp").join(grouped.withColumnRenamed("node", "fp"), "fp", "left")
+        prints.select("fp").join(grouped.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
         .select("fp", F.coalesce("root", "fp").alias("grp"))
     )
     home = _anchor_rows(known, replicas=False).select("t", "anchor", F.col("fp").alias("a"), F.col("grp").alias("ga"))
     all_near = _anchor_rows(known, replicas=True).select("t", "anchor", F.col("fp").alias("b"), F.col("grp").alias("gb"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     met = home.alias("h").join(
-        all_near.alias("n"),
+        all_near.alias("n").hint("merge"),
         (F.col("h.t") == F.col("n.t"))
         & (F.col("h.anchor") == F.col("n.anchor"))
         & (F.col("ga") != F.col("gb"))
@@ -174,10 +177,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(fingerprints(docs, id_col, text_col))
     firsts = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(firsts.select("fp"))).withColumnRenamed("node", "fp")
-    placed = cut(firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    placed = cut(firsts.join(roots.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    named = placed.join(names.hint("merge"), "root").select("fp", "component_id")
+    return rows.join(named.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -189,4 +192,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     marked = near_duplicates(docs)
     gone = marked.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti")

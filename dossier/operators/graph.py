@@ -64,13 +64,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them (edges hold a > b)."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(least.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -85,8 +85,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     Alternating large-star and small-star steps (Kiveris et al. 2014), which need a
     number of rounds in the logarithm of the graph's size.  Every step is a map-side
     combined minimum and an equi-join that adaptive execution can split, so a hub with
-    a third of all edges does not meet in one task.  Each round ends in a table in the
-    shared folder.  Roots appear as nodes; loops and repeated edges are ignored; an
+    a third of all edges does not meet in one task.  The joins are merged by hint: a side
+    grows with the graph, and broadcast it would fill the driver.  Each round ends in a
+    table in the shared folder.  Roots appear as nodes; loops and repeated edges are ignored; an
     edge with a null end is dropped; an empty input gives an empty result.
     """
     a, b = F.col(left), F.col(right)
