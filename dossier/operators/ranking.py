@@ -118,7 +118,8 @@ def rank(people: DataFrame, profile: Profile, columns: Columns = Columns()) -> D
     ``matched_direction_groups``, ``reasons``, ``warnings`` and a sub-score for each source.
     Besides texts it reads ``dblp_confidence``, ``publication_confidence``,
     ``publication_status``, ``arxiv_confidence``, ``web_status``, ``web_search_confidence``
-    and ``web_search_status``.  One projection, without a join or shuffle.
+    and ``web_search_status``.  Projections only, without a join or shuffle; what is read
+    several times is worked out once, as a column of its own.
     """
 
     def col(name: str) -> Column:
@@ -127,19 +128,6 @@ def rank(people: DataFrame, profile: Profile, columns: Columns = Columns()) -> D
     def joined(names: tuple[str, ...]) -> Column:
         return F.concat_ws(" ", *[col(n) for n in names])
 
-    bio = col(columns.bio)
-    explicit = F.concat_ws(" ", joined(columns.explicit), cue_excerpts(bio))
-    official = F.concat_ws(" ", joined(columns.explicit), bio, joined(columns.institutes))
-    out = people.withColumns(
-        {
-            "__core": F.array_sort(matched_terms(F.lower(explicit), profile.core)),
-            "__excluded": F.array_sort(matched_terms(F.lower(official), profile.excluded)),
-            "__official": score(official, profile),
-            "__bonus": institute_bonus(joined(columns.institutes), profile),
-            **{f"__{s}": score(joined(columns.text_of(s)), profile, 8 if s == "publication" else 4) for s in SOURCES},
-        }
-    )
-    anchored = F.size("__core") > 0
     low = lambda name: F.lower(col(name))
     trust = {
         "dblp": low("dblp_confidence") == "高",
@@ -149,6 +137,21 @@ def rank(people: DataFrame, profile: Profile, columns: Columns = Columns()) -> D
         "web": col("web_status") == "已抓取",
         "web_search": F.startswith(col("web_search_status"), F.lit("人工确认")) & col("web_search_confidence").isin("高", "中"),
     }
+    given = people.withColumns({"__bio": col(columns.bio), "__explicit": joined(columns.explicit), "__institutes": joined(columns.institutes)})
+    explicit = F.concat_ws(" ", "__explicit", cue_excerpts(F.col("__bio")))
+    official = F.concat_ws(" ", "__explicit", "__bio", "__institutes")
+    out = given.withColumns(
+        {
+            "__core": F.array_sort(matched_terms(F.lower(explicit), profile.core)),
+            "__excluded": F.array_sort(matched_terms(F.lower(official), profile.excluded)),
+            "__official": score(official, profile),
+            "__bonus": institute_bonus(F.col("__institutes"), profile),
+            **{f"__{s}": score(joined(columns.text_of(s)), profile, 8 if s == "publication" else 4) for s in SOURCES},
+            **{f"__trust_{s}": trust[s] for s in SOURCES},
+        }
+    )
+    anchored = F.size("__core") > 0
+    trust = {s: F.col(f"__trust_{s}") for s in SOURCES}
     bonus = F.when(anchored, F.col("__bonus.bonus")).otherwise(0)
     out = out.withColumn("score_official", F.least(F.col("__official.score") + bonus, F.lit(OFFICIAL_CAP)))
     out = out.withColumns({f"score_{s}": source_score(F.col(f"__{s}.score"), s, anchored & trust[s]) for s in SOURCES})
@@ -192,7 +195,7 @@ def rank(people: DataFrame, profile: Profile, columns: Columns = Columns()) -> D
             "reasons": F.array_distinct(F.array_compact(F.array(first, *counted, last))),
             "warnings": F.array_distinct(F.array_compact(F.array(warned, *held_back))),
         }
-    ).drop("__core", "__excluded", "__official", "__bonus", "__d", *[f"__{s}" for s in SOURCES])
+    ).drop("__core", "__excluded", "__official", "__bonus", "__d", "__bio", "__explicit", "__institutes", *[f"__{s}" for s in SOURCES], *[f"__trust_{s}" for s in SOURCES])
 
 
 def in_order(ranked: DataFrame, tie: str) -> DataFrame:

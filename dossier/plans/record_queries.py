@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dossier.operators import candidates, curation, dashboard, evidence, manifest, merging, ranking, sections, seed, validation
 from dossier.plans.queries import PROFILE
 from dossier.sources import extractor, sinks
-from dossier.sources.tables import table
+from dossier.sources.tables import spread, table
 
 RANK_PROFILE = replace(PROFILE, excluded=("cold",), bonus=(("brand#1", 4), ("brand#12", 8), ("brand#3", 6)))
 RUN = manifest.Run("rank", "s/c", "demo", "p1", 3, "v2", ("2024", "2025"), {"a": "b"})
@@ -26,7 +26,7 @@ def _when(*pairs: tuple[Column, object], other: object) -> Column:
 def ranked_people(spark: SparkSession, d: str) -> DataFrame:
     """Parts as people with evidence from all six sources."""
     k, name, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_type")
-    people = table(spark, d, "part").select(
+    people = spread(table(spark, d, "part")).select(
         "p_partkey", _when((k % 4 == 0, ""), other=name).alias("direction"),
         _when((k % 3 == 0, F.concat(F.lit("研究方向 "), name, F.lit(". "), kind)), other=kind).alias("bio"), F.col("p_brand").alias("department"),
         kind.alias("dblp_keywords"), name.alias("dblp_titles"), _when((k % 2 == 0, "高"), other="低").alias("dblp_confidence"),

@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` with its rows dealt evenly over several tasks a core.
+
+    For rows that are small to read and long to work on: a file of some MB is read by one task,
+    however many rows it holds.  A number of partitions that is named isn't lowered at run time.
+    """
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def first_table(spark: SparkSession, root: str, names: Sequence[str], schema: StructType) -> DataFrame:
     """The first of several names under which a table exists; an empty one if none does."""
     for name in names:
