@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.names import unused
 from dossier.functions.text import norm_text
+from dossier.operators.graph import cut
 from dossier.operators.ranking import Columns, rank
 from dossier.operators.scoring import Profile
 
@@ -69,9 +70,10 @@ def rank_restored(ranked: DataFrame, previous: DataFrame, key: str, profile: Pro
     """``ranked`` rows with the earlier output's search evidence, and ranked again where that changed anything.
 
     Rows whose evidence stays keep their results as they are, so only changed rows pay for ranking;
-    ``level_before`` keeps the level that a row came with.  One join on the key, and no other shuffle.
+    ``level_before`` keeps the level that a row came with.  One join on the key, and no other shuffle; its rows
+    are written, as both kinds are read from them and would else be ranked twice.
     """
-    rows = restored(ranked.withColumn("level_before", F.col("level")), previous, key)
+    rows = cut(restored(ranked.withColumn("level_before", F.col("level")), previous, key))
     scores = [c for c in rows.columns if c.startswith("score_")]
     again = rank(rows.filter("changed").drop(*RESULTS, *scores), profile, columns)
     return rows.filter("NOT changed").unionByName(again.select(*rows.columns))

@@ -10,7 +10,7 @@ from dossier.operators import findings, picking, placement, ranking, restoring,
 from dossier.operators.graph import cut
 from dossier.plans.record_queries import RANK_PROFILE
 from dossier.sources import paging
-from dossier.sources.tables import table
+from dossier.sources.tables import spread, table
 
 SEED = "evidence-2026"
 #: Categories of documents for the drawn samples, and for those held out.
@@ -195,7 +195,7 @@ def joint_affiliations(spark: SparkSession, d: str) -> DataFrame:
 def restored_levels(spark: SparkSession, d: str) -> DataFrame:
     """Parts ranked without confirmed search results, which an earlier output has for every third; ranked again where they matter."""
     k = F.col("p_partkey")
-    now = table(spark, d, "part").select(
+    now = spread(table(spark, d, "part")).select(
         "p_partkey", F.when(k % 4 == 0, "").otherwise(F.col("p_name")).alias("direction"), F.when(k % 3 == 0, F.concat(F.lit("研究方向 "), "p_name", F.lit(". "), "p_type")).otherwise(F.col("p_type")).alias("bio"), F.col("p_brand").alias("department"),
         F.col("p_type").alias("dblp_keywords"), F.col("p_name").alias("dblp_titles"), F.when(k % 2 == 0, "高").otherwise("低").alias("dblp_confidence"),
     )
