@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.identity import normalize_url
-from dossier.functions.text import norm_text
+from dossier.functions.text import let, norm_text
+from dossier.operators.graph import cut
 
 # Words of recruiting, of a post, what breaks off the way to one, what joins colleges in a list, and how statuses are called.
 RECRUITS, RECRUITED = "招收", "招收|招生|报考"
@@ -42,6 +44,11 @@ def snippet(text: Column, needle: str, around: int = SHOWN) -> Column:
     return F.when(at > 0, norm_text(F.substring(text, first, at - first + len(needle) + around))).otherwise("")
 
 
+def _holds(text: Column, words: str) -> Column:
+    """Whether a text has one of the words of a pattern that only lists them."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words.split("|")])
+
+
 def profile_evidence(text: Column, joint: Joint, target: str) -> Column:
     """``struct<step, evidence>`` for one target, null without any; the first step that applies decides.
 
@@ -49,12 +56,14 @@ def profile_evidence(text: Column, joint: Joint, target: str) -> Column:
     """
     name = joint.colleges[target]
     q = re.escape(name)
+    # Plain searches for what the first three steps need go before their patterns.
+    named, recruits, post = F.contains(text, F.lit(name)), _holds(text, RECRUITED), _holds(text, POSTS)
     listed = "|".join(map(re.escape, [*joint.colleges.values(), *joint.short]))
     lists = F.regexp_extract_all(text, F.lit(f"{re.escape(joint.school)}(?:{listed}|[{JOINS}]){{2,100}}(?:{POSTS})"), F.lit(0))
     steps = [
-        (F.rlike(text, F.lit(f"{RECRUITS}.{{0,100}}{q}|{q}.{{0,100}}(?:{RECRUITED})")), name),
-        (F.rlike(text, F.lit(f"{q}(?:(?!{BREAKS}).){{0,40}}(?:{POSTS})")), name),
-        (F.exists(lists, lambda found: F.contains(found, F.lit(name))), name),
+        (named & recruits & F.rlike(text, F.lit(f"{RECRUITS}.{{0,100}}{q}|{q}.{{0,100}}(?:{RECRUITED})")), name),
+        (named & post & F.rlike(text, F.lit(f"{q}(?:(?!{BREAKS}).){{0,40}}(?:{POSTS})")), name),
+        (named & post & F.exists(lists, lambda found: F.contains(found, F.lit(name))), name),
         (F.contains(text, F.lit(joint.merged)) if joint.merged and target in joint.merged_targets else F.lit(False), joint.merged),
     ]
     return F.coalesce(*[F.when(holds, F.struct(F.lit(i).alias("step"), snippet(text, needle).alias("evidence"))) for i, (holds, needle) in enumerate(steps, 1)])
@@ -72,7 +81,11 @@ def placed(people: DataFrame, by: str, joint: Joint, overrides: DataFrame | None
     who = people.select(by, norm_text("name").alias("name"), normalize_url(F.col("url")).alias("url"), norm_text("url").alias("page"), norm_text("department").alias("department"), norm_text("profile").alias("profile"))
     stated = F.when(F.col("department").isin(*joint.departments), F.struct(F.lit(joint.home).alias("target"), F.lit("department").alias("kind"), F.lit(0).alias("step"), F.col("department").alias("evidence")))
     found = [profile_evidence(F.col("profile"), joint, t) for t in joint.colleges]
-    told = [F.when(e.isNotNull(), F.struct(F.lit(t).alias("target"), F.lit("profile").alias("kind"), e["step"].alias("step"), e["evidence"].alias("evidence"))) for t, e in zip(joint.colleges, found, strict=True)]
+
+    def said(target: str) -> Callable[[Column], Column]:
+        return lambda e: F.when(e.isNotNull(), F.struct(F.lit(target).alias("target"), F.lit("profile").alias("kind"), e["step"].alias("step"), e["evidence"].alias("evidence")))
+
+    told = [let(e, said(t)) for t, e in zip(joint.colleges, found, strict=True)]
     rows = who.select(by, "page", F.inline(F.array_compact(F.array(stated, *told))))
     rows = rows.select(by, "target", F.lit(CONFIRMED).alias("status"), "kind", "step", "evidence", F.col("page").alias("source"), F.lit(0).cast("long").alias("seq"))
     if overrides is not None:
@@ -88,7 +101,8 @@ def placed(people: DataFrame, by: str, joint: Joint, overrides: DataFrame | None
             F.col("seq").cast("long").alias("seq"),
         )
         rows = rows.unionByName(hand)
-    last = rows.groupBy(by, "target").agg(F.max_by(F.struct("status", "kind", "step", "evidence", "source"), F.struct("step", "seq")).alias("a")).select(by, "target", "a.*")
+    # Written, as it is read twice: for what it says and for who is left.
+    last = cut(rows.groupBy(by, "target").agg(F.max_by(F.struct("status", "kind", "step", "evidence", "source"), F.struct("step", "seq")).alias("a")).select(by, "target", "a.*"))
     settled = last.select(F.col(by).alias("by_")).distinct()
     left = who.join(settled, F.col(by).eqNullSafe(F.col("by_")), "left_anti")
     waiting = left.select(by, F.lit(joint.home).alias("target"), F.lit(PENDING).alias("status"), F.lit("directory").alias("kind"), F.lit(6).alias("step"), F.lit("").alias("evidence"), F.col("page").alias("source"))
