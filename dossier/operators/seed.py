@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.text import norm_text
+from dossier.functions.text import let, norm_text
+from dossier.operators.graph import cut
 
 ORCID_PREFIX = "https://orcid.org/"
 # Fixed value: the form of a profile's id.
@@ -72,16 +73,20 @@ def affiliations(
     """
     target, departments = home
     stated = F.when(norm_text(department).isin(*departments), F.struct(F.lit(target).alias("target"), F.lit(1).alias("rank"), F.lit("department").alias("method")))
-    own = norm_text(text)
-    found = [
-        F.when(F.rlike(own, F.lit("|".join(f"(?:{p})" for p in patterns))), F.struct(F.lit(t).alias("target"), F.lit(2).alias("rank"), F.lit("profile").alias("method")))
-        for t, patterns in rules.items()
-    ]
-    rows = people.select(id_col, F.explode(F.array_compact(F.array(stated, *found))).alias("a")).select(id_col, "a.*", F.lit("confirmed").alias("status"))
+
+    def found(own: Column) -> list[Column]:
+        return [
+            F.when(F.rlike(own, F.lit("|".join(f"(?:{p})" for p in patterns))), F.struct(F.lit(t).alias("target"), F.lit(2).alias("rank"), F.lit("profile").alias("method")))
+            for t, patterns in rules.items()
+        ]
+
+    given = let(norm_text(text), lambda own: F.array_compact(F.array(stated, *found(own))))
+    rows = people.select(id_col, F.explode(given).alias("a")).select(id_col, "a.*", F.lit("confirmed").alias("status"))
     if overrides is not None:
         rows = rows.unionByName(overrides.select(id_col, "target", F.lit(3).alias("rank"), F.lit("override").alias("method"), first_given(F.col("status"), F.lit("reviewed")).alias("status")))
     best = rows.groupBy(id_col, "target").agg(F.max(F.struct("rank", "method", "status")).alias("b"))
-    told = best.select(id_col, "target", "b.status", "b.method")
+    # Written, as it is read twice: for what it says and for who is left.
+    told = cut(best.select(id_col, "target", "b.status", "b.method"))
     left = people.select(id_col).join(told.select(id_col).distinct(), id_col, "left_anti")
     return told.unionByName(left.select(id_col, F.lit(target).alias("target"), F.lit("pending").alias("status"), F.lit("directory").alias("method")))
 
