@@ -14,6 +14,9 @@ from dossier.operators.graph import ship
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels")
 
+#: Pages that are parsed before their results leave a Python worker; Spark hands it batches of 10,000.
+PAGES = 128
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -125,12 +128,13 @@ def parse_html(html: Column) -> Column:
     @F.pandas_udf("text string, links array<struct<href string, text string>>")
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in pages:
-            texts, links = [], []
-            for page in batch:
-                parser = _Page()
-                parser.feed(page or "")
-                texts.append(" ".join(" ".join([*parser.metas, *parser.text]).split()))
-                links.append([{"href": h, "text": " ".join("".join(t).split())} for h, t in parser.links])
-            yield pd.DataFrame({"text": texts, "links": links})
+            for at in range(0, len(batch), PAGES):
+                texts, links = [], []
+                for page in batch.iloc[at : at + PAGES]:
+                    parser = _Page()
+                    parser.feed(page or "")
+                    texts.append(" ".join(" ".join([*parser.metas, *parser.text]).split()))
+                    links.append([{"href": h, "text": " ".join("".join(t).split())} for h, t in parser.links])
+                yield pd.DataFrame({"text": texts, "links": links})
 
     return run(html)
