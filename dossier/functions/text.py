@@ -21,7 +21,7 @@ UNEVEN = rf"(?=[^!-~])(?: {SPACE}|(?! ){SPACE})"
 DOI = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"
 YEAR = r"(?<!\d)(?:19|20)\d{2}(?!\d)"
 ARXIV = r"(?i)\barxiv\s*:?\s*\d{4}\.\d{4,5}(?:v\d+)?\b"
-NUMBERED = r"(?=(?<!\S)\d{1,2}[、.)）]\s+)"
+NUMBERED = r"(?=\d)(?<!\S)(?=\d{1,2}[、.)）]\s+)"
 SIGNAL = (
     r"(?i)(?:journal|proceedings|conference|transactions|letters|annals|biometrika|econometrica|statistica|springer"
     r"|wiley|elsevier|siam|ieee|acm|accepted|forthcoming|in\s+press|to\s+appear|submitted|preprint|volume"
@@ -66,13 +66,13 @@ def collapse(value: Column | str) -> Column:
 
 def norm_text(value: Column | str) -> Column:
     """``collapse``, and the string nan is missing."""
-    return F.when(F.lower(_col(value)) == "nan", "").otherwise(collapse(value))
+    return F.when(F.lower(F.left(_col(value), F.lit(4))) == "nan", "").otherwise(collapse(value))
 
 
 def norm_evidence(value: Column | str) -> Column:
     """``collapse`` with the wider set of missing values that publication data uses."""
     raw = F.coalesce(_col(value), F.lit(""))
-    return F.when(F.lower(F.trim(raw)).isin(*MISSING), "").otherwise(collapse(raw))
+    return F.when(F.lower(F.left(F.trim(raw), F.lit(5))).isin(*MISSING), "").otherwise(collapse(raw))
 
 
 def has_cjk(value: Column | str) -> Column:
@@ -142,7 +142,8 @@ def first_year(value: Column | str) -> Column:
 def split_entries(value: Column | str) -> Column:
     """Publication entries of a text: its lines, cut again before numbers like ``2.``."""
     lines = F.filter(F.transform(F.split(F.coalesce(_col(value), F.lit("")), r"\r\n|[\n\r]"), collapse), lambda v: v != "")
-    parts = F.flatten(F.transform(lines, lambda v: F.transform(F.split(v, NUMBERED), collapse)))
+    # Lines are collapsed, so their parts have blanks too many only at the ends.
+    parts = F.flatten(F.transform(lines, lambda v: F.transform(F.split(v, NUMBERED), lambda x: F.trim(x))))
     return F.filter(parts, lambda v: v != "")
 
 
@@ -153,11 +154,13 @@ def is_publication(value: Column | str) -> Column:
         def has(pattern: str) -> Column:
             return F.rlike(text, F.lit(pattern))
 
-        identified = has(DOI) | has(ARXIV)
+        # Plain searches for what a pattern needs go before it.
+        identified = (F.contains(text, F.lit("10.")) & has(DOI)) | (F.contains(F.lower(text), F.lit("arxiv")) & has(ARXIV))
+        dated = (F.contains(text, F.lit("19")) | F.contains(text, F.lit("20"))) & has(YEAR)
         latin = F.size(F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z'-]{2,}"), F.lit(0))) >= 4
         quoted = F.contains(text, F.lit("《")) & F.contains(text, F.lit("》"))
         # Nearly all lines lack a year, so that is asked first.
-        plain = has(YEAR) & ~(has(CAREER) | has(PROJECT) | has(AWARD)) & (has(SIGNAL) | quoted | (latin & has(r"[.,;:()]")))
+        plain = dated & ~(has(CAREER) | has(PROJECT) | has(AWARD)) & (has(SIGNAL) | quoted | (latin & has(r"[.,;:()]")))
         return (F.length(text) >= 12) & (plain | identified)
 
     return let(norm_evidence(value), judge)
