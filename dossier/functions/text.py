@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -90,8 +91,14 @@ def normalized_name(value: Column | str) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _compatible(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
+def _title_key(values: pd.Series) -> pd.Series:
+    marks, kept = re.compile(TITLE_MARKS, re.ASCII), re.compile("[a-z0-9\u4e00-\u9fff]+")
+
+    def key(value: str) -> str:
+        text = value.lower() if value.isascii() else unicodedata.normalize("NFKC", value).casefold()
+        return "".join(kept.findall(marks.sub(r"\1", text) if "\\" in text else text))
+
+    return values.map(key, na_action="ignore")
 
 
 def normalized_title(value: Column | str, ascii_only: bool = False) -> Column:
@@ -101,8 +108,9 @@ def normalized_title(value: Column | str, ascii_only: bool = False) -> Column:
     doesn't need it and keeps the expression on the JVM.
     """
     text = norm_evidence(value)
-    text = F.lower(text) if ascii_only else _compatible(text)
-    text = F.regexp_replace(text, TITLE_MARKS, "$1")
+    if not ascii_only:
+        return _title_key(text)
+    text = F.regexp_replace(F.lower(text), TITLE_MARKS, "$1")
     return F.regexp_replace(text, r"[^a-z0-9\u4e00-\u9fff]", "")
 
 
@@ -126,7 +134,8 @@ def author_key(value: Column | str) -> Column:
 
 def emails(value: Column | str) -> Column:
     """Distinct lower-case addresses in order."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(norm_text(value)), F.lit(EMAIL), F.lit(0))))
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(norm_text(value)), F.lit(EMAIL), F.lit(0))))
+    return F.when(F.coalesce(F.contains(_col(value), F.lit("@")), F.lit(False)), found).otherwise(F.array().cast("array<string>"))
 
 
 def years(value: Column | str) -> Column:

@@ -6,11 +6,12 @@ import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
+from heapq import heappop, heappush
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.names import unused
@@ -21,10 +22,18 @@ from dossier.operators.graph import components, cut, ship
 PRIORITY = {"official": 4, "openalex": 3, "zbmath": 2, "arxiv": 1}
 RATIO = 0.94
 LEAST_TITLE = 12
-#: Lengths of letter runs, and so many counters, by which titles that can't be alike are told apart;
-#: then the runs of one length themselves.
-COUNTERS = ((1, 64), (2, 256), (4, 1024))
-RUN = 6
+HUNDREDTHS = round(100 * RATIO)
+#: By the least length of a title: runs of q letters, of which the least hash of w in a row, a window, is a mark.  A title whose
+#: matches must hold windows is looked for by its marks.
+LEVELS = ((200, 11, 4), (600, 14, 10), (2_400, 16, 15), (4_000, 18, 23))
+#: From which length of the second key ``SequenceMatcher`` leaves out frequent letters.
+AUTOJUNK = 200
+#: Lengths of letter runs by which titles that can't be alike are told apart, and counters of letters.
+RUNS = (2, 4, 6)
+LETTERS = 40
+COUNTS = [f"c{i}" for i in range(LETTERS)]
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Words of a title under which it is looked for.
 RUN_WORDS = 3
 
@@ -41,6 +50,23 @@ def exact_works(rows: DataFrame, key: Column, order: Column, measures: dict[str,
     return rows.groupBy(key.alias("work_key")).agg(F.min(order).alias("first_record"), *[m.alias(n) for n, m in measures.items()])
 
 
+def alike_titles(a: str, b: str) -> bool:
+    """Whether ``SequenceMatcher`` gives two titles a ratio of ``RATIO``: its blocks, the largest places first, until that is settled."""
+    matcher, least = SequenceMatcher(None, a, b), _least(len(a) + len(b))
+    matched, left = 0, min(len(a), len(b))
+    places = [(-left, 0, len(a), 0, len(b))]
+    while places and matched < least <= matched + left:
+        size, alo, ahi, blo, bhi = heappop(places)
+        left += size
+        i, j, k = matcher.find_longest_match(alo, ahi, blo, bhi)
+        matched += k
+        for place in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)) if k else ():
+            if (size := min(place[1] - place[0], place[3] - place[2])) > 0:
+                heappush(places, (-size, *place))
+                left += size
+    return matched >= least
+
+
 def same_work(a: dict, b: dict) -> bool:
     """Whether two records are one work; the first test that applies decides.
 
@@ -61,80 +87,210 @@ def same_work(a: dict, b: dict) -> bool:
     shared = bool(one & two)
     if a["title_key"] == b["title_key"]:
         return shared or not one or not two
-    return shared and SequenceMatcher(None, a["title_key"], b["title_key"]).ratio() >= RATIO
+    return shared and alike_titles(a["title_key"], b["title_key"])
 
 
-def _runs(key: str, q: int) -> np.ndarray:
-    """A hash of each run of ``q`` letters."""
-    codes = np.frombuffer(key.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    runs = np.zeros(max(0, len(codes) - q + 1), dtype=np.uint64)
-    for i in range(q):
-        runs = runs * np.uint64(1_000_003) + codes[i : i + len(runs)]
-    return runs * np.uint64(0x9E3779B97F4A7C15)
+def _least(total: np.ndarray | int) -> np.ndarray | int:
+    """The letters that must match for keys of so many letters in all to reach the ratio."""
+    return -(-total * HUNDREDTHS // 200)
+
+
+def _range(n: int) -> tuple[int, int]:
+    """The least and the greatest length of keys that can be alike with one of ``n`` letters."""
+    return -(-n * HUNDREDTHS // (200 - HUNDREDTHS)), n * (200 - HUNDREDTHS) // HUNDREDTHS
 
 
-def _counters(keys: list[str], q: int, width: int) -> np.ndarray:
-    """How often runs of ``q`` letters occur in a key, by their hash, one row a key."""
-    rows = [np.bincount((_runs(key, q) >> np.uint64(40)).astype(np.int64) % width, minlength=width) for key in keys]
-    return np.array(rows, dtype=np.uint16 if max(map(len, keys)) < 65_536 else np.int32)
+def _level(n: int) -> int:
+    """The place in ``LEVELS`` of a key of ``n`` letters, -1 for a short one."""
+    return sum(n >= least for least, _, _ in LEVELS) - 1
 
 
-def _reaches(common: np.ndarray | int, q: int, total: np.ndarray | int) -> np.ndarray | bool:
-    """Whether keys of so many letters in all and so many common runs can reach the ratio.
+def _covered(between: list[int], most: int) -> int:
+    """The most letters that matching blocks of at most ``most`` letters cover, by the letters before, between and after the rare ones.
 
-    A matching of M letters is a common subsequence.  Its runs of q letters are whole in both keys but
-    for q - 1 at each letter left over, so G common runs allow M <= (G + (q - 1) (1 + total)) / (2 q - 1).
+    Each block holds a rare letter but one, that at the beginning of both keys.
     """
-    return 2.0 * ((common + (q - 1) * (1 + total)) // (2 * q - 1)) / total >= RATIO
+    covered = min(between[0], most)
+    bare = between[0] - covered
+    for after in between[1:]:
+        left = min(bare, most - 1)
+        right = min(after, most - 1 - left)
+        covered += 1 + left + right
+        bare = after - right
+    return covered
 
 
-def _may_be_alike(keys: list[str], own: list[bool]) -> Iterator[tuple[int, int]]:
-    """Pairs of unequal keys, one at least ``own``, whose ratio can reach ``RATIO``; all that do are among them.
+def _rare(codes: np.ndarray) -> np.ndarray:
+    """Where the letters are that start a block if the key comes second and has 200 letters or more."""
+    _, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    return np.flatnonzero(counts[which] <= len(codes) // 100 + 1)
 
-    Runs are counted by hashes, which can only overstate how many are common.
+
+def _shared(codes: np.ndarray) -> int:
+    """How many windows of its level each key that is alike with this one, which comes second, has in common with it; 0 if none need be.
+
+    In a second key of 200 letters or more ``SequenceMatcher`` starts blocks only at letters that make up no
+    more than a hundredth of it and one.  What blocks a letter shorter than a window of q + w - 1 letters can't cover, of the
+    letters that must match, longer blocks do, and each letter more is a window more.
     """
-    order = sorted(range(len(keys)), key=lambda i: len(keys[i]))
-    keys, own = [keys[i] for i in order], np.array([own[i] for i in order], dtype=bool)
-    sizes = np.array([len(k) for k in keys], dtype=np.int64)
-    tables = [(q, _counters(keys, q, width)) for q, width in COUNTERS]
-    runs = [np.unique(_runs(key, RUN), return_counts=True) for key in keys]
-    for i in range(len(keys)):
-        # Lengths alone allow the shorter key's letters to match.
-        last = np.searchsorted(sizes, int(sizes[i] * (2 / RATIO - 1)) + 1, side="right")
-        for at in range(i + 1, last, 4_096):
-            js = np.arange(at, min(last, at + 4_096))
-            js = js[own[js] | own[i]]
-            for q, table in tables:
-                common = np.minimum(table[i], table[js]).sum(axis=1, dtype=np.int64)
-                total = sizes[i] + sizes[js]
-                js = js[_reaches(common, q, total)]
-            for j in js:
-                _, x, y = np.intersect1d(runs[i][0], runs[j][0], assume_unique=True, return_indices=True)
-                common = int(np.minimum(runs[i][1][x], runs[j][1][y]).sum())
-                if _reaches(common, RUN, int(sizes[i] + sizes[j])) and keys[i] != keys[j]:
-                    yield order[i], order[j]
+    n = len(codes)
+    if _level(n) < 0:
+        return 0
+    _, q, w = LEVELS[_level(n)]
+    between = np.diff(np.concatenate([[-1], _rare(codes), [n]])) - 1
+    return max(0, int(_least(n + _range(n)[0])) - _covered(between.tolist(), q + w - 2))
+
+
+def _codes(key: str) -> np.ndarray:
+    return np.frombuffer(key.encode("utf-32-le"), dtype=np.uint32)
+
+
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """How often letters occur: a to z, digits, and all others in four counters."""
+    at = np.where(codes >= 128, 36 + codes % 4, np.where(codes >= 97, codes - 97, codes - 22)) % LETTERS
+    return np.bincount(at.astype(np.int64), minlength=LETTERS)
+
+
+def _runs(codes: np.ndarray, q: int) -> np.ndarray:
+    """A hash of each run of ``q`` letters."""
+    n = len(codes)
+    if n < q:
+        return np.zeros(0, dtype=np.uint64)
+    powers = np.full(n, _BASE, dtype=np.uint64)
+    back = np.full(n - q + 1, _INVERSE, dtype=np.uint64)
+    powers[0] = back[0] = 1
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((codes + np.uint64(1)) * np.cumprod(powers), out=sums[1:])
+    runs = (sums[q:] - sums[:-q]) * np.cumprod(back)
+    runs = (runs ^ (runs >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return runs ^ (runs >> np.uint64(29))
+
+
+def _marks(codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash of each window, ``w`` runs of ``q`` letters in a row, and of how many windows it is the least."""
+    _, q, w = LEVELS[level]
+    least, have = _runs(codes.astype(np.uint64), q), 1
+    while have < w and len(least):
+        step = min(have, w - have)
+        least, have = np.minimum(least[:-step], least[step:]), have + step
+    marks, windows = np.unique(least, return_counts=True)
+    return marks.view(np.int64), windows
+
+
+def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Kinds with the length and letters of their title, and the windows that alike ones share with it."""
+    for pdf in batches:
+        codes = [_codes(key) for key in pdf["title_key"]]
+        pdf["n"] = [len(c) for c in codes]
+        pdf["need"] = [_shared(c) for c in codes]
+        yield pd.concat([pdf, pd.DataFrame([_letters(c) for c in codes], columns=COUNTS, index=pdf.index)], axis=1)
+
+
+def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Marks by which kinds look for others (``need`` above 0) and by which others find them, one row a level."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples():
+            codes = _codes(row.title_key)
+            low, high = _range(row.n)
+            for level in range(max(0, _level(low)), _level(high) + 1):
+                out.append((row.kind, row.author_keys, row.n, row.need if level == _level(row.n) else 0, *_marks(codes, level)))
+        yield pd.DataFrame(out, columns=["kind", "author_keys", "n", "need", "marks", "windows"])
+
+
+def _common(one: np.ndarray, two: np.ndarray) -> int:
+    """How many of the values two keys have in common, repeats counted."""
+    x, m = np.unique(one, return_counts=True)
+    y, n = np.unique(two, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(m[i], n[j]).sum())
+
+
+def _may_be_alike(a: str, b: str) -> bool:
+    """Whether common runs allow the ratio; runs are counted by hashes, which can only overstate them.
+
+    All runs of q letters in K blocks of M letters are common, but for q - 1 at the end of each block.  Blocks
+    of a second key of 200 letters or more hold a rare letter each but the first.  Of any keys they are a common
+    subsequence, broken at each letter left over, so G common runs allow M <= (G + (q - 1) (1 + total)) / (2 q - 1).
+    """
+    one, two, total = _codes(a).astype(np.uint64), _codes(b).astype(np.uint64), len(a) + len(b)
+    least = _least(total)
+    if len(b) >= AUTOJUNK:
+        blocks = 1 + _common(one, two[_rare(two)])
+        q = max(2, min(64, least // (2 * blocks)))
+        return _common(_runs(one, q), _runs(two, q)) >= least - (q - 1) * blocks
+    return all((_common(_runs(one, q), _runs(two, q)) + (q - 1) * (1 + total)) // (2 * q - 1) >= least for q in RUNS)
+
+
+def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ordered pairs of kinds that ``same_work`` links, of rows with both kinds' columns."""
+    for pdf in batches:
+        out = []
+        for row in pdf.to_dict("records"):
+            x, y = row["x"], row["y"]
+            if x["title_key"] != y["title_key"]:
+                both = ((x, y), (y, x))
+                out += [(a["kind"], b["kind"]) for a, b in both if _may_be_alike(a["title_key"], b["title_key"]) and same_work(a, b)]
+        yield pd.DataFrame(out, columns=["a", "b"])
 
 
 def _links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Ordered pairs of a block's kinds that ``same_work`` links."""
     rows = pdf.to_dict("records")
-    if pdf["key"].iloc[0].startswith("a:"):
-        pairs = _may_be_alike([r["title_key"] for r in rows], [bool(r["own"]) for r in rows])
-    else:
-        pairs = combinations(range(len(rows)), 2)
-    out = [(rows[x]["kind"], rows[y]["kind"]) for i, j in pairs for x, y in ((i, j), (j, i)) if same_work(rows[x], rows[y])]
+    out = [(a["kind"], b["kind"]) for x, y in combinations(rows, 2) for a, b in ((x, y), (y, x)) if same_work(a, b)]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def _candidates(kinds: DataFrame) -> DataFrame:
+    """Pairs ``(x, y)`` of kinds that share an author and whose titles may be alike; all that are alike are among them.
+
+    A title looks for others by the marks of its level, which must stand for as many windows as are shared (``_shared``); a
+    short one, or one with so many rare letters that it need not share any, is compared with all of its authors' titles of such lengths.
+    """
+    kind, band = kinds.schema["kind"].dataType.simpleString(), F.floor(F.log("n") / math.log((200 - HUNDREDTHS) / HUNDREDTHS + 1e-6))
+    sizes = kinds.select("kind", "author_keys", "n", "year", "need", *COUNTS)
+
+    def other(df: DataFrame) -> DataFrame:
+        return df.toDF(*[f"{c}_2" for c in df.columns])
+
+    near = F.greatest("n", "n_2") * HUNDREDTHS <= F.least("n", "n_2") * (200 - HUNDREDTHS)
+    common = reduce(Column.__add__, [F.least(c, f"{c}_2") for c in COUNTS])
+    alike = near & (common * 200 >= (F.col("n") + F.col("n_2")) * HUNDREDTHS) & F.coalesce(F.abs(F.col("year") - F.col("year_2")) <= 1, F.lit(True))
+    pair = [F.least("kind", "kind_2").alias("x"), F.greatest("kind", "kind_2").alias("y")]
+
+    listed = kinds.select("kind", "author_keys", "n", "need", "title_key").mapInPandas(
+        _marked, f"kind {kind}, author_keys array<string>, n int, need int, marks array<bigint>, windows array<int>"
+    )
+    by_author = listed.select("kind", "n", "need", F.explode("author_keys").alias("author"), "marks", "windows")
+    marks = by_author.select("kind", "n", "need", "author", F.explode(F.arrays_zip("marks", "windows")).alias("m")).select(
+        F.xxhash64("author", "m.marks").alias("h"), "kind", "n", "need", "m.windows"
+    )
+    every = Window.partitionBy("h")
+    shared = marks.withColumns({"met": F.count(F.lit(1)).over(every), "asked": F.max("need").over(every)}).filter("met > 1 AND asked > 0")
+    shared = cut(shared.select("h", "kind", "n", "need", "windows"))
+    meeting = shared.filter("need > 0").join(other(shared.select("h", "kind", "n")).hint("merge"), (F.col("h") == F.col("h_2")) & (F.col("kind") != F.col("kind_2")) & near)
+    enough = meeting.groupBy("kind", "kind_2").agg(F.sum("windows").alias("windows"), F.max("need").alias("need")).filter("windows >= need")
+    met = cut(enough.select(*pair).distinct())
+    first, second = sizes.withColumnRenamed("kind", "x"), other(sizes).withColumnRenamed("kind_2", "y")
+    by_mark = met.join(first.hint("merge"), "x").join(second.hint("merge"), "y").filter(alike).select("x", "y")
+
+    dealt = sizes.withColumn("author", F.explode("author_keys")).drop("author_keys")
+    rest = dealt.filter("need = 0").withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    beside = other(dealt.withColumn("band", band)).hint("merge")
+    same = (F.col("author") == F.col("author_2")) & (F.col("band") == F.col("band_2")) & (F.col("kind") != F.col("kind_2"))
+    return cut(by_mark.unionByName(rest.join(beside, same & alike).select(*pair)).distinct())
+
+
 def fuzzy_works(records: DataFrame) -> DataFrame:
     """``(record_id, work_id)``: each record joins the first group that has a record of the same work.
 
     ``records``: record_id (its order), source, source_id, doi, arxiv_id, title, year, authors.
     Records alike in all that ``same_work`` reads are one kind.  Kinds are compared within blocks of
-    a shared DOI, arXiv id, source id, title key, or author and length band, outside which no two
+    a shared DOI, arXiv id, source id or title key, and in the pairs of ``_candidates``, outside which no two
     records can be the same work; the ordered fold runs over the links found, one task a component.
     """
-    ship(records.sparkSession)
+    spark = records.sparkSession
+    ship(spark)
     read = ["source", "source_id", "doi", "arxiv_id", "title_key", "year", "author_keys"]
     own = records.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source_id", "doi", "arxiv_id")}).withColumns(
         {
@@ -146,33 +302,34 @@ def fuzzy_works(records: DataFrame) -> DataFrame:
         }
     )
     own = cut(own.select("record_id", *read, F.sha2(F.to_json(F.struct(*read)), 256).alias("digest")))
-    kinds = cut(own.groupBy("digest").agg(F.min("record_id").alias("kind"), *[F.any_value(c).alias(c) for c in read]))
+    heads = cut(own.groupBy("digest").agg(F.min("record_id").alias("kind")))
+    firsts = own.withColumnRenamed("record_id", "kind").join(heads.select("kind").hint("merge"), "kind", "left_semi").select("kind", *read)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in firsts.schema)
+    kinds = cut(firsts.mapInPandas(_sized, f"{columns}, n int, need int, {', '.join(f'{c} int' for c in COUNTS)}"))
     # Whether records of the kind are one work with each other.
     itself = (F.greatest("doi", "arxiv_id", "source_id") != "") | (F.length("title_key") >= LEAST_TITLE)
-    members = cut(own.select("record_id", "digest").join(kinds.select("digest", "kind", itself.alias("itself")), "digest").drop("digest"))
-
-    # Alike titles lie in one band of lengths or in two next to each other.
-    band = F.floor(F.log(F.length("title_key")) / math.log(2 / RATIO - 1 + 1e-6))
-    long = F.length("title_key") >= LEAST_TITLE
-
-    def block(key: Column, own: bool = True) -> Column:
-        return F.struct(key.alias("key"), F.lit(own).alias("own"))
+    members = cut(own.select("record_id", "digest", itself.alias("itself")).join(heads, "digest").drop("digest"))
 
+    long = F.col("n") >= LEAST_TITLE
     blocks = F.array_compact(
-        F.concat(
-            F.array(
-                F.when(F.col("doi") != "", block(F.concat(F.lit("d:"), "doi"))),
-                F.when(F.col("arxiv_id") != "", block(F.concat(F.lit("x:"), "arxiv_id"))),
-                F.when(F.col("source_id") != "", block(F.concat_ws(":", F.lit("s"), "source", "source_id"))),
-                F.when(long, block(F.concat(F.lit("t:"), F.md5("title_key")))),
-            ),
-            F.transform("author_keys", lambda a: F.when(long, block(F.concat_ws(":", F.lit("a"), a, band.cast("string"))))),
-            F.transform("author_keys", lambda a: F.when(long, block(F.concat_ws(":", F.lit("a"), a, (band + 1).cast("string")), False))),
+        F.array(
+            F.when(F.col("doi") != "", F.concat(F.lit("d:"), "doi")),
+            F.when(F.col("arxiv_id") != "", F.concat(F.lit("x:"), "arxiv_id")),
+            F.when(F.col("source_id") != "", F.concat_ws(":", F.lit("s"), "source", "source_id")),
+            F.when(long, F.concat(F.lit("t:"), F.md5("title_key"))),
         )
     )
-    placed = kinds.select("kind", *read, F.explode(blocks).alias("k")).select("kind", *read, "k.*")
+    # Within these blocks no title is compared but with an equal one, so its digest does.
+    brief = kinds.withColumn("title_key", F.md5("title_key")).select("kind", *read, F.explode(blocks).alias("key"))
     kind = records.schema["record_id"].dataType.simpleString()
-    links = cut(placed.groupBy("key").applyInPandas(_links, f"a {kind}, b {kind}").distinct())
+    equal = brief.groupBy("key").applyInPandas(_links, f"a {kind}, b {kind}")
+    pairs = _candidates(kinds.filter(long & (F.size("author_keys") > 0)))
+    whole = kinds.select("kind", F.struct("kind", *read).alias("row"))
+    read_pairs = pairs.join(whole.toDF("x_kind", "one").hint("merge"), F.col("x") == F.col("x_kind")).join(whole.toDF("y_kind", "two").hint("merge"), F.col("y") == F.col("y_kind"))
+    # Dealt by number, so that titles are compared on all cores.
+    dealt = read_pairs.select(F.col("one").alias("x"), F.col("two").alias("y")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    alike = dealt.mapInPandas(_alike, f"a {kind}, b {kind}")
+    links = cut(equal.unionByName(alike).distinct())
     roots = cut(components(links).withColumnRenamed("node", "kind"))
     alone = members.join(roots, "kind", "left_anti").select("record_id", F.when(F.col("itself"), F.col("kind")).otherwise(F.col("record_id")).alias("work_id"))
 

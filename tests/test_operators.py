@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,6 +261,49 @@ def test_alike_titles_like_the_sequential_fold(spark):
     assert got == slow_works(rows)
 
 
+def edited(rng, title, times):
+    letters = list(title)
+    for _ in range(times):
+        letters[rng.randrange(len(letters))] = rng.choice(("", "q", "zz", "a"))
+    return "".join(letters)
+
+
+def long_titles(rng, n, rare):
+    """Titles of syllables, of lengths on both sides of all levels, with near copies, and letters that are rare in them."""
+    parts = "the of ing tion er an re st ou ble ly en".split()
+    out = []
+    for size in (90, 180, 205, 320, 590, 640, 1500, 2350, 2500, 3900, 4200) * n:
+        words = "".join(rng.choices(parts, k=size // 2))[:size]
+        base = "".join(rng.choice("kqvxz") if rng.random() < rare else c for c in words)
+        out += [base] + [edited(rng, base, rng.randint(1, max(2, size // rng.choice((12, 25, 60, 400))))) for _ in range(2)]
+    return out
+
+
+def test_alike_titles_give_the_ratio_of_the_matcher():
+    rng = random.Random(5)
+    for rare in (0, 0.01, 0.04, 0.2):
+        titles = long_titles(rng, 1, rare)
+        pairs = [(a, b) for i in range(0, len(titles), 3) for a in titles[i : i + 3] for b in titles[i : i + 3] if a != b]
+        pairs += [(a, a[:-3] + b[:9]) for a, b in zip(titles, titles[3:], strict=False)]
+        want = [SequenceMatcher(None, a, b).ratio() >= 0.94 for a, b in pairs]
+        assert [works.alike_titles(a, b) for a, b in pairs] == want and any(want)
+        assert all(works._may_be_alike(a, b) for (a, b), w in zip(pairs, want, strict=True) if w)
+
+
+def test_only_titles_that_may_be_alike_are_compared(spark):
+    rng = random.Random(7)
+    titles = [t for rare in (0, 0.02, 0.06) for t in long_titles(rng, 2, rare)]
+    rows = [(i, ["a"], t) for i, t in enumerate(titles)]
+    kinds = spark.createDataFrame(rows, "kind long, author_keys array<string>, title_key string").withColumn("year", F.lit(None).cast("int"))
+    columns = "kind long, author_keys array<string>, title_key string, year int, n int, need int, " + ", ".join(f"{c} int" for c in works.COUNTS)
+    got = {(r.x, r.y) for r in works._candidates(kinds.mapInPandas(works._sized, columns)).collect()}
+    want = {(i, j) for i in range(len(titles)) for j in range(i + 1, i + 3 - i % 3) for a, b in ((titles[i], titles[j]), (titles[j], titles[i]))
+            if j < len(titles) and SequenceMatcher(None, a, b).ratio() >= 0.94}
+    assert len(want) > 20 and want <= got
+    banded = sum(0.94 / 1.06 <= len(a) / len(b) <= 1.06 / 0.94 for i, a in enumerate(titles) for b in titles[:i])
+    assert len(got) < banded / 4
+
+
 def test_contained_titles_beyond_a_slice(spark):
     texts = spark.createDataFrame([(i, f"a{i} b{i + 1} c") for i in range(30)], "doc_id int, text string")
     titles = spark.createDataFrame([(i, f"{'ab'[i % 2]}{i} ") for i in range(25)] + [(99, None)], "item_id int, title string")
