@@ -31,6 +31,8 @@ AUTOJUNK = 200
 #: Lengths of letter runs by which titles that can't be alike are told apart, and counters of letters.
 RUNS = (2, 4, 6)
 LETTERS = 40
+#: Tasks among which the titles of an author and length are dealt.
+SHARES = 16
 COUNTS = [f"c{i}" for i in range(LETTERS)]
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -263,21 +265,29 @@ def _candidates(kinds: DataFrame) -> DataFrame:
     )
     by_author = listed.select("kind", "n", "need", F.explode("author_keys").alias("author"), "marks", "windows")
     marks = by_author.select("kind", "n", "need", "author", F.explode(F.arrays_zip("marks", "windows")).alias("m")).select(
-        F.xxhash64("author", "m.marks").alias("h"), "kind", "n", "need", "m.windows"
+        F.xxhash64("author", "m.marks").alias("h"), F.xxhash64("author").alias("by"), "kind", "n", "need", "m.windows"
     )
     every = Window.partitionBy("h")
     shared = marks.withColumns({"met": F.count(F.lit(1)).over(every), "asked": F.max("need").over(every)}).filter("met > 1 AND asked > 0")
-    shared = cut(shared.select("h", "kind", "n", "need", "windows"))
-    meeting = shared.filter("need > 0").join(other(shared.select("h", "kind", "n")).hint("merge"), (F.col("h") == F.col("h_2")) & (F.col("kind") != F.col("kind_2")) & near)
-    enough = meeting.groupBy("kind", "kind_2").agg(F.sum("windows").alias("windows"), F.max("need").alias("need")).filter("windows >= need")
+    shared = cut(shared.select("h", "by", "kind", "n", "need", "windows", "met"))
+    # An alike title can't share only the most frequent marks that stand for fewer windows than needed, so these look for
+    # none; nor is any alike if all marks that others have stand for fewer.
+    frequent = Window.partitionBy("by", "kind").orderBy(F.col("met").desc(), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    looking = shared.filter("need > 0").withColumn("above", F.sum("windows").over(frequent)).filter("above >= need")
+    # Of the windows needed, those of the marks left out may be shared as well.
+    left = looking.withColumn("need", F.col("need") - (F.min(F.col("above") - F.col("windows")).over(Window.partitionBy("by", "kind")))).drop("above", "met")
+    found = other(shared.select("h", "kind", "n")).hint("merge")
+    meeting = left.join(found, (F.col("h") == F.col("h_2")) & (F.col("kind") != F.col("kind_2")) & near)
+    enough = meeting.groupBy("by", "kind", "kind_2").agg(F.sum("windows").alias("windows"), F.max("need").alias("need")).filter("windows >= need")
     met = cut(enough.select(*pair).distinct())
     first, second = sizes.withColumnRenamed("kind", "x"), other(sizes).withColumnRenamed("kind_2", "y")
     by_mark = met.join(first.hint("merge"), "x").join(second.hint("merge"), "y").filter(alike).select("x", "y")
 
     dealt = sizes.withColumn("author", F.explode("author_keys")).drop("author_keys")
-    rest = dealt.filter("need = 0").withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    beside = other(dealt.withColumn("band", band)).hint("merge")
-    same = (F.col("author") == F.col("author_2")) & (F.col("band") == F.col("band_2")) & (F.col("kind") != F.col("kind_2"))
+    # Titles of an author with so many letters are dealt over SHARES tasks, and those that look for them go to each.
+    rest = dealt.filter("need = 0").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    beside = other(dealt.withColumns({"band": band, "share": F.pmod(F.xxhash64("kind"), F.lit(SHARES)).cast("int")})).hint("merge")
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"{c}_2") for c in ("author", "band", "share")]) & (F.col("kind") != F.col("kind_2"))
     return cut(by_mark.unionByName(rest.join(beside, same & alike).select(*pair)).distinct())
 
 
