@@ -40,7 +40,8 @@ def _some(values: Column) -> Column:
 
 def phones(value: Column, most: int = 3) -> Column:
     """Distinct numbers among the first ``most`` found."""
-    return F.array_distinct(F.slice(_all(value, PHONE), 1, most))
+    found = F.array_distinct(F.slice(_all(value, PHONE), 1, most))
+    return F.when(F.rlike(value, F.lit("[0-9]{7}")), found).otherwise(F.array().cast("array<string>"))
 
 
 def links(value: Column) -> Column:

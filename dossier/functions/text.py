@@ -92,11 +92,15 @@ def normalized_name(value: Column | str) -> Column:
 
 @F.pandas_udf(StringType())
 def _title_key(values: pd.Series) -> pd.Series:
-    marks, kept = re.compile(TITLE_MARKS, re.ASCII), re.compile("[a-z0-9\u4e00-\u9fff]+")
+    marks, kept, wide = re.compile(TITLE_MARKS, re.ASCII), re.compile("[a-z0-9\u4e00-\u9fff]+"), re.compile("[\u4e00-\u9fff]")
+    dropped = bytes(c for c in range(128) if not kept.fullmatch(chr(c)))
 
     def key(value: str) -> str:
         text = value.lower() if value.isascii() else unicodedata.normalize("NFKC", value).casefold()
-        return "".join(kept.findall(marks.sub(r"\1", text) if "\\" in text else text))
+        text = marks.sub(r"\1", text) if "\\" in text else text
+        if not text.isascii() and wide.search(text):
+            return "".join(kept.findall(text))
+        return text.encode("ascii", "ignore").translate(None, dropped).decode()
 
     return values.map(key, na_action="ignore")
 
@@ -109,7 +113,10 @@ def normalized_title(value: Column | str, ascii_only: bool = False) -> Column:
     """
     text = norm_evidence(value)
     if not ascii_only:
-        return _title_key(text)
+        # White space is dropped in the end, so it is evened only where it may stand within a mark.
+        raw = F.coalesce(_col(value), F.lit(""))
+        missing = F.lower(F.left(F.trim(raw), F.lit(5))).isin(*MISSING)
+        return _title_key(F.when(missing, "").when(F.contains(raw, F.lit("\\")), collapse(raw)).otherwise(raw))
     text = F.regexp_replace(F.lower(text), TITLE_MARKS, "$1")
     return F.regexp_replace(text, r"[^a-z0-9\u4e00-\u9fff]", "")
 
@@ -141,7 +148,8 @@ def emails(value: Column | str) -> Column:
 def years(value: Column | str) -> Column:
     """Years 1900 to 2099, as numbers, in order of appearance."""
     found = F.regexp_extract_all(_col(value), F.lit(YEAR), F.lit(0))
-    return F.transform(found, lambda y: y.cast("int"))
+    none = ~(F.contains(_col(value), F.lit("19")) | F.contains(_col(value), F.lit("20")))
+    return F.when(none, F.array().cast("array<int>")).otherwise(F.transform(found, lambda y: y.cast("int")))
 
 
 def first_year(value: Column | str) -> Column:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 from heapq import heappop, heappush
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,19 +23,23 @@ PRIORITY = {"official": 4, "openalex": 3, "zbmath": 2, "arxiv": 1}
 RATIO = 0.94
 LEAST_TITLE = 12
 HUNDREDTHS = round(100 * RATIO)
-#: By the least length of a title: runs of q letters, of which the least hash of w in a row, a window, is a mark.  A title whose
-#: matches must hold windows is looked for by its marks.
-LEVELS = ((200, 11, 4), (600, 14, 10), (2_400, 16, 15), (4_000, 18, 23))
+#: Letters of a run.  Of a window, some runs in a row, the run of the least hash is a mark.
+RUN = 14
+#: By the least length of a title: the letters of a window.  A title whose matches must hold windows is looked for by its marks.
+LEVELS = ((200, 15), (300, 17), (400, 20), (600, 23), (1_200, 28), (2_400, 35), (4_000, 40), (8_000, 44))
 #: From which length of the second key ``SequenceMatcher`` leaves out frequent letters.
 AUTOJUNK = 200
 #: Lengths of letter runs by which titles that can't be alike are told apart, and counters of letters.
 RUNS = (2, 4, 6)
 LETTERS = 40
-#: Tasks among which the titles of an author and length are dealt.
-SHARES = 16
+#: About how many titles that others are compared with by letters meet in a task.
+SHARE = 20_000
 COUNTS = [f"c{i}" for i in range(LETTERS)]
+#: Titles of which marks or lengths leave a Python worker at once, and to how many of them those that are compared are broadcast.
+PIECE = 1_000
+MOST_NAMED = 2_000_000
 _BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_WHOLE = (1 << 64) - 1
 #: Words of a title under which it is looked for.
 RUN_WORDS = 3
 
@@ -52,15 +56,72 @@ def exact_works(rows: DataFrame, key: Column, order: Column, measures: dict[str,
     return rows.groupBy(key.alias("work_key")).agg(F.min(order).alias("first_record"), *[m.alias(n) for n, m in measures.items()])
 
 
+def _same(a: str, b: str, i: int, j: int, most: int, step: int) -> int:
+    """How many letters, ``most`` at the utmost, are equal from places i and j on, or before them if ``step`` is -1."""
+    done, size = 0, 16
+    while done < most:
+        size = min(size, most - done)
+        x, y = (i + done, j + done) if step > 0 else (i - done - size, j - done - size)
+        if a[x : x + size] == b[y : y + size]:
+            done += size
+            size *= 2
+        elif size == 1:
+            break
+        else:
+            size //= 2
+    return done
+
+
+def _finder(a: str, b: str) -> Callable[[int, int, int, int], tuple[int, int, int]]:
+    """``find_longest_match`` of ``SequenceMatcher``.  For a second key with frequent letters only the others are visited.
+
+    That is the first place of the longest run of rare letters in both keys, continued by equal letters on both sides.
+    """
+    if len(b) < AUTOJUNK:
+        return SequenceMatcher(None, a, b).find_longest_match
+    one, two = _codes(a), _codes(b)
+    rare = np.zeros(max(int(one.max(initial=0)), int(two.max())) + 1, dtype=bool)
+    at = _rare(two)
+    rare[two[at]] = True
+    starts, others = np.flatnonzero(rare[one]).tolist(), at.tolist()
+    runs: list[tuple[list[int], dict[str, list[int]]]] = []  # by length: places in a, and those in b of each run
+    while starts and others:
+        places: dict[str, list[int]] = {}
+        n = len(runs) + 1
+        for j in others:
+            places.setdefault(b[j : j + n], []).append(j)
+        starts = [i for i in starts if a[i : i + n] in places]
+        runs.append((starts, places))
+        starts, others = ([i for i, k in zip(found, found[1:], strict=False) if k == i + 1] for found in (starts, others))
+
+    def find(alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        i, j, k = alo, blo, 0
+        for n in range(len(runs), 0, -1):
+            starts, places = runs[n - 1]
+            for at in range(bisect_left(starts, alo), bisect_right(starts, ahi - n)):
+                found = places[a[starts[at] : starts[at] + n]]
+                first = bisect_left(found, blo)
+                if first < len(found) and found[first] <= bhi - n:
+                    i, j, k = starts[at], found[first], n
+                    break
+            if k:
+                back = _same(a, b, i, j, min(i - alo, j - blo), -1)
+                i, j, k = i - back, j - back, k + back
+                break
+        return i, j, k + _same(a, b, i + k, j + k, min(ahi - i, bhi - j) - k, 1)
+
+    return find
+
+
 def alike_titles(a: str, b: str) -> bool:
     """Whether ``SequenceMatcher`` gives two titles a ratio of ``RATIO``: its blocks, the largest places first, until that is settled."""
-    matcher, least = SequenceMatcher(None, a, b), _least(len(a) + len(b))
+    find, least = _finder(a, b), _least(len(a) + len(b))
     matched, left = 0, min(len(a), len(b))
     places = [(-left, 0, len(a), 0, len(b))]
     while places and matched < least <= matched + left:
         size, alo, ahi, blo, bhi = heappop(places)
         left += size
-        i, j, k = matcher.find_longest_match(alo, ahi, blo, bhi)
+        i, j, k = find(alo, ahi, blo, bhi)
         matched += k
         for place in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)) if k else ():
             if (size := min(place[1] - place[0], place[3] - place[2])) > 0:
@@ -104,7 +165,7 @@ def _range(n: int) -> tuple[int, int]:
 
 def _level(n: int) -> int:
     """The place in ``LEVELS`` of a key of ``n`` letters, -1 for a short one."""
-    return sum(n >= least for least, _, _ in LEVELS) - 1
+    return sum(n >= least for least, _ in LEVELS) - 1
 
 
 def _covered(between: list[int], most: int) -> int:
@@ -124,23 +185,22 @@ def _covered(between: list[int], most: int) -> int:
 
 def _rare(codes: np.ndarray) -> np.ndarray:
     """Where the letters are that start a block if the key comes second and has 200 letters or more."""
-    _, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
-    return np.flatnonzero(counts[which] <= len(codes) // 100 + 1)
+    return np.flatnonzero(np.bincount(codes)[codes] <= len(codes) // 100 + 1)
 
 
 def _shared(codes: np.ndarray) -> int:
-    """How many windows of its level each key that is alike with this one, which comes second, has in common with it; 0 if none need be.
+    """How many windows of its level a key, which comes second, has in common with the shortest key alike; none if not above 0.
 
     In a second key of 200 letters or more ``SequenceMatcher`` starts blocks only at letters that make up no
-    more than a hundredth of it and one.  What blocks a letter shorter than a window of q + w - 1 letters can't cover, of the
-    letters that must match, longer blocks do, and each letter more is a window more.
+    more than a hundredth of it and one.  What blocks a letter shorter than a window can't cover, of the
+    letters that must match, longer blocks do, and each letter more is a window more.  So a longer key shares as many windows
+    more as more letters must match.
     """
     n = len(codes)
     if _level(n) < 0:
-        return 0
-    _, q, w = LEVELS[_level(n)]
+        return -n
     between = np.diff(np.concatenate([[-1], _rare(codes), [n]])) - 1
-    return max(0, int(_least(n + _range(n)[0])) - _covered(between.tolist(), q + w - 2))
+    return int(_least(n + _range(n)[0])) - _covered(between.tolist(), LEVELS[_level(n)][1] - 1)
 
 
 def _codes(key: str) -> np.ndarray:
@@ -149,39 +209,54 @@ def _codes(key: str) -> np.ndarray:
 
 def _letters(codes: np.ndarray) -> np.ndarray:
     """How often letters occur: a to z, digits, and all others in four counters."""
-    at = np.where(codes >= 128, 36 + codes % 4, np.where(codes >= 97, codes - 97, codes - 22)) % LETTERS
-    return np.bincount(at.astype(np.int64), minlength=LETTERS)
+    times = np.bincount(codes)
+    found = np.flatnonzero(times)
+    at = np.where(found >= 128, 36 + found % 4, np.where(found >= 97, found - 97, found - 22)) % LETTERS
+    return np.bincount(at, weights=times[found], minlength=LETTERS).astype(np.int64)
 
 
 def _runs(codes: np.ndarray, q: int) -> np.ndarray:
-    """A hash of each run of ``q`` letters."""
+    """A hash of each run of ``q`` letters, put together from those of runs of powers of two."""
     n = len(codes)
     if n < q:
         return np.zeros(0, dtype=np.uint64)
-    powers = np.full(n, _BASE, dtype=np.uint64)
-    back = np.full(n - q + 1, _INVERSE, dtype=np.uint64)
-    powers[0] = back[0] = 1
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((codes + np.uint64(1)) * np.cumprod(powers), out=sums[1:])
-    runs = (sums[q:] - sums[:-q]) * np.cumprod(back)
+    part = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    runs, have, size = np.zeros(n + 1, dtype=np.uint64), 0, 1
+    part ^= part >> np.uint64(29)
+    while True:
+        if q & size:
+            runs = runs[: n - have - size + 1] * np.uint64(pow(_BASE, size, 1 << 64)) + part[have:]
+            have += size
+        if have == q:
+            break
+        part = part[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + part[size:]
+        size *= 2
     runs = (runs ^ (runs >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return runs ^ (runs >> np.uint64(29))
 
 
-def _marks(codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The least hash of each window, ``w`` runs of ``q`` letters in a row, and of how many windows it is the least."""
-    _, q, w = LEVELS[level]
-    least, have = _runs(codes.astype(np.uint64), q), 1
+def _marks(runs: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash of each window of ``w`` runs in a row, and of how many windows it is the least."""
+    least, have = runs, 1
     while have < w and len(least):
         step = min(have, w - have)
         least, have = np.minimum(least[:-step], least[step:]), have + step
-    marks, windows = np.unique(least, return_counts=True)
-    return marks.view(np.int64), windows
+    if not len(least):
+        return least, np.zeros(0, dtype=np.int32)
+    at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    marks, which = np.unique(least[at], return_inverse=True)
+    return marks, np.bincount(which, weights=np.diff(np.append(at, len(least)))).astype(np.int32)
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), PIECE):
+            yield pdf.iloc[at : at + PIECE].copy()
 
 
 def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Kinds with the length and letters of their title, and the windows that alike ones share with it."""
-    for pdf in batches:
+    for pdf in _pieces(batches):
         codes = [_codes(key) for key in pdf["title_key"]]
         pdf["n"] = [len(c) for c in codes]
         pdf["need"] = [_shared(c) for c in codes]
@@ -189,15 +264,32 @@ def _sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Marks by which kinds look for others (``need`` above 0) and by which others find them, one row a level."""
-    for pdf in batches:
-        out = []
+    """Marks by which kinds are found, for each author, and of how many windows that they look for others by; 0 if they don't by that mark.
+
+    The shorter a window, the more runs are marks, those of longer windows among them.  So a title is found by the marks of the
+    level of the shortest title that may be alike, and looks by those of its own.
+    """
+    for pdf in _pieces(batches):
+        hashes, nodes, windows = [], [], []
         for row in pdf.itertuples():
-            codes = _codes(row.title_key)
             low, high = _range(row.n)
-            for level in range(max(0, _level(low)), _level(high) + 1):
-                out.append((row.kind, row.author_keys, row.n, row.need if level == _level(row.n) else 0, *_marks(codes, level)))
-        yield pd.DataFrame(out, columns=["kind", "author_keys", "n", "need", "marks", "windows"])
+            if _level(high) < 0:
+                continue
+            runs = _runs(_codes(row.title_key).astype(np.uint64), RUN)
+            first, own = (LEVELS[max(0, _level(n))][1] - RUN + 1 for n in (low, row.n))
+            marks, asked = _marks(runs, first)
+            if row.need + _least(row.n + high) - _least(row.n + low) <= 0:
+                asked = np.zeros(len(marks), dtype=np.int32)
+            elif own != first:
+                some, counts = _marks(runs, own)
+                asked = np.zeros(len(marks), dtype=np.int32)
+                asked[np.searchsorted(marks, some)] = counts
+            for by, node in zip(row.bys, row.nodes, strict=True):
+                hashes.append((marks ^ np.uint64(int(by) & _WHOLE)) * np.uint64(_BASE))
+                nodes.append(np.full(len(marks), node, dtype=np.int64))
+                windows.append(asked)
+        if hashes:
+            yield pd.DataFrame({"h": np.concatenate(hashes).view(np.int64), "node": np.concatenate(nodes), "windows": np.concatenate(windows)})
 
 
 def _common(one: np.ndarray, two: np.ndarray) -> int:
@@ -231,64 +323,107 @@ def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in pdf.to_dict("records"):
             x, y = row["x"], row["y"]
             if x["title_key"] != y["title_key"]:
-                both = ((x, y), (y, x))
-                out += [(a["kind"], b["kind"]) for a, b in both if _may_be_alike(a["title_key"], b["title_key"]) and same_work(a, b)]
+                for a, b in ((x, y), (y, x)):
+                    if (len(b["title_key"]) >= AUTOJUNK or _may_be_alike(a["title_key"], b["title_key"])) and same_work(a, b):
+                        out.append((a["kind"], b["kind"]))
         yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def _links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ordered pairs of a block's kinds that ``same_work`` links."""
-    rows = pdf.to_dict("records")
-    out = [(a["kind"], b["kind"]) for x, y in combinations(rows, 2) for a, b in ((x, y), (y, x)) if same_work(a, b)]
-    return pd.DataFrame(out, columns=["a", "b"])
+def _beside(rest: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a title that need not share windows with one of its author's whose length and letters allow the ratio."""
+    others = others.sort_values(["author", "n"])
+    author, n, year, kind = (others[c].to_numpy() for c in ("author", "n", "year", "kind"))
+    counts = others[COUNTS].to_numpy(np.int32)
+    one, two = [], []
+    for row, own in zip(rest[["author", "kind", "n", "year", "need"]].itertuples(index=False), rest[COUNTS].to_numpy(np.int32), strict=True):
+        start, end = np.searchsorted(author, [row.author, row.author + 1]) if row.author < _WHOLE >> 1 else (np.searchsorted(author, row.author), len(author))
+        low, high = _range(row.n)
+        # The greatest length with which no window need be shared.
+        high = min(high, 200 * (int(_least(row.n + low)) - row.need) // HUNDREDTHS - row.n)
+        first, last = start + np.searchsorted(n[start:end], low), start + np.searchsorted(n[start:end], high, side="right")
+        if first < last:
+            common = np.minimum(counts[first:last], own).sum(axis=1)
+            near = (common * 200 >= (row.n + n[first:last]) * HUNDREDTHS) & ~(np.abs(year[first:last] - row.year) > 1) & (kind[first:last] != row.kind)
+            two.append(kind[first:last][near])
+            one += [row.kind] * len(two[-1])
+    return pd.DataFrame({"kind": one, "kind_2": np.concatenate(two) if two else []})
+
+
+def _equal(brief: DataFrame) -> DataFrame:
+    """Ordered pairs of kinds that ``same_work`` links within the blocks ``key``, where titles, given by digests, are equal or don't count."""
+    own = [c for c in brief.columns if c != "key"]
+    two = brief.toDF(*[c if c == "key" else f"{c}_2" for c in brief.columns])
+
+    def both(c: str) -> Column:
+        return (F.col(c) != "") & (F.col(f"{c}_2") != "")
+
+    def same(c: str) -> Column:
+        return F.col(c) == F.col(f"{c}_2")
+
+    authors = F.arrays_overlap("author_keys", "author_keys_2") | (F.size("author_keys") == 0) | (F.size("author_keys_2") == 0)
+    close = F.coalesce(F.abs(F.col("year") - F.col("year_2")) <= 1, F.lit(True))
+    linked = F.when(both("doi"), same("doi")).when(both("arxiv_id"), same("arxiv_id"))
+    linked = linked.when(same("source") & both("source_id"), same("source_id")).otherwise(F.startswith("key", F.lit("t:")) & same("title_key") & close & authors)
+    pairs = brief.select("key", *own).join(two.hint("merge"), "key").filter((F.col("kind") < F.col("kind_2")) & linked)
+    return pairs.select(F.explode(F.array(F.struct(F.col("kind").alias("a"), F.col("kind_2").alias("b")), F.struct(F.col("kind_2").alias("a"), F.col("kind").alias("b")))).alias("p")).select("p.*")
 
 
 def _candidates(kinds: DataFrame) -> DataFrame:
     """Pairs ``(x, y)`` of kinds that share an author and whose titles may be alike; all that are alike are among them.
 
-    A title looks for others by the marks of its level, which must stand for as many windows as are shared (``_shared``); a
-    short one, or one with so many rare letters that it need not share any, is compared with all of its authors' titles of such lengths.
+    A title looks for others by the marks of its level, which must stand for as many windows as are shared with a title of the
+    other's length (``_shared``); where none need be, as by a short one or one with many rare letters, it is compared with all of its
+    authors' titles of such lengths.
     """
-    kind, band = kinds.schema["kind"].dataType.simpleString(), F.floor(F.log("n") / math.log((200 - HUNDREDTHS) / HUNDREDTHS + 1e-6))
     sizes = kinds.select("kind", "author_keys", "n", "year", "need", *COUNTS)
 
     def other(df: DataFrame) -> DataFrame:
         return df.toDF(*[f"{c}_2" for c in df.columns])
 
+    def must(total: Column) -> Column:
+        return F.floor((total * HUNDREDTHS + 199) / 200).cast("int")
+
     near = F.greatest("n", "n_2") * HUNDREDTHS <= F.least("n", "n_2") * (200 - HUNDREDTHS)
-    common = reduce(Column.__add__, [F.least(c, f"{c}_2") for c in COUNTS])
+    # In place of a sum of so many columns, which would be a method too long to be compiled.
+    least = F.zip_with(F.array(*COUNTS), F.array(*[f"{c}_2" for c in COUNTS]), lambda x, y: F.least(x, y))
+    common = F.aggregate(least, F.lit(0), lambda x, y: x + y)
     alike = near & (common * 200 >= (F.col("n") + F.col("n_2")) * HUNDREDTHS) & F.coalesce(F.abs(F.col("year") - F.col("year_2")) <= 1, F.lit(True))
+    shortest = F.ceil(F.col("n") * HUNDREDTHS / (200 - HUNDREDTHS)).cast("int")
+    # Windows that the first title, which comes second in the matcher, shares with the other if they are alike.
+    needed = F.col("need") + must(F.col("n") + F.col("n_2")) - must(F.col("n") + shortest)
     pair = [F.least("kind", "kind_2").alias("x"), F.greatest("kind", "kind_2").alias("y")]
 
-    listed = kinds.select("kind", "author_keys", "n", "need", "title_key").mapInPandas(
-        _marked, f"kind {kind}, author_keys array<string>, n int, need int, marks array<bigint>, windows array<int>"
-    )
-    by_author = listed.select("kind", "n", "need", F.explode("author_keys").alias("author"), "marks", "windows")
-    marks = by_author.select("kind", "n", "need", "author", F.explode(F.arrays_zip("marks", "windows")).alias("m")).select(
-        F.xxhash64("author", "m.marks").alias("h"), F.xxhash64("author").alias("by"), "kind", "n", "need", "m.windows"
-    )
+    by = F.transform("author_keys", lambda v: F.xxhash64(v))
+    node = F.transform("author_keys", lambda v: F.xxhash64("kind", v))
+    marks = kinds.select("n", "need", "title_key", by.alias("bys"), node.alias("nodes")).mapInPandas(_marked, "h long, node long, windows int")
     every = Window.partitionBy("h")
-    shared = marks.withColumns({"met": F.count(F.lit(1)).over(every), "asked": F.max("need").over(every)}).filter("met > 1 AND asked > 0")
-    shared = cut(shared.select("h", "by", "kind", "n", "need", "windows", "met"))
-    # An alike title can't share only the most frequent marks that stand for fewer windows than needed, so these look for
-    # none; nor is any alike if all marks that others have stand for fewer.
-    frequent = Window.partitionBy("by", "kind").orderBy(F.col("met").desc(), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    looking = shared.filter("need > 0").withColumn("above", F.sum("windows").over(frequent)).filter("above >= need")
-    # Of the windows needed, those of the marks left out may be shared as well.
-    left = looking.withColumn("need", F.col("need") - (F.min(F.col("above") - F.col("windows")).over(Window.partitionBy("by", "kind")))).drop("above", "met")
-    found = other(shared.select("h", "kind", "n")).hint("merge")
-    meeting = left.join(found, (F.col("h") == F.col("h_2")) & (F.col("kind") != F.col("kind_2")) & near)
-    enough = meeting.groupBy("by", "kind", "kind_2").agg(F.sum("windows").alias("windows"), F.max("need").alias("need")).filter("windows >= need")
-    met = cut(enough.select(*pair).distinct())
+    shared = marks.withColumns({"met": F.count(F.lit(1)).over(every), "asked": F.max("windows").over(every)}).filter("met > 1 AND asked > 0")
+    nodes = kinds.select(F.explode(node).alias("node"), "kind", "n", "need")
+    known = cut(shared.drop("asked").join(nodes.hint("merge"), "node"))
+    # A title that shares more windows than the most frequent marks stand for shares one of another mark, so by those it looks
+    # only for titles with which it shares no more.  What they stand for may be shared as well.
+    frequent = Window.partitionBy("node", "kind").orderBy(F.col("met").desc(), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    looking = known.withColumn("above", F.sum("windows").over(frequent)).filter("windows > 0").drop("met")
+    found = other(known.select("h", "kind", "n")).hint("merge")
+    meeting = looking.join(found, (F.col("h") == F.col("h_2")) & (F.col("kind") != F.col("kind_2")) & near & (needed > 0) & (needed <= F.col("above")))
+    counted = meeting.groupBy("node", "kind", "kind_2").agg(
+        F.sum("windows").alias("windows"), F.max(needed).alias("need"), F.min(F.col("above") - F.col("windows")).alias("left")
+    )
+    met = cut(counted.filter("windows + left >= need").select(*pair).distinct())
     first, second = sizes.withColumnRenamed("kind", "x"), other(sizes).withColumnRenamed("kind_2", "y")
     by_mark = met.join(first.hint("merge"), "x").join(second.hint("merge"), "y").filter(alike).select("x", "y")
 
-    dealt = sizes.withColumn("author", F.explode("author_keys")).drop("author_keys")
-    # Titles of an author with so many letters are dealt over SHARES tasks, and those that look for them go to each.
-    rest = dealt.filter("need = 0").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    beside = other(dealt.withColumns({"band": band, "share": F.pmod(F.xxhash64("kind"), F.lit(SHARES)).cast("int")})).hint("merge")
-    same = reduce(Column.__and__, [F.col(c) == F.col(f"{c}_2") for c in ("author", "band", "share")]) & (F.col("kind") != F.col("kind_2"))
-    return cut(by_mark.unionByName(rest.join(beside, same & alike).select(*pair)).distinct())
+    # The titles of an author are dealt over tasks, and those that look for them go to each.
+    tasks = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sizes.withColumn("author", F.explode(by)).withColumn("year", F.col("year").cast("double"))
+    shares = dealt.groupBy("author").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    dealt = dealt.join(shares.hint("merge"), "author").drop("author_keys")
+    bucket = F.pmod(F.xxhash64("author", "share"), F.lit(max(tasks, dealt.count() // SHARE)))
+    looking = dealt.filter("need <= 0").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("bucket", bucket)
+    others = dealt.withColumn("share", F.pmod(F.xxhash64("kind"), F.col("shares")).cast("int")).withColumn("bucket", bucket)
+    kind = kinds.schema["kind"].dataType.simpleString()
+    beside = looking.toDF(*looking.columns).groupBy("bucket").cogroup(others.groupBy("bucket")).applyInPandas(_beside, f"kind {kind}, kind_2 {kind}")
+    return cut(by_mark.unionByName(beside.select(*pair)).distinct())
 
 
 def fuzzy_works(records: DataFrame) -> DataFrame:
@@ -332,12 +467,17 @@ def fuzzy_works(records: DataFrame) -> DataFrame:
     # Within these blocks no title is compared but with an equal one, so its digest does.
     brief = kinds.withColumn("title_key", F.md5("title_key")).select("kind", *read, F.explode(blocks).alias("key"))
     kind = records.schema["record_id"].dataType.simpleString()
-    equal = brief.groupBy("key").applyInPandas(_links, f"a {kind}, b {kind}")
+    equal = _equal(brief)
     pairs = _candidates(kinds.filter(long & (F.size("author_keys") > 0)))
-    whole = kinds.select("kind", F.struct("kind", *read).alias("row"))
-    read_pairs = pairs.join(whole.toDF("x_kind", "one").hint("merge"), F.col("x") == F.col("x_kind")).join(whole.toDF("y_kind", "two").hint("merge"), F.col("y") == F.col("y_kind"))
-    # Dealt by number, so that titles are compared on all cores.
-    dealt = read_pairs.select(F.col("one").alias("x"), F.col("two").alias("y")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Few titles are compared, so only theirs are shuffled.
+    named = pairs.select(F.explode(F.array(F.xxhash64("x"), F.xxhash64("y"))).alias("name")).distinct()
+    named = cut(named)
+    whole = kinds.withColumn("name", F.xxhash64("kind")).join(named.hint("broadcast" if named.count() <= MOST_NAMED else "merge"), "name", "left_semi")
+    whole = cut(whole.select("kind", F.struct("kind", *read).alias("row")))
+    # The pairs of a title are compared in one task, dealt by number, so that all cores have some.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = pairs.join(whole.toDF("y_kind", "two").hint("merge"), F.col("y") == F.col("y_kind")).select("x", "two").repartition(tasks, "x")
+    dealt = one.join(whole.toDF("x_kind", "one").hint("merge"), F.col("x") == F.col("x_kind")).select(F.col("one").alias("x"), F.col("two").alias("y"))
     alike = dealt.mapInPandas(_alike, f"a {kind}, b {kind}")
     links = cut(equal.unionByName(alike).distinct())
     roots = cut(components(links).withColumnRenamed("node", "kind"))

@@ -6,6 +6,8 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -290,6 +292,47 @@ def test_alike_titles_give_the_ratio_of_the_matcher():
         assert all(works._may_be_alike(a, b) for (a, b), w in zip(pairs, want, strict=True) if w)
 
 
+def test_blocks_are_those_of_the_matcher_without_its_visits_of_all_letters():
+    rng = random.Random(11)
+    for rare in (0, 0.01, 0.2):
+        titles = long_titles(rng, 1, rare)
+        for a, b in zip(titles, titles[1:], strict=False):
+            matcher, find = SequenceMatcher(None, a, b), works._finder(a, b)
+            for _ in range(6):
+                alo, blo = rng.choice(((0, 0), (rng.randrange(len(a)), rng.randrange(len(b)))))
+                place = (alo, rng.randint(alo, len(a)), blo, rng.randint(blo, len(b)))
+                assert tuple(find(*place)) == tuple(matcher.find_longest_match(*place))
+
+
+def test_marks_are_few_and_equal_titles_and_letters_meet_without_a_group_each():
+    rng = random.Random(13)
+    titles = [t for t in long_titles(rng, 1, 0.02) if len(t) > 1000]
+    rows = pd.DataFrame({"title_key": titles, "bys": [[5]] * len(titles), "nodes": [[i] for i in range(len(titles))]})
+    rows["n"], rows["need"] = [len(t) for t in titles], [works._shared(works._codes(t)) for t in titles]
+    marks = pd.concat(works._marked(iter([rows])))
+    assert 0 < len(marks) < 0.15 * sum(map(len, titles)) and len(marks) == len(marks[["h", "node"]].drop_duplicates())
+    letters = [works._letters(works._codes(t)) for t in titles]
+    dealt = pd.concat([rows.assign(kind=range(len(titles)), author=5, year=float("nan")), pd.DataFrame(letters, columns=works.COUNTS)], axis=1)
+    dealt["need"] = -dealt["n"]
+    got = set(works._beside(dealt, dealt).itertuples(index=False, name=None))
+    assert got == {
+        (i, j) for i, a in enumerate(titles) for j, b in enumerate(titles)
+        if i != j and 94 * max(len(a), len(b)) <= 106 * min(len(a), len(b)) and 200 * np.minimum(letters[i], letters[j]).sum() >= 94 * (len(a) + len(b))
+    }
+
+
+def test_equal_titles_like_the_rule(spark):
+    rng = random.Random(17)
+    title = "robust estimation of large networks"
+    rows = [(i, rng.choice("st"), rng.choice(("", "1", "2")), rng.choice(("", "", "d1", "d2")), rng.choice(("", "", "x1", "x2")), title,
+             rng.choice((None, 2020, 2021, 2022)), rng.choice(([], ["a"], ["a", "b"], ["c"]))) for i in range(60)]
+    brief = spark.createDataFrame([(*r, "t:same") for r in rows], WORK.replace("record_id", "kind").replace("title ", "title_key ").replace("authors", "author_keys") + ", key string")
+    names = ["kind", "source", "source_id", "doi", "arxiv_id", "title_key", "year", "author_keys"]
+    dicts = [dict(zip(names, r, strict=True)) for r in rows]
+    got = sorted((r.a, r.b) for r in works._equal(brief).collect())
+    assert got == sorted((a["kind"], b["kind"]) for a in dicts for b in dicts if a["kind"] != b["kind"] and works.same_work(a, b))
+
+
 def test_only_titles_that_may_be_alike_are_compared(spark):
     rng = random.Random(7)
     titles = [t for rare in (0, 0.02, 0.06) for t in long_titles(rng, 2, rare)]
