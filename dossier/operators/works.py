@@ -35,9 +35,9 @@ LETTERS = 40
 #: About how many titles that others are compared with by letters meet in a task.
 SHARE = 20_000
 COUNTS = [f"c{i}" for i in range(LETTERS)]
-#: Titles of which marks or lengths leave a Python worker at once, and to how many of them those that are compared are broadcast.
+#: Titles of which marks or lengths leave a Python worker at once, and the most of which ids are broadcast.
 PIECE = 1_000
-MOST_NAMED = 2_000_000
+MOST_NAMED = 1_000_000
 _BASE = 0xD1342543DE82EF95
 _WHOLE = (1 << 64) - 1
 #: Words of a title under which it is looked for.
@@ -285,7 +285,8 @@ def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 asked = np.zeros(len(marks), dtype=np.int32)
                 asked[np.searchsorted(marks, some)] = counts
             for by, node in zip(row.bys, row.nodes, strict=True):
-                hashes.append((marks ^ np.uint64(int(by) & _WHOLE)) * np.uint64(_BASE))
+                # 40 bits tell marks apart well enough: those that are taken for one another only add to what is shared.
+                hashes.append(((marks ^ np.uint64(int(by) & _WHOLE)) * np.uint64(_BASE)) >> np.uint64(24))
                 nodes.append(np.full(len(marks), node, dtype=np.int64))
                 windows.append(asked)
         if hashes:
@@ -399,11 +400,11 @@ def _candidates(kinds: DataFrame) -> DataFrame:
     every = Window.partitionBy("h")
     shared = marks.withColumns({"met": F.count(F.lit(1)).over(every), "asked": F.max("windows").over(every)}).filter("met > 1 AND asked > 0")
     nodes = kinds.select(F.explode(node).alias("node"), "kind", "n", "need")
-    known = cut(shared.drop("asked").join(nodes.hint("merge"), "node"))
     # A title that shares more windows than the most frequent marks stand for shares one of another mark, so by those it looks
     # only for titles with which it shares no more.  What they stand for may be shared as well.
     frequent = Window.partitionBy("node", "kind").orderBy(F.col("met").desc(), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    looking = known.withColumn("above", F.sum("windows").over(frequent)).filter("windows > 0").drop("met")
+    known = cut(shared.drop("asked").join(nodes.hint("merge"), "node").withColumn("above", F.sum("windows").over(frequent)).drop("met"))
+    looking = known.filter("windows > 0 AND above >= greatest(need, 1)")
     found = other(known.select("h", "kind", "n")).hint("merge")
     meeting = looking.join(found, (F.col("h") == F.col("h_2")) & (F.col("kind") != F.col("kind_2")) & near & (needed > 0) & (needed <= F.col("above")))
     counted = meeting.groupBy("node", "kind", "kind_2").agg(
@@ -448,7 +449,10 @@ def fuzzy_works(records: DataFrame) -> DataFrame:
     )
     own = cut(own.select("record_id", *read, F.sha2(F.to_json(F.struct(*read)), 256).alias("digest")))
     heads = cut(own.groupBy("digest").agg(F.min("record_id").alias("kind")))
-    firsts = own.withColumnRenamed("record_id", "kind").join(heads.select("kind").hint("merge"), "kind", "left_semi").select("kind", *read)
+    # Copies are few as a rule, so titles need not be shuffled to leave them out.
+    copies = cut(own.select("record_id", "digest").join(heads.hint("merge"), "digest").filter("record_id <> kind").select(F.col("record_id").alias("kind")))
+    few = "broadcast" if copies.count() <= MOST_NAMED else "merge"
+    firsts = own.withColumnRenamed("record_id", "kind").join(copies.hint(few), "kind", "left_anti").select("kind", *read)
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in firsts.schema)
     kinds = cut(firsts.mapInPandas(_sized, f"{columns}, n int, need int, {', '.join(f'{c} int' for c in COUNTS)}"))
     # Whether records of the kind are one work with each other.
